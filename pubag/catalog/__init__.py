@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["ensemble"]
+_MODULES = ["basic", "ensemble"]
 
 
 def _mods():
