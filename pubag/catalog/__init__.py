@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["basic", "ensemble"]
+_MODULES = ["basic", "sampling", "evaluation", "ensemble"]
 
 
 def _mods():
