@@ -11,17 +11,20 @@ from pubag.operators.bagging import PUBagging
 from pubag.sources.fixtures import DOCS, pu_docs, pu_vec
 
 FEATS = DOCS.features
-SCORE = F.try_divide(F.col("f4"), F.col("f1"))
+
+
+def _score():
+    return F.try_divide(F.col("f4"), F.col("f1"))
 
 
 def wi1_roc_curve(spark, sf):
-    d = pu_docs(spark, sf).withColumn("score", SCORE)
+    d = pu_docs(spark, sf).withColumn("score", _score())
     r = M.roc_curve(d, "y", "score", by=["grp"])
     return r.select("grp", r6("threshold").alias("threshold"), r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
 
 
 def wi2_auc(spark, sf):
-    d = pu_docs(spark, sf).withColumn("score", SCORE)
+    d = pu_docs(spark, sf).withColumn("score", _score())
     return M.roc_auc(d, "y", "score", by=["grp"]).select("grp", r6("auc").alias("auc"))
 
 
@@ -88,7 +91,6 @@ cum AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
   sum(pos) OVER (PARTITION BY grp) AS P, sum(neg) OVER (PARTITION BY grp) AS N
   FROM cnt WINDOW w AS (PARTITION BY grp ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
-PRED = with_sql  # alias for readability below
 _FIT = Q.gnb_fit_ctes("pu_docs", ["doc_id"], FEATS, SEED, 10, 100)
 _PRED = f"""pred AS (
   SELECT r.doc_id, any_value(r.grp) AS grp, any_value(r.y_true) AS y_true, avg({Q.gnb_p1(FEATS)}) AS p1

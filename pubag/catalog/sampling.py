@@ -173,11 +173,6 @@ WHERE rn <= 100"""),
         f"FROM pu_docs WHERE y < 1) WHERE w > 0" for b in range(10))),
     "sa8_pu_bag": with_sql(D + [_GF], """SELECT doc_id, bag, CAST(w AS INTEGER) AS w FROM g_bags UNION ALL
 SELECT doc_id, CAST(i AS INTEGER), 1 FROM pu_docs, range(0, 10) t(i) WHERE y = 1"""),
-    "sa12_holdout_n": with_sql(D, f"""t AS (SELECT doc_id FROM (SELECT doc_id, {_rn('holdout', DK, 'doc_id', 'y')} AS rn
-  FROM pu_docs) WHERE rn <= 30)
-SELECT doc_id, 'test' AS role FROM t UNION ALL
-SELECT doc_id, 'train' FROM pu_docs WHERE doc_id NOT IN (SELECT doc_id FROM t)""".replace("t AS (", "", 0))
-    .replace("WITH " + Q.PU_DOCS + "\n", "WITH " + Q.PU_DOCS + ",\n"),
     "sa13_leave_one_group_out": with_sql(D, """SELECT g.grp AS fold, 'test' AS role, d.doc_id
 FROM pu_docs d JOIN (SELECT DISTINCT grp FROM pu_docs) g ON d.grp = g.grp
 UNION ALL SELECT g.grp, 'train', d.doc_id FROM pu_docs d JOIN (SELECT DISTINCT grp FROM pu_docs) g ON d.grp <> g.grp"""),
