@@ -46,31 +46,30 @@ class GaussianNB:
         )
         # one row per axis value: small, broadcast
         b = bagged.join(F.broadcast(g), axis)
-        w = F.col("w").cast("double")
-        aggs = [F.sum(w).alias("N")]
-        for j, c in enumerate(features):
-            xs = F.col(c) - F.col(f"_mean{j}")
-            aggs += [
-                F.sum(F.when(F.col(c).isNotNull(), w)).alias(f"n{j}"),
-                F.sum(w * xs).alias(f"s{j}"),
-                F.sum(w * xs * xs).alias(f"q{j}"),
-            ]
+        # both classes in one pass: conditional sums per (axis, bag), no self-join
+        aggs = []
+        for cls in (0, 1):
+            w = F.when(F.col(label) == cls, F.col("w").cast("double"))
+            aggs.append(F.sum(w).alias(f"N{cls}"))
+            for j, c in enumerate(features):
+                xs = F.col(c) - F.col(f"_mean{j}")
+                aggs += [
+                    F.sum(F.when(F.col(c).isNotNull(), w)).alias(f"n{cls}_{j}"),
+                    F.sum(w * xs).alias(f"s{cls}_{j}"),
+                    F.sum(w * xs * xs).alias(f"q{cls}_{j}"),
+                ]
         aggs += [F.first(f"_mean{j}").alias(f"_mean{j}") for j in range(d)] + [F.first("_maxvar").alias("_maxvar")]
-        st = b.groupBy(*axis, "bag", label).agg(*aggs)
+        st = b.groupBy(*axis, "bag").agg(*aggs)
         eps = F.lit(self.var_smoothing) * F.col("_maxvar")
-        mu = [F.try_divide(F.col(f"s{j}"), F.col(f"n{j}")) for j in range(d)]
-        var = [F.greatest(F.try_divide(F.col(f"q{j}"), F.col(f"n{j}")) - mu[j] * mu[j], F.lit(0.0)) + eps
-               for j in range(d)]
-        st = st.select(
-            *axis, "bag", label, "N",
-            F.array(*[(mu[j] + F.col(f"_mean{j}")).alias(f"m{j}") for j in range(d)]).alias("mu"),
-            F.array(*[var[j] for j in range(d)]).alias("var"),
-        )
-        c0 = st.filter(F.col(label) == 0).select(*axis, "bag", F.col("N").alias("n0"), F.col("mu").alias("mu0"),
-                                                 F.col("var").alias("v0"))
-        c1 = st.filter(F.col(label) == 1).select(*axis, "bag", F.col("N").alias("n1"), F.col("mu").alias("mu1"),
-                                                 F.col("var").alias("v1"))
-        return c0.join(c1, [*axis, "bag"], "full_outer")
+        out = []
+        for cls in (0, 1):
+            mu = [F.try_divide(F.col(f"s{cls}_{j}"), F.col(f"n{cls}_{j}")) for j in range(d)]
+            var = [F.greatest(F.try_divide(F.col(f"q{cls}_{j}"), F.col(f"n{cls}_{j}")) - mu[j] * mu[j], F.lit(0.0)) + eps
+                   for j in range(d)]
+            out += [F.col(f"N{cls}").alias(f"n{cls}"),
+                    F.array(*[mu[j] + F.col(f"_mean{j}") for j in range(d)]).alias(f"mu{cls}"),
+                    F.array(*var).alias(f"v{cls}")]
+        return st.select(*axis, "bag", *out)
 
     @staticmethod
     def model_columns() -> list[str]:

@@ -92,14 +92,14 @@ def first_n(df: DataFrame, n, key, seed, tag: str = "sample", parts=(), bits: in
 
 
 def dense_position(df: DataFrame, key, seed, tag: str = "pos", parts=(), bits: int = DEFAULT_BITS,
-                   name: str = "pos") -> DataFrame:
+                   name: str = "pos", extra: tuple = ()) -> DataFrame:
     """0-based ordinal in (h, key) order within each partition value (SO4).
 
     Offsets come from bucket counts; ``row_number`` only runs inside each of the
     2**bits buckets, so no single task sorts the whole input.
     """
     parts = as_list(parts)
-    d = with_hash(df, key, seed, tag).withColumn(_B, F.shiftright(F.col(_H), HASH_BITS - bits))
+    d = with_hash(df, key, seed, tag, extra).withColumn(_B, F.shiftright(F.col(_H), HASH_BITS - bits))
     hist = d.groupBy(*parts, _B).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*parts).orderBy(_B) if parts else Window.orderBy(_B)
     offs = hist.withColumn("_off", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
@@ -112,9 +112,10 @@ def dense_position(df: DataFrame, key, seed, tag: str = "pos", parts=(), bits: i
     )
 
 
-def rank_in(df: DataFrame, key, seed, tag: str, parts=(), bits: int = DEFAULT_BITS, name: str = "rank") -> DataFrame:
+def rank_in(df: DataFrame, key, seed, tag: str, parts=(), bits: int = DEFAULT_BITS, name: str = "rank",
+            extra: tuple = ()) -> DataFrame:
     """1-based rank in (h, key) order within ``parts`` (WI4)."""
-    return dense_position(df, key, seed, tag, parts, bits, name="_p").withColumn(
+    return dense_position(df, key, seed, tag, parts, bits, name="_p", extra=extra).withColumn(
         name, (F.col("_p") + 1).cast("bigint")).drop("_p")
 
 
