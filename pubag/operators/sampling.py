@@ -242,10 +242,34 @@ def poisson_weight(u: Column, lam: float) -> Column:
     return w.cast("int")
 
 
-def poisson_weights(key, seed, n_bags: int, lam: float, first_bag: int = 0, tag: str = "pois") -> Column:
-    """SA7: array of T Poisson weights, one per bag, recomputable from the hash."""
+def poisson_cdf(lam: float, terms: int = POISSON_TERMS) -> list[float]:
+    """P(X <= j) for j = 0..terms-1 (the inverse-CDF steps)."""
+    out, p, cdf = [], math.exp(-lam), math.exp(-lam)
+    for j in range(1, terms + 1):
+        out.append(cdf)
+        p = p * lam / j
+        cdf += p
+    return out
+
+
+def poisson_weights(key, seed, n_bags: int, lam: float, first_bag: int = 0, tag: str = "pois",
+                    fast: bool = False) -> Column:
+    """SA7: array of T Poisson(lam) weights, one per bag, recomputable from the hash.
+
+    One compact expression: the bag ids are a sequence, each maps to a uniform and
+    the weight is the number of CDF steps at or below it. ``fast`` uses xxhash64 of
+    (seed, tag, bag, key) instead of md5 text (the scale path; not the oracle's hash).
+    """
     kt = key_text(as_list(key))
-    return F.array(*[poisson_weight(uniform(h(seed, tag, b, kt)), lam) for b in range(first_bag, first_bag + n_bags)])
+    cdf = F.array(*[F.lit(float(c)) for c in poisson_cdf(lam)])
+    bags = F.sequence(F.lit(first_bag), F.lit(first_bag + n_bags - 1))
+    if fast:
+        mask = F.lit((1 << HASH_BITS) - 1)
+        hv = lambda b: F.shiftright(F.xxhash64(F.lit(str(seed)), F.lit(tag), b, kt), 4).bitwiseAND(mask)
+    else:
+        hv = lambda b: h(seed, tag, b, kt)
+    us = F.transform(bags, lambda b: uniform(hv(b)))
+    return F.transform(us, lambda u: F.size(F.filter(cdf, lambda c: u >= c)))
 
 
 def subsample_members(u_rows: DataFrame, key, n_bags: int, m: int, seed, axis=(), tag: str = "sub",

@@ -157,20 +157,21 @@ def reliability_grid(scores: DataFrame, pos_train: DataFrame, pos_valid: DataFra
     k = len(th)
     tarr = F.array(*[F.lit(t) for t in th])
     # negatives per (i, repeat): rows below lo_i, replicated by explode over the qualifying i
-    neg = scores.select(*key, *features, score).withColumn(
+    scores = _cut(scores.select(*key, *features, score))
+    neg = scores.withColumn(
         "i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.col(score) < F.element_at(tarr, i + 1))))
-    pseudo = scores.select(*key, *features, score).withColumn(
+    pseudo = scores.withColumn(
         "j", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.col(score) > F.element_at(tarr, j + 1))))
     posj = _union(pseudo.drop(score), pos_train.select(*key, *features).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))))
-    neg = S.repeats(neg.drop(score), repeats)
-    posj = S.repeats(posj, repeats)
+    neg = _cut(S.repeats(neg.drop(score), repeats))
+    posj = _cut(S.repeats(posj, repeats))
     ncount = neg.groupBy("i", "repeat").agg(F.count(F.lit(1)).alias("nn"))
     pcount = posj.groupBy("j", "repeat").agg(F.count(F.lit(1)).alias("np"))
     # n per (cell, repeat): the fixed train_num, or the smaller side when not given
     sizes = ncount.join(pcount, "repeat").filter(F.col("i") <= F.col("j"))
     nexpr = F.least(F.col("nn"), F.col("np")) if train_num is None else F.lit(int(train_num))
-    sizes = sizes.select("i", "j", "repeat", nexpr.cast("bigint").alias("n")).filter(F.col("n") > 0)
+    sizes = _cut(sizes.select("i", "j", "repeat", nexpr.cast("bigint").alias("n")).filter(F.col("n") > 0))
     neg_c = neg.join(sizes.select("i", "j", "repeat"), ["i", "repeat"])
     pos_c = posj.join(sizes.select("i", "j", "repeat"), ["j", "repeat"])
     nsel = S.first_n(neg_c, sizes, key, seed, "gneg", parts=["i", "j", "repeat"],
