@@ -109,3 +109,61 @@ SQL = {
         + ", ".join(f"{Q.r6(f'mu0_{j}')} AS mu0_{j}" for j in range(len(FEATS))) + ", "
         + ", ".join(f"{Q.r6(f'v1_{j}')} AS v1_{j}" for j in range(len(FEATS))) + " FROM g_model"),
 }
+
+
+# --- BL2: histogram decision trees for all bags ------------------------------------
+
+
+def _tree_model(spark, sf, depth):
+    from pubag.operators.learners.tree import DecisionTree
+    d = pu_docs(spark, sf)
+    return d, PUBagging(learner=DecisionTree(max_depth=depth), n_estimators=10, max_samples=100,
+                        seed=SEED).fit(d, FEATS, DOCS.key)
+
+
+def bl2_decision_tree(spark, sf):
+    """BL2 (depth 1): per bag the chosen split and the two leaf values."""
+    _, m = _tree_model(spark, sf, 1)
+    t = F.col("tree")
+    return m.models.select("bag", F.element_at(t, 1)["f"].alias("feat"), F.element_at(t, 1)["t"].alias("thr"),
+                           r6(F.element_at(t, 2)["v"]).alias("v_left"), r6(F.element_at(t, 3)["v"]).alias("v_right"))
+
+
+def bl2_decision_tree_oob(spark, sf):
+    """BL2 (depth 3) inside PU bagging: OOB scores of the unlabelled documents."""
+    _, m = _tree_model(spark, sf, 3)
+    return m.oob_scores(include_positives=False).select("doc_id", r6("oob_score").alias("oob_score"), "n_votes")
+
+
+QUERIES["bl2_decision_tree"] = bl2_decision_tree
+QUERIES["bl2_decision_tree_oob"] = bl2_decision_tree_oob
+
+
+def _stump_sql() -> str:
+    nb = 32
+    fit = Q.gnb_fit_ctes("pu_docs", _K, FEATS, SEED, 10, 100)
+    rng = ", ".join(f"min({f}) AS lo{j}, max({f}) AS hi{j}" for j, f in enumerate(FEATS))
+    wd = ", ".join(f"lo{j}, CASE WHEN hi{j} > lo{j} THEN (hi{j} - lo{j}) / {nb}.0 ELSE 1.0 END AS wd{j}"
+                   for j in range(len(FEATS)))
+    ex = " UNION ALL ".join(
+        f"SELECT b.bag, b.y, b.w, {j} AS feat, CASE WHEN b.{f} IS NULL THEN -1 ELSE "
+        f"CAST(least(greatest(floor((b.{f} - r.lo{j}) / r.wd{j}), 0), {nb - 1}) AS INTEGER) END AS bin "
+        f"FROM g_bagged b, rng2 r" for j, f in enumerate(FEATS))
+    return with_sql([Q.PU_DOCS, fit, f"rng AS (SELECT {rng} FROM g_rows)", f"rng2 AS (SELECT {wd} FROM rng)",
+                     f"ex AS ({ex})",
+                     "hist AS (SELECT bag, feat, bin, sum(w) AS hw, sum(w * y) AS hwy FROM ex GROUP BY bag, feat, bin)",
+                     """cum AS (SELECT *, sum(hw) OVER w AS lw, sum(hwy) OVER w AS lwy FROM hist
+  WINDOW w AS (PARTITION BY bag, feat ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""",
+                     "tot AS (SELECT bag, CAST(sum(w) AS DOUBLE) AS W, CAST(sum(w * y) AS DOUBLE) AS WY FROM g_bagged GROUP BY bag)",
+                     """cand AS (SELECT c.bag, c.feat, c.bin, CAST(c.lw AS DOUBLE) AS lw, CAST(c.lwy AS DOUBLE) AS lwy, t.W, t.WY,
+  t.WY * (t.W - t.WY) / t.W - CAST(c.lwy AS DOUBLE) * (CAST(c.lw AS DOUBLE) - CAST(c.lwy AS DOUBLE)) / CAST(c.lw AS DOUBLE)
+  - (t.WY - c.lwy) * ((t.W - c.lw) - (t.WY - c.lwy)) / (t.W - c.lw) AS gain
+  FROM cum c JOIN tot t USING (bag) WHERE c.lw >= 1.0 AND t.W - c.lw >= 1.0)""",
+                     """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY gain DESC, feat, bin) AS rk
+  FROM cand) WHERE rk = 1 AND gain > 1e-12)"""],
+                    f"""SELECT t.bag, CAST(coalesce(b.feat, -1) AS INTEGER) AS feat, CAST(coalesce(b.bin, -1) AS INTEGER) AS thr,
+ {Q.r6('b.lwy / b.lw')} AS v_left, {Q.r6('(b.WY - b.lwy) / (b.W - b.lw)')} AS v_right
+FROM tot t LEFT JOIN best b USING (bag)""")
+
+
+SQL["bl2_decision_tree"] = _stump_sql()

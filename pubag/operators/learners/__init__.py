@@ -1,0 +1,23 @@
+"""Base learners. Each trains the models of every bag (and axis value) in one job.
+
+Contract: ``fit(bagged, rows, features, axis, label, fbags=None, first_bag=0)`` returns
+one row per (axis…, bag) with the model's columns; ``proba(m, x, mult)`` is a Column
+expression giving p(class 1) for a model struct ``m`` and feature columns ``x``
+(learners without probabilities give ``vote`` instead); ``model_bytes(d)`` bounds
+the size of one model so that broadcasts stay checked.
+"""
+
+from __future__ import annotations
+
+
+def registry(name: str, **params):
+    if name in ("gnb", "gaussian_nb"):
+        from pubag.operators.learners.gnb import GaussianNB
+        return GaussianNB(**params)
+    if name in ("tree", "decision_tree"):
+        from pubag.operators.learners.tree import DecisionTree
+        return DecisionTree(**params)
+    if name in ("random_forest", "boosted_trees", "kernel_svm", "mlp"):
+        from pubag.operators.learners.mllib import MLlibLearner
+        return MLlibLearner(name, **params)
+    raise ValueError(f"unknown learner {name!r}")

@@ -31,7 +31,7 @@ class GaussianNB:
         self.var_smoothing = var_smoothing
 
     def fit(self, bagged: DataFrame, rows: DataFrame, features: list[str], axis: list[str],
-            label: str = "y", feat_mult: dict | None = None) -> DataFrame:
+            label: str = "y", fbags: list | None = None, first_bag: int = 0) -> DataFrame:
         """bagged(axis…, bag, y, w, f…) -> one row per (axis, bag) with model columns."""
         d = len(features)
         g = rows.groupBy(*axis).agg(
@@ -75,6 +75,10 @@ class GaussianNB:
     def model_columns() -> list[str]:
         return ["n0", "mu0", "v0", "n1", "mu1", "v1"]
 
+    @staticmethod
+    def model_bytes(d: int) -> int:
+        return 8 * (4 * d + 8)
+
     def log_joint(self, m: Column, x: list[Column], cls: int, mult: Column | None = None) -> Column:
         n, mu, v = m[f"n{cls}"], m[f"mu{cls}"], m[f"v{cls}"]
         total = None

@@ -98,7 +98,7 @@ def chunk_cross_score(pos: DataFrame, background: DataFrame, features, key, seed
     (AG7). All chunk models are fitted in one aggregate (chunk = bag axis) and scoring folds
     over the model array with the predicate ``bag <> own chunk`` (JO3).
     """
-    from pubag.operators.bagging import _learner, _materialise
+    from pubag.operators.bagging import _by_bag, _learner, _materialise
 
     learner = _learner(learner)
     key = as_list(key)
@@ -115,7 +115,7 @@ def chunk_cross_score(pos: DataFrame, background: DataFrame, features, key, seed
     model = model.withColumn("fmult", F.array(*[F.lit(1) for _ in features]))
     model = _materialise(model, n_chunks * (4 * len(features) + 8) * 8)
     cols = [c for c in model.columns if c != ax]
-    arr = model.groupBy(ax).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("_models"))
+    arr = model.groupBy(ax).agg(_by_bag(F.collect_list(F.struct(*cols))).alias("_models"))
     x = [F.col(c).cast("double") for c in features]
     scored = b.withColumn(ax, F.lit(0)).join(F.broadcast(arr), ax)
     init = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
