@@ -126,3 +126,27 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {}
+
+
+def ex12_nested_grid_search(spark, sf):
+    """EX12: outer 5-fold, inner 3-fold CrossValidator over the 48-candidate grid."""
+    r = J.nested_grid_search(pu_docs(spark, sf), FEATS, K, SEED, outer_k=5, inner_k=3, max_iter=5)
+    return r.select("outer_fold", "cand_id", r6("auc_hard").alias("auc_hard"))
+
+
+def _mllib_oob(kind, **params):
+    def q(spark, sf):
+        from pubag.operators.bagging import PUBagging
+        from pubag.operators.learners import registry
+        m = PUBagging(learner=registry(kind, **params), n_estimators=3, max_samples=100, seed=SEED).fit(
+            pu_docs(spark, sf), FEATS, K)
+        return m.oob_scores(include_positives=False).select("doc_id", r6("oob_score").alias("oob_score"), "n_votes")
+    return q
+
+
+QUERIES.update({
+    "bl3_random_forest": _mllib_oob("random_forest"),
+    "bl4_boosted_trees": _mllib_oob("boosted_trees", maxIter=10),
+    "bl5_kernel_svm": _mllib_oob("kernel_svm", maxIter=20),
+    "bl6_mlp": _mllib_oob("mlp", maxIter=50),
+})
