@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["basic", "sampling", "evaluation", "ensemble", "experiments"]
+_MODULES = ["basic", "sampling", "evaluation", "ensemble", "experiments", "explain"]
 
 
 def _mods():

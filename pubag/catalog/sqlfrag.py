@@ -85,6 +85,17 @@ PU_EVENTS = """pu_events AS (
 )"""
 
 
+def gnb_plain_ctes(src: str, key: list[str], features: list[str], prefix: str = "gp", label: str = "y") -> str:
+    """Plain (one-model) Gaussian NB: {prefix}_model with bag 0 fitted on all rows, weight 1."""
+    full = gnb_fit_ctes(src, key, features, 0, 1, 1, prefix, label)
+    P = prefix
+    a = full.index(f"{P}_bagged AS (")
+    b = full.index(f"{P}_st AS (")
+    plain_bagged = f"""{P}_bagged AS (SELECT 0 AS bag, y, 1 AS w, {', '.join(features)} FROM {P}_rows),
+"""
+    return full[:a] + plain_bagged + full[b:]
+
+
 def gnb_fit_ctes(src: str, key: list[str], features: list[str], seed, T: int, m: int, prefix: str = "g",
                  label: str = "y") -> str:
     """CTEs for exact PU bagging with the Gaussian NB learner (no axis).
