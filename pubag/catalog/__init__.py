@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["basic", "sampling", "evaluation", "ensemble", "experiments", "explain"]
+_MODULES = ["basic", "sampling", "evaluation", "ensemble", "experiments", "ensemble_more", "explain"]
 
 
 def _mods():

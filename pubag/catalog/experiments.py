@@ -118,7 +118,6 @@ QUERIES = {
     "ex4_repeat_eval": ex4_repeat_eval,
     "ex5_hidden_label_recovery": ex5_hidden_label_recovery,
     "ex6_feature_ablation": ex6_feature_ablation,
-    "ex7_cross_score_background": ex7_cross_score_background,
     "ex9_reliability_grid": ex9_reliability_grid,
     "ex10_hide_sweep_eval": ex10_hide_sweep_eval,
     "ex11_external_validation": ex11_external_validation,

@@ -85,28 +85,22 @@ PU_EVENTS = """pu_events AS (
 )"""
 
 
-def gnb_plain_ctes(src: str, key: list[str], features: list[str], prefix: str = "gp", label: str = "y") -> str:
+def gnb_plain_ctes(src: str, key: list[str], features: list[str], prefix: str = "gp", label: str = "y",
+                   axis: list[str] | None = None) -> str:
     """Plain (one-model) Gaussian NB: {prefix}_model with bag 0 fitted on all rows, weight 1."""
-    full = gnb_fit_ctes(src, key, features, 0, 1, 1, prefix, label)
-    P = prefix
-    a = full.index(f"{P}_bagged AS (")
-    b = full.index(f"{P}_st AS (")
-    plain_bagged = f"""{P}_bagged AS (SELECT 0 AS bag, y, 1 AS w, {', '.join(features)} FROM {P}_rows),
-"""
-    return full[:a] + plain_bagged + full[b:]
-
-
-def gnb_fit_ctes(src: str, key: list[str], features: list[str], seed, T: int, m: int, prefix: str = "g",
-                 label: str = "y") -> str:
-    """CTEs for exact PU bagging with the Gaussian NB learner (no axis).
-
-    Defines {prefix}_upos (U with pos), {prefix}_bags (key…, bag, w),
-    {prefix}_model (bag, n0, n1, mu0_j, v0_j, mu1_j, v1_j).
-    """
-    kt = keytext(key)
-    kcols = ", ".join(key)
-    fcols = ", ".join(features)
     P = prefix
+    axis = axis or []
+    ax = "".join(f"{a}, " for a in axis)
+    return f"""{P}_rows AS (SELECT {ax}{', '.join(key)}, {label} AS y, {', '.join(features)} FROM {src}),
+{P}_bagged AS (SELECT {ax}0 AS bag, y, 1 AS w, {', '.join(features)} FROM {P}_rows),
+{gnb_model_ctes(P, features, P + '_rows', P + '_bagged', axis)}"""
+
+
+def gnb_model_ctes(P: str, features: list[str], rows: str, bagged: str, axis: list[str] | None = None) -> str:
+    """GNB model CTEs from a rows CTE (for the unweighted mean/variance floor) and a bagged CTE
+    (axis…, bag, y, w, f…): defines {P}_glob2, {P}_st, {P}_cls, {P}_model."""
+    axis = axis or []
+    ax = "".join(f"{a}, " for a in axis)
     means = ", ".join(f"avg({f}) AS mean_{j}" for j, f in enumerate(features))
     vars_ = ", ".join(f"var_pop({f}) AS var_{j}" for j, f in enumerate(features))
     maxvar = "greatest(" + ", ".join(f"coalesce(var_{j}, 0.0)" for j in range(len(features))) + ")" \
@@ -123,7 +117,35 @@ def gnb_fit_ctes(src: str, key: list[str], features: list[str], seed, T: int, m:
                    for j in range(len(features)))
     c0 = ", ".join(f"c0.mu_{j} AS mu0_{j}, c0.v_{j} AS v0_{j}" for j in range(len(features)))
     c1 = ", ".join(f"c1.mu_{j} AS mu1_{j}, c1.v_{j} AS v1_{j}" for j in range(len(features)))
-    return f"""{P}_rows AS (SELECT {kcols}, {label} AS y, {fcols} FROM {src}),
+    gjoin = f"{bagged} b JOIN {P}_glob2 g USING ({', '.join(axis)})" if axis else f"{bagged} b, {P}_glob2 g"
+    on_ax = "".join(f" AND c0.{a} = c1.{a}" for a in axis)
+    return f"""{P}_glob AS (SELECT {ax}{means}, {vars_} FROM {rows}{' GROUP BY ' + ', '.join(axis) if axis else ''}),
+{P}_glob2 AS (SELECT *, {maxvar} AS maxvar FROM {P}_glob),
+{P}_st AS (
+  SELECT {''.join(f'b.{a}, ' for a in axis)}b.bag, b.y, sum(w) AS N, {stats}, any_value(maxvar) AS maxvar,
+         {', '.join(f'any_value(mean_{j}) AS mean_{j}' for j in range(len(features)))}
+  FROM {gjoin} GROUP BY {''.join(f'b.{a}, ' for a in axis)}b.bag, b.y
+),
+{P}_cls AS (SELECT {ax}bag, y, N, {mu}, {va} FROM {P}_st),
+{P}_model AS (
+  SELECT {''.join(f'c0.{a}, ' for a in axis)}c0.bag, c0.N AS n0, c1.N AS n1, {c0}, {c1}
+  FROM {P}_cls c0 JOIN {P}_cls c1 ON c0.bag = c1.bag{on_ax} AND c0.y = 0 AND c1.y = 1
+)"""
+
+
+def gnb_fit_ctes(src: str, key: list[str], features: list[str], seed, T: int, m: int, prefix: str = "g",
+                 label: str = "y", weight: str | None = None) -> str:
+    """CTEs for exact PU bagging with the Gaussian NB learner (no axis).
+
+    Defines {prefix}_upos (U with pos), {prefix}_bags (key…, bag, w),
+    {prefix}_model (bag, n0, n1, mu0_j, v0_j, mu1_j, v1_j).
+    """
+    kt = keytext(key)
+    kcols = ", ".join(key)
+    fcols = ", ".join(features)
+    P = prefix
+    uw = f"{weight}" if weight else "1"
+    return f"""{P}_rows AS (SELECT {kcols}, {label} AS y, {uw} AS uw, {fcols} FROM {src}),
 {P}_u AS (SELECT * FROM {P}_rows WHERE y < 1),
 {P}_p AS (SELECT * FROM {P}_rows WHERE y = 1),
 {P}_upos AS (
@@ -138,24 +160,22 @@ def gnb_fit_ctes(src: str, key: list[str], features: list[str], seed, T: int, m:
   FROM {P}_draws GROUP BY 1, 2
 ),
 {P}_bags AS (SELECT u.{', u.'.join(key)}, d.bag, d.w FROM {P}_dpos d JOIN {P}_upos u ON d.pos = u.pos),
-{P}_glob AS (SELECT {means}, {vars_} FROM {P}_rows),
-{P}_glob2 AS (SELECT *, {maxvar} AS maxvar FROM {P}_glob),
 {P}_bagged AS (
-  SELECT b.bag, 1 AS y, 1 AS w, {', '.join('p.' + f for f in features)}
+  SELECT b.bag, 1 AS y, p.uw AS w, {', '.join('p.' + f for f in features)}
   FROM {P}_p p, (SELECT CAST(i AS INTEGER) AS bag FROM range(0, {T}) t(i)) b
   UNION ALL
-  SELECT bg.bag, 0 AS y, bg.w, {', '.join('u.' + f for f in features)}
+  SELECT bg.bag, 0 AS y, bg.w * u.uw AS w, {', '.join('u.' + f for f in features)}
   FROM {P}_bags bg JOIN {P}_u u ON {' AND '.join(f'bg.{k} = u.{k}' for k in key)}
 ),
-{P}_st AS (
-  SELECT bag, y, sum(w) AS N, {stats}, any_value(maxvar) AS maxvar, {', '.join(f'any_value(mean_{j}) AS mean_{j}' for j in range(len(features)))}
-  FROM {P}_bagged, {P}_glob2 GROUP BY bag, y
-),
-{P}_cls AS (SELECT bag, y, N, {mu}, {va} FROM {P}_st),
-{P}_model AS (
-  SELECT c0.bag, c0.N AS n0, c1.N AS n1, {c0}, {c1}
-  FROM {P}_cls c0 JOIN {P}_cls c1 ON c0.bag = c1.bag AND c0.y = 0 AND c1.y = 1
-)"""
+{gnb_model_ctes(P, features, P + '_rows', P + '_bagged')}"""
+
+
+def gnb_lj(features: list[str], c: int, row: str = "r", model: str = "m") -> str:
+    """SQL expression: joint log-likelihood of class c (up to the shared constant)."""
+    terms = " + ".join(
+        f"coalesce(ln({model}.v{c}_{j}) + ({row}.{f} - {model}.mu{c}_{j}) * ({row}.{f} - {model}.mu{c}_{j}) / {model}.v{c}_{j}, 0.0)"
+        for j, f in enumerate(features))
+    return f"(ln({model}.n{c}) - 0.5 * ({terms}))"
 
 
 def gnb_p1(features: list[str], row: str = "r", model: str = "m") -> str:

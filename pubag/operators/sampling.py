@@ -188,7 +188,7 @@ def resolve_max_samples(max_samples, n_u: int, n_p: int | None = None) -> int:
 
 def bootstrap_draws(spark, n_bags: int, m: int | list[int], n_u: int | list[int], seed, axis=(),
                     axis_values: list[tuple] | None = None, first_bag: int = 0, tag: str = "boot",
-                    draws_per_partition: int = 1 << 20) -> DataFrame:
+                    draws_per_partition: int = 1 << 20, aggregate: bool = True) -> DataFrame:
     """SA5: per bag, m ordinals uniform with replacement from [0, |U|).
 
     Returns (axis…, bag, pos, w) with w = multiplicity (AG5: bincount; zero rows
@@ -223,6 +223,8 @@ def bootstrap_draws(spark, n_bags: int, m: int | list[int], n_u: int | list[int]
         nu = F.lit(int(n_u[0])).cast("bigint")
         hcol = h(seed, tag, F.col("bag"), F.col("draw"))
     r = r.withColumn("pos", (hcol % nu).cast("bigint"))
+    if not aggregate:
+        return r.select(*axis, "bag", "draw", "pos")
     return r.groupBy(*axis, "bag", "pos").agg(F.count(F.lit(1)).cast("int").alias("w"))
 
 
