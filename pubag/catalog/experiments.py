@@ -149,3 +149,41 @@ QUERIES.update({
     "bl5_kernel_svm": _mllib_oob("kernel_svm", maxIter=20),
     "bl6_mlp": _mllib_oob("mlp", maxIter=50),
 })
+
+# ---------------------------------------------------------------------------------- SQL
+from pubag.catalog import sqlfrag as Q  # noqa: E402
+from pubag.catalog.common import with_sql  # noqa: E402
+
+_F = ", ".join(FEATS)
+_DK = Q.vc("doc_id")
+_EX5_TRAIN = f"""rep AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, {EX5_REPEATS}) t(i)),
+x5 AS (SELECT r.repeat, d.doc_id, d.y, {', '.join('d.' + f for f in FEATS)} FROM pu_docs d, rep r),
+x5n AS (SELECT repeat, count(*) AS n FROM x5 WHERE y = 1 GROUP BY repeat),
+x5neg AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY x.repeat ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('under'), Q.vc('x.repeat'), Q.vc('x.doc_id')))}, x.doc_id) AS rn FROM x5 x WHERE y = 0) z
+  JOIN x5n USING (repeat) WHERE rn <= n),
+x5pos AS (SELECT x.*, row_number() OVER (PARTITION BY x.repeat ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('hide'), Q.vc('x.repeat'), Q.vc('x.doc_id')))}, x.doc_id) AS rk FROM x5 x WHERE y = 1),
+train5 AS (
+  SELECT p.repeat, p.doc_id, 1 AS y_true, CAST(CASE WHEN p.rk <= floor(n.n * 0.5) THEN 0 ELSE 1 END AS INTEGER) AS y,
+         {', '.join('p.' + f for f in FEATS)}
+  FROM x5pos p JOIN x5n n USING (repeat)
+  UNION ALL SELECT repeat, doc_id, 0, 0, {_F} FROM x5neg)"""
+_EX5_PRED = f"""pred5 AS (
+  SELECT 'mod' AS model, r.repeat, r.doc_id, any_value(r.y_true) AS y_true, avg({Q.gnb_p1(FEATS)}) AS p1
+  FROM train5 r JOIN gp_model m ON m.repeat = r.repeat GROUP BY r.repeat, r.doc_id
+  UNION ALL
+  SELECT 'pu', r.repeat, r.doc_id, any_value(r.y_true), avg({Q.gnb_p1(FEATS)})
+  FROM train5 r JOIN h5_model m ON m.repeat = r.repeat GROUP BY r.repeat, r.doc_id),
+ev5 AS (SELECT model, repeat,
+  sum(CASE WHEN y_true = 1 AND p1 > 1.0 - p1 THEN 1 ELSE 0 END) AS tp,
+  sum(CASE WHEN y_true = 0 AND p1 > 1.0 - p1 THEN 1 ELSE 0 END) AS fp,
+  sum(CASE WHEN y_true = 0 AND NOT p1 > 1.0 - p1 THEN 1 ELSE 0 END) AS tn,
+  sum(CASE WHEN y_true = 1 AND NOT p1 > 1.0 - p1 THEN 1 ELSE 0 END) AS fn FROM pred5 GROUP BY model, repeat)"""
+
+SQL["ex5_hidden_label_recovery"] = with_sql(
+    [Q.PU_DOCS, _EX5_TRAIN, Q.gnb_plain_ctes("train5", K, FEATS, axis=["repeat"]),
+     Q.pu_axis_ctes("h5", "train5", ["repeat"], K, FEATS, SEED, EX5_T, "n_p"), _EX5_PRED],
+    f"""SELECT model, {Q.r6('avg((tp + tn) / (tp + fp + tn + fn))')} AS accuracy,
+ {Q.r6('avg(tp / nullif(tp + fn, 0))')} AS recall,
+ {Q.r6('avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0))')} AS f1 FROM ev5 GROUP BY model""")

@@ -213,3 +213,41 @@ def gnb_oob(src: str, key: list[str], features: list[str], seed, T: int, m: int,
   SELECT {kc}, r.y, v.s AS oob_score, CAST(coalesce(v.n, 0) AS INTEGER) AS n_votes
   FROM {P}_rows r LEFT JOIN {P}_votes v ON {' AND '.join(f'v.{k} = r.{k}' for k in key)}
 )"""
+
+
+def pu_axis_ctes(P: str, train: str, axis: list[str], key: list[str], features: list[str], seed, T: int,
+                 m_sql: str) -> str:
+    """Exact PU bagging with an axis (e.g. repeat) on a training CTE (axis…, key…, y, f…).
+
+    ``m_sql`` is a SQL expression over {P}_cnt columns n_p, n_u giving the draws per bag.
+    Defines {P}_bags (axis…, key…, bag, w) and {P}_model (axis…, bag, …).
+    """
+    ax = ", ".join(axis)
+    kcols = ", ".join(key)
+    kt = keytext(key)
+    on_ax = " AND ".join(f"a.{c} = b.{c}" for c in axis)
+    axis_text = [vc(f"c.{a}") for a in axis]
+    return f"""{P}_rows AS (SELECT {ax}, {kcols}, y, {', '.join(features)} FROM {train}),
+{P}_u AS (SELECT * FROM {P}_rows WHERE y < 1),
+{P}_p AS (SELECT * FROM {P}_rows WHERE y = 1),
+{P}_cnt AS (SELECT {ax}, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS n_p, sum(CASE WHEN y < 1 THEN 1 ELSE 0 END) AS n_u
+  FROM {P}_rows GROUP BY {ax}),
+{P}_m AS (SELECT {ax}, n_u, CAST({m_sql} AS BIGINT) AS m FROM {P}_cnt),
+{P}_upos AS (SELECT *, row_number() OVER (PARTITION BY {ax} ORDER BY {hk(seed, 'pos', kt)}, {kcols}) - 1 AS pos
+  FROM {P}_u),
+{P}_dpos AS (
+  SELECT {', '.join('c.' + a for a in axis)}, CAST(b.i AS INTEGER) AS bag,
+    {H(ht(q(seed), q('boot'), *axis_text, vc('CAST(b.i AS INTEGER)'), vc('d.i')))} % c.n_u AS pos, count(*) AS w
+  FROM {P}_m c, range(0, {T}) b(i), range(0, (SELECT max(m) FROM {P}_m)) d(i) WHERE d.i < c.m
+  GROUP BY ALL
+),
+{P}_bags AS (SELECT {', '.join('u.' + a for a in axis)}, {', '.join('u.' + k for k in key)}, d.bag, d.w
+  FROM {P}_dpos d JOIN {P}_upos u ON d.pos = u.pos AND {' AND '.join(f'd.{a} = u.{a}' for a in axis)}),
+{P}_bagged AS (
+  SELECT {', '.join('p.' + a for a in axis)}, CAST(b.i AS INTEGER) AS bag, 1 AS y, 1 AS w, {', '.join('p.' + f for f in features)}
+  FROM {P}_p p, range(0, {T}) b(i)
+  UNION ALL
+  SELECT {', '.join('u.' + a for a in axis)}, bg.bag, 0 AS y, bg.w, {', '.join('u.' + f for f in features)}
+  FROM {P}_bags bg JOIN {P}_u u ON {' AND '.join(f'bg.{k} = u.{k}' for k in key + axis)}
+),
+{gnb_model_ctes(P, features, P + '_rows', P + '_bagged', axis)}"""
