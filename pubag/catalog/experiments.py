@@ -187,3 +187,60 @@ SQL["ex5_hidden_label_recovery"] = with_sql(
     f"""SELECT model, {Q.r6('avg((tp + tn) / (tp + fp + tn + fn))')} AS accuracy,
  {Q.r6('avg(tp / nullif(tp + fn, 0))')} AS recall,
  {Q.r6('avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0))')} AS f1 FROM ev5 GROUP BY model""")
+
+# EX13: training table for the contribution plots
+_EX13 = f"""sc13 AS (SELECT *, f4 / nullif(f1, 0) AS s FROM pu_docs WHERE y = 0),
+ps13 AS (SELECT doc_id, 1 AS y, f7 FROM sc13 WHERE s > 0.02 ORDER BY {Q.hk(SEED, 'pseudo', _DK)}, doc_id LIMIT 50),
+p13 AS (SELECT doc_id, 1 AS y, f7 FROM pu_docs WHERE y = 1 UNION ALL SELECT * FROM ps13),
+n13 AS (SELECT doc_id, 0 AS y, f7 FROM sc13 WHERE s <= 0.02 ORDER BY {Q.hk(SEED, 'neg', _DK)}, doc_id
+  LIMIT (SELECT count(*) FROM p13)),
+t13 AS (SELECT doc_id, y, coalesce(f7, 0.0) AS f7 FROM p13 UNION ALL SELECT doc_id, y, coalesce(f7, 0.0) FROM n13)"""
+SQL["ex13_training_table_for_explain"] = with_sql([Q.PU_DOCS, _EX13], f"""SELECT doc_id, y,
+ row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', _DK)}, doc_id) <= round(count(*) OVER (PARTITION BY y) * 0.2)
+ AS is_test, {Q.r6('f7')} AS f7 FROM t13""")
+
+# EX2 / EX3: leave one group out with matched negatives
+_LOGO = f"""m2 AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY grp ORDER BY {Q.hk(SEED, 'matched', _DK)}, doc_id) AS rn
+  FROM pu_docs d WHERE y = 0) z JOIN (SELECT grp, count(*) AS n FROM pu_docs WHERE y = 1 GROUP BY grp) c USING (grp)
+  WHERE rn <= n),
+b2 AS (SELECT doc_id, grp, y, {_F} FROM pu_docs WHERE y = 1 UNION ALL SELECT doc_id, grp, y, {_F} FROM m2),
+g2 AS (SELECT DISTINCT grp AS fold FROM b2),
+tr2 AS (SELECT g.fold, b.doc_id, b.y, {', '.join('b.' + f for f in FEATS)} FROM b2 b JOIN g2 g ON b.grp <> g.fold),
+te2 AS (SELECT g.fold, b.doc_id, b.y AS y_true, {', '.join('b.' + f for f in FEATS)} FROM b2 b JOIN g2 g ON b.grp = g.fold)"""
+
+
+def _logo_sql(model_ctes: str, mprefix: str) -> str:
+    pred = f"""pr2 AS (SELECT r.fold, r.doc_id, any_value(r.y_true) AS y_true, avg({Q.gnb_p1(FEATS)}) AS p1
+  FROM te2 r JOIN {mprefix}_model m ON m.fold = r.fold GROUP BY r.fold, r.doc_id)"""
+    return with_sql([Q.PU_DOCS, _LOGO, model_ctes, pred, Q.auc_ctes("a2", "pr2", ["fold"])],
+                    f"""SELECT a.fold, {Q.r6('a.auc')} AS auc, {Q.r6('t.tpr')} AS tpr FROM a2 a JOIN
+ (SELECT fold, avg(CASE WHEN p1 > 1.0 - p1 THEN 1.0 ELSE 0.0 END) AS tpr FROM pr2 WHERE y_true = 1 GROUP BY fold) t
+ USING (fold)""")
+
+
+SQL["ex2_group_holdout_plain"] = _logo_sql(Q.gnb_plain_ctes("tr2", K, FEATS, axis=["fold"]), "gp")
+SQL["ex3_group_holdout_pu"] = _logo_sql(Q.pu_axis_ctes("h3", "tr2", ["fold"], K, FEATS, SEED, 10, "n_u"), "h3")
+
+# EX4: repeats of matched negatives + hold-out, plain vs PU
+_EX4 = f"""rp4 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 3) t(i)),
+x4 AS (SELECT r.repeat, d.doc_id, d.grp, d.y, {', '.join('d.' + f for f in FEATS)} FROM pu_docs d, rp4 r),
+m4 AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY x.repeat, x.grp ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('matched'), Q.vc('x.repeat'), Q.vc('x.doc_id')))}, x.doc_id) AS rn FROM x4 x WHERE y = 0) z
+  JOIN (SELECT repeat, grp, count(*) AS n FROM x4 WHERE y = 1 GROUP BY repeat, grp) c USING (repeat, grp) WHERE rn <= n),
+b4 AS (SELECT repeat, doc_id, y, {_F} FROM x4 WHERE y = 1 UNION ALL SELECT repeat, doc_id, y, {_F} FROM m4),
+t4 AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY b.repeat, b.y ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('holdout'), Q.vc('b.repeat'), Q.vc('b.doc_id')))}, b.doc_id) AS rn FROM b4 b) WHERE rn <= 15),
+tr4 AS (SELECT b.* FROM b4 b WHERE NOT EXISTS (SELECT 1 FROM t4 t WHERE t.repeat = b.repeat AND t.doc_id = b.doc_id))"""
+_EX4_PRED = f"""pr4 AS (
+  SELECT 'mod' AS model, r.repeat, r.doc_id, any_value(r.y) AS y_true, avg({Q.gnb_p1(FEATS)}) AS p1
+  FROM t4 r JOIN gp_model m ON m.repeat = r.repeat GROUP BY r.repeat, r.doc_id
+  UNION ALL
+  SELECT 'pu', r.repeat, r.doc_id, any_value(r.y), avg({Q.gnb_p1(FEATS)})
+  FROM t4 r JOIN h4_model m ON m.repeat = r.repeat GROUP BY r.repeat, r.doc_id)"""
+SQL["ex4_repeat_eval"] = with_sql(
+    [Q.PU_DOCS, _EX4, Q.gnb_plain_ctes("tr4", K, FEATS, axis=["repeat"]),
+     Q.pu_axis_ctes("h4", "tr4", ["repeat"], K, FEATS, SEED, 10, "n_u"), _EX4_PRED,
+     Q.auc_ctes("a4", "pr4", ["repeat", "model"])],
+    f"""SELECT a.repeat, a.model, {Q.r6('t.tpr')} AS tpr, {Q.r6('a.auc')} AS auc FROM a4 a JOIN
+ (SELECT repeat, model, avg(CASE WHEN p1 > 1.0 - p1 THEN 1.0 ELSE 0.0 END) AS tpr FROM pr4 WHERE y_true = 1
+  GROUP BY repeat, model) t USING (repeat, model)""")

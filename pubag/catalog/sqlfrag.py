@@ -251,3 +251,14 @@ def pu_axis_ctes(P: str, train: str, axis: list[str], key: list[str], features:
   FROM {P}_bags bg JOIN {P}_u u ON {' AND '.join(f'bg.{k} = u.{k}' for k in key + axis)}
 ),
 {gnb_model_ctes(P, features, P + '_rows', P + '_bagged', axis)}"""
+
+
+def auc_ctes(name: str, src: str, by: list[str], y: str = "y_true", score: str = "p1") -> str:
+    """CTE {name}(by…, auc): trapezoid ROC area from score groups and descending running sums."""
+    b = ", ".join(by)
+    return f"""{name}_c AS (SELECT {b}, {score} AS score, sum(CASE WHEN {y} = 1 THEN 1 ELSE 0 END) AS pos,
+  sum(CASE WHEN {y} = 1 THEN 0 ELSE 1 END) AS neg FROM {src} WHERE {score} IS NOT NULL GROUP BY {b}, {score}),
+{name}_k AS (SELECT *, sum(pos) OVER w AS tp, sum(pos) OVER (PARTITION BY {b}) AS P, sum(neg) OVER (PARTITION BY {b}) AS N
+  FROM {name}_c WINDOW w AS (PARTITION BY {b} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{name} AS (SELECT {b}, sum(neg * (2 * tp - pos)) / nullif(2.0 * any_value(P) * any_value(N), 0) AS auc
+  FROM {name}_k GROUP BY {b})"""
