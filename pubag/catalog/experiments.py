@@ -244,3 +244,83 @@ SQL["ex4_repeat_eval"] = with_sql(
     f"""SELECT a.repeat, a.model, {Q.r6('t.tpr')} AS tpr, {Q.r6('a.auc')} AS auc FROM a4 a JOIN
  (SELECT repeat, model, avg(CASE WHEN p1 > 1.0 - p1 THEN 1.0 ELSE 0.0 END) AS tpr FROM pr4 WHERE y_true = 1
   GROUP BY repeat, model) t USING (repeat, model)""")
+
+# EX1: one plain model per feature on the matched hold-out
+_EX1 = f"""m1 AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY grp ORDER BY {Q.hk(SEED, 'matched', _DK)}, doc_id) AS rn
+  FROM pu_docs d WHERE y = 0) z JOIN (SELECT grp, count(*) AS n FROM pu_docs WHERE y = 1 GROUP BY grp) c USING (grp)
+  WHERE rn <= n),
+b1 AS (SELECT doc_id, y, {_F} FROM pu_docs WHERE y = 1 UNION ALL SELECT doc_id, y, {_F} FROM m1),
+te1 AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'holdout', _DK)}, doc_id) AS rn
+  FROM b1 b) WHERE rn <= 15),
+tr1 AS (SELECT * FROM b1 WHERE doc_id NOT IN (SELECT doc_id FROM te1)),
+ltr1 AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, doc_id, y, {f} AS x FROM tr1" for f in FEATS)}),
+lte1 AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, doc_id, y AS y_true, {f} AS x FROM te1" for f in FEATS)})"""
+_EX1_PRED = f"""pr1 AS (SELECT r.feature, r.doc_id, r.y_true, {Q.gnb_p1(['x'])} AS p1
+  FROM lte1 r JOIN gp_model m ON m.feature = r.feature)"""
+SQL["ex1_single_feature_eval"] = with_sql(
+    [Q.PU_DOCS, _EX1, Q.gnb_plain_ctes("ltr1", K, ["x"], axis=["feature"]), _EX1_PRED, Q.auc_ctes("a1", "pr1", ["feature"])],
+    f"""SELECT a.feature, {Q.r6('a.auc')} AS auc, {Q.r6('t.tpr')} AS tpr FROM a1 a JOIN
+ (SELECT feature, avg(CASE WHEN p1 > 1.0 - p1 THEN 1.0 ELSE 0.0 END) AS tpr FROM pr1 WHERE y_true = 1 GROUP BY feature) t
+ USING (feature)""")
+
+
+def _ev_sql(pred: str, by: str) -> str:
+    return f"""SELECT {by},
+  sum(CASE WHEN y_true = 1 AND p1 > 1.0 - p1 THEN 1 ELSE 0 END) AS tp,
+  sum(CASE WHEN y_true = 0 AND p1 > 1.0 - p1 THEN 1 ELSE 0 END) AS fp,
+  sum(CASE WHEN y_true = 0 AND NOT p1 > 1.0 - p1 THEN 1 ELSE 0 END) AS tn,
+  sum(CASE WHEN y_true = 1 AND NOT p1 > 1.0 - p1 THEN 1 ELSE 0 END) AS fn FROM {pred} GROUP BY {by}"""
+
+
+_ACC = "(tp + tn) / (tp + fp + tn + fn)"
+_REC = "tp / nullif(tp + fn, 0)"
+_F1 = "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0)"
+
+# EX10: hide sweep on the stratified training part, metrics on the untouched test part
+_EX10_LEVELS = [0, 50, 100, 150, 200]
+_EX10 = f"""s10 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', _DK)}, doc_id)
+   <= round(count(*) OVER (PARTITION BY y) * 0.2) AS is_test FROM pu_docs),
+tr10 AS (SELECT doc_id, y, {_F} FROM s10 WHERE NOT is_test),
+te10 AS (SELECT doc_id, y AS y_true, {_F} FROM s10 WHERE is_test),
+np10 AS (SELECT count(*) AS n FROM tr10 WHERE y = 1),
+lv10 AS (SELECT CAST(least(v, (SELECT n FROM np10)) AS INTEGER) AS level FROM (SELECT unnest([{', '.join(map(str, _EX10_LEVELS))}]) AS v)),
+rk10 AS (SELECT doc_id, row_number() OVER (ORDER BY {Q.hk(SEED, 'hide', _DK)}, doc_id) AS rk FROM tr10 WHERE y = 1),
+sw10 AS (SELECT l.level, t.doc_id, CAST(CASE WHEN r.rk IS NOT NULL AND r.rk <= l.level THEN 0 ELSE t.y END AS INTEGER) AS y,
+  {', '.join('t.' + f for f in FEATS)} FROM tr10 t LEFT JOIN rk10 r ON t.doc_id = r.doc_id, lv10 l),
+ev10 AS (SELECT l.level, t.* FROM te10 t, lv10 l),
+pr10 AS (
+  SELECT 'mod' AS model, r.level, r.doc_id, any_value(r.y_true) AS y_true, avg({Q.gnb_p1(FEATS)}) AS p1
+  FROM ev10 r JOIN gp_model m ON m.level = r.level GROUP BY r.level, r.doc_id
+  UNION ALL
+  SELECT 'pu', r.level, r.doc_id, any_value(r.y_true), avg({Q.gnb_p1(FEATS)})
+  FROM ev10 r JOIN h10_model m ON m.level = r.level GROUP BY r.level, r.doc_id)"""
+SQL["ex10_hide_sweep_eval"] = with_sql(
+    [Q.PU_DOCS, _EX10[:_EX10.index(",\npr10 AS")], Q.gnb_plain_ctes("sw10", K, FEATS, axis=["level"]),
+     Q.pu_axis_ctes("h10", "sw10", ["level"], K, FEATS, SEED, 30, "100"), _EX10[_EX10.index("pr10 AS"):],
+     f"e10 AS ({_ev_sql('pr10', 'level, model')})"],
+    f"SELECT level, model, {Q.r6(_F1)} AS f1, {Q.r6(_ACC)} AS accuracy, {Q.r6(_REC)} AS recall FROM e10")
+
+# EX6: feature ablation (f7 with nulls -> 0 as the new feature)
+_F7 = FEATS + ["f7"]
+_EX6 = f"""d6 AS (SELECT doc_id, y, {_F}, coalesce(f7, 0.0) AS f7 FROM pu_docs),
+rp6 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 3) t(i)),
+x6 AS (SELECT r.repeat, d.* FROM d6 d, rp6 r),
+n6 AS (SELECT repeat, count(*) AS n FROM x6 WHERE y = 1 GROUP BY repeat),
+ng6 AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY x.repeat ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('balanced'), Q.vc('x.repeat'), Q.vc('x.doc_id')))}, x.doc_id) AS rn FROM x6 x WHERE y = 0) z
+  JOIN n6 USING (repeat) WHERE rn <= n),
+b6 AS (SELECT repeat, doc_id, y, {', '.join(_F7)} FROM x6 WHERE y = 1 UNION ALL SELECT repeat, doc_id, y, {', '.join(_F7)} FROM ng6),
+t6 AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY b.repeat, b.y ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('holdout'), Q.vc('b.repeat'), Q.vc('b.doc_id')))}, b.doc_id) AS rn FROM b6 b) WHERE rn <= 15),
+tr6 AS (SELECT b.* FROM b6 b WHERE NOT EXISTS (SELECT 1 FROM t6 t WHERE t.repeat = b.repeat AND t.doc_id = b.doc_id)),
+te6 AS (SELECT repeat, doc_id, y AS y_true, {', '.join(_F7)} FROM t6)"""
+_EX6_PRED = "pr6 AS (" + " UNION ALL ".join(
+    f"SELECT '{v}' AS variant, r.repeat, r.doc_id, any_value(r.y_true) AS y_true, avg({Q.gnb_p1(fs)}) AS p1 "
+    f"FROM te6 r JOIN {pfx}_model m ON m.repeat = r.repeat GROUP BY r.repeat, r.doc_id"
+    for v, fs, pfx in (("F1_mod", ["f7"], "v1"), ("F6_mod", FEATS, "v6"), ("F7_mod", _F7, "v7"), ("F7_pu", _F7, "h6"))) + ")"
+SQL["ex6_feature_ablation"] = with_sql(
+    [Q.PU_DOCS, _EX6, Q.gnb_plain_ctes("tr6", K, ["f7"], "v1", axis=["repeat"]),
+     Q.gnb_plain_ctes("tr6", K, FEATS, "v6", axis=["repeat"]), Q.gnb_plain_ctes("tr6", K, _F7, "v7", axis=["repeat"]),
+     Q.pu_axis_ctes("h6", "tr6", ["repeat"], K, _F7, SEED, 10, "n_u"), _EX6_PRED,
+     f"e6 AS ({_ev_sql('pr6', 'variant, repeat')})"],
+    f"SELECT variant, {Q.r6(f'avg({_REC})')} AS tpr, {Q.r6(f'avg({_F1})')} AS f1 FROM e6 GROUP BY variant")
