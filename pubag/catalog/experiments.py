@@ -324,3 +324,27 @@ SQL["ex6_feature_ablation"] = with_sql(
      Q.pu_axis_ctes("h6", "tr6", ["repeat"], K, _F7, SEED, 10, "n_u"), _EX6_PRED,
      f"e6 AS ({_ev_sql('pr6', 'variant, repeat')})"],
     f"SELECT variant, {Q.r6(f'avg({_REC})')} AS tpr, {Q.r6(f'avg({_F1})')} AS f1 FROM e6 GROUP BY variant")
+
+# EX11: external validation set
+_EX11 = f"""tp11 AS (SELECT * FROM pu_docs WHERE grp = 'en' AND y = 1),
+po11 AS (SELECT * FROM pu_docs WHERE doc_id NOT IN (SELECT doc_id FROM tp11)),
+tn11 AS (SELECT * FROM po11 WHERE y = 0 ORDER BY {Q.hk(SEED, 'exttest', _DK)}, doc_id LIMIT (SELECT count(*) FROM tp11)),
+te11 AS (SELECT doc_id, y AS y_true, {_F} FROM tp11 UNION ALL SELECT doc_id, y, {_F} FROM tn11),
+pl11 AS (SELECT * FROM po11 WHERE doc_id NOT IN (SELECT doc_id FROM tn11)),
+nc11 AS (SELECT min(c) AS n FROM (SELECT y, count(*) AS c FROM pl11 GROUP BY y)),
+rp11 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 3) t(i)),
+tr11 AS (SELECT repeat, doc_id, y, {_F} FROM (SELECT r.repeat, p.*, row_number() OVER (PARTITION BY r.repeat, p.y ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('ext'), Q.vc('r.repeat'), Q.vc('p.doc_id')))}, p.doc_id) AS rn FROM pl11 p, rp11 r)
+  WHERE rn <= (SELECT n FROM nc11)),
+ev11 AS (SELECT r.repeat, t.* FROM te11 t, rp11 r)"""
+_EX11_PRED = f"""pr11 AS (
+  SELECT 'mod' AS model, r.repeat, r.doc_id, any_value(r.y_true) AS y_true, avg({Q.gnb_p1(FEATS)}) AS p1
+  FROM ev11 r JOIN gp_model m ON m.repeat = r.repeat GROUP BY r.repeat, r.doc_id
+  UNION ALL
+  SELECT 'pu', r.repeat, r.doc_id, any_value(r.y_true), avg({Q.gnb_p1(FEATS)})
+  FROM ev11 r JOIN h11_model m ON m.repeat = r.repeat GROUP BY r.repeat, r.doc_id)"""
+SQL["ex11_external_validation"] = with_sql(
+    [Q.PU_DOCS, _EX11, Q.gnb_plain_ctes("tr11", K, FEATS, axis=["repeat"]),
+     Q.pu_axis_ctes("h11", "tr11", ["repeat"], K, FEATS, SEED, 30, "100"), _EX11_PRED,
+     f"e11 AS ({_ev_sql('pr11', 'repeat, model')})", Q.auc_ctes("a11", "pr11", ["repeat", "model"])],
+    f"SELECT e.repeat, e.model, {Q.r6(_F1)} AS f1, {Q.r6('a.auc')} AS auc FROM e11 e JOIN a11 a USING (repeat, model)")
