@@ -348,3 +348,13 @@ SQL["ex11_external_validation"] = with_sql(
      Q.pu_axis_ctes("h11", "tr11", ["repeat"], K, FEATS, SEED, 30, "100"), _EX11_PRED,
      f"e11 AS ({_ev_sql('pr11', 'repeat, model')})", Q.auc_ctes("a11", "pr11", ["repeat", "model"])],
     f"SELECT e.repeat, e.model, {Q.r6(_F1)} AS f1, {Q.r6('a.auc')} AS auc FROM e11 e JOIN a11 a USING (repeat, model)")
+
+
+def ex12_nested_grid_search(spark, sf):
+    """EX12 / SO3: outer 5-fold x 48 candidates x inner 3-fold, all in one histogram-tree job."""
+    r = J.nested_grid_search_tree(pu_docs(spark, sf), FEATS, K, SEED, outer_k=5, inner_k=3)
+    return r.select("outer_fold", "cand_id", "num_leaves", "min_child_samples", r6("auc_hard").alias("auc_hard"))
+
+
+QUERIES["ex12_nested_grid_search"] = ex12_nested_grid_search
+QUERIES["so3_best_candidate"] = ex12_nested_grid_search

@@ -43,7 +43,9 @@ class DecisionTree:
 
     # -- training ----------------------------------------------------------------
     def fit(self, bagged: DataFrame, rows: DataFrame, features: list[str], axis: list[str], label: str = "y",
-            fbags: list[list[int]] | None = None, first_bag: int = 0) -> DataFrame:
+            fbags: list[list[int]] | None = None, first_bag: int = 0, axis_params: DataFrame | None = None) -> DataFrame:
+        """``axis_params`` (axis…, max_depth, min_leaf, allowed array<int>) gives every axis value its
+        own depth cap, minimum leaf weight and candidate features (a hyper-parameter grid as an axis)."""
         from pubag.plans.jobs import _cut
 
         d = len(features)
@@ -58,6 +60,11 @@ class DecisionTree:
         cur = bagged.select(*axis, "bag", F.col(label).cast("double").alias("_y"), F.col("w").cast("double").alias("_w"),
                             bins.alias("_bins"), F.lit(1).alias("node"))
         cur = _cut(cur)
+        if axis_params is not None:
+            # one row per axis value (the grid): small, broadcast
+            ap = F.broadcast(axis_params.select(*axis, F.col("max_depth").alias("_cap"),
+                                                F.col("min_leaf").cast("double").alias("_minleaf"),
+                                                F.col("allowed").alias("_allowed")))
         allowed = None
         if fbags is not None and any(sorted(set(fb)) != list(range(d)) for fb in fbags):
             allowed = F.element_at(F.array(*[F.array(*[F.lit(int(j)) for j in sorted(set(fb))]) for fb in fbags]),
@@ -72,8 +79,12 @@ class DecisionTree:
             ex = cur.select(*axis, "bag", "node", "_w", "_y", F.posexplode("_bins").alias("feat", "bin"))
             if allowed is not None:
                 ex = ex.filter(F.array_contains(allowed, F.col("feat")))
-            hist = ex.groupBy(*axis, "bag", "node", "feat", "bin").agg(
-                F.sum("_w").alias("hw"), F.sum(F.col("_w") * F.col("_y")).alias("hwy"))
+            if axis_params is not None:
+                ex = ex.join(ap, axis).filter((F.col("_cap") > depth) & F.array_contains("_allowed", F.col("feat"))).drop(
+                    "_cap", "_allowed")
+            minleaf = F.col("_minleaf") if axis_params is not None else F.lit(self.min_weight_leaf)
+            gcols = [*axis, "bag", "node", "feat", "bin"] + (["_minleaf"] if axis_params is not None else [])
+            hist = ex.groupBy(*gcols).agg(F.sum("_w").alias("hw"), F.sum(F.col("_w") * F.col("_y")).alias("hwy"))
             wcum = Window.partitionBy(*axis, "bag", "node", "feat").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
             hist = hist.withColumn("lw", F.sum("hw").over(wcum)).withColumn("lwy", F.sum("hwy").over(wcum))
             hist = hist.join(tot, [*axis, "bag", "node"])
@@ -82,7 +93,7 @@ class DecisionTree:
             imp_l = F.col("lwy") * (F.col("lw") - F.col("lwy")) / F.col("lw")
             imp_r = rwy * (rw - rwy) / rw
             parent = F.col("WY") * (F.col("W") - F.col("WY")) / F.col("W")
-            cand = hist.filter((F.col("lw") >= self.min_weight_leaf) & (rw >= self.min_weight_leaf)).withColumn(
+            cand = hist.filter((F.col("lw") >= minleaf) & (rw >= minleaf)).withColumn(
                 "gain", parent - imp_l - imp_r)
             wbest = Window.partitionBy(*axis, "bag", "node").orderBy(F.col("gain").desc(), "feat", "bin")
             best = cand.withColumn("_rk", F.row_number().over(wbest)).filter(

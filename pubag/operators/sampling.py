@@ -283,6 +283,13 @@ def subsample_members(u_rows: DataFrame, key, n_bags: int, m: int, seed, axis=()
     return picked.withColumn("w", F.lit(1))
 
 
+def feature_bag_hash(*parts) -> int:
+    """Driver-side h(...) for small parameter tables (same text and bits as the column hash)."""
+    import hashlib
+
+    return int(hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()[:15], 16)
+
+
 def feature_bag(n_features: int, k: int, n_bags: int, seed, replace: bool = False, first_bag: int = 0) -> list[list[int]]:
     """SA9: per bag, k of d feature indices (driver-side table of T x k ints).
 
