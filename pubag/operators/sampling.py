@@ -67,6 +67,35 @@ def _cut_table(d: DataFrame, parts: list[str], n, bits: int) -> DataFrame:
     return cut.unionByName(short)
 
 
+# Copies re-emitted per task when a collapsed group of identical rows is expanded.
+COPY_CHUNK = 1 << 16
+_C, _H2 = "_c", "_h2"
+
+
+def _collapse(d: DataFrame) -> DataFrame:
+    """Identical rows -> one row with multiplicity ``_c`` (a hot group of copies becomes one row);
+    ``_h2`` (content hash) orders distinct rows that share a key."""
+    cols = d.columns
+    g = d.groupBy(*cols).agg(F.count(F.lit(1)).alias(_C))
+    return g.withColumn(_H2, F.xxhash64(*[F.col(c) for c in cols if not c.startswith("_")]))
+
+
+def _expand(g: DataFrame, count: str, start: str, out: str, group_cols: list[str]) -> DataFrame:
+    """Emit ``count`` copies of each row with ``out`` = start, start+1, …; a large group is cut
+    into chunks that are spread over tasks before the copies are generated."""
+    spark = g.sparkSession
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    ck = F.col("_ck")
+    g = g.withColumn("_ck", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                 F.floor((F.col(count) - 1) / F.lit(COPY_CHUNK)).cast("bigint"))))
+    # explicit partition count: AQE keeps it, so chunks of one hot group land on different tasks
+    g = g.repartition(nparts, "_ck", *group_cols)
+    lo = ck * F.lit(COPY_CHUNK)
+    hi = F.least(lo + F.lit(COPY_CHUNK), F.col(count)) - 1
+    g = g.withColumn("_i", F.explode(F.sequence(lo, hi)))
+    return g.withColumn(out, (F.col(start) + F.col("_i")).cast("bigint")).drop("_ck", "_i")
+
+
 def first_n(df: DataFrame, n, key, seed, tag: str = "sample", parts=(), bits: int = DEFAULT_BITS,
             extra: tuple = ()) -> DataFrame:
     """Exactly min(n, rows) rows per partition value: the first in (h, key) order.
@@ -85,9 +114,15 @@ def first_n(df: DataFrame, n, key, seed, tag: str = "sample", parts=(), bits: in
         j = d.withColumn("_bcut", F.lit(int(row["_bcut"])).cast("bigint")).withColumn(
             "_rem", F.lit(int(row["_rem"])).cast("bigint"))
     whole = j.filter(F.col(_B) < F.col("_bcut"))
-    edge = j.filter(F.col(_B) == F.col("_bcut"))
-    wr = Window.partitionBy(*parts, _B).orderBy(*_order(key))
-    edge = edge.withColumn("_rn", F.row_number().over(wr)).filter(F.col("_rn") <= F.col("_rem")).drop("_rn")
+    # inside the cut bucket: copies collapsed, running count in (h, key, content) order, then the
+    # needed number of copies re-emitted (a hot group never sits in one window task)
+    edge = _collapse(j.filter(F.col(_B) == F.col("_bcut")))
+    wr = Window.partitionBy(*parts, _B).orderBy(*_order(key), F.col(_H2)).rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("_cum", F.sum(_C).over(wr)).withColumn("_prevc", F.col("_cum") - F.col(_C))
+    edge = edge.filter(F.col("_prevc") < F.col("_rem")).withColumn(
+        "_take", F.least(F.col(_C), F.col("_rem") - F.col("_prevc"))).withColumn("_zero", F.lit(0).cast("bigint"))
+    edge = _expand(edge, "_take", "_zero", "_k", [*parts, _H, _H2]).drop(
+        "_k", "_zero", "_take", "_cum", "_prevc", _C, _H2)
     return whole.unionByName(edge).drop(_H, _B, "_bcut", "_rem")
 
 
@@ -105,11 +140,11 @@ def dense_position(df: DataFrame, key, seed, tag: str = "pos", parts=(), bits: i
     offs = hist.withColumn("_off", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
     # bounded by (partition values x 2**bits); the bucket count is chosen so this stays small
     d = d.join(F.broadcast(offs.select(*parts, _B, "_off")), parts + [_B])
-    wr = Window.partitionBy(*parts, _B).orderBy(*_order(key))
-    return (
-        d.withColumn(name, (F.col("_off") + F.row_number().over(wr) - 1).cast("bigint"))
-        .drop(_H, _B, "_off")
-    )
+    # copies collapsed before the window; each gets its own consecutive position when re-emitted
+    g = _collapse(d)
+    wr = Window.partitionBy(*parts, _B).orderBy(*_order(key), F.col(_H2)).rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("_start", F.col("_off") + F.sum(_C).over(wr) - F.col(_C))
+    return _expand(g, _C, "_start", name, [*parts, _H, _H2]).drop(_H, _B, "_off", "_start", _C, _H2)
 
 
 def rank_in(df: DataFrame, key, seed, tag: str, parts=(), bits: int = DEFAULT_BITS, name: str = "rank",
