@@ -55,20 +55,24 @@ def _cut_table(d: DataFrame, parts: list[str], n, bits: int) -> DataFrame:
     # the cut bucket: first bucket whose running total reaches n
     cut = (
         hist.filter((F.col("_prev") < F.col("_n")) & (F.col("_cum") >= F.col("_n")))
-        .select(*parts, F.col(_B).alias("_bcut"), (F.col("_n") - F.col("_prev")).alias("_rem"))
+        .select(*parts, F.col(_B).alias("_bcut"), (F.col("_n") - F.col("_prev")).alias("_rem"),
+                F.col("_c").alias("_bc"))
     )
     # partitions whose total is below n keep everything (callers that need
     # "n > rows is an error" validate with check_sample_size)
     short = (
         hist.groupBy(*parts).agg(F.max("_cum").alias("_tot"), F.first("_n").alias("_n"))
         .filter(F.col("_tot") < F.col("_n"))
-        .select(*parts, F.lit(full).cast("bigint").alias("_bcut"), F.lit(0).cast("bigint").alias("_rem"))
+        .select(*parts, F.lit(full).cast("bigint").alias("_bcut"), F.lit(0).cast("bigint").alias("_rem"),
+                F.lit(0).cast("bigint").alias("_bc"))
     )
     return cut.unionByName(short)
 
 
-# Copies re-emitted per task when a collapsed group of identical rows is expanded.
+# Copies re-emitted per task when a collapsed group of identical rows is expanded,
+# and the bucket size above which a bucket takes that path instead of one window task.
 COPY_CHUNK = 1 << 16
+HOT_BUCKET_ROWS = 1 << 21
 _C, _H2 = "_c", "_h2"
 
 
@@ -112,18 +116,23 @@ def first_n(df: DataFrame, n, key, seed, tag: str = "sample", parts=(), bits: in
         # a single cut: two numbers read back to the driver
         row = cut.first()
         j = d.withColumn("_bcut", F.lit(int(row["_bcut"])).cast("bigint")).withColumn(
-            "_rem", F.lit(int(row["_rem"])).cast("bigint"))
+            "_rem", F.lit(int(row["_rem"])).cast("bigint")).withColumn("_bc", F.lit(int(row["_bc"])).cast("bigint"))
     whole = j.filter(F.col(_B) < F.col("_bcut"))
-    # inside the cut bucket: copies collapsed, running count in (h, key, content) order, then the
-    # needed number of copies re-emitted (a hot group never sits in one window task)
-    edge = _collapse(j.filter(F.col(_B) == F.col("_bcut")))
-    wr = Window.partitionBy(*parts, _B).orderBy(*_order(key), F.col(_H2)).rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("_cum", F.sum(_C).over(wr)).withColumn("_prevc", F.col("_cum") - F.col(_C))
-    edge = edge.filter(F.col("_prevc") < F.col("_rem")).withColumn(
+    edge_all = j.filter(F.col(_B) == F.col("_bcut"))
+    # a normal cut bucket: row_number inside it
+    wr = Window.partitionBy(*parts, _B).orderBy(*_order(key))
+    edge = edge_all.filter(F.col("_bc") <= HOT_BUCKET_ROWS)
+    edge = edge.withColumn("_rn", F.row_number().over(wr)).filter(F.col("_rn") <= F.col("_rem")).drop("_rn")
+    # a hot cut bucket (a group of copies): copies collapsed, running count in (h, key, content)
+    # order, the needed number of copies re-emitted in chunks over many tasks
+    hot = _collapse(edge_all.filter(F.col("_bc") > HOT_BUCKET_ROWS))
+    wc = Window.partitionBy(*parts, _B).orderBy(*_order(key), F.col(_H2)).rowsBetween(Window.unboundedPreceding, 0)
+    hot = hot.withColumn("_cum", F.sum(_C).over(wc)).withColumn("_prevc", F.col("_cum") - F.col(_C))
+    hot = hot.filter(F.col("_prevc") < F.col("_rem")).withColumn(
         "_take", F.least(F.col(_C), F.col("_rem") - F.col("_prevc"))).withColumn("_zero", F.lit(0).cast("bigint"))
-    edge = _expand(edge, "_take", "_zero", "_k", [*parts, _H, _H2]).drop(
+    hot = _expand(hot, "_take", "_zero", "_k", [*parts, _H, _H2]).drop(
         "_k", "_zero", "_take", "_cum", "_prevc", _C, _H2)
-    return whole.unionByName(edge).drop(_H, _B, "_bcut", "_rem")
+    return whole.unionByName(edge).unionByName(hot).drop(_H, _B, "_bcut", "_rem", "_bc")
 
 
 def dense_position(df: DataFrame, key, seed, tag: str = "pos", parts=(), bits: int = DEFAULT_BITS,
@@ -139,12 +148,18 @@ def dense_position(df: DataFrame, key, seed, tag: str = "pos", parts=(), bits: i
     w = Window.partitionBy(*parts).orderBy(_B) if parts else Window.orderBy(_B)
     offs = hist.withColumn("_off", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
     # bounded by (partition values x 2**bits); the bucket count is chosen so this stays small
-    d = d.join(F.broadcast(offs.select(*parts, _B, "_off")), parts + [_B])
-    # copies collapsed before the window; each gets its own consecutive position when re-emitted
-    g = _collapse(d)
-    wr = Window.partitionBy(*parts, _B).orderBy(*_order(key), F.col(_H2)).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("_start", F.col("_off") + F.sum(_C).over(wr) - F.col(_C))
-    return _expand(g, _C, "_start", name, [*parts, _H, _H2]).drop(_H, _B, "_off", "_start", _C, _H2)
+    d = d.join(F.broadcast(offs.select(*parts, _B, "_off", F.col("_c").alias("_bc"))), parts + [_B])
+    # normal buckets: row_number inside each bucket
+    wr = Window.partitionBy(*parts, _B).orderBy(*_order(key))
+    normal = d.filter(F.col("_bc") <= HOT_BUCKET_ROWS)
+    normal = normal.withColumn(name, (F.col("_off") + F.row_number().over(wr) - 1).cast("bigint"))
+    # hot buckets (a group of copies): copies collapsed before the window, each copy gets its own
+    # consecutive position when re-emitted in chunks over many tasks
+    g = _collapse(d.filter(F.col("_bc") > HOT_BUCKET_ROWS))
+    wc = Window.partitionBy(*parts, _B).orderBy(*_order(key), F.col(_H2)).rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("_start", F.col("_off") + F.sum(_C).over(wc) - F.col(_C))
+    hot = _expand(g, _C, "_start", name, [*parts, _H, _H2]).drop("_start", _C, _H2)
+    return normal.unionByName(hot).drop(_H, _B, "_off", "_bc")
 
 
 def rank_in(df: DataFrame, key, seed, tag: str, parts=(), bits: int = DEFAULT_BITS, name: str = "rank",

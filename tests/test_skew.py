@@ -5,10 +5,15 @@ from pyspark.sql import functions as F
 from pubag.operators import sampling as S
 
 
-def test_hot_copies_sample_and_positions(spark):
+import pytest
+
+
+@pytest.mark.parametrize("hot_limit", [50, 120])
+def test_hot_copies_sample_and_positions(spark, hot_limit):
     import pubag.operators.sampling as SM
-    old = SM.COPY_CHUNK
+    old, old_hot = SM.COPY_CHUNK, SM.HOT_BUCKET_ROWS
     SM.COPY_CHUNK = 7  # force several chunks per hot group
+    SM.HOT_BUCKET_ROWS = hot_limit  # buckets above the limit take the hot path (mixed with normal ones)
     try:
         base = spark.range(300).select(F.col("id").alias("k"), F.lit("x").alias("v"))
         hot = spark.range(200).select(F.lit(1000).cast("bigint").alias("k"), F.lit("hot").alias("v"))
@@ -22,4 +27,4 @@ def test_hot_copies_sample_and_positions(spark):
         hot_pos = sorted(r[0] for r in p.filter("k = 1000").select("pos").collect())
         assert hot_pos == list(range(hot_pos[0], hot_pos[0] + 200))  # copies are consecutive
     finally:
-        SM.COPY_CHUNK = old
+        SM.COPY_CHUNK, SM.HOT_BUCKET_ROWS = old, old_hot
