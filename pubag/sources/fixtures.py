@@ -48,8 +48,50 @@ PUNCT = ".,;:!?"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def pu_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents LEFT JOIN labels; P = quality 1; features from the whole text."""
+def _fs_status(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, hp
+
+
+def _fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    import hashlib
+
+    parts = []
+    for p in paths:
+        fs, hp = _fs_status(spark, p)
+        for st in fs.listStatus(hp):
+            parts.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+    return hashlib.md5("|".join(sorted(parts)).encode()).hexdigest()[:16]
+
+
+def materialized(spark: SparkSession, name: str, inputs: list[str], build) -> DataFrame:
+    """Derived table written once as Parquet in the shared checkpoint folder and read back.
+
+    Keyed by the input files (path, size, modification time), so a changed input gives a new
+    table. Later jobs read the narrow, pruned table instead of recomputing it.
+    """
+    import os
+
+    from pubag.session import checkpoint_dir
+
+    path = os.path.join(checkpoint_dir(spark), "pubag-tables", f"{name}-{_fingerprint(spark, inputs)}")
+    fs, hp = _fs_status(spark, path + "/_SUCCESS")
+    if not fs.exists(hp):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def pu_docs(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """documents LEFT JOIN labels; P = quality 1; features from the whole text.
+
+    The text features are computed once (one pass over every whole text) and kept as a
+    feature table; ``materialize=False`` returns the lazy plan instead.
+    """
+    if materialize:
+        inputs = [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"]
+        return materialized(spark, "pu_docs", inputs, lambda: pu_docs(spark, sf_dir, materialize=False))
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     t = F.col("text")
