@@ -358,3 +358,49 @@ def ex12_nested_grid_search(spark, sf):
 
 QUERIES["ex12_nested_grid_search"] = ex12_nested_grid_search
 QUERIES["so3_best_candidate"] = ex12_nested_grid_search
+
+# EX9: reliability grid over OOB-score thresholds
+_TH = ", ".join(repr(float(t)) for t in EX9_THRESHOLDS)
+_EX9 = f"""s9 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', _DK)}, doc_id)
+   <= round(count(*) OVER (PARTITION BY y) * 0.2) AS is_test FROM pu_docs),
+tr9 AS (SELECT * FROM s9 WHERE NOT is_test),
+va9 AS (SELECT * FROM s9 WHERE is_test),
+{Q.gnb_oob("tr9", K, FEATS, SEED, 20, 50, prefix="o9")},
+sc9 AS (SELECT o.doc_id, o.oob_score AS score, {', '.join('t.' + f for f in FEATS)} FROM o9_oob o
+  JOIN tr9 t ON o.doc_id = t.doc_id WHERE o.y = 0),
+th9 AS (SELECT i - 1 AS i, th FROM (SELECT unnest([{_TH}]) AS th, generate_subscripts([{_TH}], 1) AS i)),
+rp9 AS (SELECT CAST(r AS INTEGER) AS repeat FROM range(0, 3) t(r)),
+ng9 AS (SELECT CAST(t.i AS INTEGER) AS i, r.repeat, s.doc_id, {', '.join('s.' + f for f in FEATS)}
+  FROM sc9 s JOIN th9 t ON s.score < t.th, rp9 r),
+ps9 AS (SELECT CAST(t.i AS INTEGER) AS j, r.repeat, s.doc_id, {', '.join('s.' + f for f in FEATS)}
+  FROM sc9 s JOIN th9 t ON s.score > t.th, rp9 r
+  UNION ALL SELECT CAST(t.i AS INTEGER), r.repeat, p.doc_id, {', '.join('p.' + f for f in FEATS)}
+  FROM tr9 p, th9 t, rp9 r WHERE p.y = 1),
+sz9 AS (SELECT a.i, b.j, a.repeat, least(a.nn, b.np) AS n FROM
+  (SELECT i, repeat, count(*) AS nn FROM ng9 GROUP BY i, repeat) a JOIN
+  (SELECT j, repeat, count(*) AS np FROM ps9 GROUP BY j, repeat) b ON a.repeat = b.repeat AND a.i <= b.j
+  WHERE least(a.nn, b.np) > 0),
+sel9 AS (
+  SELECT i, j, repeat, doc_id, 0 AS y, {_F} FROM (SELECT z.i, z.j, g.repeat, g.doc_id, z.n,
+      {', '.join('g.' + f for f in FEATS)}, row_number() OVER (PARTITION BY z.i, z.j, g.repeat ORDER BY
+      {Q.H(Q.ht(Q.q(SEED), Q.q('gneg'), Q.vc('z.i'), Q.vc('z.j'), Q.vc('g.repeat'), Q.vc('g.doc_id')))}, g.doc_id) AS rn
+    FROM ng9 g JOIN sz9 z ON g.i = z.i AND g.repeat = z.repeat) WHERE rn <= n
+  UNION ALL
+  SELECT i, j, repeat, doc_id, 1 AS y, {_F} FROM (SELECT z.i, z.j, g.repeat, g.doc_id, z.n,
+      {', '.join('g.' + f for f in FEATS)}, row_number() OVER (PARTITION BY z.i, z.j, g.repeat ORDER BY
+      {Q.H(Q.ht(Q.q(SEED), Q.q('gpos'), Q.vc('z.i'), Q.vc('z.j'), Q.vc('g.repeat'), Q.vc('g.doc_id')))}, g.doc_id) AS rn
+    FROM ps9 g JOIN sz9 z ON g.j = z.j AND g.repeat = z.repeat) WHERE rn <= n),
+{Q.pu_axis_ctes("h9", "sel9", ["i", "j", "repeat"], K, FEATS, SEED, 10, "n_u")},
+vp9 AS (SELECT doc_id, 1 AS y_true, {_F} FROM va9 WHERE y = 1),
+vb9 AS (SELECT doc_id, 0 AS y_true, {_F} FROM va9 WHERE y = 0 ORDER BY {Q.hk(SEED, 'bvalid', _DK)}, doc_id
+  LIMIT (SELECT count(*) FROM vp9)),
+vv9 AS (SELECT * FROM vp9 UNION ALL SELECT * FROM vb9),
+pr9 AS (SELECT m.i, m.j, m.repeat, r.doc_id, any_value(r.y_true) AS y_true, avg({Q.gnb_p1(FEATS)}) AS p1
+  FROM vv9 r, h9_model m GROUP BY m.i, m.j, m.repeat, r.doc_id),
+ev9 AS (SELECT i, j, repeat, avg(CASE WHEN y_true = 1 THEN (CASE WHEN p1 > 0.5 THEN 1.0 ELSE 0.0 END) END) AS tpr,
+  sum(CASE WHEN y_true = 1 AND p1 > 0.5 THEN 1 ELSE 0 END) AS tp,
+  sum(CASE WHEN y_true = 0 AND p1 > 0.5 THEN 1 ELSE 0 END) AS fp,
+  sum(CASE WHEN y_true = 1 AND NOT p1 > 0.5 THEN 1 ELSE 0 END) AS fn FROM pr9 GROUP BY i, j, repeat)"""
+SQL["ex9_reliability_grid"] = with_sql([Q.PU_DOCS, _EX9], f"""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+ {Q.r6('avg(tpr)')} AS tpr, {Q.r6('avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0))')} AS f1,
+ CAST(count(*) AS INTEGER) AS n FROM ev9 GROUP BY i, j""")
