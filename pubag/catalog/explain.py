@@ -68,3 +68,36 @@ SQL = {
         f"""SELECT feature, {Q.r6('avg(abs(phi))')} AS mean_abs_phi, {Q.r6('avg(phi)')} AS mean_phi,
  CAST(row_number() OVER (ORDER BY avg(abs(phi)) DESC, feature) AS INTEGER) AS rank FROM phi GROUP BY feature"""),
 }
+
+
+def _fc3_sql() -> str:
+    import math
+
+    d = len(FEATS)
+    dk = Q.vc("doc_id")
+    split = f"""s3 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', dk)}, doc_id)
+   <= round(count(*) OVER (PARTITION BY y) * 0.2) AS is_test FROM pu_docs),
+tr3 AS (SELECT * FROM s3 WHERE NOT is_test),
+te3 AS (SELECT * FROM s3 WHERE is_test)"""
+    fit = Q.gnb_fit_ctes("tr3", K, FEATS, SEED, 10, "SELECT count(*) FROM tr3 WHERE y = 1")
+    hyb = ", ".join(f"CASE WHEN (c.S >> {j}) & 1 = 1 THEN x.{f} ELSE z.{f} END AS {f}" for j, f in enumerate(FEATS))
+    weights = ", ".join(f"({k}, {math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)!r})"
+                        for k in range(d))
+    rest = f"""bg3 AS (SELECT * FROM tr3 ORDER BY {Q.hk(SEED, 'shap-bg', dk)}, doc_id LIMIT 100),
+ex3 AS (SELECT * FROM te3 ORDER BY {Q.hk(SEED, 'shap-x', dk)}, doc_id LIMIT 5),
+co3 AS (SELECT CAST(i AS INTEGER) AS S FROM range(0, {1 << d}) t(i)),
+hy3 AS (SELECT x.doc_id, c.S, z.doc_id AS bg_id, {hyb} FROM ex3 x, co3 c, bg3 z),
+pp3 AS (SELECT r.doc_id, r.S, r.bg_id, avg({Q.gnb_p1(FEATS)}) AS p FROM hy3 r, g_model m GROUP BY r.doc_id, r.S, r.bg_id),
+v3 AS (SELECT doc_id, S, avg(p) AS v FROM pp3 GROUP BY doc_id, S),
+w3 AS (SELECT * FROM (VALUES {weights}) t(k, w)),
+ft3 AS (SELECT * FROM (VALUES {', '.join(f"({j}, '{f}')" for j, f in enumerate(FEATS))}) t(j, feature)),
+ph3 AS (SELECT a.doc_id, f.feature, sum(w.w * (b.v - a.v)) AS phi
+  FROM v3 a JOIN ft3 f ON (a.S >> f.j) & 1 = 0
+  JOIN v3 b ON b.doc_id = a.doc_id AND b.S = a.S | (1 << f.j)
+  JOIN w3 w ON w.k = bit_count(a.S) GROUP BY a.doc_id, f.feature)"""
+    return with_sql([Q.PU_DOCS, split, fit, rest], f"""SELECT p.doc_id, p.feature, {Q.r6('p.phi')} AS phi,
+ {Q.r6('fx.v')} AS fx, {Q.r6('e.v')} AS ef FROM ph3 p JOIN v3 fx ON fx.doc_id = p.doc_id AND fx.S = {(1 << d) - 1}
+ JOIN v3 e ON e.doc_id = p.doc_id AND e.S = 0""")
+
+
+SQL["fc3_pu_contributions"] = _fc3_sql()

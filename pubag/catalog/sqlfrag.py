@@ -151,9 +151,7 @@ def gnb_fit_ctes(src: str, key: list[str], features: list[str], seed, T: int, m:
 {P}_upos AS (
   SELECT *, row_number() OVER (ORDER BY {hk(seed, 'pos', kt)}, {kcols}) - 1 AS pos FROM {P}_u
 ),
-{P}_draws AS (
-  SELECT CAST(i // {m} AS INTEGER) AS bag, i % {m} AS draw FROM range(0, {T * m}) t(i)
-),
+{_draws_sql(P, T, m)},
 {P}_dpos AS (
   SELECT bag, {H(ht(q(seed), q('boot'), vc('bag'), vc('draw')))} % (SELECT count(*) FROM {P}_u) AS pos,
          count(*) AS w
@@ -170,6 +168,17 @@ def gnb_fit_ctes(src: str, key: list[str], features: list[str], seed, T: int, m:
 {gnb_model_ctes(P, features, P + '_rows', P + '_bagged')}"""
 
 
+def _draws_sql(P: str, T: int, m) -> str:
+    """(bag, draw) pairs: m is an int, or SQL text for a data-dependent draw count."""
+    if isinstance(m, str):
+        return f"""{P}_draws AS (
+  SELECT CAST(b.i AS INTEGER) AS bag, d.i AS draw FROM range(0, {T}) b(i), range(0, ({m})) d(i)
+)"""
+    return f"""{P}_draws AS (
+  SELECT CAST(i // {m} AS INTEGER) AS bag, i % {m} AS draw FROM range(0, {T * m}) t(i)
+)"""
+
+
 def gnb_lj(features: list[str], c: int, row: str = "r", model: str = "m") -> str:
     """SQL expression: joint log-likelihood of class c (up to the shared constant)."""
     terms = " + ".join(
