@@ -344,3 +344,7 @@ SQL["jo7_threshold_grid"] = _w("""SELECT CAST(a.i AS INTEGER) AS i, CAST(b.i AS
  CAST(sum(CASE WHEN s.score > (b.i + 1) / 100.0 THEN 1 ELSE 0 END) AS BIGINT) AS n_pseudo
 FROM range(0, 9) a(i) JOIN range(0, 9) b(i) ON a.i <= b.i, (SELECT * FROM scored WHERE y = 0) s
 GROUP BY 1, 2""", [SCORED])
+
+# PR9: the assembled vector (nulls kept as NaN) as an array of doubles
+SQL["pr9_to_vector"] = _w("SELECT doc_id, [" + ", ".join(
+    f"CASE WHEN {c} IS NULL THEN 'NaN'::DOUBLE ELSE {Q.r6(c)} END" for c in F7) + "] AS features FROM pu_docs")
