@@ -42,23 +42,22 @@ def read_features(spark: SparkSession, path, schema: T.StructType | None = None,
 def read_manifest(spark: SparkSession, pos_list: str, neg_list: str) -> DataFrame:
     """IO2: two headerless one-column lists of files, paired by line number -> (group, role, file)."""
     def lines(path: str, role: str) -> DataFrame:
-        d = spark.read.text(path).filter(F.trim("value") != "")
-        d = d.select(F.trim("value").alias("file"), F.monotonically_increasing_id().alias("_i"))
-        # the lists are a handful of lines: order them once
-        from pyspark.sql import Window
-        return d.select("file", (F.row_number().over(Window.orderBy("_i")) - 1).alias("group_idx"),
-                        F.lit(role).alias("role"))
+        # a manifest is a handful of lines: read them in file order and number them
+        rows = [r["value"].strip() for r in spark.read.text(path).collect() if r["value"].strip()]
+        return spark.createDataFrame([(f, i, role) for i, f in enumerate(rows)], "file string, group_idx int, role string")
 
     return lines(pos_list, "pos").unionByName(lines(neg_list, "neg"))
 
 
 def read_groups(spark: SparkSession, manifest: DataFrame, schema: T.StructType, base_dir: str = "",
-                group_names: list[str] | None = None) -> DataFrame:
+                group_names: list[str] | None = None, fmt: str | None = None) -> DataFrame:
     """IO2 + SE1: every listed file in one scan; group and role from the file name."""
     files = [(r["file"], r["group_idx"], r["role"]) for r in manifest.collect()]  # manifest lines only
     paths = [os.path.join(base_dir, f) for f, _, _ in files]
-    df = read_features(spark, paths, schema)
-    df = df.withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    df = read_features(spark, paths, schema, fmt=fmt)
+    # the group file is the folder (or file) directly under base_dir that the row came from
+    rel = F.substring_index(F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + _re_escape(base_dir.rstrip("/")) + "/", ""), "/", 1)
+    df = df.withColumn("_file", rel)
     m = spark.createDataFrame([(os.path.basename(f), g, r) for f, g, r in files], "_file string, group_idx int, role string")
     out = df.join(F.broadcast(m), "_file").drop("_file")
     if group_names:
@@ -67,6 +66,11 @@ def read_groups(spark: SparkSession, manifest: DataFrame, schema: T.StructType,
     return out
 
 
+def _re_escape(s: str) -> str:
+    import re
+    return re.escape(s)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location (never machine-local on a cluster)."""
     return os.path.join(checkpoint_dir(spark), "pubag-out", f"{name}-{uuid.uuid4().hex[:12]}")
