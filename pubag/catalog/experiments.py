@@ -381,15 +381,15 @@ sz9 AS (SELECT a.i, b.j, a.repeat, least(a.nn, b.np) AS n FROM
   (SELECT j, repeat, count(*) AS np FROM ps9 GROUP BY j, repeat) b ON a.repeat = b.repeat AND a.i <= b.j
   WHERE least(a.nn, b.np) > 0),
 sel9 AS (
-  SELECT i, j, repeat, doc_id, 0 AS y, {_F} FROM (SELECT z.i, z.j, g.repeat, g.doc_id, z.n,
-      {', '.join('g.' + f for f in FEATS)}, row_number() OVER (PARTITION BY z.i, z.j, g.repeat ORDER BY
-      {Q.H(Q.ht(Q.q(SEED), Q.q('gneg'), Q.vc('z.i'), Q.vc('z.j'), Q.vc('g.repeat'), Q.vc('g.doc_id')))}, g.doc_id) AS rn
-    FROM ng9 g JOIN sz9 z ON g.i = z.i AND g.repeat = z.repeat) WHERE rn <= n
+  SELECT z.i, z.j, g.repeat, g.doc_id, 0 AS y, {', '.join('g.' + f for f in FEATS)} FROM (SELECT x.*, row_number() OVER (
+      PARTITION BY x.i, x.repeat ORDER BY
+      {Q.H(Q.ht(Q.q(SEED), Q.q('gneg'), Q.vc('x.i'), Q.vc('x.repeat'), Q.vc('x.doc_id')))}, x.doc_id) AS rn FROM ng9 x) g
+    JOIN sz9 z ON g.i = z.i AND g.repeat = z.repeat WHERE g.rn <= z.n
   UNION ALL
-  SELECT i, j, repeat, doc_id, 1 AS y, {_F} FROM (SELECT z.i, z.j, g.repeat, g.doc_id, z.n,
-      {', '.join('g.' + f for f in FEATS)}, row_number() OVER (PARTITION BY z.i, z.j, g.repeat ORDER BY
-      {Q.H(Q.ht(Q.q(SEED), Q.q('gpos'), Q.vc('z.i'), Q.vc('z.j'), Q.vc('g.repeat'), Q.vc('g.doc_id')))}, g.doc_id) AS rn
-    FROM ps9 g JOIN sz9 z ON g.j = z.j AND g.repeat = z.repeat) WHERE rn <= n),
+  SELECT z.i, z.j, g.repeat, g.doc_id, 1 AS y, {', '.join('g.' + f for f in FEATS)} FROM (SELECT x.*, row_number() OVER (
+      PARTITION BY x.j, x.repeat ORDER BY
+      {Q.H(Q.ht(Q.q(SEED), Q.q('gpos'), Q.vc('x.j'), Q.vc('x.repeat'), Q.vc('x.doc_id')))}, x.doc_id) AS rn FROM ps9 x) g
+    JOIN sz9 z ON g.j = z.j AND g.repeat = z.repeat WHERE g.rn <= z.n),
 {Q.pu_axis_ctes("h9", "sel9", ["i", "j", "repeat"], K, FEATS, SEED, 10, "n_u")},
 vp9 AS (SELECT doc_id, 1 AS y_true, {_F} FROM va9 WHERE y = 1),
 vb9 AS (SELECT doc_id, 0 AS y_true, {_F} FROM va9 WHERE y = 0 ORDER BY {Q.hk(SEED, 'bvalid', _DK)}, doc_id

@@ -164,20 +164,28 @@ def reliability_grid(scores: DataFrame, pos_train: DataFrame, pos_valid: DataFra
         "j", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.col(score) > F.element_at(tarr, j + 1))))
     posj = _union(pseudo.drop(score), pos_train.select(*key, *features).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))))
-    neg = _cut(S.repeats(neg.drop(score), repeats))
-    posj = _cut(S.repeats(posj, repeats))
+    # narrow replication per qualifying threshold and repeat (never materialized)
+    neg = S.repeats(neg.drop(score), repeats)
+    posj = S.repeats(posj, repeats)
     ncount = neg.groupBy("i", "repeat").agg(F.count(F.lit(1)).alias("nn"))
     pcount = posj.groupBy("j", "repeat").agg(F.count(F.lit(1)).alias("np"))
     # n per (cell, repeat): the fixed train_num, or the smaller side when not given
     sizes = ncount.join(pcount, "repeat").filter(F.col("i") <= F.col("j"))
     nexpr = F.least(F.col("nn"), F.col("np")) if train_num is None else F.lit(int(train_num))
     sizes = _cut(sizes.select("i", "j", "repeat", nexpr.cast("bigint").alias("n")).filter(F.col("n") > 0))
-    neg_c = neg.join(sizes.select("i", "j", "repeat"), ["i", "repeat"])
-    pos_c = posj.join(sizes.select("i", "j", "repeat"), ["j", "repeat"])
-    nsel = S.first_n(neg_c, sizes, key, seed, "gneg", parts=["i", "j", "repeat"],
-                     extra=(F.col("i"), F.col("j"), F.col("repeat")))
-    psel = S.first_n(pos_c, sizes, key, seed, "gpos", parts=["i", "j", "repeat"],
-                     extra=(F.col("i"), F.col("j"), F.col("repeat")))
+    # a cell's sample is a prefix of its threshold's hash order (nested samples): draw the longest
+    # prefix once per (threshold, repeat), rank it, and give each cell its own prefix; only the
+    # sampled rows are replicated to cells
+    nmax = sizes.groupBy("i", "repeat").agg(F.max("n").alias("n"))
+    pmax = sizes.groupBy("j", "repeat").agg(F.max("n").alias("n"))
+    nsel = S.first_n(neg, nmax, key, seed, "gneg", parts=["i", "repeat"], extra=(F.col("i"), F.col("repeat")))
+    psel = S.first_n(posj, pmax, key, seed, "gpos", parts=["j", "repeat"], extra=(F.col("j"), F.col("repeat")))
+    nsel = _cut(S.rank_in(nsel, key, seed, "gneg", parts=["i", "repeat"], extra=(F.col("i"), F.col("repeat")),
+                          name="_r"))
+    psel = _cut(S.rank_in(psel, key, seed, "gpos", parts=["j", "repeat"], extra=(F.col("j"), F.col("repeat")),
+                          name="_r"))
+    nsel = nsel.join(F.broadcast(sizes), ["i", "repeat"]).filter(F.col("_r") <= F.col("n")).drop("_r", "n")
+    psel = psel.join(F.broadcast(sizes), ["j", "repeat"]).filter(F.col("_r") <= F.col("n")).drop("_r", "n")
     train = _cut(_union(psel.withColumn("y", F.lit(1)), nsel.withColumn("y", F.lit(0))))
     axis = ["i", "j", "repeat"]
     model = PUBagging(learner=learner, n_estimators=n_estimators, max_samples=max_samples, seed=seed,
