@@ -167,3 +167,58 @@ FROM tot t LEFT JOIN best b USING (bag)""")
 
 
 SQL["bl2_decision_tree"] = _stump_sql()
+
+
+def _tree_oob_sql(depth: int = 3, nb: int = 32) -> str:
+    """Level-wise histogram trees for the 10 bags in SQL, then OOB traversal of the U rows."""
+    fit = Q.gnb_fit_ctes("pu_docs", _K, FEATS, SEED, 10, 100)
+    d = len(FEATS)
+    rng = ", ".join(f"min({f}) AS lo{j}, max({f}) AS hi{j}" for j, f in enumerate(FEATS))
+    wd = ", ".join(f"lo{j}, CASE WHEN hi{j} > lo{j} THEN (hi{j} - lo{j}) / {nb}.0 ELSE 1.0 END AS wd{j}"
+                   for j in range(d))
+
+    def bins(alias):
+        return ", ".join(
+            f"CASE WHEN {alias}.{f} IS NULL THEN -1 ELSE CAST(least(greatest(floor(({alias}.{f} - r.lo{j}) / r.wd{j}), 0), "
+            f"{nb - 1}) AS INTEGER) END AS b{j}" for j, f in enumerate(FEATS))
+
+    bsel = ", ".join(f"b{j}" for j in range(d))
+    ctes = [Q.PU_DOCS, fit, f"rng AS (SELECT {rng} FROM g_rows)", f"rng2 AS (SELECT {wd} FROM rng)",
+            f"cur0 AS (SELECT b.bag, CAST(b.y AS DOUBLE) AS y, CAST(b.w AS DOUBLE) AS w, 1 AS node, {bins('b')} "
+            f"FROM g_bagged b, rng2 r)"]
+    nodes = []
+    for L in range(depth + 1):
+        ctes.append(f"tot{L} AS (SELECT bag, node, sum(w) AS W, sum(w * y) AS WY FROM cur{L} GROUP BY bag, node)")
+        if L == depth:
+            nodes.append(f"SELECT bag, node, W, WY, -1 AS feat, -1 AS thr FROM tot{L}")
+            break
+        ex = " UNION ALL ".join(f"SELECT bag, node, w, y, {j} AS feat, b{j} AS bin FROM cur{L}" for j in range(d))
+        ctes.append(f"""hist{L} AS (SELECT bag, node, feat, bin, sum(w) AS hw, sum(w * y) AS hwy FROM ({ex}) GROUP BY ALL),
+cum{L} AS (SELECT *, sum(hw) OVER w AS lw, sum(hwy) OVER w AS lwy FROM hist{L}
+  WINDOW w AS (PARTITION BY bag, node, feat ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cand{L} AS (SELECT c.bag, c.node, c.feat, c.bin,
+  t.WY * (t.W - t.WY) / t.W - c.lwy * (c.lw - c.lwy) / c.lw - (t.WY - c.lwy) * ((t.W - c.lw) - (t.WY - c.lwy)) / (t.W - c.lw) AS gain
+  FROM cum{L} c JOIN tot{L} t USING (bag, node) WHERE c.lw >= 1.0 AND t.W - c.lw >= 1.0),
+best{L} AS (SELECT bag, node, feat, bin AS thr FROM (SELECT *, row_number() OVER (PARTITION BY bag, node
+  ORDER BY gain DESC, feat, bin) AS rk FROM cand{L}) WHERE rk = 1 AND gain > 1e-12),
+cur{L + 1} AS (SELECT c.bag, c.y, c.w, 2 * c.node + CASE WHEN (CASE s.feat {' '.join(f'WHEN {j} THEN c.b{j}' for j in range(d))} END)
+  > s.thr THEN 1 ELSE 0 END AS node, {', '.join('c.b' + str(j) for j in range(d))}
+  FROM cur{L} c JOIN best{L} s ON c.bag = s.bag AND c.node = s.node)""")
+        nodes.append(f"SELECT t.bag, t.node, t.W, t.WY, coalesce(s.feat, -1) AS feat, coalesce(s.thr, -1) AS thr FROM tot{L} t "
+                     f"LEFT JOIN best{L} s ON t.bag = s.bag AND t.node = s.node")
+    ctes.append("nodes AS (" + " UNION ALL ".join(nodes) + ")")
+    # traversal of every U row in every bag that left it out
+    ctes.append(f"""u0 AS (SELECT u.doc_id, m.bag, 1 AS node, {bins('u')} FROM g_u u, rng2 r,
+  (SELECT DISTINCT bag FROM g_model) m WHERE NOT EXISTS (SELECT 1 FROM g_bags g WHERE g.doc_id = u.doc_id AND g.bag = m.bag))""")
+    for L in range(depth):
+        pick = "CASE n.feat " + " ".join(f"WHEN {j} THEN u.b{j}" for j in range(d)) + " END"
+        ctes.append(f"""u{L + 1} AS (SELECT u.doc_id, u.bag, CASE WHEN n.feat < 0 THEN u.node
+  ELSE 2 * u.node + CASE WHEN {pick} > n.thr THEN 1 ELSE 0 END END AS node, {bsel}
+  FROM u{L} u JOIN nodes n ON n.bag = u.bag AND n.node = u.node)""")
+    ctes.append(f"""pv AS (SELECT u.doc_id, coalesce(n.WY / n.W, 0.0) AS p FROM u{depth} u
+  JOIN nodes n ON n.bag = u.bag AND n.node = u.node)""")
+    return with_sql(ctes, f"""SELECT u.doc_id, {Q.r6('v.s')} AS oob_score, CAST(coalesce(v.n, 0) AS INTEGER) AS n_votes
+FROM g_u u LEFT JOIN (SELECT doc_id, avg(p) AS s, count(*) AS n FROM pv GROUP BY doc_id) v ON u.doc_id = v.doc_id""")
+
+
+SQL["bl2_decision_tree_oob"] = _tree_oob_sql(3)
