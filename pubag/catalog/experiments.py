@@ -404,3 +404,92 @@ ev9 AS (SELECT i, j, repeat, avg(CASE WHEN y_true = 1 THEN (CASE WHEN p1 > 0.5 T
 SQL["ex9_reliability_grid"] = with_sql([Q.PU_DOCS, _EX9], f"""SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
  {Q.r6('avg(tpr)')} AS tpr, {Q.r6('avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0))')} AS f1,
  CAST(count(*) AS INTEGER) AS n FROM ev9 GROUP BY i, j""")
+
+
+def _ex12_sql(outer_k: int = 5, inner_k: int = 3, nb: int = 32) -> str:
+    """EX12 in SQL: undersampled ofo folds, inner folds, 48 candidates, one tree per (ofo, cand, inner)."""
+    from pubag.operators.sampling import feature_bag_hash
+
+    cands = J.grid_candidates()
+    d = len(FEATS)
+    rows = []
+    for ci, c in enumerate(cands):
+        kf = max(1, int(float(c["feature_fraction"]) * d))
+        order = sorted(range(d), key=lambda j: (feature_bag_hash(SEED, "featfrac", ci, j), j))
+        allowed = sorted(order[:kf])
+        rows.append(f"({ci}, {J.LEAVES_TO_DEPTH[c['num_leaves']]}, {float(c['min_child_samples'])!r}, "
+                    f"{float(c['bagging_fraction'])!r}, [{', '.join(map(str, allowed))}], "
+                    f"'{c['num_leaves']}', '{c['min_child_samples']}')")
+    depth = max(J.LEAVES_TO_DEPTH.values())
+    ax = "ofo, cand, k"
+    bins = ", ".join(
+        f"CASE WHEN t.{f} IS NULL THEN -1 ELSE CAST(least(greatest(floor((t.{f} - r.lo{j}) / r.wd{j}), 0), {nb - 1}) AS INTEGER) END AS b{j}"
+        for j, f in enumerate(FEATS))
+    rng = ", ".join(f"min({f}) AS lo{j}, max({f}) AS hi{j}" for j, f in enumerate(FEATS))
+    wd = ", ".join(f"lo{j}, CASE WHEN hi{j} > lo{j} THEN (hi{j} - lo{j}) / {nb}.0 ELSE 1.0 END AS wd{j}" for j in range(d))
+    ctes = [Q.PU_DOCS, f"""cp12 AS (SELECT * FROM (VALUES {', '.join(rows)}) t(cand, cap, minleaf, bf, allowed, nl, mcs)),
+o12 AS (SELECT doc_id, y, {_F}, CAST((row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'outer', _DK)}, doc_id) - 1)
+  % {outer_k} AS INTEGER) AS fold FROM pu_docs),
+r12 AS (SELECT o.*, CAST(t.i AS INTEGER) AS ofo FROM o12 o, range(0, {outer_k}) t(i) WHERE o.fold <> t.i),
+n12 AS (SELECT ofo, count(*) AS n FROM r12 WHERE y = 1 GROUP BY ofo),
+s12 AS (SELECT ofo, doc_id, y, {_F} FROM r12 WHERE y = 1 UNION ALL
+  SELECT ofo, doc_id, y, {_F} FROM (SELECT r.*, row_number() OVER (PARTITION BY r.ofo ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('under'), Q.vc('r.ofo'), Q.vc('r.doc_id')))}, r.doc_id) AS rn FROM r12 r WHERE y = 0) z
+  JOIN n12 USING (ofo) WHERE rn <= n),
+i12 AS (SELECT s.*, CAST((row_number() OVER (PARTITION BY s.ofo, s.y ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('inner'), Q.vc('s.ofo'), Q.vc('s.doc_id')))}, s.doc_id) - 1) % {inner_k} AS INTEGER) AS ifold
+  FROM s12 s),
+t12 AS (SELECT i.ofo, c.cand, CAST(k.i AS INTEGER) AS k, i.doc_id, i.y, {', '.join('i.' + f for f in FEATS)}
+  FROM i12 i, range(0, {inner_k}) k(i), cp12 c
+  WHERE i.ifold <> k.i AND CAST({Q.H(Q.ht(Q.q(SEED), Q.q('bagfrac'), Q.vc('i.ofo'), Q.vc('c.cand'), Q.vc('CAST(k.i AS INTEGER)'), Q.vc('i.doc_id')))} AS DOUBLE)
+    / 1152921504606846976.0 < c.bf),
+rng AS (SELECT {rng} FROM t12),
+rng2 AS (SELECT {wd} FROM rng),
+cur0 AS (SELECT t.ofo, t.cand, t.k, CAST(t.y AS DOUBLE) AS y, 1.0 AS w, 1 AS node, {bins} FROM t12 t, rng2 r)"""]
+    nodes = []
+    for L in range(depth + 1):
+        ctes.append(f"tot{L} AS (SELECT {ax}, node, sum(w) AS W, sum(w * y) AS WY FROM cur{L} GROUP BY {ax}, node)")
+        if L == depth:
+            nodes.append(f"SELECT {ax}, node, W, WY, -1 AS feat, -1 AS thr FROM tot{L}")
+            break
+        ex = " UNION ALL ".join(f"SELECT {ax}, node, w, y, {j} AS feat, b{j} AS bin FROM cur{L}" for j in range(d))
+        ctes.append(f"""hist{L} AS (SELECT x.ofo, x.cand, x.k, x.node, x.feat, x.bin, any_value(c.minleaf) AS minleaf,
+  sum(x.w) AS hw, sum(x.w * x.y) AS hwy FROM ({ex}) x JOIN cp12 c ON c.cand = x.cand
+  WHERE c.cap > {L} AND list_contains(c.allowed, x.feat) GROUP BY x.ofo, x.cand, x.k, x.node, x.feat, x.bin),
+cum{L} AS (SELECT *, sum(hw) OVER w AS lw, sum(hwy) OVER w AS lwy FROM hist{L}
+  WINDOW w AS (PARTITION BY {ax}, node, feat ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cand{L} AS (SELECT c.ofo, c.cand, c.k, c.node, c.feat, c.bin,
+  t.WY * (t.W - t.WY) / t.W - c.lwy * (c.lw - c.lwy) / c.lw - (t.WY - c.lwy) * ((t.W - c.lw) - (t.WY - c.lwy)) / (t.W - c.lw) AS gain
+  FROM cum{L} c JOIN tot{L} t USING (ofo, cand, k, node) WHERE c.lw >= c.minleaf AND t.W - c.lw >= c.minleaf),
+best{L} AS (SELECT ofo, cand, k, node, feat, bin AS thr FROM (SELECT *, row_number() OVER (PARTITION BY {ax}, node
+  ORDER BY gain DESC, feat, bin) AS rk FROM cand{L}) WHERE rk = 1 AND gain > 1e-12),
+cur{L + 1} AS (SELECT c.ofo, c.cand, c.k, c.y, c.w, 2 * c.node + CASE WHEN (CASE s.feat
+  {' '.join(f'WHEN {j} THEN c.b{j}' for j in range(d))} END) > s.thr THEN 1 ELSE 0 END AS node,
+  {', '.join('c.b' + str(j) for j in range(d))}
+  FROM cur{L} c JOIN best{L} s ON c.ofo = s.ofo AND c.cand = s.cand AND c.k = s.k AND c.node = s.node)""")
+        nodes.append(f"SELECT t.ofo, t.cand, t.k, t.node, t.W, t.WY, coalesce(s.feat, -1) AS feat, coalesce(s.thr, -1) AS thr "
+                     f"FROM tot{L} t LEFT JOIN best{L} s ON t.ofo = s.ofo AND t.cand = s.cand AND t.k = s.k AND t.node = s.node")
+    ctes.append("nodes AS (" + " UNION ALL ".join(nodes) + ")")
+    ctes.append(f"""v0 AS (SELECT i.ofo, c.cand, i.ifold AS k, i.doc_id, i.y AS y_true, 1 AS node, {bins.replace('t.', 'i.')}
+  FROM i12 i, cp12 c, rng2 r)""")
+    bsel = ", ".join(f"b{j}" for j in range(d))
+    for L in range(depth):
+        pick = "CASE n.feat " + " ".join(f"WHEN {j} THEN v.b{j}" for j in range(d)) + " END"
+        ctes.append(f"""v{L + 1} AS (SELECT v.ofo, v.cand, v.k, v.doc_id, v.y_true, CASE WHEN n.feat < 0 THEN v.node
+  ELSE 2 * v.node + CASE WHEN {pick} > n.thr THEN 1 ELSE 0 END END AS node, {bsel}
+  FROM v{L} v JOIN nodes n ON n.ofo = v.ofo AND n.cand = v.cand AND n.k = v.k AND n.node = v.node)""")
+    ctes.append(f"""pr12 AS (SELECT v.ofo, v.cand, v.k, v.y_true, coalesce(n.WY / n.W, 0.0) AS p1 FROM v{depth} v
+  JOIN nodes n ON n.ofo = v.ofo AND n.cand = v.cand AND n.k = v.k AND n.node = v.node),
+e12 AS (SELECT ofo, cand, k,
+  (sum(CASE WHEN y_true = 1 AND p1 > 0.5 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END), 0)
+   + sum(CASE WHEN y_true = 0 AND NOT p1 > 0.5 THEN 1 ELSE 0 END) / nullif(sum(CASE WHEN y_true = 0 THEN 1 ELSE 0 END), 0))
+   / 2.0 AS auc_hard FROM pr12 GROUP BY ofo, cand, k),
+sc12 AS (SELECT ofo, cand, avg(auc_hard) AS auc_hard FROM e12 GROUP BY ofo, cand),
+b12 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ofo ORDER BY auc_hard DESC, cand) AS rk FROM sc12)
+  WHERE rk = 1)""")
+    return with_sql(ctes, f"""SELECT CAST(b.ofo AS INTEGER) AS outer_fold, CAST(b.cand AS INTEGER) AS cand_id,
+ c.nl AS num_leaves, c.mcs AS min_child_samples, {Q.r6('b.auc_hard')} AS auc_hard FROM b12 b JOIN cp12 c USING (cand)""")
+
+
+SQL["ex12_nested_grid_search"] = _ex12_sql()
+SQL["so3_best_candidate"] = SQL["ex12_nested_grid_search"]
