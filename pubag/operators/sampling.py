@@ -282,18 +282,6 @@ def bootstrap_draws(spark, n_bags: int, m: int | list[int], n_u: int | list[int]
 POISSON_TERMS = 12
 
 
-def poisson_weight(u: Column, lam: float) -> Column:
-    """SA7: inverse-CDF Poisson(lam) draw from a uniform column (narrow, no shuffle)."""
-    w = F.lit(0)
-    p = math.exp(-lam)
-    cdf = p
-    for j in range(1, POISSON_TERMS + 1):
-        w = w + F.when(u >= F.lit(cdf), 1).otherwise(0)
-        p = p * lam / j
-        cdf += p
-    return w.cast("int")
-
-
 def poisson_cdf(lam: float, terms: int = POISSON_TERMS) -> list[float]:
     """P(X <= j) for j = 0..terms-1 (the inverse-CDF steps)."""
     out, p, cdf = [], math.exp(-lam), math.exp(-lam)
