@@ -90,3 +90,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.profiles(docs.where(_remainder(4) != 2)))
     return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pubag.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(85, 100))
