@@ -37,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubag.llm.common import SPACES, batches, doc_key, id_and_text, no_key, saved
+from pubag.llm.common import SPACES, batches, doc_key, id_and_text, saved
 
 MIN_LENGTH = 10
 
+#: Column that ``kept_rows`` adds.
+LINES = "_lines"
+
 #: Keys a shard should hold, most shards (bounds the broadcast table of their sizes), references a task probes.
 SHARD_KEYS, MAX_SHARDS, TASK_REFS = 1 << 15, 1 << 20, 1 << 19
 
@@ -235,30 +238,35 @@ class LineIndex:
         exact = self.counts.where("n_docs > 1").select("k1", "k2", "first_doc")
         return hits.join(exact, ["k1", "k2"]).where("doc <> first_doc").select("doc", "k1", "k2")
 
+    def kept_rows(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
+        """The rows of ``docs`` with the text without its dropped lines, and ``LINES``: (total, dropped)."""
+        drops = (self.drops().groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("d"))
+                 .select(F.col("doc").alias("_doc"), F.transform("d", lambda x: x["k1"]).alias("_k1"), F.transform("d", lambda x: x["k2"]).alias("_k2")))
+        joined = docs.join(drops, doc_key(id_col) == F.col("_doc"), "left")
+
+        @F.arrow_udf("struct<text:string,total:bigint,dropped:bigint>")
+        def without(text: pa.Array, k1: pa.Array, k2: pa.Array) -> pa.Array:
+            texts, totals, dropped = [], [], []
+            for at in range(0, len(text), 256):
+                for t, a, b in zip(*(c.slice(at, 256).to_pylist() for c in (text, k1, k2))):
+                    lines = (t or "").split("\n")
+                    stay = lines
+                    if a:
+                        gone = {np.array(k, dtype="<i8").tobytes() for k in zip(a, b)}
+                        stay = [x for x in lines if line_key(x, min_length) not in gone]
+                    texts.append("\n".join(stay))
+                    totals.append(len(lines))
+                    dropped.append(len(lines) - len(stay))
+            return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(dropped, pa.int64())], names=["text", "total", "dropped"])
+
+        out = joined.withColumn("_kept", without(text_col, "_k1", "_k2"))
+        return out.select(*(F.col("_kept.text").alias(c) if c == text_col else F.col(c) for c in docs.columns),
+                          F.struct("_kept.total", "_kept.dropped").alias(LINES))
+
     def kept(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
         """Per row of ``docs``: ``id_col``, ``text`` without the dropped lines, ``n_lines`` before, ``n_dropped``."""
-        drops = (self.drops().groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("d"))
-                 .select("doc", F.transform("d", lambda x: x["k1"]).alias("k1"), F.transform("d", lambda x: x["k2"]).alias("k2")))
-        joined = docs.select(doc_key(id_col).alias("doc"), F.col(text_col).alias("text")).join(drops, "doc", "left")
-        schema = pa.schema([("doc", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
-
-        def run(it):
-            def rows():
-                for batch in it:
-                    for at in range(0, batch.num_rows, 256):
-                        for doc, text, k1, k2 in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
-                            lines = (text or "").split("\n")
-                            if k1:
-                                gone = {np.array(k, dtype="<i8").tobytes() for k in zip(k1, k2)}
-                                stay = [x for x in lines if line_key(x, min_length) not in gone]
-                                yield doc, "\n".join(stay), len(lines), len(lines) - len(stay)
-                            else:
-                                yield doc, text or "", len(lines), 0
-
-            yield from batches(rows(), schema, weight=lambda r: len(r[1]))
-
-        out = joined.mapInArrow(run, "doc bigint, text string, n_lines bigint, n_dropped bigint")
-        return out.select(no_key(F.col("doc")).alias(id_col), "text", "n_lines", "n_dropped")
+        rows = self.kept_rows(docs.select(id_col, text_col), id_col, text_col, min_length)
+        return rows.select(id_col, F.col(text_col).alias("text"), F.col(LINES)["total"].alias("n_lines"), F.col(LINES)["dropped"].alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:

@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pubag.llm.common import batches, blocks, id_and_text
+from pubag.llm.common import batches
 
 #: Bound of the sample of labelled documents, latent dimensions, neighbours that vote, documents a product.
 SAMPLE, DIMS, NEIGHBOURS, BLOCK = 4096, 48, 15, 512
 
+#: Column that ``scored`` adds.
+SCORE = "_quality_score"
+
 #: Bytes taken at a time, so that a very long text needs no array of its own length several times over.
 PIECE = 1 << 20
 
@@ -142,20 +145,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return Model(idf, project, model.latent(counts).astype(np.float32), labels_of)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``score`` (0 to 1, higher: label 1 likelier) of every row."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ``SCORE`` (0 to 1, higher: label 1 likelier)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(id_col, text_col)
-    kind = source.schema[id_col].dataType
-    schema = pa.schema([(id_col, pa.string() if kind.typeName() == "string" else pa.int64()), ("score", pa.float64())])
 
-    def run(it):
-        model = sent.value
+    @F.arrow_udf("double")
+    def score_of(text: pa.Array) -> pa.Array:
+        model, made = sent.value, []
+        for at in range(0, len(text), BLOCK):
+            made.append(model.score(np.stack([features(t) for t in text.slice(at, BLOCK).to_pylist()])))
+        return pa.array(np.concatenate(made) if made else [], pa.float64())
 
-        def rows():
-            for ids, texts in blocks(id_and_text(it), BLOCK):
-                yield from zip(ids, model.score(np.stack([features(t) for t in texts])).tolist())
+    return docs.withColumn(SCORE, score_of(text_col))
 
-        yield from batches(rows(), schema)
 
-    return source.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, score double")
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``score`` of every row."""
+    return scored(docs.select(id_col, text_col), model, text_col).select(id_col, F.col(SCORE).alias("score"))

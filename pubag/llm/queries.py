@@ -97,3 +97,87 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pubag.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=(85, 100))
+
+
+@query
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pubag.llm import mixing
+
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    sources = mixing.targets(sizes)
+    words = mixing.taken(sizes, sources).groupBy("uid").agg(F.sum("words").alias("taken"))
+    per = sources.select(F.col("source").alias("s"), "source_size", "target")
+    out = sizes.join(words, "uid", "left").join(per, F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+SQL["op5_source_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3, 1, 2][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w
+  FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, sum(source_size) OVER () AS total, row_number() OVER o AS k,
+         coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cut,
+         sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM per WINDOW o AS (ORDER BY 2.0 * source_size / w, encode(source) NULLS LAST)),
+level AS (
+  SELECT (3 * total - 2 * cut)::DOUBLE / (2 * rest) AS part FROM ranked
+  WHERE 2 * source_size >= w * ((3 * total - 2 * cut)::DOUBLE / (2 * rest)) ORDER BY k LIMIT 1),
+aimed AS (
+  SELECT source, source_size, least(2.0 * source_size, w * (SELECT part FROM level))::DOUBLE AS target FROM per),
+placed AS (
+  SELECT d.doc_id, d.size, a.source_size, a.target, least(2 * a.source_size, floor(a.target + 0.5))::BIGINT AS quota,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  FROM sized d JOIN aimed a ON a.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(ahead + size, quota) - ahead)
+        + greatest(0, least(ahead + source_size + size, quota) - ahead - source_size))::BIGINT AS taken
+FROM placed
+"""
+
+
+@query
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pubag.llm import topk
+
+    rows = topk.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    whole = rows.select("id", F.transform("vec", lambda x: F.floor(x.cast("double") * 256)).alias("vec"))
+    return topk.top_k(whole, F.col("id") % 50 == 0, 5)
+
+
+SQL["op7_exact_top_k"] = r"""
+WITH rows AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM rows q JOIN rows c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, qr ORDER BY score DESC, vec_id) AS rk FROM scored)
+SELECT query_id, rk::INTEGER AS rank, vec_id, score FROM ranked WHERE rk <= 5
+"""
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pubag.llm import tokencount
+
+    vocabulary = tokencount.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pubag.llm import ann, topk
+
+    rows = topk.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return ann.nearest(rows, F.col("id") % 20 == 0, 20)
