@@ -73,8 +73,8 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     keys, counts, at = [], [], 0
     while at < len(text):
         end = min(len(text), at + PIECE)
-        while end < len(text) and text[end].isalpha() and end < at + 2 * PIECE:
-            end += 1  # never inside a word, but for words of a million letters
+        while end < len(text) and text[end].isalpha():
+            end += 1  # never inside a word
         k, c = np.unique(_codes(text[at:end]), return_counts=True)
         keys.append(k)
         counts.append(c)
