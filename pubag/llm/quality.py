@@ -5,7 +5,7 @@ analysis (idf-weighted counts, truncated SVD) is fitted on at most ``SAMPLE`` la
 in hash order from all labels that the caller offers; their vectors and the projection are broadcast
 (``SAMPLE`` x ``DIMS`` and ``TERMS`` x ``DIMS`` floats, about 1.3 MB at any corpus size). Every document
 is projected, its cosines with all labelled vectors are computed in blocks (one matrix product a block),
-and the ``NEIGHBOURS`` nearest vote for their label with their similarity as weight.
+and the ``NEIGHBOURS`` nearest vote for their label with a power of their similarity as weight.
 
 Cases: a null or empty text, and any text when no label can be learned from, scores the share of label 1
 in the sample (0.5 without a sample). Several labels of one document count as the largest. Equal cosines
@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from pubag.llm.common import batches
 
 #: Bound of the sample of labelled documents, latent dimensions, neighbours that vote, documents a product.
-SAMPLE, DIMS, NEIGHBOURS, BLOCK = 4096, 48, 15, 512
+SAMPLE, DIMS, NEIGHBOURS, BLOCK = 4096, 48, 9, 512
+
+#: Weight of a repeated word or line against a pair of characters; power of the similarity in a vote.
+REPEATS, POWER = 8, 8
 
 #: Column that ``scored`` adds.
 SCORE = "_quality_score"
@@ -59,7 +62,7 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 _N = int(_CLASS.max()) + 1
 
-#: Pairs of classes, then: words equal to the one before, lines equal to the one before, all words.
+#: Pairs of classes, then (weighted) words equal to the one before and lines equal to the one before, all words.
 TERMS = _N * _N + 3
 
 
@@ -73,7 +76,7 @@ def features(text: str | None) -> np.ndarray:
         c = _CLASS[codes[at:at + PIECE + 1]]
         out[:-3] += np.bincount(c[:-1] * _N + c[1:], minlength=_N * _N)
     words, lines = text.split(), text.split("\n")
-    out[-3:] = sum(map(eq, words, words[1:])), sum(map(eq, lines, lines[1:])), len(words)
+    out[-3:] = REPEATS * sum(map(eq, words, words[1:])), REPEATS * sum(map(eq, lines, lines[1:])), len(words)
     return out
 
 
@@ -102,7 +105,7 @@ class Model:
         # all above the k-th cosine, then equals of it in the order of the sample
         above, equal = near > least, near == least
         room = k - above.sum(axis=1, keepdims=True)
-        votes = np.where(above | equal & (np.cumsum(equal, axis=1) <= room), np.maximum(near, 0) ** 4, 0)
+        votes = np.where(above | equal & (np.cumsum(equal, axis=1) <= room), np.maximum(near, 0) ** POWER, 0)
         total = votes.sum(axis=1)
         return np.where(total > 0, np.clip((votes @ self.labels) / np.maximum(total, 1e-30), 0, 1), self.prior).astype(float)
 

@@ -20,7 +20,7 @@ def test_exact_neighbours_vote_by_similarity():
     for x, got in zip(model.latent(asked), model.score(asked)):
         near = x @ vectors.T
         best = np.argsort(-near, kind="stable")[: quality.NEIGHBOURS]
-        w = np.maximum(near[best], 0) ** 4
+        w = np.maximum(near[best], 0) ** quality.POWER
         assert abs(got - (w @ labels[best]) / w.sum()) < 1e-4
 
 
