@@ -182,7 +182,7 @@ c_n AS (SELECT max(chunk) + 1 AS n FROM c_b),
 c_rows AS (SELECT doc_id, y, {', '.join(FEATS)} FROM c_p UNION ALL SELECT doc_id, y, {', '.join(FEATS)} FROM c_b),
 c_bagged AS (SELECT CAST(i AS INTEGER) AS bag, y, 1 AS w, {', '.join(FEATS)} FROM c_p, range(0, (SELECT n FROM c_n)) t(i)
   UNION ALL SELECT chunk AS bag, y, 1 AS w, {', '.join(FEATS)} FROM c_b),
-{Q.gnb_model_ctes('c', FEATS, 'c_rows', 'c_bagged')},
+{Q.gnb_model_ctes('c', FEATS, 'c_rows', 'c_bagged', floor_by_bag=True)},
 c_votes AS (SELECT r.doc_id, avg({_P1}) AS s, count(*) AS n FROM c_b r JOIN c_model m ON m.bag <> r.chunk GROUP BY r.doc_id)"""
 _EX7_SEL = f"""SELECT b.doc_id, {Q.r6('coalesce(v.s, 0.0)')} AS score, CAST(coalesce(v.n, 0) AS INTEGER) AS n_votes
 FROM c_b b LEFT JOIN c_votes v ON b.doc_id = v.doc_id"""

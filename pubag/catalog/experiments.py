@@ -195,9 +195,9 @@ p13 AS (SELECT doc_id, 1 AS y, f7 FROM pu_docs WHERE y = 1 UNION ALL SELECT * FR
 n13 AS (SELECT doc_id, 0 AS y, f7 FROM sc13 WHERE s <= 0.02 ORDER BY {Q.hk(SEED, 'neg', _DK)}, doc_id
   LIMIT (SELECT count(*) FROM p13)),
 t13 AS (SELECT doc_id, y, coalesce(f7, 0.0) AS f7 FROM p13 UNION ALL SELECT doc_id, y, coalesce(f7, 0.0) FROM n13)"""
-SQL["ex13_training_table_for_explain"] = with_sql([Q.PU_DOCS, _EX13], f"""SELECT doc_id, y,
- row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', _DK)}, doc_id) <= round(count(*) OVER (PARTITION BY y) * 0.2)
- AS is_test, {Q.r6('f7')} AS f7 FROM t13""")
+SQL["ex13_training_table_for_explain"] = with_sql([Q.PU_DOCS, _EX13, Q.stratified_n("t13", "n13s", 0.2)], f"""SELECT doc_id, y,
+ row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', _DK)}, doc_id) <= n_test
+ AS is_test, {Q.r6('f7')} AS f7 FROM t13 JOIN n13s USING (y)""")
 
 # EX2 / EX3: leave one group out with matched negatives
 _LOGO = f"""m2 AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY grp ORDER BY {Q.hk(SEED, 'matched', _DK)}, doc_id) AS rn
@@ -278,8 +278,9 @@ _F1 = "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0)"
 
 # EX10: hide sweep on the stratified training part, metrics on the untouched test part
 _EX10_LEVELS = [0, 50, 100, 150, 200]
-_EX10 = f"""s10 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', _DK)}, doc_id)
-   <= round(count(*) OVER (PARTITION BY y) * 0.2) AS is_test FROM pu_docs),
+_EX10 = f"""{Q.stratified_n("pu_docs", "n10", 0.2)},
+s10 AS (SELECT pu_docs.*, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', _DK)}, doc_id)
+   <= n_test AS is_test FROM pu_docs JOIN n10 USING (y)),
 tr10 AS (SELECT doc_id, y, {_F} FROM s10 WHERE NOT is_test),
 te10 AS (SELECT doc_id, y AS y_true, {_F} FROM s10 WHERE is_test),
 np10 AS (SELECT count(*) AS n FROM tr10 WHERE y = 1),
@@ -361,8 +362,9 @@ QUERIES["so3_best_candidate"] = ex12_nested_grid_search
 
 # EX9: reliability grid over OOB-score thresholds
 _TH = ", ".join(repr(float(t)) for t in EX9_THRESHOLDS)
-_EX9 = f"""s9 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', _DK)}, doc_id)
-   <= round(count(*) OVER (PARTITION BY y) * 0.2) AS is_test FROM pu_docs),
+_EX9 = f"""{Q.stratified_n("pu_docs", "n9", 0.2)},
+s9 AS (SELECT pu_docs.*, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', _DK)}, doc_id)
+   <= n_test AS is_test FROM pu_docs JOIN n9 USING (y)),
 tr9 AS (SELECT * FROM s9 WHERE NOT is_test),
 va9 AS (SELECT * FROM s9 WHERE is_test),
 {Q.gnb_oob("tr9", K, FEATS, SEED, 20, 50, prefix="o9")},

@@ -75,8 +75,9 @@ def _fc3_sql() -> str:
 
     d = len(FEATS)
     dk = Q.vc("doc_id")
-    split = f"""s3 AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', dk)}, doc_id)
-   <= round(count(*) OVER (PARTITION BY y) * 0.2) AS is_test FROM pu_docs),
+    split = f"""{Q.stratified_n("pu_docs", "n3", 0.2)},
+s3 AS (SELECT pu_docs.*, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', dk)}, doc_id)
+   <= n_test AS is_test FROM pu_docs JOIN n3 USING (y)),
 tr3 AS (SELECT * FROM s3 WHERE NOT is_test),
 te3 AS (SELECT * FROM s3 WHERE is_test)"""
     fit = Q.gnb_fit_ctes("tr3", K, FEATS, SEED, 10, "SELECT count(*) FROM tr3 WHERE y = 1")

@@ -22,7 +22,7 @@ def _u(spark, sf):
 
 
 def sa1_sample_n(spark, sf):
-    return S.sample_n(pu_lines(spark, sf), 5000, LK, SEED, validate=True).select(*LK, "y")
+    return S.sample_n(pu_lines(spark, sf), 5000, LK, SEED).select(*LK, "y")
 
 
 def sa2_sample_matched(spark, sf):
@@ -142,11 +142,11 @@ def _rn(tag, key_sql, keys, part="", extra=()):
 
 def _pois_sql(bag: int) -> str:
     u = f"(CAST({Q.H(Q.ht(Q.q(SEED), Q.q('pois'), Q.q(bag), DK))} AS DOUBLE) / 1152921504606846976.0)"
-    terms, p, cdf = [], math.exp(-LAM), math.exp(-LAM)
-    for j in range(1, S.POISSON_TERMS + 1):
+    # 25 terms: beyond them P(X <= j) is 1 in double precision
+    terms, cdf = [], 0.0
+    for j in range(25):
+        cdf += math.exp(-LAM) * LAM**j / math.factorial(j)
         terms.append(f"CASE WHEN {u} >= {cdf!r} THEN 1 ELSE 0 END")
-        p = p * LAM / j
-        cdf += p
     return " + ".join(terms)
 
 
@@ -176,9 +176,8 @@ SELECT doc_id, CAST(i AS INTEGER), 1 FROM pu_docs, range(0, 10) t(i) WHERE y = 1
     "sa13_leave_one_group_out": with_sql(D, """SELECT g.grp AS fold, 'test' AS role, d.doc_id
 FROM pu_docs d JOIN (SELECT DISTINCT grp FROM pu_docs) g ON d.grp = g.grp
 UNION ALL SELECT g.grp, 'train', d.doc_id FROM pu_docs d JOIN (SELECT DISTINCT grp FROM pu_docs) g ON d.grp <> g.grp"""),
-    "sa14_stratified_split": with_sql(D, f"""SELECT doc_id, y, rn <= n_test AS is_test FROM (
-  SELECT doc_id, y, {_rn('strat', DK, 'doc_id', 'y')} AS rn,
-         round(count(*) OVER (PARTITION BY y) * 0.2) AS n_test FROM pu_docs)"""),
+    "sa14_stratified_split": with_sql(D + [Q.stratified_n("pu_docs", "strat_n", 0.2)], f"""SELECT doc_id, y, rn <= n_test AS is_test FROM (
+  SELECT doc_id, y, {_rn('strat', DK, 'doc_id', 'y')} AS rn FROM pu_docs) JOIN strat_n USING (y)"""),
     "sa15_stratified_kfold": with_sql(D, f"""SELECT doc_id, y, CAST(({_rn('kfold', DK, 'doc_id', 'y')} - 1) % 5 AS INTEGER)
  AS fold FROM pu_docs"""),
     "sa16_chunks": with_sql(D, f"""SELECT doc_id, CAST(({_rn('chunk', DK, 'doc_id')} - 1) // 100 AS INTEGER) AS chunk

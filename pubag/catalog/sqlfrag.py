@@ -96,7 +96,8 @@ def gnb_plain_ctes(src: str, key: list[str], features: list[str], prefix: str =
 {gnb_model_ctes(P, features, P + '_rows', P + '_bagged', axis)}"""
 
 
-def gnb_model_ctes(P: str, features: list[str], rows: str, bagged: str, axis: list[str] | None = None) -> str:
+def gnb_model_ctes(P: str, features: list[str], rows: str, bagged: str, axis: list[str] | None = None,
+                   floor_by_bag: bool = False) -> str:
     """GNB model CTEs from a rows CTE (for the unweighted mean/variance floor) and a bagged CTE
     (axis…, bag, y, w, f…): defines {P}_glob2, {P}_st, {P}_cls, {P}_model."""
     axis = axis or []
@@ -118,6 +119,9 @@ def gnb_model_ctes(P: str, features: list[str], rows: str, bagged: str, axis: li
     c0 = ", ".join(f"c0.mu_{j} AS mu0_{j}, c0.v_{j} AS v0_{j}" for j in range(len(features)))
     c1 = ", ".join(f"c1.mu_{j} AS mu1_{j}, c1.v_{j} AS v1_{j}" for j in range(len(features)))
     gjoin = f"{bagged} b JOIN {P}_glob2 g USING ({', '.join(axis)})" if axis else f"{bagged} b, {P}_glob2 g"
+    if floor_by_bag:  # the largest variance within the bag's own rows (no axis)
+        own = f"(SELECT bag, {maxvar} AS maxvar FROM (SELECT bag, {vars_} FROM {bagged} GROUP BY bag))"
+        gjoin = f"{bagged} b JOIN {own} o USING (bag), (SELECT * EXCLUDE (maxvar) FROM {P}_glob2) g"
     on_ax = "".join(f" AND c0.{a} = c1.{a}" for a in axis)
     return f"""{P}_glob AS (SELECT {ax}{means}, {vars_} FROM {rows}{' GROUP BY ' + ', '.join(axis) if axis else ''}),
 {P}_glob2 AS (SELECT *, {maxvar} AS maxvar FROM {P}_glob),
@@ -271,3 +275,12 @@ def auc_ctes(name: str, src: str, by: list[str], y: str = "y_true", score: str =
   FROM {name}_c WINDOW w AS (PARTITION BY {b} ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 {name} AS (SELECT {b}, sum(neg * (2 * tp - pos)) / nullif(2.0 * any_value(P) * any_value(N), 0) AS auc
   FROM {name}_k GROUP BY {b})"""
+
+
+def stratified_n(src: str, name: str, frac: float, label: str = "y") -> str:
+    """CTE {name}({label}, n_test): round(frac * rows) test rows by class, largest remainder."""
+    return f"""{name}_c AS (SELECT {label}, count(*) AS n FROM {src} GROUP BY {label}),
+{name}_t AS (SELECT sum(n) AS total, CAST(floor(sum(n) * {frac} + 0.5) AS BIGINT) AS want FROM {name}_c),
+{name}_q AS (SELECT {label}, n * want // total AS whole, n * want % total AS rest, want FROM {name}_c, {name}_t),
+{name} AS (SELECT {label}, CAST(whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, {label}) <= want - sum(whole) OVER ()
+  THEN 1 ELSE 0 END AS BIGINT) AS n_test FROM {name}_q)"""

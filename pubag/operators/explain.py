@@ -27,29 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubag.functions.hashing import as_list
+from pubag.operators.scoring import scored
 
 # The largest feature count for exact coalitions and the default background size.
 MAX_COALITION_FEATURES = 12
 BACKGROUND_ROWS = 100
 
 
-def _gnb_term(m: Column, xj: Column, j: int) -> Column:
-    t1 = F.log(m["v1"][j]) + (xj - m["mu1"][j]) * (xj - m["mu1"][j]) / m["v1"][j]
-    t0 = F.log(m["v0"][j]) + (xj - m["mu0"][j]) * (xj - m["mu0"][j]) / m["v0"][j]
-    return F.coalesce(F.lit(-0.5) * (t1 - t0) * m["fmult"][j], F.lit(0.0))
-
-
 def additive_terms(model, df: DataFrame) -> DataFrame:
     """Per row the mean over bags of each feature's log-odds term: columns g0..g{d-1}."""
-    d = model._attach(model._with_axis(df))
-    n = F.size("_models").cast("double")
-    for j, f in enumerate(model.features):
-        d = d.withColumn(f"g{j}", F.aggregate("_models", F.lit(0.0), _term_adder(F.col(f).cast("double"), j)) / n)
-    return d.drop("_models")
-
-
-def _term_adder(xj: Column, j: int):
-    return lambda a, m: a + _gnb_term(m, xj, j)
+    d = scored(model, model._with_axis(df), "terms")
+    n = F.col("_acc.n").cast("double")
+    return d.withColumns({f"g{j}": F.col("_acc.t")[j] / n for j in range(len(model.features))}).drop("_acc")
 
 
 def _shapley_adder(j: int):
@@ -58,15 +47,25 @@ def _shapley_adder(j: int):
 
 def contributions(model, df: DataFrame, background: DataFrame | None = None) -> DataFrame:
     """FC1: long (key…, feature, phi) for an additive (GNB) model or ensemble."""
-    if not hasattr(model.learner, "log_joint"):
+    if not hasattr(model.learner, "np_terms"):
         raise ValueError("closed-form contributions need an additive learner; use coalition_contributions")
     background = df if background is None else background
     feats = model.features
     bg = additive_terms(model, background.select(*model.user_axis, *feats))
-    means = bg.agg(*[F.avg(f"g{j}").alias(f"e{j}") for j in range(len(feats))]).first()  # d numbers
+    # d means per axis value, joined to the rows of that axis value
+    means = bg.groupBy(*[F.col(a).alias(f"_m_{a}") for a in model.user_axis]).agg(
+        *[F.avg(f"g{j}").alias(f"e{j}") for j in range(len(feats))])
     g = additive_terms(model, df)
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"g{j}") - F.lit(means[f"e{j}"])).alias("phi"))
-                    for j, f in enumerate(feats)])
+    if model.user_axis:
+        on = F.lit(True)
+        for a in model.user_axis:
+            on = on & F.col(a).eqNullSafe(F.col(f"_m_{a}"))
+        g = g.join(means, on)
+        e = [F.col(f"e{j}") for j in range(len(feats))]
+    else:
+        one = means.first()  # d numbers
+        e = [F.lit(one[f"e{j}"]) for j in range(len(feats))]
+    arr = F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"g{j}") - e[j]).alias("phi")) for j, f in enumerate(feats)])
     return g.select(*model.user_axis, *model.key, F.explode(arr).alias("_c")).select(
         *model.user_axis, *model.key, "_c.feature", "_c.phi")
 
@@ -96,15 +95,16 @@ def coalition_contributions(model, explain: DataFrame, background: DataFrame, n_
     bgrows = sample_n(background, n_background, model.key, seed, "shap-bg").select(*feats).collect()
     bg = F.array(*[F.array(*[F.lit(None if r[f] is None else float(r[f])).cast("double") for f in feats])
                    for r in bgrows])
-    x = explain.select(*model.key, *feats)
+    ids = [*model.user_axis, *model.key]
+    x = explain.select(*ids, *feats)
     x = x.withColumn("S", F.explode(F.sequence(F.lit(0), F.lit((1 << d) - 1)))).withColumn("_z", F.explode(bg))
     for j, f in enumerate(feats):
         inS = F.col("S").bitwiseAND(F.lit(1 << j)) != 0
         x = x.withColumn(f, F.when(inS, F.col(f).cast("double")).otherwise(F.element_at("_z", j + 1)))
     p = model.predict_proba(x.drop("_z"), "_p")
-    v = p.groupBy(*model.key, "S").agg(F.avg("_p").alias("v"))
+    v = p.groupBy(*ids, "S").agg(F.avg("_p").alias("v"))
     # phi_j = sum over S without j of |S|!(d-|S|-1)!/d! * (v(S+j) - v(S))
-    vm = v.groupBy(*model.key).agg(F.map_from_entries(F.collect_list(F.struct("S", "v"))).alias("_v"))
+    vm = v.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("S", "v"))).alias("_v"))
     out = []
     for j, f in enumerate(feats):
         terms = []
@@ -117,9 +117,9 @@ def coalition_contributions(model, explain: DataFrame, background: DataFrame, n_
         arr = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("w")) for s, w in terms])
         phi = F.aggregate(arr, F.lit(0.0), _shapley_adder(j))
         out.append(F.struct(F.lit(f).alias("feature"), phi.alias("phi")))
-    res = vm.select(*model.key, F.explode(F.array(*out)).alias("_c"),
+    res = vm.select(*ids, F.explode(F.array(*out)).alias("_c"),
                     F.element_at("_v", F.lit((1 << d) - 1)).alias("fx"), F.element_at("_v", F.lit(0)).alias("ef"))
-    return res.select(*model.key, "_c.feature", "_c.phi", "fx", "ef")
+    return res.select(*ids, "_c.feature", "_c.phi", "fx", "ef")
 
 
 def contribution_summary(phi: DataFrame) -> DataFrame:

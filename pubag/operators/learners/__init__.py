@@ -1,10 +1,11 @@
 """Base learners. Each trains the models of every bag (and axis value) in one job.
 
 Contract: ``fit(bagged, rows, features, axis, label, fbags=None, first_bag=0)`` returns
-one row per (axis…, bag) with the model's columns; ``proba(m, x, mult)`` is a Column
-expression giving p(class 1) for a model struct ``m`` and feature columns ``x``
-(learners without probabilities give ``vote`` instead); ``model_bytes(d)`` bounds
-the size of one model so that broadcasts stay checked.
+one row per (axis…, bag) with the model's columns; ``unpack(row)`` makes arrays of one such
+row and ``np_proba(m, x)`` gives p(class 1) of that model for the rows of an array (also
+``np_decision``, ``np_log_proba``, ``np_terms`` where the learner has them); ``model_bytes(d)``
+bounds the size of one model so that slices of the model table stay bounded. ``additive``
+learners take the rows of every bag once (``shared``).
 """
 
 from __future__ import annotations

@@ -2,18 +2,22 @@
 
 Fit: per (axis, bag, class) the weighted count and per feature the weighted
 sums of x and x^2 (x shifted by the axis-wide mean, so the sums do not cancel).
-Variances get the floor ``var_smoothing * max feature variance`` taken over all
-training rows unweighted, as the weighted-fit learner of the reference does.
+The sums add up, so rows that are in every bag (``shared``: the positives) are
+aggregated once per axis value and added to each bag's sums.
+Variances get the floor ``var_smoothing * max feature variance`` over the features
+that the bag uses, taken unweighted over all training rows of the axis value, or
+over the bag's own rows (``floor_by_bag``, weights 1).
 Prior = class weight share. A null feature is left out of the likelihood.
 
 Score: p1 = 1 / (1 + exp(l0 - l1)), l_c = ln N_c - 1/2 sum_j [ln v_cj + (x_j - mu_cj)^2 / v_cj]
 over the features of the bag (multiplicity counts, for drawn-with-replacement
-feature bags). Everything is a Column expression evaluated inside whole-stage code.
+feature bags), evaluated with NumPy over Arrow batches (``operators/scoring.py``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The exp() argument clamp and the default variance floor factor.
@@ -30,23 +34,11 @@ class GaussianNB:
     def __init__(self, var_smoothing: float = VAR_SMOOTHING):
         self.var_smoothing = var_smoothing
 
-    def fit(self, bagged: DataFrame, rows: DataFrame, features: list[str], axis: list[str],
-            label: str = "y", fbags: list | None = None, first_bag: int = 0) -> DataFrame:
-        """bagged(axis…, bag, y, w, f…) -> one row per (axis, bag) with model columns."""
-        d = len(features)
-        g = rows.groupBy(*axis).agg(
-            *[F.avg(c).alias(f"_mean{j}") for j, c in enumerate(features)],
-            *[F.var_pop(c).alias(f"_var{j}") for j, c in enumerate(features)],
-        )
-        g = g.select(
-            *axis,
-            *[F.col(f"_mean{j}") for j in range(d)],
-            (F.greatest(*[F.coalesce(F.col(f"_var{j}"), F.lit(0.0)) for j in range(d)]) if d > 1
-             else F.coalesce(F.col("_var0"), F.lit(0.0))).alias("_maxvar"),
-        )
-        # one row per axis value: small, broadcast
-        b = bagged.join(F.broadcast(g), axis)
-        # both classes in one pass: conditional sums per (axis, bag), no self-join
+    additive = True
+
+    @staticmethod
+    def _sums(features: list[str], label: str):
+        """Conditional sums of both classes: no self-join."""
         aggs = []
         for cls in (0, 1):
             w = F.when(F.col(label) == cls, F.col("w").cast("double"))
@@ -58,9 +50,44 @@ class GaussianNB:
                     F.sum(w * xs).alias(f"s{cls}_{j}"),
                     F.sum(w * xs * xs).alias(f"q{cls}_{j}"),
                 ]
-        aggs += [F.first(f"_mean{j}").alias(f"_mean{j}") for j in range(d)] + [F.first("_maxvar").alias("_maxvar")]
-        st = b.groupBy(*axis, "bag").agg(*aggs)
-        eps = F.lit(self.var_smoothing) * F.col("_maxvar")
+        return aggs
+
+    def fit(self, bagged: DataFrame, rows: DataFrame, features: list[str], axis: list[str],
+            label: str = "y", fbags: list | None = None, first_bag: int = 0, shared: DataFrame | None = None,
+            bags=None, floor_by_bag: bool = False) -> DataFrame:
+        """bagged(axis…, bag, y, w, f…) -> one row per (axis, bag) with model columns.
+
+        ``shared`` (axis…, y, w, f…) are rows of every bag in the range ``bags``.
+        """
+        d = len(features)
+        g = rows.groupBy(*axis).agg(
+            *[F.avg(c).alias(f"_mean{j}") for j, c in enumerate(features)],
+            *[F.coalesce(F.var_pop(c), F.lit(0.0)).alias(f"_var{j}") for j, c in enumerate(features)],
+        )
+        names = [n for cls in (0, 1) for n in (f"N{cls}", *[f"{k}{cls}_{j}" for j in range(d) for k in "nsq"])]
+        sums = self._sums(features, label)
+        st = bagged.join(g, axis).groupBy(*axis, "bag").agg(*sums)
+        if shared is not None:
+            always = shared.join(g, axis).groupBy(*axis).agg(*sums).select(*axis, *[F.col(n).alias(f"_p{n}") for n in names])
+            frame = g.select(*axis).withColumn("bag", F.explode(F.sequence(F.lit(bags.start), F.lit(bags.stop - 1))))
+            # a sum is null only where neither side has a row
+            both = frame.join(st, [*axis, "bag"], "left").join(always, axis, "left")
+            total = lambda n: F.when(F.col(n).isNotNull() | F.col(f"_p{n}").isNotNull(),
+                                     F.coalesce(n, F.lit(0.0)) + F.coalesce(f"_p{n}", F.lit(0.0))).alias(n)
+            st = both.select(*axis, "bag", *[total(n) for n in names])
+        st = st.join(g, axis)
+        if floor_by_bag:
+            def part(k, j):
+                return F.coalesce(f"{k}0_{j}", F.lit(0.0)) + F.coalesce(f"{k}1_{j}", F.lit(0.0))
+
+            spread = [F.coalesce(F.try_divide(part("q", j), part("n", j)) - F.pow(F.try_divide(part("s", j), part("n", j)), 2), F.lit(0.0))
+                      for j in range(d)]
+        else:
+            spread = [F.col(f"_var{j}") for j in range(d)]
+        if fbags is not None and any(len(set(fb)) < d for fb in fbags):
+            used = F.element_at(F.array(*[F.array(*[F.lit(j in fb) for j in range(d)]) for fb in fbags]), F.col("bag") - F.lit(first_bag) + 1)
+            spread = [F.when(used[j], v).otherwise(F.lit(0.0)) for j, v in enumerate(spread)]
+        eps = F.lit(self.var_smoothing) * (F.greatest(*spread) if d > 1 else spread[0])
         out = []
         for cls in (0, 1):
             mu = [F.try_divide(F.col(f"s{cls}_{j}"), F.col(f"n{cls}_{j}")) for j in range(d)]
@@ -77,35 +104,45 @@ class GaussianNB:
 
     @staticmethod
     def model_bytes(d: int) -> int:
-        return 8 * (4 * d + 8)
-
-    def log_joint(self, m: Column, x: list[Column], cls: int, mult: Column | None = None) -> Column:
-        n, mu, v = m[f"n{cls}"], m[f"mu{cls}"], m[f"v{cls}"]
-        total = None
-        for j, xj in enumerate(x):
-            t = F.log(v[j]) + (xj - mu[j]) * (xj - mu[j]) / v[j]
-            t = F.coalesce(t, F.lit(0.0))
-            if mult is not None:
-                t = t * mult[j]
-            total = t if total is None else total + t
-        # an absent class gets a very low score instead of NULL so the expression is evaluated once
-        return F.when(F.coalesce(n, F.lit(0.0)) > 0, F.log(n) - F.lit(0.5) * total).otherwise(F.lit(ABSENT))
-
-    def proba(self, m: Column, x: list[Column], mult: Column | None = None) -> Column:
-        """p(class 1) of one bag's model for the row's features (never null)."""
-        l0 = self.log_joint(m, x, 0, mult)
-        l1 = self.log_joint(m, x, 1, mult)
-        diff = F.least(F.greatest(l0 - l1, F.lit(-EXP_CLAMP)), F.lit(EXP_CLAMP))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(diff))
-
-    def decision(self, m: Column, x: list[Column], mult: Column | None = None) -> Column:
+        return 8 * (5 * d + 8)
+
+    # -- scoring of one bag's model over the rows of an array --------------------
+
+    def unpack(self, row) -> dict:
+        """A row of the model table as arrays; a missing value is NaN."""
+        arr = lambda v: np.array([np.nan if x is None else x for x in v], dtype=float)
+        return {"mult": arr(row["fmult"])} | {f"n{c}": float(row[f"n{c}"] or 0.0) for c in (0, 1)} | {
+            f"{k}{c}": arr(row[f"{k}{c}"]) for k in ("mu", "v") for c in (0, 1)}
+
+    @staticmethod
+    def _distance(m: dict, x: np.ndarray, cls: int) -> np.ndarray:
+        """ln v + (x - mu)^2 / v per feature; 0 where the feature or its variance is missing."""
+        v = np.where(m[f"v{cls}"] > 0, m[f"v{cls}"], np.nan)
+        t = np.log(v) + (x - m[f"mu{cls}"]) ** 2 / v
+        return np.where(np.isnan(t), 0.0, t) * m["mult"]
+
+    def _joint(self, m: dict, x: np.ndarray, cls: int) -> np.ndarray:
+        # an absent class gets a very low score
+        if not m[f"n{cls}"] > 0:
+            return np.full(len(x), ABSENT)
+        return np.log(m[f"n{cls}"]) - 0.5 * self._distance(m, x, cls).sum(axis=1)
+
+    def np_decision(self, m: dict, x: np.ndarray) -> np.ndarray:
         """Raw margin l1 - l0 (log-odds)."""
-        return self.log_joint(m, x, 1, mult) - self.log_joint(m, x, 0, mult)
+        return self._joint(m, x, 1) - self._joint(m, x, 0)
+
+    def np_proba(self, m: dict, x: np.ndarray) -> np.ndarray:
+        """p(class 1) of one bag's model (never missing)."""
+        return 1.0 / (1.0 + np.exp(np.clip(-self.np_decision(m, x), -EXP_CLAMP, EXP_CLAMP)))
 
-    def log_proba(self, m: Column, x: list[Column], mult: Column | None = None) -> tuple[Column, Column]:
+    def np_log_proba(self, m: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ln p0, ln p1) by log-sum-exp of the joint log-likelihoods."""
-        l0 = self.log_joint(m, x, 0, mult)
-        l1 = self.log_joint(m, x, 1, mult)
-        mx = F.greatest(l0, l1)
-        lse = mx + F.log(F.exp(l0 - mx) + F.exp(l1 - mx))
-        return l0 - lse, l1 - lse
+        l0, l1 = self._joint(m, x, 0), self._joint(m, x, 1)
+        both = np.logaddexp(l0, l1)
+        return l0 - both, l1 - both
+
+    def np_terms(self, m: dict, x: np.ndarray) -> np.ndarray:
+        """Each feature's part of the margin (its constant left out)."""
+        one, zero = (np.log(v) + (x - m[f"mu{c}"]) ** 2 / v for c in (1, 0) for v in [np.where(m[f"v{c}"] > 0, m[f"v{c}"], np.nan)])
+        t = -0.5 * (one - zero) * m["mult"]
+        return np.where(np.isnan(t), 0.0, t)

@@ -101,13 +101,13 @@ class MLlibLearner:
 
     # -- fit: one MLlib model per (axis, bag) ---------------------------------------
     def fit_external(self, bagged: DataFrame, features: list[str], axis: list[str], label: str = "y") -> dict:
-        from pubag.plans.jobs import _cut
+        from pubag.session import kept
 
         data = bagged.select(*axis, "bag", F.col(label).cast("double").alias("_label"),
                              F.col("w").cast("double").alias("_w"), *features)
         if not self.takes_weight:
             data = data.withColumn("_rep", F.explode(F.array_repeat(F.lit(1), F.col("_w").cast("int")))).drop("_rep")
-        data = _cut(self._vector(data, features).select(*axis, "bag", "_label", "_w", "_features"))
+        data = kept(self._vector(data, features).select(*axis, "bag", "_label", "_w", "_features"))
         keys = [tuple(r) for r in data.select(*axis, "bag").distinct().orderBy(*axis, "bag").collect()]
         cols = [*axis, "bag"]
 

@@ -10,15 +10,18 @@ minimised per node (ties: smallest feature, then smallest bin). The split table
 Leaves predict sum(w*y)/sum(w). Rows never leave their partitions except for the
 aggregate's shuffle of partial sums; the row table is checkpointed each level.
 
-Scoring walks the tree in a fixed number of steps (= depth) inside one
-expression: node = 2*node + (bin > threshold) unless the node is a leaf.
+Scoring walks the tree in a fixed number of steps (= depth) for all rows of an
+Arrow batch at once: node = 2*node + (bin > threshold) unless the node is a leaf.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pubag.session import kept
+
 # Defaults of the histogram tree.
 N_BINS = 32
 MAX_DEPTH = 4
@@ -46,8 +49,6 @@ class DecisionTree:
             fbags: list[list[int]] | None = None, first_bag: int = 0, axis_params: DataFrame | None = None) -> DataFrame:
         """``axis_params`` (axis…, max_depth, min_leaf, allowed array<int>) gives every axis value its
         own depth cap, minimum leaf weight and candidate features (a hyper-parameter grid as an axis)."""
-        from pubag.plans.jobs import _cut
-
         d = len(features)
         nb = self.n_bins
         rng = rows.agg(*[F.min(c).alias(f"lo{j}") for j, c in enumerate(features)],
@@ -59,7 +60,7 @@ class DecisionTree:
                          for j, c in enumerate(features)])
         cur = bagged.select(*axis, "bag", F.col(label).cast("double").alias("_y"), F.col("w").cast("double").alias("_w"),
                             bins.alias("_bins"), F.lit(1).alias("node"))
-        cur = _cut(cur)
+        cur = kept(cur)
         if axis_params is not None:
             # one row per axis value (the grid): small, broadcast
             ap = F.broadcast(axis_params.select(*axis, F.col("max_depth").alias("_cap"),
@@ -102,7 +103,7 @@ class DecisionTree:
             level = tot.join(best, [*axis, "bag", "node"], "left").select(
                 *axis, "bag", "node", "W", "WY", F.coalesce("feat", F.lit(-1)).alias("feat"),
                 F.coalesce("thr", F.lit(-1)).alias("thr"))
-            level = _cut(level)
+            level = kept(level)
             nodes_all.append(level)
             splits = level.filter(F.col("feat") >= 0).select(*axis, "bag", "node", "feat", "thr")
             if splits.limit(1).count() == 0:
@@ -111,7 +112,7 @@ class DecisionTree:
             moved = cur.join(F.broadcast(splits), [*axis, "bag", "node"], "inner")
             child = (2 * F.col("node") + F.when(F.element_at("_bins", F.col("feat") + 1) > F.col("thr"), 1)
                      .otherwise(0)).alias("node")
-            cur = _cut(moved.select(*axis, "bag", "_y", "_w", "_bins", child))
+            cur = kept(moved.select(*axis, "bag", "_y", "_w", "_bins", child))
         nodes = nodes_all[0]
         for n in nodes_all[1:]:
             nodes = nodes.unionByName(n)
@@ -122,21 +123,25 @@ class DecisionTree:
         return model.withColumn("lo", F.array(*[F.lit(v) for v in lo])).withColumn(
             "wd", F.array(*[F.lit(v) for v in wd]))
 
-    # -- scoring -------------------------------------------------------------------
-    def _leaf(self, m: Column, x: list[Column]) -> Column:
-        bins = F.array(*[bin_expr(xj, m["lo"][j], m["wd"][j], self.n_bins) for j, xj in enumerate(x)])
-        tree = m["tree"]
-
-        def step(node, _):
-            nd = F.element_at(tree, node)
-            go = F.when(F.element_at(bins, nd["f"] + 1) > nd["t"], 1).otherwise(0)
-            return F.when(nd["f"] < 0, node).otherwise(2 * node + go)
-
-        return F.aggregate(F.sequence(F.lit(1), F.lit(self.max_depth)), F.lit(1), step)
-
-    def proba(self, m: Column, x: list[Column], mult: Column | None = None) -> Column:
-        leaf = self._leaf(m, x)
-        return F.coalesce(F.element_at(m["tree"], leaf)["v"], F.lit(0.0))
+    # -- scoring of one bag's tree over the rows of an array -------------------------
+
+    def unpack(self, row) -> dict:
+        size = 2 ** (self.max_depth + 2)
+        feat, cut, value = np.full(size, -1), np.full(size, -1), np.zeros(size)
+        for node, nd in row["tree"].items():
+            feat[node], cut[node], value[node] = nd["f"], nd["t"], nd["v"] or 0.0
+        return {"feat": feat, "cut": cut, "value": value, "lo": np.array(row["lo"]), "wd": np.array(row["wd"])}
+
+    def np_proba(self, m: dict, x: np.ndarray) -> np.ndarray:
+        """Value of the leaf that each row reaches in ``max_depth`` steps."""
+        bins = np.clip(np.floor((x - m["lo"]) / m["wd"]), 0, self.n_bins - 1)
+        bins = np.where(np.isnan(x), -1, bins)
+        rows, node = np.arange(len(x)), np.ones(len(x), dtype=int)
+        for _ in range(self.max_depth):
+            f = m["feat"][node]
+            go = bins[rows, np.maximum(f, 0)] > m["cut"][node]
+            node = np.where(f < 0, node, 2 * node + go)
+        return m["value"][node]
 
     @staticmethod
     def model_columns() -> list[str]:

@@ -1,12 +1,16 @@
 """Exact-size, reproducible sampling and splitting (SA1-SA19, SO2, SO4, WI4, WI5).
 
-Every random order is ``(h(seed, tag, key), key)``. "The first n rows in that
-order" is computed without a global sort: the 60-bit hash is cut into
-``2**bits`` ordered buckets by its top bits, bucket counts (a few thousand rows
-per partition value) give a running total, every bucket below the cut bucket is
-kept whole, and ``row_number`` runs inside the single cut bucket only. The same
-counts give dense positions (offset of the bucket + rank inside it).
+Every random order is ``(h(seed, tag, key), key, content hash)``; rows that agree in all
+of it are interchangeable. There is one path for every size:
 
+* dense positions come from a range partitioning of that order: one count per range
+  partition gives the offsets, ``row_number`` runs inside each partition. A row id is the
+  last sort column, so even a group of identical rows is cut into several partitions.
+* "the first n rows" takes a histogram over the top bits of the hash, keeps every bucket
+  below the cut bucket whole and gives dense positions to the cut bucket only. The result
+  does not depend on the number of bits.
+
+Asking for more rows than there are is an error unless the caller says ``at_most``.
 Partition columns (``parts``) make one call serve many independent samples at
 once (per group, per repeat, per class, per bag): they are ordinary columns.
 """
@@ -19,10 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pubag.functions.hashing import HASH_BITS, as_list, h, key_text, uniform
+from pubag.session import checkpoint_dir
 
 DEFAULT_BITS = 12
 _H = "_h"
 _B = "_b"
+_H2, _R, _P = "_h2", "_rid", "_part"
 
 
 def with_hash(df: DataFrame, key, seed, tag: str, extra: tuple = (), name: str = _H) -> DataFrame:
@@ -35,156 +41,109 @@ def _order(key) -> list[Column]:
     return [F.col(_H)] + [F.col(k) for k in as_list(key)]
 
 
-def _cut_table(d: DataFrame, parts: list[str], n, bits: int) -> DataFrame:
-    """Per partition value: the cut bucket and how many rows to take inside it.
+def _content(df: DataFrame) -> Column:
+    cols = [f.name for f in df.schema.fields if f.dataType.typeName() != "map" and not f.name.startswith("_")]
+    return F.xxhash64(*cols) if cols else F.lit(0).cast("bigint")
+
+
+def dense_position(df: DataFrame, key, seed, tag: str = "pos", parts=(), name: str = "pos", extra: tuple = ()) -> DataFrame:
+    """0-based ordinal in (h, key, content) order within each partition value (SO4).
 
-    Input ``d`` has the hash bucket column. ``n`` is an int, a Column over the
-    partition columns, or a DataFrame(parts…, n). Result has one row per
-    partition value, so it is as small as the partition axis.
+    The rows are range-partitioned once by that order and kept in the shared checkpoint
+    folder; offsets come from one count per range partition. Only the first partition value
+    of a range partition can have started before it, so the table of offsets has at most
+    one row per range partition whatever the partition axis.
     """
-    hist = d.groupBy(*parts, _B).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*parts).orderBy(_B) if parts else Window.orderBy(_B)
-    hist = hist.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = as_list(parts)
+    cols = df.columns
+    d = with_hash(df, key, seed, tag, extra)
+    d = d.withColumn(_H2, _content(df)).withColumn(_R, F.monotonically_increasing_id())
+    order = [*parts, *_order(key), _H2, _R]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    checkpoint_dir(df.sparkSession)
+    d = d.repartitionByRange(n, *order).withColumn(_P, F.spark_partition_id()).checkpoint(eager=True)
+    per = d.groupBy(_P, *parts).agg(F.count(F.lit(1)).alias("_c"))
+    ahead = Window.partitionBy(*parts).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_off", F.sum("_c").over(ahead)).filter(F.col("_off") > 0)
+    per = per.select(F.col(_P).alias("_p2"), *[F.col(p).alias(f"_k_{i}") for i, p in enumerate(parts)], "_off")
+    on = F.col(_P) == F.col("_p2")
+    for i, p in enumerate(parts):
+        on = on & F.col(p).eqNullSafe(F.col(f"_k_{i}"))
+    d = d.join(F.broadcast(per), on, "left")  # at most one row per range partition
+    rn = F.row_number().over(Window.partitionBy(_P, *parts).orderBy(*_order(key), _H2, _R))
+    return d.withColumn(name, (F.coalesce("_off", F.lit(0)) + rn - 1).cast("bigint")).select(*cols, name)
+
+
+def _wanted(hist: DataFrame, parts: list[str], n) -> DataFrame:
+    """(parts…, _n, _total): rows asked for and rows there, one row per partition value."""
+    total = hist.groupBy(*parts).agg(F.sum("_c").alias("_total"))
     if isinstance(n, DataFrame):
-        hist = hist.join(F.broadcast(n.select(*parts, F.col("n").cast("bigint").alias("_n"))), parts)
-    else:
-        ncol = n if isinstance(n, Column) else F.lit(int(n))
-        hist = hist.withColumn("_n", ncol.cast("bigint"))
-    hist = hist.withColumn("_prev", F.col("_cum") - F.col("_c"))
-    full = 1 << bits
-    # the cut bucket: first bucket whose running total reaches n
-    cut = (
-        hist.filter((F.col("_prev") < F.col("_n")) & (F.col("_cum") >= F.col("_n")))
-        .select(*parts, F.col(_B).alias("_bcut"), (F.col("_n") - F.col("_prev")).alias("_rem"),
-                F.col("_c").alias("_bc"))
-    )
-    # partitions whose total is below n keep everything (callers that need
-    # "n > rows is an error" validate with check_sample_size)
-    short = (
-        hist.groupBy(*parts).agg(F.max("_cum").alias("_tot"), F.first("_n").alias("_n"))
-        .filter(F.col("_tot") < F.col("_n"))
-        .select(*parts, F.lit(full).cast("bigint").alias("_bcut"), F.lit(0).cast("bigint").alias("_rem"),
-                F.lit(0).cast("bigint").alias("_bc"))
-    )
-    return cut.unionByName(short)
-
-
-# Copies re-emitted per task when a collapsed group of identical rows is expanded,
-# and the bucket size above which a bucket takes that path instead of one window task.
-COPY_CHUNK = 1 << 16
-HOT_BUCKET_ROWS = 1 << 21
-_C, _H2 = "_c", "_h2"
-
-
-def _collapse(d: DataFrame) -> DataFrame:
-    """Identical rows -> one row with multiplicity ``_c`` (a hot group of copies becomes one row);
-    ``_h2`` (content hash) orders distinct rows that share a key."""
-    cols = d.columns
-    g = d.groupBy(*cols).agg(F.count(F.lit(1)).alias(_C))
-    return g.withColumn(_H2, F.xxhash64(*[F.col(c) for c in cols if not c.startswith("_")]))
-
-
-def _expand(g: DataFrame, count: str, start: str, out: str, group_cols: list[str]) -> DataFrame:
-    """Emit ``count`` copies of each row with ``out`` = start, start+1, …; a large group is cut
-    into chunks that are spread over tasks before the copies are generated."""
-    spark = g.sparkSession
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ck = F.col("_ck")
-    g = g.withColumn("_ck", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                 F.floor((F.col(count) - 1) / F.lit(COPY_CHUNK)).cast("bigint"))))
-    # explicit partition count: AQE keeps it, so chunks of one hot group land on different tasks
-    g = g.repartition(nparts, "_ck", *group_cols)
-    lo = ck * F.lit(COPY_CHUNK)
-    hi = F.least(lo + F.lit(COPY_CHUNK), F.col(count)) - 1
-    g = g.withColumn("_i", F.explode(F.sequence(lo, hi)))
-    return g.withColumn(out, (F.col(start) + F.col("_i")).cast("bigint")).drop("_ck", "_i")
+        ask = n.select(*[F.col(p).alias(f"_k_{i}") for i, p in enumerate(parts)], F.col("n").cast("bigint").alias("_n"))
+        on = F.lit(True)
+        for i, p in enumerate(parts):
+            on = on & F.col(p).eqNullSafe(F.col(f"_k_{i}"))
+        return ask.join(total, on, "left").select(
+            *[F.col(f"_k_{i}").alias(p) for i, p in enumerate(parts)], "_n", F.coalesce("_total", F.lit(0)).alias("_total"))
+    ncol = n if isinstance(n, Column) else F.lit(int(n))
+    return total.withColumn("_n", ncol.cast("bigint")).withColumn("_total", F.coalesce("_total", F.lit(0)))
 
 
 def first_n(df: DataFrame, n, key, seed, tag: str = "sample", parts=(), bits: int = DEFAULT_BITS,
-            extra: tuple = ()) -> DataFrame:
-    """Exactly min(n, rows) rows per partition value: the first in (h, key) order.
+            extra: tuple = (), at_most: bool = False) -> DataFrame:
+    """Exactly n rows per partition value: the first in (h, key, content) order.
 
-    ``n``: int, Column over ``parts``, or DataFrame(parts…, n).
+    ``n``: int, Column over ``parts``, or DataFrame(parts…, n); 0 gives no rows. More than
+    there are is a ``ValueError`` naming the partition value, or all rows with ``at_most``.
     """
     parts = as_list(parts)
+    cols = df.columns
     d = with_hash(df, key, seed, tag, extra).withColumn(_B, F.shiftright(F.col(_H), HASH_BITS - bits))
-    cut = _cut_table(d, parts, n, bits)
+    hist = d.groupBy(*parts, _B).agg(F.count(F.lit(1)).alias("_c"))
+    checkpoint_dir(df.sparkSession)
+    hist = hist.checkpoint(eager=True)  # at most 2**bits rows per partition value
+    want = _wanted(hist, parts, n)
+    if not at_most:
+        short = want.filter(F.col("_n") > F.col("_total")).limit(1).collect()
+        if short:
+            where = ", ".join(f"{p}={short[0][p]!r}" for p in parts)
+            raise ValueError(f"{short[0]['_n']} rows asked for, {short[0]['_total']} there" + (f" ({where})" if where else ""))
+    run = Window.partitionBy(*parts).orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("_cum", F.sum("_c").over(run))
+    want = want.select(*[F.col(p).alias(f"_k_{i}") for i, p in enumerate(parts)], "_n")
+    on = F.lit(True)
+    for i, p in enumerate(parts):
+        on = on & F.col(p).eqNullSafe(F.col(f"_k_{i}"))
+    # per partition value the number of buckets below the cut, and what is left for the cut bucket
+    cut = (cum.join(want, on).groupBy(*parts, "_n")
+           .agg(F.coalesce(F.max(F.when(F.col("_cum") <= F.col("_n"), F.col(_B))), F.lit(-1)).alias("_bfull"),
+                F.min(F.when(F.col("_cum") > F.col("_n"), F.col(_B))).alias("_bcut"),
+                F.coalesce(F.max(F.when(F.col("_cum") <= F.col("_n"), F.col("_cum"))), F.lit(0)).alias("_before"))
+           .select(*[F.col(p).alias(f"_k_{i}") for i, p in enumerate(parts)], "_bfull", "_bcut", (F.col("_n") - F.col("_before")).alias("_rem")))
     if parts:
-        # one row per partition value: bounded by the partition axis, safe to broadcast
-        j = d.join(F.broadcast(cut), parts, "inner")
+        j = d.join(cut, on)
     else:
-        # a single cut: two numbers read back to the driver
-        row = cut.first()
-        j = d.withColumn("_bcut", F.lit(int(row["_bcut"])).cast("bigint")).withColumn(
-            "_rem", F.lit(int(row["_rem"])).cast("bigint")).withColumn("_bc", F.lit(int(row["_bc"])).cast("bigint"))
-    whole = j.filter(F.col(_B) < F.col("_bcut"))
-    edge_all = j.filter(F.col(_B) == F.col("_bcut"))
-    # a normal cut bucket: row_number inside it
-    wr = Window.partitionBy(*parts, _B).orderBy(*_order(key))
-    edge = edge_all.filter(F.col("_bc") <= HOT_BUCKET_ROWS)
-    edge = edge.withColumn("_rn", F.row_number().over(wr)).filter(F.col("_rn") <= F.col("_rem")).drop("_rn")
-    # a hot cut bucket (a group of copies): copies collapsed, running count in (h, key, content)
-    # order, the needed number of copies re-emitted in chunks over many tasks
-    hot = _collapse(edge_all.filter(F.col("_bc") > HOT_BUCKET_ROWS))
-    wc = Window.partitionBy(*parts, _B).orderBy(*_order(key), F.col(_H2)).rowsBetween(Window.unboundedPreceding, 0)
-    hot = hot.withColumn("_cum", F.sum(_C).over(wc)).withColumn("_prevc", F.col("_cum") - F.col(_C))
-    hot = hot.filter(F.col("_prevc") < F.col("_rem")).withColumn(
-        "_take", F.least(F.col(_C), F.col("_rem") - F.col("_prevc"))).withColumn("_zero", F.lit(0).cast("bigint"))
-    hot = _expand(hot, "_take", "_zero", "_k", [*parts, _H, _H2]).drop(
-        "_k", "_zero", "_take", "_cum", "_prevc", _C, _H2)
-    return whole.unionByName(edge).unionByName(hot).drop(_H, _B, "_bcut", "_rem", "_bc")
-
-
-def dense_position(df: DataFrame, key, seed, tag: str = "pos", parts=(), bits: int = DEFAULT_BITS,
-                   name: str = "pos", extra: tuple = ()) -> DataFrame:
-    """0-based ordinal in (h, key) order within each partition value (SO4).
-
-    Offsets come from bucket counts; ``row_number`` only runs inside each of the
-    2**bits buckets, so no single task sorts the whole input.
-    """
-    parts = as_list(parts)
-    d = with_hash(df, key, seed, tag, extra).withColumn(_B, F.shiftright(F.col(_H), HASH_BITS - bits))
-    hist = d.groupBy(*parts, _B).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*parts).orderBy(_B) if parts else Window.orderBy(_B)
-    offs = hist.withColumn("_off", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
-    # bounded by (partition values x 2**bits); the bucket count is chosen so this stays small
-    d = d.join(F.broadcast(offs.select(*parts, _B, "_off", F.col("_c").alias("_bc"))), parts + [_B])
-    # normal buckets: row_number inside each bucket
-    wr = Window.partitionBy(*parts, _B).orderBy(*_order(key))
-    normal = d.filter(F.col("_bc") <= HOT_BUCKET_ROWS)
-    normal = normal.withColumn(name, (F.col("_off") + F.row_number().over(wr) - 1).cast("bigint"))
-    # hot buckets (a group of copies): copies collapsed before the window, each copy gets its own
-    # consecutive position when re-emitted in chunks over many tasks
-    g = _collapse(d.filter(F.col("_bc") > HOT_BUCKET_ROWS))
-    wc = Window.partitionBy(*parts, _B).orderBy(*_order(key), F.col(_H2)).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("_start", F.col("_off") + F.sum(_C).over(wc) - F.col(_C))
-    hot = _expand(g, _C, "_start", name, [*parts, _H, _H2]).drop("_start", _C, _H2)
-    return normal.unionByName(hot).drop(_H, _B, "_off", "_bc")
-
-
-def rank_in(df: DataFrame, key, seed, tag: str, parts=(), bits: int = DEFAULT_BITS, name: str = "rank",
-            extra: tuple = ()) -> DataFrame:
-    """1-based rank in (h, key) order within ``parts`` (WI4)."""
-    return dense_position(df, key, seed, tag, parts, bits, name="_p", extra=extra).withColumn(
-        name, (F.col("_p") + 1).cast("bigint")).drop("_p")
+        row = cut.first()  # three numbers
+        full, at, rem = (row["_bfull"], row["_bcut"], row["_rem"]) if row else (-1, None, 0)
+        j = d.withColumns({"_bfull": F.lit(full).cast("bigint"), "_bcut": F.lit(at).cast("bigint"), "_rem": F.lit(rem).cast("bigint")})
+    whole = j.filter(F.col(_B) <= F.col("_bfull")).select(*cols)
+    edge = j.filter((F.col(_B) == F.col("_bcut")) & (F.col("_rem") > 0)).select(*cols, "_rem")
+    edge = dense_position(edge, key, seed, tag, parts, name="_pos", extra=extra)
+    return whole.unionByName(edge.filter(F.col("_pos") < F.col("_rem")).select(*cols))
 
 
-def check_sample_size(df: DataFrame, n: int, what: str = "rows") -> int:
-    """Raise like the reference when n is not in (0, rows]; returns the row count."""
-    rows = df.count()
-    if not (0 < n <= rows):
-        raise ValueError(f"sample size {n} must be positive and no larger than the number of {what} ({rows})")
-    return rows
+def rank_in(df: DataFrame, key, seed, tag: str, parts=(), name: str = "rank", extra: tuple = ()) -> DataFrame:
+    """1-based rank in (h, key) order within ``parts`` (WI4)."""
+    return dense_position(df, key, seed, tag, parts, name="_pos", extra=extra).withColumn(
+        name, (F.col("_pos") + 1).cast("bigint")).drop("_pos")
 
 
 # --- SA1 - SA4 -----------------------------------------------------------------
 
 
-def sample_n(df: DataFrame, n: int, key, seed, tag: str = "sample", validate: bool = False,
-             bits: int = DEFAULT_BITS) -> DataFrame:
-    """SA1: exactly n rows without replacement (n > rows is an error when validated)."""
-    if validate:
-        check_sample_size(df, n)
+def sample_n(df: DataFrame, n: int, key, seed, tag: str = "sample", bits: int = DEFAULT_BITS) -> DataFrame:
+    """SA1: exactly n rows without replacement; n must be in (0, rows]."""
+    if n <= 0:
+        raise ValueError(f"a sample needs at least one row, not {n}")
     return first_n(df, n, key, seed, tag, bits=bits)
 
 
@@ -232,7 +191,7 @@ def resolve_max_samples(max_samples, n_u: int, n_p: int | None = None) -> int:
     else:
         m = int(float(max_samples) * n_u)
     if not (0 < m <= n_u):
-        raise ValueError("max_samples must be positive and no larger than the number of unlabeled points")
+        raise ValueError(f"max_samples gives {m} draws; 1 to {n_u} unlabelled rows can be drawn")
     return m
 
 
@@ -278,30 +237,27 @@ def bootstrap_draws(spark, n_bags: int, m: int | list[int], n_u: int | list[int]
     return r.groupBy(*axis, "bag", "pos").agg(F.count(F.lit(1)).cast("int").alias("w"))
 
 
-# Number of Poisson CDF terms used by the scale-mode bootstrap.
-POISSON_TERMS = 12
-
-
-def poisson_cdf(lam: float, terms: int = POISSON_TERMS) -> list[float]:
-    """P(X <= j) for j = 0..terms-1 (the inverse-CDF steps)."""
+def poisson_cdf(lam: float) -> list[float]:
+    """P(X <= j) for j = 0, 1, … (the inverse-CDF steps), until the sum no longer moves in double precision."""
     out, p, cdf = [], math.exp(-lam), math.exp(-lam)
-    for j in range(1, terms + 1):
+    while not out or cdf > out[-1] or len(out) < lam:
         out.append(cdf)
-        p = p * lam / j
+        p = p * lam / len(out)
         cdf += p
     return out
 
 
-def poisson_weights(key, seed, n_bags: int, lam: float, first_bag: int = 0, tag: str = "pois",
+def poisson_weights(key, seed, n_bags: int, lam: float | Column, first_bag: int = 0, tag: str = "pois",
                     fast: bool = False) -> Column:
     """SA7: array of T Poisson(lam) weights, one per bag, recomputable from the hash.
+    ``lam`` is the rate, or a column with the steps of its distribution (``poisson_cdf``).
 
     One compact expression: the bag ids are a sequence, each maps to a uniform and
     the weight is the number of CDF steps at or below it. ``fast`` uses xxhash64 of
     (seed, tag, bag, key) instead of md5 text (the scale path; not the oracle's hash).
     """
     kt = key_text(as_list(key))
-    cdf = F.array(*[F.lit(float(c)) for c in poisson_cdf(lam)])
+    cdf = lam if isinstance(lam, Column) else F.array(*[F.lit(float(c)) for c in poisson_cdf(lam)])
     bags = F.sequence(F.lit(first_bag), F.lit(first_bag + n_bags - 1))
     if fast:
         mask = F.lit((1 << HASH_BITS) - 1)
@@ -312,12 +268,18 @@ def poisson_weights(key, seed, n_bags: int, lam: float, first_bag: int = 0, tag:
     return F.transform(us, lambda u: F.size(F.filter(cdf, lambda c: u >= c)))
 
 
-def subsample_members(u_rows: DataFrame, key, n_bags: int, m: int, seed, axis=(), tag: str = "sub",
+def subsample_members(u_rows: DataFrame, key, n_bags: int, m: int, seed, axis=(), first_bag: int = 0, tag: str = "sub",
                       bits: int = DEFAULT_BITS) -> DataFrame:
-    """SA6: per bag, m distinct rows of U (bootstrap=False) -> (axis…, bag, key…, w=1)."""
+    """SA6: per bag, m distinct rows of U (bootstrap=False) -> (axis…, bag, key…, w=1).
+
+    Bag ids start at ``first_bag``; they and the axis values are part of the hash, so the
+    bags of a warm start and of another axis value are new draws."""
     axis = as_list(axis)
-    bags = u_rows.select(*axis, *as_list(key)).withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(n_bags - 1))))
-    picked = first_n(bags, m, key, seed, tag, parts=axis + ["bag"], bits=bits, extra=(F.col("bag"),))
+    ids = F.sequence(F.lit(first_bag), F.lit(first_bag + n_bags - 1))
+    bags = u_rows.select(*axis, *as_list(key)).withColumn("bag", F.explode(ids))
+    # the internal single-axis placeholder is not part of the hash text
+    extra = (*[F.col(a) for a in axis if not a.startswith("_")], F.col("bag"))
+    picked = first_n(bags, m, key, seed, tag, parts=axis + ["bag"], bits=bits, extra=extra)
     return picked.withColumn("w", F.lit(1))
 
 
@@ -334,21 +296,16 @@ def feature_bag(n_features: int, k: int, n_bags: int, seed, replace: bool = Fals
     Drawn from the same hash so that bag b gets the same features whatever T is.
     Without replacement: the k smallest hashes; with replacement: k hashed draws.
     """
-    import hashlib
-
-    def hv(*parts) -> int:
-        return int(hashlib.md5("|".join(str(p) for p in parts).encode()).hexdigest()[:15], 16)
-
     if not (0 < k <= n_features):
-        raise ValueError("max_features must be in (0, n_features]")
+        raise ValueError(f"{k} features asked for, 1 to {n_features} possible")
     out = []
     for b in range(first_bag, first_bag + n_bags):
         if replace:
-            out.append([hv(seed, "feat", b, i) % n_features for i in range(k)])
+            out.append([feature_bag_hash(seed, "feat", b, i) % n_features for i in range(k)])
         elif k == n_features:
             out.append(list(range(n_features)))
         else:
-            order = sorted(range(n_features), key=lambda j: (hv(seed, "feat", b, j), j))
+            order = sorted(range(n_features), key=lambda j: (feature_bag_hash(seed, "feat", b, j), j))
             out.append(sorted(order[:k]))
     return out
 
@@ -364,61 +321,85 @@ def holdout_n(df: DataFrame, n: int, key, seed, label: str = "y", tag: str = "ho
     return train, test
 
 
+# Most folds of a leave-one-group-out split: every fold trains a model and holds all other rows.
+MAX_FOLDS = 1000
+
+
 def leave_one_group_out(df: DataFrame, key, group: str = "grp") -> DataFrame:
     """SA13: one fold per group g: rows with role 'test' (group = g) or 'train' (key not in test).
 
-    Result (fold, role, …): groups are a small axis table crossed with the rows.
+    Result (fold, role, …). Rows go to the folds of the other groups in one projection; more
+    than ``MAX_FOLDS`` groups are an error.
     """
-    # the group axis is small (one fold per group); rows are replicated once per fold
-    groups = [r[0] for r in df.select(group).distinct().collect()]
-    x = df.withColumn("fold", F.explode(F.array(*[F.lit(g) for g in groups])))
-    test = x.filter(F.col(group) == F.col("fold")).withColumn("role", F.lit("test"))
+    groups = [r[0] for r in df.select(group).distinct().limit(MAX_FOLDS + 1).collect()]
+    if len(groups) > MAX_FOLDS:
+        raise ValueError(f"more than {MAX_FOLDS} groups in column {group}")
+    test = df.withColumn("fold", F.col(group)).withColumn("role", F.lit("test"))
     test_keys = test.select("fold", *as_list(key)).distinct()
-    train = x.filter(F.col(group) != F.col("fold")).join(test_keys, ["fold", *as_list(key)], "left_anti")
-    return test.unionByName(train.withColumn("role", F.lit("train")))
+    others = F.filter(F.array(*[F.lit(g) for g in groups]), lambda g: ~g.eqNullSafe(F.col(group)))
+    train = df.withColumn("fold", F.explode(others)).withColumn("role", F.lit("train"))
+    return test.unionByName(train.join(test_keys, ["fold", *as_list(key)], "left_anti"))
 
 
 def class_sizes(df: DataFrame, label: str = "y") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).cast("bigint").alias("n_c"))
 
 
+def stratified_sizes(df: DataFrame, test_frac: float, label: str = "y") -> DataFrame:
+    """(label, n_test): round(frac * rows) test rows in all, shared by class size, whole parts first
+    and the rest to the largest remainders (ties: smaller label)."""
+    sizes = class_sizes(df, label)
+    total = sizes.agg(F.sum("n_c")).first()[0] or 0
+    n_test = math.floor(total * test_frac + 0.5)
+    share = F.col("n_c") * F.lit(n_test)
+    sizes = sizes.withColumn("_whole", F.floor(share / F.lit(max(1, total))).cast("bigint"))
+    sizes = sizes.withColumn("_left", share - F.col("_whole") * F.lit(total))
+    one = Window.orderBy(F.desc("_left"), label)  # one row per class
+    spare = F.lit(n_test) - F.sum("_whole").over(Window.partitionBy())
+    return sizes.select(label, (F.col("_whole") + F.when(F.row_number().over(one) <= spare, 1).otherwise(0)).cast("bigint").alias("n_test"))
+
+
 def stratified_split(df: DataFrame, key, seed, test_frac: float = 0.2, label: str = "y",
-                     tag: str = "strat", bits: int = DEFAULT_BITS) -> DataFrame:
-    """SA14: adds ``is_test``: per class the first round(frac * n_c) rows by hash."""
-    sizes = class_sizes(df, label).select(label, F.round(F.col("n_c") * F.lit(float(test_frac))).cast("bigint").alias("n_test"))
-    r = rank_in(df, key, seed, tag, parts=[label], bits=bits, name="_r")
-    r = r.join(F.broadcast(sizes), label)
-    return r.withColumn("is_test", F.col("_r") <= F.col("n_test")).drop("_r", "n_test")
+                     tag: str = "strat") -> DataFrame:
+    """SA14: adds ``is_test``: per class the first rows by hash, as many as its share of the test rows."""
+    sizes = stratified_sizes(df, test_frac, label).withColumnRenamed(label, "_label")
+    r = rank_in(df, key, seed, tag, parts=[label], name="_r")
+    r = r.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    return r.withColumn("is_test", F.col("_r") <= F.col("n_test")).drop("_r", "n_test", "_label")
 
 
-def stratified_kfold(df: DataFrame, key, seed, k: int, label: str = "y", tag: str = "kfold",
-                     bits: int = DEFAULT_BITS) -> DataFrame:
+def stratified_kfold(df: DataFrame, key, seed, k: int, label: str = "y", tag: str = "kfold") -> DataFrame:
     """SA15 / WI5: fold = (rank within class - 1) % k; folds differ by at most 1 per class."""
-    return dense_position(df, key, seed, tag, parts=[label], bits=bits, name="_p").withColumn(
-        "fold", (F.col("_p") % F.lit(k)).cast("int")).drop("_p")
+    return dense_position(df, key, seed, tag, parts=[label], name="_pos").withColumn(
+        "fold", (F.col("_pos") % F.lit(k)).cast("int")).drop("_pos")
 
 
-def chunks(df: DataFrame, key, seed, size: int, tag: str = "chunk", bits: int = DEFAULT_BITS) -> DataFrame:
+def chunks(df: DataFrame, key, seed, size: int, tag: str = "chunk") -> DataFrame:
     """SA16: chunk = floor(position / size) over the sampled order."""
-    return dense_position(df, key, seed, tag, bits=bits, name="_p").withColumn(
-        "chunk", (F.col("_p") / F.lit(size)).cast("int")).drop("_p")
+    return dense_position(df, key, seed, tag, name="_pos").withColumn(
+        "chunk", (F.col("_pos") / F.lit(size)).cast("int")).drop("_pos")
 
 
 def hide_labels(df: DataFrame, n_hide: int, key, seed, label: str = "y", tag: str = "hide",
                 bits: int = DEFAULT_BITS) -> DataFrame:
-    """SA17: y_train = 0 for the first n_hide positives in hash order; y_true kept."""
-    pos = rank_in(df.filter(F.col(label) == 1), key, seed, tag, bits=bits, name="_r")
-    hidden = pos.filter(F.col("_r") <= n_hide).select(*as_list(key)).withColumn("_hid", F.lit(True))
+    """SA17: y_train = 0 for the first n_hide positives in hash order (no more than there are); y_true kept."""
+    hidden = first_n(df.filter(F.col(label) == 1), n_hide, key, seed, tag, bits=bits)
+    hidden = hidden.select(*as_list(key)).withColumn("_hid", F.lit(True))
     out = df.join(hidden, as_list(key), "left")
     return out.withColumn("y_true", F.col(label)).withColumn(
         label, F.when(F.col("_hid"), F.lit(0)).otherwise(F.col(label)).cast("int")).drop("_hid")
 
 
-def hide_sweep(df: DataFrame, levels: list[int], key, seed, label: str = "y", tag: str = "hide",
-               bits: int = DEFAULT_BITS) -> DataFrame:
-    """SA18: one rank, nested hidden sets: level column, y_train = 0 if rank <= level."""
-    pos = rank_in(df.filter(F.col(label) == 1), key, seed, tag, bits=bits, name="_r").select(*as_list(key), "_r")
-    x = df.join(pos, as_list(key), "left").withColumn("level", F.explode(F.array(*[F.lit(int(v)) for v in levels])))
+def hide_sweep(df: DataFrame, levels: list[int], key, seed, label: str = "y", tag: str = "hide") -> DataFrame:
+    """SA18: one rank, nested hidden sets: level column, y_train = 0 if rank <= level.
+
+    Levels must differ and hide no more positives than there are."""
+    levels = [int(v) for v in levels]
+    n_pos = df.filter(F.col(label) == 1).count()
+    if len(set(levels)) < len(levels) or not all(0 <= v <= n_pos for v in levels):
+        raise ValueError(f"levels {levels} must be different numbers from 0 to the {n_pos} positives")
+    pos = rank_in(df.filter(F.col(label) == 1), key, seed, tag, name="_r").select(*as_list(key), "_r")
+    x = df.join(pos, as_list(key), "left").withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
     return x.withColumn("y_true", F.col(label)).withColumn(
         label, F.when(F.col("_r").isNotNull() & (F.col("_r") <= F.col("level")), 0).otherwise(F.col(label)).cast("int")
     ).drop("_r")

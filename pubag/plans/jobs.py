@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pubag.functions.hashing import as_list
 from pubag.operators import metrics as M
 from pubag.operators import sampling as S
-from pubag.operators.bagging import PUBagging, fit_plain
+from pubag.operators.bagging import PUBagging, PUModel, fit_plain
+from pubag.operators.scoring import scored
+from pubag.session import kept
 
 
 def _no_truth(df: DataFrame) -> DataFrame:
@@ -24,18 +26,6 @@ def _no_truth(df: DataFrame) -> DataFrame:
     return df.drop("y_true")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Materialise a stage table in the shared checkpoint folder and cut its lineage.
-
-    Sampling stages reference their input several times (histogram, cut, rows); without a
-    cut, stacked stages multiply the plan. The checkpoint also survives executor loss.
-    """
-    from pubag.session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
@@ -80,7 +70,7 @@ def hidden_label_recovery(df: DataFrame, features, key, seed, repeats: int = 10,
     """EX5: fit plain and PU on the same rows with hidden positives, predict those rows,
     compare with the true labels; mean over repeats per model -> (model, accuracy, recall, f1)."""
     df = _no_truth(df)
-    train = _cut(recovery_training(df, key, seed, repeats, hide_frac))
+    train = kept(recovery_training(df, key, seed, repeats, hide_frac))
     pred = _both_models(train, features, key, ["repeat"], n_estimators, max_samples, seed, learner)
     ev = M.evaluate(pred, "y_true", "yhat", by=["model", "repeat"])
     return ev.groupBy("model").agg(F.avg("accuracy").alias("accuracy"), F.avg("recall").alias("recall"),
@@ -98,34 +88,32 @@ def chunk_cross_score(pos: DataFrame, background: DataFrame, features, key, seed
     (AG7). All chunk models are fitted in one aggregate (chunk = bag axis) and scoring folds
     over the model array with the predicate ``bag <> own chunk`` (JO3).
     """
-    from pubag.operators.bagging import _by_bag, _learner, _materialise
+    from pubag.operators.bagging import _learner
 
     learner = _learner(learner)
     key = as_list(key)
-    b = _cut(S.chunks(background, key, seed, chunk_size).withColumn(label, F.lit(0)))
-    n_chunks = b.agg(F.max("chunk")).first()[0] + 1
-    p = pos.withColumn(label, F.lit(1))
     ax = "_ax"
-    bagged = _union(
-        p.select(*key, label, *features).withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))),
-        b.select(*key, label, *features, F.col("chunk").alias("bag")),
-    ).withColumn("w", F.lit(1)).withColumn(ax, F.lit(0))
-    rows = _union(p.select(*key, label, *features), b.select(*key, label, *features)).withColumn(ax, F.lit(0))
-    model = learner.fit(bagged, rows, features, [ax], label)
-    model = model.withColumn("fmult", F.array(*[F.lit(1) for _ in features]))
-    model = _materialise(model, n_chunks * (4 * len(features) + 8) * 8)
-    cols = [c for c in model.columns if c != ax]
-    arr = model.groupBy(ax).agg(_by_bag(F.collect_list(F.struct(*cols))).alias("_models"))
-    x = [F.col(c).cast("double") for c in features]
-    scored = b.withColumn(ax, F.lit(0)).join(F.broadcast(arr), ax)
-    init = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
-    acc = F.aggregate(F.col("_models"), init, lambda a, m: F.when(
-        m["bag"] != F.col("chunk"),
-        F.struct((a["s"] + learner.proba(m, x, m["fmult"])).alias("s"), (a["n"] + 1).alias("n"))).otherwise(a))
-    out = scored.withColumn("_acc", acc).select(
-        *key, F.coalesce(F.try_divide(F.col("_acc.s"), F.col("_acc.n").cast("double")), F.lit(0.0)).alias("score"),
-        F.col("_acc.n").cast("int").alias("n_votes"))
-    return out
+    cols = [*key, label, *features]
+    b = kept(S.chunks(background, key, seed, chunk_size).withColumn(label, F.lit(0)).select(*cols, F.col("chunk").cast("int").alias("chunk")).withColumn(ax, F.lit(0)))
+    n_chunks = (b.agg(F.max("chunk")).first()[0] if b.take(1) else -1) + 1
+    if not n_chunks:
+        return b.select(*key, F.lit(0.0).alias("score"), F.lit(0).alias("n_votes"))
+    p = pos.withColumn(label, F.lit(1)).select(*cols).withColumn(ax, F.lit(0)).withColumn("w", F.lit(1))
+    bagged = b.withColumnRenamed("chunk", "bag").withColumn("w", F.lit(1))
+    rows = _union(p.drop("w"), b.drop("chunk"))
+    # a chunk's model knows P and its own chunk only, the variance floor included
+    if getattr(learner, "additive", False):
+        model = learner.fit(bagged, rows, features, [ax], label, shared=p, bags=range(n_chunks), floor_by_bag=True)
+    else:
+        each = p.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+        model = learner.fit(_union(bagged, each), rows, features, [ax], label)
+    model = kept(model.withColumn("fmult", F.array(*[F.lit(1) for _ in features])))
+    empty = rows.limit(0)
+    pu = PUModel(learner=learner, features=list(features), key=key, label=label, axis=[ax], user_axis=[], n_estimators=n_chunks,
+                 mode="chunk", seed=seed, models=model, rows_u=empty, rows_p=empty, counts=[{}])
+    out = scored(pu, b, "proba", drawn=F.array("chunk"))
+    return out.select(*key, F.coalesce(F.try_divide(F.col("_acc.s"), F.col("_acc.n").cast("double")), F.lit(0.0)).alias("score"),
+                      F.col("_acc.n").cast("int").alias("n_votes"))
 
 
 # --- EX8 ------------------------------------------------------------------------------
@@ -157,7 +145,7 @@ def reliability_grid(scores: DataFrame, pos_train: DataFrame, pos_valid: DataFra
     k = len(th)
     tarr = F.array(*[F.lit(t) for t in th])
     # negatives per (i, repeat): rows below lo_i, replicated by explode over the qualifying i
-    scores = _cut(scores.select(*key, *features, score))
+    scores = kept(scores.select(*key, *features, score))
     neg = scores.withColumn(
         "i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.col(score) < F.element_at(tarr, i + 1))))
     pseudo = scores.withColumn(
@@ -172,7 +160,7 @@ def reliability_grid(scores: DataFrame, pos_train: DataFrame, pos_valid: DataFra
     # n per (cell, repeat): the fixed train_num, or the smaller side when not given
     sizes = ncount.join(pcount, "repeat").filter(F.col("i") <= F.col("j"))
     nexpr = F.least(F.col("nn"), F.col("np")) if train_num is None else F.lit(int(train_num))
-    sizes = _cut(sizes.select("i", "j", "repeat", nexpr.cast("bigint").alias("n")).filter(F.col("n") > 0))
+    sizes = kept(sizes.select("i", "j", "repeat", nexpr.cast("bigint").alias("n")).filter(F.col("n") > 0))
     # a cell's sample is a prefix of its threshold's hash order (nested samples): draw the longest
     # prefix once per (threshold, repeat), rank it, and give each cell its own prefix; only the
     # sampled rows are replicated to cells
@@ -180,13 +168,13 @@ def reliability_grid(scores: DataFrame, pos_train: DataFrame, pos_valid: DataFra
     pmax = sizes.groupBy("j", "repeat").agg(F.max("n").alias("n"))
     nsel = S.first_n(neg, nmax, key, seed, "gneg", parts=["i", "repeat"], extra=(F.col("i"), F.col("repeat")))
     psel = S.first_n(posj, pmax, key, seed, "gpos", parts=["j", "repeat"], extra=(F.col("j"), F.col("repeat")))
-    nsel = _cut(S.rank_in(nsel, key, seed, "gneg", parts=["i", "repeat"], extra=(F.col("i"), F.col("repeat")),
+    nsel = kept(S.rank_in(nsel, key, seed, "gneg", parts=["i", "repeat"], extra=(F.col("i"), F.col("repeat")),
                           name="_r"))
-    psel = _cut(S.rank_in(psel, key, seed, "gpos", parts=["j", "repeat"], extra=(F.col("j"), F.col("repeat")),
+    psel = kept(S.rank_in(psel, key, seed, "gpos", parts=["j", "repeat"], extra=(F.col("j"), F.col("repeat")),
                           name="_r"))
     nsel = nsel.join(F.broadcast(sizes), ["i", "repeat"]).filter(F.col("_r") <= F.col("n")).drop("_r", "n")
     psel = psel.join(F.broadcast(sizes), ["j", "repeat"]).filter(F.col("_r") <= F.col("n")).drop("_r", "n")
-    train = _cut(_union(psel.withColumn("y", F.lit(1)), nsel.withColumn("y", F.lit(0))))
+    train = kept(_union(psel.withColumn("y", F.lit(1)), nsel.withColumn("y", F.lit(0))))
     axis = ["i", "j", "repeat"]
     model = PUBagging(learner=learner, n_estimators=n_estimators, max_samples=max_samples, seed=seed,
                       oob_score=False).fit(train, features, key, axis=axis)
@@ -221,9 +209,7 @@ def hide_sweep_eval(df: DataFrame, features, key, seed, levels: list[int], test_
     d = S.stratified_split(df, key, seed, test_frac)
     train = d.filter(~F.col("is_test")).drop("is_test")
     test = d.filter(F.col("is_test")).drop("is_test")
-    n_pos = train.filter(F.col("y") == 1).count()
-    levels = [min(int(v), n_pos) for v in levels]  # the reference caps the hidden count
-    sweep = _cut(S.hide_sweep(train, levels, key, seed))
+    sweep = kept(S.hide_sweep(train, levels, key, seed))
     ev_rows = test.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumnRenamed("y", "y_true")
     pred = _both_models(sweep, features, key, ["level"], n_estimators, max_samples, seed, learner, eval_df=ev_rows)
     ev = M.evaluate(pred, "y_true", "yhat", by=["level", "model"])
@@ -243,7 +229,7 @@ def external_validation(train_pool: DataFrame, test: DataFrame, features, key, s
     if n_per_class is None:
         n_per_class = train_pool.groupBy("y").count().agg(F.min("count")).first()[0]
     nt = rows.select("repeat", "y").distinct().withColumn("n", F.lit(int(n_per_class)))
-    train = _cut(S.first_n(rows, nt, key, seed, "ext", parts=["repeat", "y"], extra=(F.col("repeat"),)))
+    train = kept(S.first_n(rows, nt, key, seed, "ext", parts=["repeat", "y"], extra=(F.col("repeat"),)))
     ev_rows = S.repeats(test, repeats).withColumnRenamed("y", "y_true")
     pred = _both_models(train, features, key, ["repeat"], n_estimators, max_samples, seed, learner, eval_df=ev_rows)
     ev = M.evaluate(pred, "y_true", "yhat", by=["repeat", "model"])
@@ -258,9 +244,9 @@ def _matched_holdout(df: DataFrame, key, seed, n_test: int, group: str = "grp")
     """SA2 matched negatives per group, then SA12 n_test per class; adds role 'train'/'test'."""
     pos = df.filter(F.col("y") == 1)
     neg = S.sample_matched(df.filter(F.col("y") == 0), pos, key, seed, group)
-    both = _cut(_union(pos, neg))
+    both = kept(_union(pos, neg))
     train, test = S.holdout_n(both, n_test, key, seed)
-    return _cut(_union(train.withColumn("role", F.lit("train")), test.withColumn("role", F.lit("test"))))
+    return kept(_union(train.withColumn("role", F.lit("train")), test.withColumn("role", F.lit("test"))))
 
 
 def single_feature_eval(df: DataFrame, features, key, seed, n_test: int, learner=None) -> DataFrame:
@@ -286,7 +272,7 @@ def group_holdout_eval(df: DataFrame, features, key, seed, pu: bool = False, n_e
     df = _no_truth(df)
     pos = df.filter(F.col("y") == 1)
     neg = S.sample_matched(df.filter(F.col("y") == 0), pos, key, seed, group)
-    folds = _cut(S.leave_one_group_out(_cut(_union(pos, neg)), key, group))
+    folds = kept(S.leave_one_group_out(kept(_union(pos, neg)), key, group))
     train = folds.filter(F.col("role") == "train")
     test = folds.filter(F.col("role") == "test").withColumnRenamed("y", "y_true")
     if pu:
@@ -309,10 +295,10 @@ def repeat_eval(df: DataFrame, features, key, seed, repeats: int, n_test: int, n
     n = pos.groupBy("repeat", group).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     neg = S.first_n(rows.filter(F.col("y") == 0), n, key, seed, "matched", parts=["repeat", group],
                     extra=(F.col("repeat"),))
-    both = _cut(_union(pos, neg))
+    both = kept(_union(pos, neg))
     nt = both.select("repeat", "y").distinct().withColumn("n", F.lit(int(n_test)))
-    test = _cut(S.first_n(both, nt, key, seed, "holdout", parts=["repeat", "y"], extra=(F.col("repeat"),)))
-    train = _cut(both.join(test.select("repeat", *key), ["repeat", *key], "left_anti"))
+    test = kept(S.first_n(both, nt, key, seed, "holdout", parts=["repeat", "y"], extra=(F.col("repeat"),)))
+    train = kept(both.join(test.select("repeat", *key), ["repeat", *key], "left_anti"))
     pred = _both_models(train, features, key, ["repeat"], n_estimators, max_samples, seed, learner,
                         eval_df=test.withColumnRenamed("y", "y_true"))
     return M.tpr(pred, "y_true", "yhat", by=["repeat", "model"]).join(
@@ -330,10 +316,10 @@ def feature_ablation(df: DataFrame, base: list[str], new: list[str], key, seed,
     npos = pos.groupBy("repeat").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     neg = S.first_n(rows.filter(F.col("y") == 0), npos, key, seed, "balanced", parts=["repeat"],
                     extra=(F.col("repeat"),))
-    both = _cut(_union(pos, neg))
+    both = kept(_union(pos, neg))
     nt = both.select("repeat", "y").distinct().withColumn("n", F.lit(int(n_test)))
-    test = _cut(S.first_n(both, nt, key, seed, "holdout", parts=["repeat", "y"], extra=(F.col("repeat"),)))
-    train = _cut(both.join(test.select("repeat", *key), ["repeat", *key], "left_anti"))
+    test = kept(S.first_n(both, nt, key, seed, "holdout", parts=["repeat", "y"], extra=(F.col("repeat"),)))
+    train = kept(both.join(test.select("repeat", *key), ["repeat", *key], "left_anti"))
     test = test.withColumnRenamed("y", "y_true")
     allf = list(base) + list(new)
     outs = []
@@ -392,7 +378,7 @@ def nested_grid_search(df: DataFrame, features, key, seed, outer_k: int = 5, inn
 
     df = _no_truth(df)
     grid = grid or GRID
-    outer = _cut(S.stratified_kfold(df, key, seed, outer_k, tag="outer"))
+    outer = kept(S.stratified_kfold(df, key, seed, outer_k, tag="outer"))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, seed=2)
     pg = ParamGridBuilder()
     names = list(grid)
@@ -406,7 +392,7 @@ def nested_grid_search(df: DataFrame, features, key, seed, outer_k: int = 5, inn
         part = S.undersample_majority(part, key, seed, tag=f"under{f}")
         part = S.stratified_kfold(part, key, seed, inner_k, tag=f"inner{f}")
         va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-        data = _cut(va.transform(part.fillna(0.0, subset=list(features)))
+        data = kept(va.transform(part.fillna(0.0, subset=list(features)))
                     .select("features", F.col("y").cast("double").alias("label"), "fold"))
         cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
                             parallelism=parallelism, seed=seed)
@@ -458,20 +444,20 @@ def nested_grid_search_tree(df: DataFrame, features, key, seed, outer_k: int = 5
     cands = grid_candidates(grid)
     nc = len(cands)
     d = len(features)
-    outer = _cut(S.stratified_kfold(df, key, seed, outer_k, tag="outer"))
+    outer = kept(S.stratified_kfold(df, key, seed, outer_k, tag="outer"))
     rows = outer.withColumn("outer", F.explode(F.sequence(F.lit(0), F.lit(outer_k - 1)))).filter(
         F.col("fold") != F.col("outer")).drop("fold")
     pos = rows.filter(F.col("y") == 1)
     n = pos.groupBy("outer").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     negs = S.first_n(rows.filter(F.col("y") == 0), n, key, seed, "under", parts=["outer"], extra=(F.col("outer"),))
-    sel = _cut(_union(pos, negs))
-    inner = _cut(S.dense_position(sel, key, seed, "inner", parts=["outer", "y"], extra=(F.col("outer"),),
+    sel = kept(_union(pos, negs))
+    inner = kept(S.dense_position(sel, key, seed, "inner", parts=["outer", "y"], extra=(F.col("outer"),),
                                   name="_p").withColumn("ifold", (F.col("_p") % F.lit(inner_k)).cast("int")).drop("_p"))
     bf = F.element_at(F.array(*[F.lit(float(c["bagging_fraction"])) for c in cands]), F.col("cand") + 1)
     train = (inner.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(inner_k - 1))))
              .filter(F.col("ifold") != F.col("k"))
              .withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))))
-    train = _cut(train.filter(uniform(S.h(seed, "bagfrac", F.col("outer"), F.col("cand"), F.col("k"),
+    train = kept(train.filter(uniform(S.h(seed, "bagfrac", F.col("outer"), F.col("cand"), F.col("k"),
                                           S.key_text(key))) < bf))
     axis = ["outer", "cand", "k"]
     params = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
@@ -21,6 +21,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -33,9 +34,10 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder used to cut lineage.
 
-    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir) when the
-    cluster names one. Only when nothing is set (local tests) a fresh scratch folder
-    is created; on a cluster the setting must point at shared storage.
+    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Where nothing is
+    set, a local session gets a scratch folder of its own; on a cluster that would be a
+    folder of one machine, so it is an error there. Spark removes checkpoints that are no
+    longer referenced (``spark.cleaner.referenceTracking.cleanCheckpoints``).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -43,6 +45,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         conf_dir = tempfile.mkdtemp(prefix="pubag-ckpt-", dir=os.environ.get("PUBAG_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table that later passes read: written once in the shared checkpoint folder, its lineage cut."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -28,8 +28,80 @@ def test_sample_n_bucket_cut_equals_sort(spark, docs):
 
 
 def test_sample_n_too_large_raises(spark, docs):
+    for n in (10 ** 6, docs.count() + 1, 0, -1):
+        with pytest.raises(ValueError):
+            S.sample_n(docs, n, K, 1)
+    with pytest.raises(ValueError, match="grp"):  # the partition value is named
+        S.first_n(docs, 10 ** 5, K, 1, parts=["grp"])
+    assert S.first_n(docs, 10 ** 6, K, 1, at_most=True).count() == docs.count()
+
+
+def test_first_n_of_nothing(spark, docs):
+    none = docs.limit(0)
+    assert S.first_n(docs, 0, K, 1).count() == 0
+    assert S.first_n(none, 0, K, 1).count() == 0
+    assert S.first_n(none, 5, K, 1, at_most=True).count() == 0
+    assert S.dense_position(none, K, 1).count() == 0
     with pytest.raises(ValueError):
-        S.sample_n(docs, 10 ** 6, K, 1, validate=True)
+        S.first_n(none, 5, K, 1)
+    missing = spark.createDataFrame([("nowhere", 3)], "grp string, n bigint")
+    with pytest.raises(ValueError, match="nowhere"):
+        S.first_n(docs, missing, K, 1, parts=["grp"])
+
+
+@pytest.mark.parametrize("bits", [1, 4, 16])
+def test_same_rows_for_any_bits_and_partitioning(spark, bits):
+    """4,000 rows with two keys: the order among rows of one key is by their content."""
+    rows = [(i % 2, i, f"v{i % 7}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, i int, v string")
+    want = {r.i for r in S.first_n(df, 1500, "k", 3).collect()}
+    for n in (1, 5, 13):
+        part = df.repartition(n)
+        assert {r.i for r in S.first_n(part, 1500, "k", 3, bits=bits).collect()} == want
+    pos = {r.i: r.pos for r in S.dense_position(df.repartition(5), "k", 3).collect()}
+    assert sorted(pos.values()) == list(range(4000))
+    assert {i for i, p in pos.items() if p < 1500} == want
+    assert pos == {r.i: r.pos for r in S.dense_position(df.repartition(3), "k", 3).collect()}
+
+
+def test_positions_by_null_and_many_groups(spark):
+    rows = [(i, None if i % 5 == 0 else f"g{i % 40}") for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, g string")
+    got = {}
+    for r in S.dense_position(df, "k", 1, parts=["g"]).collect():
+        got.setdefault(r.g, []).append(r.pos)
+    assert all(sorted(p) == list(range(len(p))) for p in got.values()) and len(got[None]) == 120
+
+
+def test_subsample_bags_differ_by_bag_axis_and_warm_start(spark, docs):
+    u = docs.filter("y = 0").select("doc_id").withColumn("rep", F.explode(F.array(F.lit(0), F.lit(1))))
+    sets = {}
+    for first in (0, 2):
+        for r in S.subsample_members(u, K, 2, 60, 9, axis=["rep"], first_bag=first).collect():
+            sets.setdefault((r.rep, r.bag), set()).add(r.doc_id)
+    assert len(sets) == 8 and len({frozenset(s) for s in sets.values()}) == 8
+    assert all(len(s) == 60 for s in sets.values())
+
+
+def test_hide_more_than_there_are_raises(spark, docs):
+    n = docs.filter("y = 1").count()
+    for levels in ([0, 10, 10], [0, n + 1], [-1]):
+        with pytest.raises(ValueError):
+            S.hide_sweep(docs, levels, K, 4)
+    with pytest.raises(ValueError):
+        S.hide_labels(docs, n + 1, K, 4)
+
+
+def test_stratified_split_by_largest_remainder(spark):
+    df = spark.createDataFrame([(i, 0 if i < 7 else 1 if i < 14 else 2) for i in range(21)], "k int, y int")
+    sizes = {r.y: r.n for r in S.stratified_split(df, "k", 1, 0.2).filter("is_test").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {0: 2, 1: 1, 2: 1}  # 4.2 test rows: 4 in all, 1.33 each
+
+
+def test_poisson_steps_reach_one():
+    for lam in (0.1, 1.0, 30.0):
+        steps = S.poisson_cdf(lam)
+        assert abs(steps[-1] - 1) < 1e-12 and all(b > a for a, b in zip(steps, steps[1:]))
 
 
 def test_matched_counts_equal_positives_per_group(spark, docs):
@@ -41,7 +113,7 @@ def test_matched_counts_equal_positives_per_group(spark, docs):
 
 
 def test_dense_position_is_permutation(spark, docs):
-    p = S.dense_position(docs, K, 5, bits=3)
+    p = S.dense_position(docs, K, 5)
     pos = sorted(r[0] for r in p.select("pos").collect())
     assert pos == list(range(docs.count()))
 
