@@ -177,7 +177,7 @@ def se1_union_tables(spark, sf):
 def se2_build_training(spark, sf):
     d = pu_docs(spark, sf)
     p, u = R.split_pu(d)
-    neg = S.sample_balanced(u, p.filter(F.col("grp") == "en"), "doc_id", SEED)
+    neg = S.sample_balanced(u, p, "doc_id", SEED)
     return R.build_training(p.select("doc_id", "y"), neg.select("doc_id", "y"))
 
 
@@ -220,7 +220,7 @@ def ag6_class_domain(spark, sf):
 def ag15_result_matrix(spark, sf):
     """AG15: documents per (class, group) as a class x group matrix."""
     long = pu_docs(spark, sf).groupBy("y", "grp").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    return R.result_matrix(long, "y", "grp", "n", ["de", "en", "es", "fr"])
+    return R.result_matrix(long, "y", "grp", "n")
 
 
 # --- SC ---------------------------------------------------------------------------
@@ -314,7 +314,7 @@ JOIN pu_docs u ON u.grp = p.grp AND u.y < 1 GROUP BY p.grp, p.n"""),
     "se2_build_training": _w(f"""SELECT doc_id, y FROM pu_docs WHERE y = 1 UNION ALL
 SELECT doc_id, y FROM (SELECT doc_id, y FROM pu_docs WHERE y < 1
   ORDER BY {Q.hk(SEED, 'balanced', Q.vc('doc_id'))}, doc_id
-  LIMIT (SELECT count(*) FROM pu_docs WHERE y = 1 AND grp = 'en'))"""),
+  LIMIT (SELECT count(*) FROM pu_docs WHERE y = 1))"""),
     "se3_augment_positives": _w("SELECT doc_id, y FROM pu_docs WHERE y = 1 UNION ALL "
                                 "SELECT doc_id, 1 FROM scored WHERE y = 0 AND score > 0.03", [SCORED]),
     "se5_complement": _w(f"""SELECT doc_id FROM pu_docs WHERE y = 0 AND doc_id NOT IN (

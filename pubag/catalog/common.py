@@ -12,6 +12,11 @@ M_OOB = 100
 T_SMALL = 10
 
 
+def n_pos(df) -> int:
+    """Number of positives, of which the experiments' sizes are shares."""
+    return df.filter(F.col("y") == 1).count()
+
+
 def r6(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), 6)

@@ -57,12 +57,11 @@ def sa11_membership(spark, sf):
 
 
 def bl1_gaussian_nb_model(spark, sf):
-    """BL1: per-bag model table (class counts and the first feature's mean/variance)."""
+    """BL1: per-bag model table (class counts, means and variances)."""
     _, model = _fit_docs(spark, sf, T=10, m=100)
     return model.models.select(
         "bag", r6("n0").alias("n0"), r6("n1").alias("n1"),
-        *[r6(F.col("mu0")[j]).alias(f"mu0_{j}") for j in range(len(FEATS))],
-        *[r6(F.col("v1")[j]).alias(f"v1_{j}") for j in range(len(FEATS))],
+        *[r6(F.col(c)[j]).alias(f"{c}_{j}") for c in ("mu0", "v0", "mu1", "v1") for j in range(len(FEATS))],
     )
 
 
@@ -106,8 +105,8 @@ SQL = {
     "bl1_gaussian_nb_model": with_sql(
         [Q.PU_DOCS, Q.gnb_fit_ctes("pu_docs", _K, FEATS, SEED, 10, 100)],
         "SELECT bag, " + Q.r6("n0") + " AS n0, " + Q.r6("n1") + " AS n1, "
-        + ", ".join(f"{Q.r6(f'mu0_{j}')} AS mu0_{j}" for j in range(len(FEATS))) + ", "
-        + ", ".join(f"{Q.r6(f'v1_{j}')} AS v1_{j}" for j in range(len(FEATS))) + " FROM g_model"),
+        + ", ".join(f"{Q.r6(f'{c}_{j}')} AS {c}_{j}" for c in ("mu0", "v0", "mu1", "v1") for j in range(len(FEATS)))
+        + " FROM g_model"),
 }
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pubag.catalog import sqlfrag as Q
-from pubag.catalog.common import M_OOB, SEED, T_OOB, r6, with_sql
+from pubag.catalog.common import n_pos, M_OOB, SEED, T_OOB, r6, with_sql
 from pubag.operators import relational as R
 from pubag.operators import sampling as S
 from pubag.operators.bagging import PUBagging
@@ -23,9 +23,9 @@ def _fit(spark, sf, T=10, m=100, df=None, **kw):
 
 
 def _model_cols(model):
-    return model.models.select("bag", r6("n0").alias("n0"), r6("n1").alias("n1"),
-                               r6(F.col("mu0")[0]).alias("mu0_0"), r6(F.col("v0")[0]).alias("v0_0"),
-                               r6(F.col("mu1")[0]).alias("mu1_0"), r6(F.col("v1")[0]).alias("v1_0"))
+    """The whole model table: class weights, means and variances of every feature."""
+    return model.models.select("bag", r6("n0").alias("n0"), r6("n1").alias("n1"), *[
+        r6(F.col(c)[j]).alias(f"{c}_{j}") for c in ("mu0", "v0", "mu1", "v1") for j in range(len(FEATS))])
 
 
 def pu2_fit(spark, sf):
@@ -96,9 +96,9 @@ def jo6_rows_x_bags(spark, sf):
 
 
 def jo9_attach_truth(spark, sf):
-    """JO9 (+SA17): hide 170 positives, fit, predict, compare with the labels kept before hiding."""
+    """JO9 (+SA17): hide half of the positives, fit, predict, compare with the labels kept before hiding."""
     d = pu_docs(spark, sf).drop("y_true")
-    hid = S.hide_labels(d, 170, K, SEED)
+    hid = S.hide_labels(d, n_pos(d) // 2, K, SEED)
     _, m = _fit(spark, sf, df=hid)
     pred = m.predict(hid.select("doc_id", "y", *FEATS))
     return R.attach_truth(pred, d, K, "y", "y_orig").select("doc_id", "y", "y_orig", "yhat")
@@ -114,7 +114,7 @@ def se4_missing_classes(spark, sf):
 def _ex7(spark, sf):
     d = pu_docs(spark, sf)
     pos, back = d.filter(F.col("y") == 1), d.filter(F.col("y") == 0)
-    size = max(1, pos.count() // 4)
+    size = pos.count()
     return pos, back, size
 
 
@@ -138,7 +138,7 @@ QUERIES = {
     "ag5_draw_counts": ag5_draw_counts, "jo4_position_lookup": jo4_position_lookup,
     "ag9_ensemble_vote": ag9_ensemble_vote, "fi6_is_oob": fi6_is_oob, "jo6_rows_x_bags": jo6_rows_x_bags,
     "jo9_attach_truth": jo9_attach_truth, "se4_missing_classes": se4_missing_classes,
-    "pu12_chunk_cross_score": pu12_chunk_cross_score, "ag7_mean_prediction": pu12_chunk_cross_score,
+    "pu12_chunk_cross_score": pu12_chunk_cross_score,
     "ex7_cross_score_background": pu12_chunk_cross_score, "jo3_except_chunk": jo3_except_chunk,
 }
 
@@ -151,10 +151,13 @@ def _fit_sql(T=10, m=100, src="pu_docs", weight=None):
     return Q.gnb_fit_ctes(src, K, FEATS, SEED, T, m, weight=weight)
 
 
+_MODEL_COLS = ", ".join(["bag"] + [f"{Q.r6(c)} AS {c}" for c in ["n0", "n1"] + [
+    f"{c}_{j}" for c in ("mu0", "v0", "mu1", "v1") for j in range(len(FEATS))]])
+
+
 def _model_sql(T, m, weight=None, src_ctes=()):
     return with_sql(D + list(src_ctes) + [_fit_sql(T, m, weight=weight)],
-                    f"""SELECT bag, {Q.r6('n0')} AS n0, {Q.r6('n1')} AS n1, {Q.r6('mu0_0')} AS mu0_0, {Q.r6('v0_0')} AS v0_0,
- {Q.r6('mu1_0')} AS mu1_0, {Q.r6('v1_0')} AS v1_0 FROM g_model""")
+                    f"SELECT {_MODEL_COLS} FROM g_model")
 
 
 _L0, _L1 = Q.gnb_lj(FEATS, 0), Q.gnb_lj(FEATS, 1)
@@ -171,10 +174,11 @@ _RAW = f"""raw AS (SELECT d.bag, d.draw, u.doc_id FROM (
 _P1 = Q.gnb_p1(FEATS)
 _HID = f"""hid AS (SELECT d.doc_id, CAST(CASE WHEN h.doc_id IS NOT NULL THEN 0 ELSE d.y END AS INTEGER) AS y,
   {', '.join('d.' + f for f in FEATS)} FROM pu_docs d LEFT JOIN (SELECT doc_id FROM (SELECT doc_id,
-  row_number() OVER (ORDER BY {Q.hk(SEED, 'hide', Q.vc('doc_id'))}, doc_id) AS rn FROM pu_docs WHERE y = 1) WHERE rn <= 170) h
+  row_number() OVER (ORDER BY {Q.hk(SEED, 'hide', Q.vc('doc_id'))}, doc_id) AS rn FROM pu_docs WHERE y = 1) WHERE rn <=
+  (SELECT count(*) // 2 FROM pu_docs WHERE y = 1)) h
   ON d.doc_id = h.doc_id)"""
 _EX7 = f"""c_p AS (SELECT doc_id, 1 AS y, {', '.join(FEATS)} FROM pu_docs WHERE y = 1),
-c_sz AS (SELECT greatest(1, count(*) // 4) AS sz FROM c_p),
+c_sz AS (SELECT count(*) AS sz FROM c_p),
 c_b AS (SELECT doc_id, 0 AS y, {', '.join(FEATS)},
   CAST((row_number() OVER (ORDER BY {Q.hk(SEED, 'chunk', Q.vc('doc_id'))}, doc_id) - 1) // (SELECT sz FROM c_sz) AS INTEGER) AS chunk
   FROM pu_docs WHERE y = 0),
@@ -191,8 +195,7 @@ SQL = {
     "pu2_fit": _model_sql(T_OOB, M_OOB),
     "pu3_weight_path": with_sql(D + ["wd AS (SELECT *, CAST(f5 + 1 AS DOUBLE) AS uw FROM pu_docs)",
                                      Q.gnb_fit_ctes("wd", K, FEATS, SEED, 10, 100, weight="uw")],
-                                f"""SELECT bag, {Q.r6('n0')} AS n0, {Q.r6('n1')} AS n1, {Q.r6('mu0_0')} AS mu0_0,
- {Q.r6('v0_0')} AS v0_0, {Q.r6('mu1_0')} AS mu1_0, {Q.r6('v1_0')} AS v1_0 FROM g_model"""),
+                                f"SELECT {_MODEL_COLS} FROM g_model"),
     "pu8_predict_log_proba": with_sql(D + [_fit_sql(), _LP], _LPS),
     "pu11_fitted_attributes": with_sql(D + [_fit_sql()], f"""SELECT bag, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_inbag,
  CAST(sum(w) AS BIGINT) AS n_draws, {len(FEATS)} AS n_features FROM g_bags GROUP BY bag"""),
@@ -216,5 +219,4 @@ SELECT DISTINCT label FROM (SELECT label FROM embeddings ORDER BY {Q.hk(SEED, 's
 FROM c_b b, range(0, (SELECT n FROM c_n)) t(i) WHERE i <> b.chunk"""),
 }
 SQL["ag10_ensemble_log_proba"] = SQL["pu8_predict_log_proba"]
-SQL["ag7_mean_prediction"] = SQL["pu12_chunk_cross_score"]
 SQL["ex7_cross_score_background"] = SQL["pu12_chunk_cross_score"]

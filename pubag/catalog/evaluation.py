@@ -8,7 +8,7 @@ from pubag.catalog import sqlfrag as Q
 from pubag.catalog.common import SEED, r6, with_sql
 from pubag.operators import metrics as M
 from pubag.operators.bagging import PUBagging
-from pubag.sources.fixtures import DOCS, pu_docs, pu_vec
+from pubag.sources.fixtures import DOCS, VEC_DIM, pu_docs, pu_vec
 
 FEATS = DOCS.features
 
@@ -29,9 +29,9 @@ def wi2_auc(spark, sf):
 
 
 def wi3_argmax_class(spark, sf):
-    """WI3: k classes: the class with the highest score (first 10 embedding dims), first wins ties."""
+    """WI3: k classes: the class with the highest score (the embedding dims), first wins ties."""
     v = pu_vec(spark, sf)
-    long = v.select("vec_id", F.posexplode(F.array(*[F.round(F.col(f"e{i}"), 1) for i in range(10)])).alias("cls", "p"))
+    long = v.select("vec_id", F.posexplode(F.array(*[F.round(F.col(f"e{i}"), 1) for i in range(VEC_DIM)])).alias("cls", "p"))
     return M.argmax_k(long, "vec_id", "cls", "p").select("vec_id", F.col("cls").cast("int").alias("cls"))
 
 
@@ -120,7 +120,7 @@ UNION ALL SELECT DISTINCT grp, NULL, 0.0, 0.0 FROM sc"""),
  AS auc FROM cum GROUP BY grp"""),
     "wi3_argmax_class": """SELECT vec_id, CAST(cls AS INTEGER) AS cls FROM (
   SELECT vec_id, cls, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, cls) AS rn FROM (
-    SELECT vec_id, i - 1 AS cls, round(CAST(embedding[i] AS DOUBLE), 1) AS p FROM embeddings, range(1, 11) t(i)))
+    SELECT vec_id, i - 1 AS cls, round(CAST(embedding[i] AS DOUBLE), 1) AS p FROM embeddings, range(1, 65) t(i)))
 WHERE rn = 1""",
     "ag14_confusion": with_sql(D + [_FIT, _PRED], "SELECT * FROM cf"),
     "me1_accuracy": _cf(ACC, "accuracy"),

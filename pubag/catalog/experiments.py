@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pubag.catalog.common import SEED, r6
+from pubag.catalog.common import SEED, n_pos, r6
 from pubag.operators import sampling as S
 from pubag.plans import jobs as J
 from pubag.sources.fixtures import DOCS, pu_docs
@@ -12,10 +12,9 @@ from pubag.sources.fixtures import DOCS, pu_docs
 FEATS = DOCS.features
 K = ["doc_id"]
 
-# Experiment sizes used by the checked queries (scaled to the fixture).
-EX5_REPEATS = 3
+# Repeats, ensemble sizes and thresholds of the experiments; sizes are shares of the positives.
+EX5_REPEATS = 10
 EX5_T = 100
-EX7_CHUNKS_PER_P = 4
 EX9_THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 
@@ -26,54 +25,42 @@ def ex5_hidden_label_recovery(spark, sf):
     return r.select("model", r6("accuracy").alias("accuracy"), r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 
-def _ex7_parts(spark, sf):
-    d = pu_docs(spark, sf)
-    pos = d.filter(F.col("y") == 1)
-    back = d.filter(F.col("y") == 0)
-    n_p = pos.count()
-    return pos, back, max(1, n_p // EX7_CHUNKS_PER_P)
-
-
-def ex7_cross_score_background(spark, sf):
-    """EX7 / PU12 / AG7 / JO3: chunked cross-scoring of the background."""
-    pos, back, size = _ex7_parts(spark, sf)
-    s = J.chunk_cross_score(pos, back, FEATS, K, SEED, size)
-    return s.select("doc_id", r6("score").alias("score"), "n_votes")
-
-
 def ex9_reliability_grid(spark, sf):
     """EX9: 9 x 9 upper-triangular TPR / F1 grid over OOB-score thresholds."""
     d = pu_docs(spark, sf)
     sp = S.stratified_split(d, K, SEED, 0.2)
     train, valid = sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
-    oob = J.oob_score_background(train, FEATS, K, SEED, n_estimators=20, max_samples=50)
+    oob = J.oob_score_background(train, FEATS, K, SEED, n_estimators=100, max_samples=100)
     scores = oob.join(train.select(*K, *FEATS), K).withColumnRenamed("oob_score", "score")
     g = J.reliability_grid(scores, train.filter(F.col("y") == 1), valid.filter(F.col("y") == 1),
-                           valid.filter(F.col("y") == 0), FEATS, K, SEED, EX9_THRESHOLDS, repeats=3,
+                           valid.filter(F.col("y") == 0), FEATS, K, SEED, EX9_THRESHOLDS, repeats=10,
                            n_estimators=10, max_samples=1.0)
     return g.select("i", "j", r6("tpr").alias("tpr"), r6("f1").alias("f1"), "n")
 
 
 def ex10_hide_sweep_eval(spark, sf):
-    r = J.hide_sweep_eval(pu_docs(spark, sf), FEATS, K, SEED, levels=[0, 50, 100, 150, 200], n_estimators=30,
-                          max_samples=100)
+    """EX10: 0 to 70 % of the positives hidden in 15 levels, T = 100."""
+    d = pu_docs(spark, sf)
+    n = n_pos(d)
+    r = J.hide_sweep_eval(d, FEATS, K, SEED, levels=[n * k // 20 for k in range(15)], n_estimators=100, max_samples=100)
     return r.select("level", "model", r6("f1").alias("f1"), r6("accuracy").alias("accuracy"), r6("recall").alias("recall"))
 
 
 def ex11_external_validation(spark, sf):
-    """EX11: training pool = documents with a label row; external test = the unlabelled documents
-    scored against their y (0) plus the positives of the 'en' group held out from the pool."""
+    """EX11: the external test set is one group's positives and as many background rows, both held
+    out from the pool (the reference's second species); 5 repeats, T = 100."""
     d = pu_docs(spark, sf)
     test = d.filter((F.col("grp") == "en") & (F.col("y") == 1))
     pool = d.join(test.select(*K), K, "left_anti")
     test = test.unionByName(S.sample_n(pool.filter(F.col("y") == 0), test.count(), K, SEED, "exttest"))
     pool = pool.join(test.select(*K), K, "left_anti")
-    r = J.external_validation(pool, test, FEATS, K, SEED, repeats=3, n_estimators=30, max_samples=100)
+    r = J.external_validation(pool, test, FEATS, K, SEED, repeats=5, n_estimators=100, max_samples=100)
     return r.select("repeat", "model", r6("f1").alias("f1"), r6("auc").alias("auc"))
 
 
 def ex1_single_feature_eval(spark, sf):
-    r = J.single_feature_eval(pu_docs(spark, sf), FEATS, K, SEED, n_test=15)
+    d = pu_docs(spark, sf)
+    r = J.single_feature_eval(d, FEATS, K, SEED, n_test=n_pos(d) // 20)
     return r.select("feature", r6("auc").alias("auc"), r6("tpr").alias("tpr"))
 
 
@@ -88,7 +75,8 @@ def ex3_group_holdout_pu(spark, sf):
 
 
 def ex4_repeat_eval(spark, sf):
-    r = J.repeat_eval(pu_docs(spark, sf), FEATS, K, SEED, repeats=3, n_test=15, n_estimators=10)
+    d = pu_docs(spark, sf)
+    r = J.repeat_eval(d, FEATS, K, SEED, repeats=10, n_test=n_pos(d) // 20, n_estimators=10)
     return r.select("repeat", "model", r6("tpr").alias("tpr"), r6("auc").alias("auc"))
 
 
@@ -96,7 +84,7 @@ def ex6_feature_ablation(spark, sf):
     """EX6 (+AG13 grand mean, PR5): f7 (nulls -> 0) as the new feature over the base six."""
     from pubag.functions.nulls import fill_zero
     d = fill_zero(pu_docs(spark, sf), ["f7"])
-    r = J.feature_ablation(d, FEATS, ["f7"], K, SEED, repeats=3, n_test=15, n_estimators=10)
+    r = J.feature_ablation(d, FEATS, ["f7"], K, SEED, repeats=10, n_test=n_pos(d) // 20, n_estimators=10)
     return r.select("variant", r6("tpr").alias("tpr"), r6("f1").alias("f1"))
 
 
@@ -107,7 +95,7 @@ def ex13_training_table_for_explain(spark, sf):
     sc = u.withColumn("_s", F.try_divide(F.col("f4"), F.col("f1")))
     pseudo_pool = sc.filter(F.col("_s") > 0.02).drop("_s")
     neg_pool = sc.filter(F.col("_s") <= 0.02).drop("_s")
-    t = J.training_table_for_explain(pos, pseudo_pool, neg_pool, K, SEED, n_pseudo=50, features=FEATS + ["f7"])
+    t = J.training_table_for_explain(pos, pseudo_pool, neg_pool, K, SEED, n_pseudo=n_pos(d) // 7, features=FEATS + ["f7"])
     return t.select("doc_id", "y", "is_test", r6("f7").alias("f7"))
 
 
@@ -127,12 +115,6 @@ QUERIES = {
 SQL: dict[str, str] = {}
 
 
-def ex12_nested_grid_search(spark, sf):
-    """EX12: outer 5-fold, inner 3-fold CrossValidator over the 48-candidate grid."""
-    r = J.nested_grid_search(pu_docs(spark, sf), FEATS, K, SEED, outer_k=5, inner_k=3, max_iter=5)
-    return r.select("outer_fold", "cand_id", r6("auc_hard").alias("auc_hard"))
-
-
 def _mllib_oob(kind, **params):
     def q(spark, sf):
         from pubag.operators.bagging import PUBagging
@@ -190,7 +172,8 @@ SQL["ex5_hidden_label_recovery"] = with_sql(
 
 # EX13: training table for the contribution plots
 _EX13 = f"""sc13 AS (SELECT *, f4 / nullif(f1, 0) AS s FROM pu_docs WHERE y = 0),
-ps13 AS (SELECT doc_id, 1 AS y, f7 FROM sc13 WHERE s > 0.02 ORDER BY {Q.hk(SEED, 'pseudo', _DK)}, doc_id LIMIT 50),
+ps13 AS (SELECT doc_id, 1 AS y, f7 FROM sc13 WHERE s > 0.02 ORDER BY {Q.hk(SEED, 'pseudo', _DK)}, doc_id
+  LIMIT (SELECT count(*) // 7 FROM pu_docs WHERE y = 1)),
 p13 AS (SELECT doc_id, 1 AS y, f7 FROM pu_docs WHERE y = 1 UNION ALL SELECT * FROM ps13),
 n13 AS (SELECT doc_id, 0 AS y, f7 FROM sc13 WHERE s <= 0.02 ORDER BY {Q.hk(SEED, 'neg', _DK)}, doc_id
   LIMIT (SELECT count(*) FROM p13)),
@@ -222,14 +205,14 @@ SQL["ex2_group_holdout_plain"] = _logo_sql(Q.gnb_plain_ctes("tr2", K, FEATS, axi
 SQL["ex3_group_holdout_pu"] = _logo_sql(Q.pu_axis_ctes("h3", "tr2", ["fold"], K, FEATS, SEED, 10, "n_u"), "h3")
 
 # EX4: repeats of matched negatives + hold-out, plain vs PU
-_EX4 = f"""rp4 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 3) t(i)),
+_EX4 = f"""rp4 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 10) t(i)),
 x4 AS (SELECT r.repeat, d.doc_id, d.grp, d.y, {', '.join('d.' + f for f in FEATS)} FROM pu_docs d, rp4 r),
 m4 AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY x.repeat, x.grp ORDER BY
     {Q.H(Q.ht(Q.q(SEED), Q.q('matched'), Q.vc('x.repeat'), Q.vc('x.doc_id')))}, x.doc_id) AS rn FROM x4 x WHERE y = 0) z
   JOIN (SELECT repeat, grp, count(*) AS n FROM x4 WHERE y = 1 GROUP BY repeat, grp) c USING (repeat, grp) WHERE rn <= n),
 b4 AS (SELECT repeat, doc_id, y, {_F} FROM x4 WHERE y = 1 UNION ALL SELECT repeat, doc_id, y, {_F} FROM m4),
 t4 AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY b.repeat, b.y ORDER BY
-    {Q.H(Q.ht(Q.q(SEED), Q.q('holdout'), Q.vc('b.repeat'), Q.vc('b.doc_id')))}, b.doc_id) AS rn FROM b4 b) WHERE rn <= 15),
+    {Q.H(Q.ht(Q.q(SEED), Q.q('holdout'), Q.vc('b.repeat'), Q.vc('b.doc_id')))}, b.doc_id) AS rn FROM b4 b) WHERE rn <= (SELECT count(*) // 20 FROM pu_docs WHERE y = 1)),
 tr4 AS (SELECT b.* FROM b4 b WHERE NOT EXISTS (SELECT 1 FROM t4 t WHERE t.repeat = b.repeat AND t.doc_id = b.doc_id))"""
 _EX4_PRED = f"""pr4 AS (
   SELECT 'mod' AS model, r.repeat, r.doc_id, any_value(r.y) AS y_true, avg({Q.gnb_p1(FEATS)}) AS p1
@@ -251,7 +234,7 @@ _EX1 = f"""m1 AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY grp
   WHERE rn <= n),
 b1 AS (SELECT doc_id, y, {_F} FROM pu_docs WHERE y = 1 UNION ALL SELECT doc_id, y, {_F} FROM m1),
 te1 AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'holdout', _DK)}, doc_id) AS rn
-  FROM b1 b) WHERE rn <= 15),
+  FROM b1 b) WHERE rn <= (SELECT count(*) // 20 FROM pu_docs WHERE y = 1)),
 tr1 AS (SELECT * FROM b1 WHERE doc_id NOT IN (SELECT doc_id FROM te1)),
 ltr1 AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, doc_id, y, {f} AS x FROM tr1" for f in FEATS)}),
 lte1 AS ({' UNION ALL '.join(f"SELECT '{f}' AS feature, doc_id, y AS y_true, {f} AS x FROM te1" for f in FEATS)})"""
@@ -277,14 +260,12 @@ _REC = "tp / nullif(tp + fn, 0)"
 _F1 = "coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0)"
 
 # EX10: hide sweep on the stratified training part, metrics on the untouched test part
-_EX10_LEVELS = [0, 50, 100, 150, 200]
 _EX10 = f"""{Q.stratified_n("pu_docs", "n10", 0.2)},
 s10 AS (SELECT pu_docs.*, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED, 'strat', _DK)}, doc_id)
    <= n_test AS is_test FROM pu_docs JOIN n10 USING (y)),
 tr10 AS (SELECT doc_id, y, {_F} FROM s10 WHERE NOT is_test),
 te10 AS (SELECT doc_id, y AS y_true, {_F} FROM s10 WHERE is_test),
-np10 AS (SELECT count(*) AS n FROM tr10 WHERE y = 1),
-lv10 AS (SELECT CAST(least(v, (SELECT n FROM np10)) AS INTEGER) AS level FROM (SELECT unnest([{', '.join(map(str, _EX10_LEVELS))}]) AS v)),
+lv10 AS (SELECT CAST((SELECT count(*) FROM pu_docs WHERE y = 1) * k // 20 AS INTEGER) AS level FROM range(0, 15) t(k)),
 rk10 AS (SELECT doc_id, row_number() OVER (ORDER BY {Q.hk(SEED, 'hide', _DK)}, doc_id) AS rk FROM tr10 WHERE y = 1),
 sw10 AS (SELECT l.level, t.doc_id, CAST(CASE WHEN r.rk IS NOT NULL AND r.rk <= l.level THEN 0 ELSE t.y END AS INTEGER) AS y,
   {', '.join('t.' + f for f in FEATS)} FROM tr10 t LEFT JOIN rk10 r ON t.doc_id = r.doc_id, lv10 l),
@@ -297,14 +278,14 @@ pr10 AS (
   FROM ev10 r JOIN h10_model m ON m.level = r.level GROUP BY r.level, r.doc_id)"""
 SQL["ex10_hide_sweep_eval"] = with_sql(
     [Q.PU_DOCS, _EX10[:_EX10.index(",\npr10 AS")], Q.gnb_plain_ctes("sw10", K, FEATS, axis=["level"]),
-     Q.pu_axis_ctes("h10", "sw10", ["level"], K, FEATS, SEED, 30, "100"), _EX10[_EX10.index("pr10 AS"):],
+     Q.pu_axis_ctes("h10", "sw10", ["level"], K, FEATS, SEED, 100, "100"), _EX10[_EX10.index("pr10 AS"):],
      f"e10 AS ({_ev_sql('pr10', 'level, model')})"],
     f"SELECT level, model, {Q.r6(_F1)} AS f1, {Q.r6(_ACC)} AS accuracy, {Q.r6(_REC)} AS recall FROM e10")
 
 # EX6: feature ablation (f7 with nulls -> 0 as the new feature)
 _F7 = FEATS + ["f7"]
 _EX6 = f"""d6 AS (SELECT doc_id, y, {_F}, coalesce(f7, 0.0) AS f7 FROM pu_docs),
-rp6 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 3) t(i)),
+rp6 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 10) t(i)),
 x6 AS (SELECT r.repeat, d.* FROM d6 d, rp6 r),
 n6 AS (SELECT repeat, count(*) AS n FROM x6 WHERE y = 1 GROUP BY repeat),
 ng6 AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY x.repeat ORDER BY
@@ -312,7 +293,7 @@ ng6 AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY x.repeat ORDE
   JOIN n6 USING (repeat) WHERE rn <= n),
 b6 AS (SELECT repeat, doc_id, y, {', '.join(_F7)} FROM x6 WHERE y = 1 UNION ALL SELECT repeat, doc_id, y, {', '.join(_F7)} FROM ng6),
 t6 AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY b.repeat, b.y ORDER BY
-    {Q.H(Q.ht(Q.q(SEED), Q.q('holdout'), Q.vc('b.repeat'), Q.vc('b.doc_id')))}, b.doc_id) AS rn FROM b6 b) WHERE rn <= 15),
+    {Q.H(Q.ht(Q.q(SEED), Q.q('holdout'), Q.vc('b.repeat'), Q.vc('b.doc_id')))}, b.doc_id) AS rn FROM b6 b) WHERE rn <= (SELECT count(*) // 20 FROM pu_docs WHERE y = 1)),
 tr6 AS (SELECT b.* FROM b6 b WHERE NOT EXISTS (SELECT 1 FROM t6 t WHERE t.repeat = b.repeat AND t.doc_id = b.doc_id)),
 te6 AS (SELECT repeat, doc_id, y AS y_true, {', '.join(_F7)} FROM t6)"""
 _EX6_PRED = "pr6 AS (" + " UNION ALL ".join(
@@ -333,7 +314,7 @@ tn11 AS (SELECT * FROM po11 WHERE y = 0 ORDER BY {Q.hk(SEED, 'exttest', _DK)}, d
 te11 AS (SELECT doc_id, y AS y_true, {_F} FROM tp11 UNION ALL SELECT doc_id, y, {_F} FROM tn11),
 pl11 AS (SELECT * FROM po11 WHERE doc_id NOT IN (SELECT doc_id FROM tn11)),
 nc11 AS (SELECT min(c) AS n FROM (SELECT y, count(*) AS c FROM pl11 GROUP BY y)),
-rp11 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 3) t(i)),
+rp11 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 5) t(i)),
 tr11 AS (SELECT repeat, doc_id, y, {_F} FROM (SELECT r.repeat, p.*, row_number() OVER (PARTITION BY r.repeat, p.y ORDER BY
     {Q.H(Q.ht(Q.q(SEED), Q.q('ext'), Q.vc('r.repeat'), Q.vc('p.doc_id')))}, p.doc_id) AS rn FROM pl11 p, rp11 r)
   WHERE rn <= (SELECT n FROM nc11)),
@@ -346,7 +327,7 @@ _EX11_PRED = f"""pr11 AS (
   FROM ev11 r JOIN h11_model m ON m.repeat = r.repeat GROUP BY r.repeat, r.doc_id)"""
 SQL["ex11_external_validation"] = with_sql(
     [Q.PU_DOCS, _EX11, Q.gnb_plain_ctes("tr11", K, FEATS, axis=["repeat"]),
-     Q.pu_axis_ctes("h11", "tr11", ["repeat"], K, FEATS, SEED, 30, "100"), _EX11_PRED,
+     Q.pu_axis_ctes("h11", "tr11", ["repeat"], K, FEATS, SEED, 100, "100"), _EX11_PRED,
      f"e11 AS ({_ev_sql('pr11', 'repeat, model')})", Q.auc_ctes("a11", "pr11", ["repeat", "model"])],
     f"SELECT e.repeat, e.model, {Q.r6(_F1)} AS f1, {Q.r6('a.auc')} AS auc FROM e11 e JOIN a11 a USING (repeat, model)")
 
@@ -367,11 +348,11 @@ s9 AS (SELECT pu_docs.*, row_number() OVER (PARTITION BY y ORDER BY {Q.hk(SEED,
    <= n_test AS is_test FROM pu_docs JOIN n9 USING (y)),
 tr9 AS (SELECT * FROM s9 WHERE NOT is_test),
 va9 AS (SELECT * FROM s9 WHERE is_test),
-{Q.gnb_oob("tr9", K, FEATS, SEED, 20, 50, prefix="o9")},
+{Q.gnb_oob("tr9", K, FEATS, SEED, 100, 100, prefix="o9")},
 sc9 AS (SELECT o.doc_id, o.oob_score AS score, {', '.join('t.' + f for f in FEATS)} FROM o9_oob o
   JOIN tr9 t ON o.doc_id = t.doc_id WHERE o.y = 0),
 th9 AS (SELECT i - 1 AS i, th FROM (SELECT unnest([{_TH}]) AS th, generate_subscripts([{_TH}], 1) AS i)),
-rp9 AS (SELECT CAST(r AS INTEGER) AS repeat FROM range(0, 3) t(r)),
+rp9 AS (SELECT CAST(r AS INTEGER) AS repeat FROM range(0, 10) t(r)),
 ng9 AS (SELECT CAST(t.i AS INTEGER) AS i, r.repeat, s.doc_id, {', '.join('s.' + f for f in FEATS)}
   FROM sc9 s JOIN th9 t ON s.score < t.th, rp9 r),
 ps9 AS (SELECT CAST(t.i AS INTEGER) AS j, r.repeat, s.doc_id, {', '.join('s.' + f for f in FEATS)}

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from pubag.catalog import sqlfrag as Q
-from pubag.catalog.common import SEED, with_sql
+from pubag.catalog.common import SEED, n_pos, with_sql
 from pubag.operators import sampling as S
 from pubag.sources.fixtures import DOCS, LINES, pu_docs, pu_lines
 
@@ -68,7 +68,8 @@ def sa8_pu_bag(spark, sf):
 
 
 def sa12_holdout_n(spark, sf):
-    train, test = S.holdout_n(pu_docs(spark, sf), 30, "doc_id", SEED)
+    d = pu_docs(spark, sf)
+    train, test = S.holdout_n(d, n_pos(d) // 10, "doc_id", SEED)
     return test.select("doc_id", F.lit("test").alias("role")).unionByName(train.select("doc_id", F.lit("train").alias("role")))
 
 
@@ -89,22 +90,23 @@ def sa16_chunks(spark, sf):
 
 
 def sa17_hide_labels(spark, sf):
-    return S.hide_labels(pu_docs(spark, sf), 170, "doc_id", SEED).select("doc_id", "y", "y_true")
-
-
-LEVELS = [0, 100, 200, 300]
+    d = pu_docs(spark, sf)
+    return S.hide_labels(d, n_pos(d) // 2, "doc_id", SEED).select("doc_id", "y", "y_true")
 
 
 def sa18_hide_sweep(spark, sf):
-    d = S.hide_sweep(pu_docs(spark, sf), LEVELS, "doc_id", SEED)
+    """SA18: 0 to 70 % of the positives in 15 levels."""
+    d = pu_docs(spark, sf)
+    n = n_pos(d)
+    d = S.hide_sweep(d, [n * k // 20 for k in range(15)], "doc_id", SEED)
     return d.filter(F.col("y_true") == 1).select("level", "doc_id", "y")
 
 
 def sa19_repeats(spark, sf):
-    """SA19: three reseeded matched negative samples at once (repeat is a column)."""
+    """SA19: ten reseeded matched negative samples at once (repeat is a column)."""
     d = pu_docs(spark, sf)
-    neg = S.repeats(d.filter(F.col("y") < 1), 3)
-    n = S.repeats(S.group_counts(d.filter(F.col("y") == 1)), 3)
+    neg = S.repeats(d.filter(F.col("y") < 1), 10)
+    n = S.repeats(S.group_counts(d.filter(F.col("y") == 1)), 10)
     return S.first_n(neg, n, "doc_id", SEED, "matched", parts=["repeat", "grp"],
                      extra=(F.col("repeat"),)).select("repeat", "doc_id")
 
@@ -184,15 +186,15 @@ UNION ALL SELECT g.grp, 'train', d.doc_id FROM pu_docs d JOIN (SELECT DISTINCT g
 FROM pu_docs WHERE y < 1"""),
     "sa17_hide_labels": with_sql(D, f"""SELECT d.doc_id, CAST(CASE WHEN h.doc_id IS NOT NULL THEN 0 ELSE d.y END AS INTEGER) AS y,
  d.y AS y_true FROM pu_docs d LEFT JOIN (SELECT doc_id FROM (SELECT doc_id, {_rn('hide', DK, 'doc_id')} AS rn
- FROM pu_docs WHERE y = 1) WHERE rn <= 170) h ON d.doc_id = h.doc_id"""),
+ FROM pu_docs WHERE y = 1) WHERE rn <= (SELECT count(*) // 2 FROM pu_docs WHERE y = 1)) h ON d.doc_id = h.doc_id"""),
     "sa18_hide_sweep": with_sql(D, f"""SELECT CAST(l.level AS INTEGER) AS level, p.doc_id,
  CAST(CASE WHEN p.rn <= l.level THEN 0 ELSE 1 END AS INTEGER) AS y
 FROM (SELECT doc_id, {_rn('hide', DK, 'doc_id')} AS rn FROM pu_docs WHERE y = 1) p,
- (SELECT unnest([{', '.join(str(v) for v in LEVELS)}]) AS level) l"""),
+ (SELECT (SELECT count(*) FROM pu_docs WHERE y = 1) * k // 20 AS level FROM range(0, 15) t(k)) l"""),
     "sa19_repeats": with_sql(D, f"""SELECT CAST(r.repeat AS INTEGER) AS repeat, doc_id FROM (
   SELECT r.repeat, u.doc_id, u.grp, row_number() OVER (PARTITION BY r.repeat, u.grp ORDER BY
      {Q.H(Q.ht(Q.q(SEED), Q.q('matched'), Q.vc('r.repeat'), Q.vc('u.doc_id')))}, u.doc_id) AS rn
-  FROM (SELECT * FROM pu_docs WHERE y < 1) u, (SELECT i AS repeat FROM range(0, 3) t(i)) r) r
+  FROM (SELECT * FROM pu_docs WHERE y < 1) u, (SELECT i AS repeat FROM range(0, 10) t(i)) r) r
 JOIN (SELECT grp, count(*) AS n FROM pu_docs WHERE y = 1 GROUP BY grp) p USING (grp) WHERE rn <= n"""),
     "so2_take_n": with_sql(LN, f"SELECT {LKC} FROM pu_lines ORDER BY {Q.hk(SEED, 'sample', LKT)}, {LKC} LIMIT 10"),
     "so4_dense_position": with_sql(LN, f"SELECT {LKC}, {_rn('pos', LKT, LKC)} - 1 AS pos FROM pu_lines"),
@@ -203,5 +205,5 @@ FROM pu_lines"""),
 }
 
 SQL["sa12_holdout_n"] = with_sql(D + [f"""t AS (SELECT doc_id FROM (SELECT doc_id, {_rn('holdout', DK, 'doc_id', 'y')} AS rn
-  FROM pu_docs) WHERE rn <= 30)"""], """SELECT doc_id, 'test' AS role FROM t UNION ALL
+  FROM pu_docs) WHERE rn <= (SELECT count(*) // 10 FROM pu_docs WHERE y = 1))"""], """SELECT doc_id, 'test' AS role FROM t UNION ALL
 SELECT doc_id, 'train' FROM pu_docs WHERE doc_id NOT IN (SELECT doc_id FROM t)""")

@@ -19,26 +19,15 @@ def log_proba(p) -> Column:
     return F.when(p > 0, F.log(p))
 
 
-def validate_labels(df: DataFrame, label: str = "y") -> None:
-    """SC8: the engine requires labels in {0, 1}."""
-    bad = df.filter(~F.col(label).isin(0, 1) | F.col(label).isNull()).limit(1).count()
-    if bad:
-        raise ValueError("labels must be 0 (unlabelled) or 1 (positive)")
-
-
-def validate_features(df: DataFrame, features: list[str], n_expected: int) -> None:
-    """SC8: wrong feature count at predict time."""
-    if len(features) != n_expected:
-        raise ValueError(f"Number of features of the model must match the input. Model n_features is "
-                         f"{n_expected} and input n_features is {len(features)}.")
-    missing = [c for c in features if c not in df.columns]
+def validate_features(df: DataFrame, needed: list[str]) -> None:
+    """SC8: rows to predict must have the columns that the model was fitted on."""
+    missing = [c for c in needed if c not in df.columns]
     if missing:
-        raise ValueError(f"missing feature columns: {missing}")
+        raise ValueError(f"the rows lack {len(missing)} of the model's {len(needed)} columns: {missing}")
 
 
 def check_warm_start(n_old: int, n_new: int) -> int:
     """SC8 / PU10: number of bags to add; fewer than fitted is an error, equal is a no-op."""
     if n_new < n_old:
-        raise ValueError(f"n_estimators={n_new} must be larger or equal to len(estimators_)={n_old} "
-                         "when warm_start==True")
+        raise ValueError(f"a warm start cannot go from {n_old} bags to {n_new}")
     return n_new - n_old

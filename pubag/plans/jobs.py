@@ -354,57 +354,6 @@ def training_table_for_explain(pos: DataFrame, pseudo_pool: DataFrame, neg_pool:
 
 # --- EX12: nested grid search ----------------------------------------------------------------
 
-# The reference's 48-candidate grid, named by the boosted-tree settings they map to
-# (num_leaves 5/31 -> depth 3/5, learning_rate, feature_fraction, bagging_fraction, min_child_samples).
-GRID = {
-    "maxDepth": [3, 5],
-    "stepSize": [0.01, 0.5],
-    "featureSubsetStrategy": ["0.8", "1.0"],
-    "subsamplingRate": [0.5, 1.0],
-    "minInstancesPerNode": [18, 19, 20],
-}
-
-
-def nested_grid_search(df: DataFrame, features, key, seed, outer_k: int = 5, inner_k: int = 3, max_iter: int = 10,
-                       parallelism: int = 8, grid: dict | None = None) -> DataFrame:
-    """EX12 / SO3: outer stratified k-fold; in each outer training part undersample the
-    negatives (SA4), then an inner k-fold CrossValidator over the candidate grid scored by
-    the AUC of hard labels (ME7); the best candidate per outer fold (ties: first in grid
-    order). The outer validation part is not scored, as in the reference."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    df = _no_truth(df)
-    grid = grid or GRID
-    outer = kept(S.stratified_kfold(df, key, seed, outer_k, tag="outer"))
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, seed=2)
-    pg = ParamGridBuilder()
-    names = list(grid)
-    for n in names:
-        pg = pg.addGrid(gbt.getParam(n), grid[n])
-    maps = pg.build()
-    ev = BinaryClassificationEvaluator(rawPredictionCol="prediction", labelCol="label", metricName="areaUnderROC")
-    rows = []
-    for f in range(outer_k):
-        part = outer.filter(F.col("fold") != f).drop("fold")
-        part = S.undersample_majority(part, key, seed, tag=f"under{f}")
-        part = S.stratified_kfold(part, key, seed, inner_k, tag=f"inner{f}")
-        va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-        data = kept(va.transform(part.fillna(0.0, subset=list(features)))
-                    .select("features", F.col("y").cast("double").alias("label"), "fold"))
-        cv = CrossValidator(estimator=gbt, estimatorParamMaps=maps, evaluator=ev, foldCol="fold",
-                            parallelism=parallelism, seed=seed)
-        m = cv.fit(data)
-        metrics = list(m.avgMetrics)
-        best = max(range(len(metrics)), key=lambda i: (metrics[i], -i))
-        pm = maps[best]
-        rows.append((f, best, *[str(pm[gbt.getParam(n)]) for n in names], float(metrics[best])))
-    schema = "outer_fold int, cand_id int, " + ", ".join(f"{n} string" for n in names) + ", auc_hard double"
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
 # The reference's grid (its keys iterate in sorted order, the last varying fastest)
 # and how each setting maps onto the in-job histogram tree.
 REF_GRID = {

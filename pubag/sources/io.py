@@ -8,7 +8,9 @@ with one folder per repeat.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +35,7 @@ def read_features(spark: SparkSession, path, schema: T.StructType | None = None,
     if fmt == "parquet":
         df = spark.read.parquet(*paths)
         return df.select(*[f.name for f in schema.fields]) if schema else df
-    r = spark.read.option("header", True).option("emptyValue", None).option("nullValue", "")
+    r = spark.read.option("header", True).option("nullValue", "")  # a blank field is null
     if schema is None:
         raise ValueError("CSV feature tables need an explicit schema")
     return r.schema(schema).csv(paths)
@@ -49,26 +51,39 @@ def read_manifest(spark: SparkSession, pos_list: str, neg_list: str) -> DataFram
     return lines(pos_list, "pos").unionByName(lines(neg_list, "neg"))
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark names files in it (scheme and all, not URL-encoded)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def read_groups(spark: SparkSession, manifest: DataFrame, schema: T.StructType, base_dir: str = "",
                 group_names: list[str] | None = None, fmt: str | None = None) -> DataFrame:
-    """IO2 + SE1: every listed file in one scan; group and role from the file name."""
+    """IO2 + SE1: every listed file (or folder of files) in one scan; group and role from the file name.
+
+    A row is matched by the whole path of the listed entry that holds its file; a row that
+    belongs to no entry is an error."""
     files = [(r["file"], r["group_idx"], r["role"]) for r in manifest.collect()]  # manifest lines only
-    paths = [os.path.join(base_dir, f) for f, _, _ in files]
+    paths = [_qualified(spark, os.path.join(base_dir, f)) for f, _, _ in files]
     df = read_features(spark, paths, schema, fmt=fmt)
-    # the group file is the folder (or file) directly under base_dir that the row came from
-    rel = F.substring_index(F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + _re_escape(base_dir.rstrip("/")) + "/", ""), "/", 1)
-    df = df.withColumn("_file", rel)
-    m = spark.createDataFrame([(os.path.basename(f), g, r) for f, g, r in files], "_file string, group_idx int, role string")
-    out = df.join(F.broadcast(m), "_file").drop("_file")
+    m = spark.createDataFrame([(p, g, r) for p, (_, g, r) in zip(paths, files)], "_path string, group_idx int, role string")
+    # paths read as local files lose the slashes of an empty authority; + stays + in a file name
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    own = plain(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))))
+    depth = F.lit(None).cast("string")
+    for k in sorted({p.count("/") - p.startswith("file:///") * 2 for p in paths}):
+        at = F.substring_index(own, "/", k + 1)
+        depth = F.coalesce(F.when(at.isin([_plain(p) for p in paths]), at), depth)
+    out = df.withColumn("_path", F.coalesce(depth, F.raise_error(F.concat(F.lit("no manifest line for "), own))))
+    out = out.join(m.withColumn("_path", plain(F.col("_path"))), "_path").drop("_path")
     if group_names:
         names = F.element_at(F.array(*[F.lit(n) for n in group_names]), F.col("group_idx") + 1)
         out = out.withColumn("grp", names)
     return out
 
 
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -120,3 +135,29 @@ def load_model(spark: SparkSession, path: str, repeats: list[int] | None = None,
         if r not in have:
             print(f"Model file for {partition_by}={r} not found.")
     return df.filter(F.col(partition_by).isin([r for r in repeats if r in have]))
+
+
+def save_ensemble(model, path: str) -> str:
+    """IO6: a fitted ensemble: its model table and, as one JSON line, what prediction needs to know."""
+    kind = {k: v for k, v in vars(model.learner).items()}
+    about = {"learner": model.learner.name, "params": kind, "features": model.features, "key": model.key, "label": model.label,
+             "axis": model.axis, "user_axis": model.user_axis, "n_estimators": model.n_estimators, "mode": model.mode,
+             "first_bag": model.first_bag, "estimators_features_": model.estimators_features_, "n_axis": max(1, len(model.counts))}
+    if model.ext_models is not None:
+        raise ValueError("ensembles of external learners cannot be saved")
+    spark = model.models.sparkSession
+    model.models.write.mode("overwrite").parquet(os.path.join(path, "models"))
+    spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(path, "about"))
+    return path
+
+
+def load_ensemble(spark: SparkSession, path: str):
+    """IO6: the ensemble saved at ``path``; it predicts as before (out-of-bag scores need the training rows)."""
+    from pubag.operators.bagging import PUModel
+    from pubag.operators.learners import registry
+
+    about = json.loads(spark.read.text(os.path.join(path, "about")).first()[0])
+    models = spark.read.parquet(os.path.join(path, "models"))
+    learner = registry(about.pop("learner"), **about.pop("params"))
+    n_axis = about.pop("n_axis")
+    return PUModel(learner=learner, models=models, rows_u=None, rows_p=None, seed=None, counts=[{}] * n_axis, **about)
