@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels with shortcuts, on the executors only."""
+"""Connected components of an edge table by hooking, pointer jumping and contraction, on the executors only."""
 
 from __future__ import annotations
 
@@ -8,20 +8,36 @@ from pyspark.sql import functions as F
 from pubag.llm.common import saved
 
 
+def _some(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): for every node of ``edges`` (a, b) the smallest node that it reaches.
 
-    Each round replaces a label by its label's label and then by the smallest label of the neighbours;
-    paths shrink by more than half, so stars need one round and chains few. Rounds are written to the
-    shared folder; the driver sees only whether a label changed. No edges give no rows.
+    Each round points every node to its smallest neighbour, follows the pointers to their ends (half the
+    way is left after each jump) and contracts the edges to the ends that they connect, so the next round
+    sees only edges between groups: stars are done in one round, chains and rings in few. All tables stay
+    in the shared folder; the driver sees only whether anything is left. No edges give no rows.
     """
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp"),
-                                                                      F.lit(True).alias("moved")), "labels")
-    while labels.where("moved").limit(1).count():
-        up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        short = labels.join(up, "comp").select("node", F.col("comp").alias("was"), F.col("top").alias("comp"))
-        near = both.join(short.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        least = F.least("comp", "m")
-        labels = saved(short.join(near, F.col("node") == F.col("a")).select("node", least.alias("comp"), (least < F.col("was")).alias("moved")), "labels")
-    return labels.select("node", "comp")
+    cur = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    result = None
+    while result is None or _some(cur):
+        both = cur.union(cur.select("b", "a"))
+        ends = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "pointers")
+        while True:
+            step = ends.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+            ends = saved(ends.join(step, "comp").select("node", F.col("far").alias("comp"), (F.col("far") < F.col("comp")).alias("moved")), "pointers")
+            if not _some(ends.where("moved")):
+                break
+            ends = ends.drop("moved")
+        ends = ends.drop("moved")
+        at = lambda c: ends.select(F.col("node").alias(c), F.col("comp").alias(f"to_{c}"))  # noqa: E731, B023
+        left = cur.join(at("a"), "a").join(at("b"), "b").where("to_a <> to_b")
+        cur = saved(left.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        if result is None:
+            result = ends
+        else:
+            result = result.join(ends.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp", "left")
+            result = result.select("node", F.coalesce("far", "comp").alias("comp"))
+    return result
