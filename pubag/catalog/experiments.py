@@ -93,8 +93,8 @@ def ex13_training_table_for_explain(spark, sf):
     pos = d.filter(F.col("y") == 1)
     u = d.filter(F.col("y") == 0)
     sc = u.withColumn("_s", F.try_divide(F.col("f4"), F.col("f1")))
-    pseudo_pool = sc.filter(F.col("_s") > 0.02).drop("_s")
-    neg_pool = sc.filter(F.col("_s") <= 0.02).drop("_s")
+    pseudo_pool = sc.filter(F.col("_s") > 0.025).drop("_s")
+    neg_pool = sc.filter(F.col("_s") <= 0.025).drop("_s")
     t = J.training_table_for_explain(pos, pseudo_pool, neg_pool, K, SEED, n_pseudo=n_pos(d) // 7, features=FEATS + ["f7"])
     return t.select("doc_id", "y", "is_test", r6("f7").alias("f7"))
 
@@ -172,10 +172,10 @@ SQL["ex5_hidden_label_recovery"] = with_sql(
 
 # EX13: training table for the contribution plots
 _EX13 = f"""sc13 AS (SELECT *, f4 / nullif(f1, 0) AS s FROM pu_docs WHERE y = 0),
-ps13 AS (SELECT doc_id, 1 AS y, f7 FROM sc13 WHERE s > 0.02 ORDER BY {Q.hk(SEED, 'pseudo', _DK)}, doc_id
+ps13 AS (SELECT doc_id, 1 AS y, f7 FROM sc13 WHERE s > 0.025 ORDER BY {Q.hk(SEED, 'pseudo', _DK)}, doc_id
   LIMIT (SELECT count(*) // 7 FROM pu_docs WHERE y = 1)),
 p13 AS (SELECT doc_id, 1 AS y, f7 FROM pu_docs WHERE y = 1 UNION ALL SELECT * FROM ps13),
-n13 AS (SELECT doc_id, 0 AS y, f7 FROM sc13 WHERE s <= 0.02 ORDER BY {Q.hk(SEED, 'neg', _DK)}, doc_id
+n13 AS (SELECT doc_id, 0 AS y, f7 FROM sc13 WHERE s <= 0.025 ORDER BY {Q.hk(SEED, 'neg', _DK)}, doc_id
   LIMIT (SELECT count(*) FROM p13)),
 t13 AS (SELECT doc_id, y, coalesce(f7, 0.0) AS f7 FROM p13 UNION ALL SELECT doc_id, y, coalesce(f7, 0.0) FROM n13)"""
 SQL["ex13_training_table_for_explain"] = with_sql([Q.PU_DOCS, _EX13, Q.stratified_n("t13", "n13s", 0.2)], f"""SELECT doc_id, y,

@@ -27,6 +27,17 @@ def test_additive_phi_sums_to_margin_gap(docs):
     assert inter.filter((F.col("feature_i") != F.col("feature_j")) & (F.col("value") != 0)).count() == 0
 
 
+def test_contributions_per_axis_value_sum_to_zero(docs):
+    d = docs.filter("grp in ('en', 'fr')")
+    m = fit_plain(d, FEATS, K, axis=["grp"])
+    phi = X.contributions(m, d.select("grp", "doc_id", *FEATS))
+    for r in phi.groupBy("grp", "feature").agg(F.avg("phi").alias("m"), F.max(F.abs("phi")).alias("top")).collect():
+        assert abs(r.m) <= 1e-9 * max(1.0, r.top)
+    two = X.coalition_contributions(fit_plain(d, FEATS[:2], K, axis=["grp"]), d.limit(2), d, 10, 1)
+    for r in two.groupBy("grp", "doc_id").agg(F.sum("phi").alias("s"), F.first("fx").alias("fx"), F.first("ef").alias("ef")).collect():
+        assert math.isclose(r.s, r.fx - r.ef, abs_tol=1e-9)
+
+
 def test_coalition_phi_efficiency(docs):
     m = PUBagging(n_estimators=3, max_samples=50, seed=1, oob_score=False).fit(docs, FEATS[:3], K)
     ex = docs.limit(2)

@@ -58,10 +58,10 @@ def test_same_rows_for_any_bits_and_partitioning(spark, bits):
     for n in (1, 5, 13):
         part = df.repartition(n)
         assert {r.i for r in S.first_n(part, 1500, "k", 3, bits=bits).collect()} == want
-    pos = {r.i: r.pos for r in S.dense_position(df.repartition(5), "k", 3).collect()}
+    pos = {r.i: r.pos for r in S.dense_position(df.repartition(5), "k", 3, "sample").collect()}
     assert sorted(pos.values()) == list(range(4000))
     assert {i for i, p in pos.items() if p < 1500} == want
-    assert pos == {r.i: r.pos for r in S.dense_position(df.repartition(3), "k", 3).collect()}
+    assert pos == {r.i: r.pos for r in S.dense_position(df.repartition(3), "k", 3, "sample").collect()}
 
 
 def test_positions_by_null_and_many_groups(spark):
