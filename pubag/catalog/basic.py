@@ -146,17 +146,17 @@ def jo5_pair_groups(spark, sf):
 
 
 def jo7_threshold_grid(spark, sf):
-    """JO7: the 45 (lo <= hi) cells of a 9-value grid with class sizes under each cell."""
-    grid = R.threshold_grid(spark, [i / 100 for i in range(1, 10)])
+    """JO7: the 45 (lo <= hi) cells of a 9-value grid with class sizes under each cell.
+
+    A cell's sizes depend on one threshold each: 18 conditional sums, one row, then the cells."""
+    values = [i / 100 for i in range(1, 10)]
     sc = _scored(spark, sf).filter(F.col("y") == 0)
-    # score quantiles per cell: counts are one aggregate over the rows with the grid as a small array
-    cells = grid.collect()
-    arr = F.array(*[F.struct(F.lit(c["i"]).alias("i"), F.lit(c["j"]).alias("j"), F.lit(c["lo"]).alias("lo"),
-                             F.lit(c["hi"]).alias("hi")) for c in cells])
-    x = sc.select("score", F.explode(arr).alias("c"))
-    return x.groupBy(F.col("c.i").alias("i"), F.col("c.j").alias("j")).agg(
-        F.sum(F.when(F.col("score") < F.col("c.lo"), 1).otherwise(0)).cast("bigint").alias("n_neg"),
-        F.sum(F.when(F.col("score") > F.col("c.hi"), 1).otherwise(0)).cast("bigint").alias("n_pseudo"))
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
+    sums = sc.agg(*[count(F.col("score") < v).alias(f"lo{k}") for k, v in enumerate(values)],
+                  *[count(F.col("score") > v).alias(f"hi{k}") for k, v in enumerate(values)])
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"lo{i}").alias("n_neg"), F.col(f"hi{j}").alias("n_pseudo"))
+                      for i, j, _, _ in R.threshold_cells(values)])
+    return sums.select(F.explode(cells).alias("c")).select("c.*")
 
 
 def jo8_score_features(spark, sf):

@@ -24,7 +24,7 @@ def fill_class_mean(df: DataFrame, features: list[str], label: str = "y", parts=
     """
     parts = list(parts)
     means = class_means(df, features, label, parts)
-    j = df.join(F.broadcast(means), [*parts, label])
+    j = df.join(means, [*parts, label])
     out = j
     for c in features:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"mean_{c}")))

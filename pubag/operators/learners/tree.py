@@ -62,10 +62,10 @@ class DecisionTree:
                             bins.alias("_bins"), F.lit(1).alias("node"))
         cur = kept(cur)
         if axis_params is not None:
-            # one row per axis value (the grid): small, broadcast
-            ap = F.broadcast(axis_params.select(*axis, F.col("max_depth").alias("_cap"),
+            # one row per axis value (the grid)
+            ap = axis_params.select(*axis, F.col("max_depth").alias("_cap"),
                                                 F.col("min_leaf").cast("double").alias("_minleaf"),
-                                                F.col("allowed").alias("_allowed")))
+                                                F.col("allowed").alias("_allowed"))
         allowed = None
         if fbags is not None and any(sorted(set(fb)) != list(range(d)) for fb in fbags):
             allowed = F.element_at(F.array(*[F.array(*[F.lit(int(j)) for j in sorted(set(fb))]) for fb in fbags]),
@@ -108,8 +108,8 @@ class DecisionTree:
             splits = level.filter(F.col("feat") >= 0).select(*axis, "bag", "node", "feat", "thr")
             if splits.limit(1).count() == 0:
                 break
-            # split table: one row per open node of this level (bounded by axis x bags x 2^depth)
-            moved = cur.join(F.broadcast(splits), [*axis, "bag", "node"], "inner")
+            # split table: one row per open node of this level
+            moved = cur.join(splits, [*axis, "bag", "node"], "inner")
             child = (2 * F.col("node") + F.when(F.element_at("_bins", F.col("feat") + 1) > F.col("thr"), 1)
                      .otherwise(0)).alias("node")
             cur = kept(moved.select(*axis, "bag", "_y", "_w", "_bins", child))

@@ -6,9 +6,8 @@ whatever axis columns the caller has (repeat, model, variant, cell, fold…).
 ROC / AUC: scores are first reduced to distinct values with their positive and
 negative counts. Cumulative counts in descending score order need a running
 sum; instead of one window over the whole table (one task), the distinct
-scores are cut into ordered buckets (``width_bucket`` between the min and max
-score of each partition value), bucket totals (small) give each bucket's
-offset, and the running sum runs inside each bucket. AUC is then a plain sum:
+scores are range-partitioned, one sum per partition gives its offset, and the
+running sum runs inside each partition. AUC is then a plain sum:
 sum_i neg_i * (2 * tp_i - pos_i) / (2 * P * N), the trapezoid rule with the
 previous point recovered from the row's own counts (no lag needed).
 """
@@ -18,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROC_BUCKETS = 4096
+from pubag.session import kept
 
 
 def _c(c) -> Column:
@@ -95,40 +94,51 @@ def _score_counts(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame
     )
 
 
-def _cumulative(d: DataFrame, by: list[str], buckets: int) -> DataFrame:
-    """Add tp/fp = positives/negatives with score >= this score (descending running sums)."""
-    rng = d.groupBy(*by).agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"),
-                             F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    # one row per axis value
-    d = d.join(F.broadcast(rng), by) if by else _attach_scalar(d, rng)
-    # descending order: bucket 0 holds the highest scores
-    b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_hi") - F.col("score")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1)))
-    d = d.withColumn("_bk", b.cast("int"))
-    tot = d.groupBy(*by, "_bk").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wb = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_op", F.coalesce(F.sum("_bp").over(wb), F.lit(0))).withColumn(
-        "_on", F.coalesce(F.sum("_bn").over(wb), F.lit(0)))
-    d = d.join(F.broadcast(tot.select(*by, "_bk", "_op", "_on")), [*by, "_bk"])
-    wi = Window.partitionBy(*by, "_bk").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("tp", (F.col("_op") + F.sum("pos").over(wi)).cast("bigint")).withColumn(
-        "fp", (F.col("_on") + F.sum("neg").over(wi)).cast("bigint")).drop("_op", "_on", "_bk", "_lo", "_hi")
-
-
-def _attach_scalar(d: DataFrame, one_row: DataFrame) -> DataFrame:
-    r = one_row.first()
-    for c in one_row.columns:
-        d = d.withColumn(c, F.lit(r[c]))
-    return d
-
-
-def roc_curve(df: DataFrame, y: str = "y", score: str = "score", by=(), buckets: int = ROC_BUCKETS) -> DataFrame:
+def _cumulative(d: DataFrame, by: list[str]) -> DataFrame:
+    """Add tp/fp = positives/negatives with score >= this score (descending running sums) and the
+    totals P and N per axis value.
+
+    Distinct scores are range-partitioned (axis, score descending): cut points follow the
+    data, so scores piled up in a narrow range still spread over tasks. One sum per range
+    partition gives the offsets; only the first axis value of a partition can have started
+    before it, so the table of offsets has at most one row per partition.
+    """
+    names = [f"_k_{i}" for i in range(len(by))]
+    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    d = kept(d.repartitionByRange(n, *by, F.desc("score")).withColumn("_part", F.spark_partition_id()))
+
+    def same(*more: Column) -> Column:
+        on = F.lit(True)
+        for b, k in zip(by, names):
+            on = on & F.col(b).eqNullSafe(F.col(k))
+        for m in more:
+            on = on & m
+        return on
+
+    renamed = [F.col(b).alias(k) for b, k in zip(by, names)]
+    per = d.groupBy("_part", *by).agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (per.select(F.col("_part").alias("_part2"), *renamed, F.sum("_bp").over(ahead).alias("_op"), F.sum("_bn").over(ahead).alias("_on"))
+               .filter(F.col("_op").isNotNull()))
+    inside = Window.partitionBy("_part", *by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.join(F.broadcast(offsets), same(F.col("_part") == F.col("_part2")), "left")
+    for name, value, off in (("tp", "pos", "_op"), ("fp", "neg", "_on")):
+        out = out.withColumn(name, (F.coalesce(off, F.lit(0)) + F.sum(value).over(inside)).cast("bigint"))
+    out = out.drop("_part", "_part2", "_op", "_on", *names)
+    totals = d.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    if not by:
+        one = totals.first()  # two numbers
+        return out.withColumns({"P": F.lit(one["P"]).cast("bigint"), "N": F.lit(one["N"]).cast("bigint")})
+    return out.join(totals.select(*renamed, "P", "N"), same()).drop(*names)
+
+
+def roc_curve(df: DataFrame, y: str = "y", score: str = "score", by=()) -> DataFrame:
     """WI1: (threshold, fpr, tpr) at every distinct score, descending, plus the origin.
 
     Tied scores are one point. fpr/tpr are NULL when a class is absent.
     """
     by = list(by)
-    d = _cumulative(_score_counts(df, y, score, by), by, buckets)
+    d = _cumulative(_score_counts(df, y, score, by), by)
     pts = d.select(*by, F.col("score").alias("threshold"),
                    F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"),
                    F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"))
@@ -138,10 +148,10 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score", by=(), buckets:
     return pts.unionByName(origin)
 
 
-def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by=(), buckets: int = ROC_BUCKETS) -> DataFrame:
+def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by=()) -> DataFrame:
     """WI2 / ME6: trapezoid area under the ROC curve per axis value (NULL if a class is absent)."""
     by = list(by)
-    d = _cumulative(_score_counts(df, y, score, by), by, buckets)
+    d = _cumulative(_score_counts(df, y, score, by), by)
     area = F.sum((F.col("neg") * (2 * F.col("tp") - F.col("pos"))).cast("double"))
     return d.groupBy(*by).agg(
         F.try_divide(area, F.lit(2.0) * F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"))

@@ -109,7 +109,7 @@ def semi_by_key(df: DataFrame, keys: DataFrame, key) -> DataFrame:
 
 def pair_groups(pos_counts: DataFrame, neg: DataFrame, group: str = "grp") -> DataFrame:
     """JO5: i-th positive table with i-th negative table = equi-join on the group column."""
-    return neg.join(F.broadcast(pos_counts), group)
+    return neg.join(pos_counts, group)
 
 
 def score_features(scores: DataFrame, features: DataFrame, key) -> DataFrame:
@@ -122,13 +122,9 @@ def attach_truth(pred: DataFrame, orig: DataFrame, key, label: str = "y", name:
     return pred.join(orig.select(*as_list(key), F.col(label).alias(name)), as_list(key))
 
 
-def threshold_grid(spark, values: list[float]) -> DataFrame:
-    """JO7: (lo, hi) pairs with lo <= hi from one threshold list (45 cells for 9 values).
-
-    The list is a driver-side parameter, so the grid is built from it directly.
-    """
-    cells = [(i, j, float(values[i]), float(values[j])) for i in range(len(values)) for j in range(i, len(values))]
-    return spark.createDataFrame(cells, "i int, j int, lo double, hi double")
+def threshold_cells(values: list[float]) -> list[tuple[int, int, float, float]]:
+    """JO7: (i, j, lo, hi) with lo <= hi from one threshold list (45 cells for 9 values)."""
+    return [(i, j, float(values[i]), float(values[j])) for i in range(len(values)) for j in range(i, len(values))]
 
 
 # --- SE: set operations ------------------------------------------------------------

@@ -59,7 +59,7 @@ def recovery_training(df: DataFrame, key, seed, repeats: int = 10, hide_frac: fl
     train = _union(pos, negs).withColumn("y_true", F.col(label))
     r = S.rank_in(pos, key, seed, "hide", parts=["repeat"], extra=(F.col("repeat"),), name="_r")
     nh = n.select("repeat", F.floor(F.col("n") * F.lit(float(hide_frac))).cast("bigint").alias("_nh"))
-    hidden = r.join(F.broadcast(nh), "repeat").filter(F.col("_r") <= F.col("_nh")).select("repeat", *key).withColumn(
+    hidden = r.join(nh, "repeat").filter(F.col("_r") <= F.col("_nh")).select("repeat", *key).withColumn(
         "_hid", F.lit(True))
     train = train.join(hidden, ["repeat", *key], "left")
     return train.withColumn(label, F.when(F.col("_hid"), F.lit(0)).otherwise(F.col(label)).cast("int")).drop("_hid")
@@ -172,8 +172,8 @@ def reliability_grid(scores: DataFrame, pos_train: DataFrame, pos_valid: DataFra
                           name="_r"))
     psel = kept(S.rank_in(psel, key, seed, "gpos", parts=["j", "repeat"], extra=(F.col("j"), F.col("repeat")),
                           name="_r"))
-    nsel = nsel.join(F.broadcast(sizes), ["i", "repeat"]).filter(F.col("_r") <= F.col("n")).drop("_r", "n")
-    psel = psel.join(F.broadcast(sizes), ["j", "repeat"]).filter(F.col("_r") <= F.col("n")).drop("_r", "n")
+    nsel = nsel.join(sizes, ["i", "repeat"]).filter(F.col("_r") <= F.col("n")).drop("_r", "n")
+    psel = psel.join(sizes, ["j", "repeat"]).filter(F.col("_r") <= F.col("n")).drop("_r", "n")
     train = kept(_union(psel.withColumn("y", F.lit(1)), nsel.withColumn("y", F.lit(0))))
     axis = ["i", "j", "repeat"]
     model = PUBagging(learner=learner, n_estimators=n_estimators, max_samples=max_samples, seed=seed,
