@@ -17,6 +17,7 @@ missing ids pass through. A word of any length is processed whole.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import log
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pubag.llm.common import batches, blocks, id_and_text
 
 MARK = "▁"
 
-#: Words whose counts a task remembers, and texts taken together.
+#: Words whose counts a worker remembers, and texts taken together.
 CACHE_WORDS, BLOCK_TEXTS = 300_000, 512
 
 
@@ -45,59 +46,72 @@ class Unigram:
         total = log(sum(1 / (r + 2) for r in range(len(vocabulary))))
         self.score = {p: -log(r + 2) - total for r, p in enumerate(vocabulary)}
         self.byte = -log(len(vocabulary) + 2) - total - 1
-        self.sizes: dict[str, tuple[int, ...]] = {}
-        ends: dict[str, set[int]] = {}
-        for p in self.score:
-            ends.setdefault(p[-1], set()).add(len(p))
-        self.sizes = {c: tuple(sorted(s)) for c, s in ends.items()}
-
-    def extend(self, word: str, at: int, best: list[tuple[float, int]]) -> tuple[float, int]:
-        """Forward state (score, minus tokens) after ``at`` characters of ``word``, from those before."""
-        n = len(word[at - 1].encode())
-        s, t = best[at - 1]
-        top = (s + n * self.byte, t - n)
-        for size in self.sizes.get(word[at - 1], ()):
-            if size > at:
-                break
-            p = self.score.get(word[at - size:at])
-            if p is not None:
-                s, t = best[at - size]
-                if (s + p, t - 1) > top:
-                    top = (s + p, t - 1)
-        return top
+        self.root: dict = {}  # trie of the pieces: a node maps characters to nodes, and "" to its piece's score
+        for p, s in self.score.items():
+            node = self.root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = s
+
+    def step(self, state: tuple, c: str) -> tuple:
+        """Forward state (score, minus tokens, open pieces) one character on. An open piece is a node of the
+        trie with the state in which the piece began."""
+        before, used, pieces = state
+        n = len(c.encode())
+        score, tokens, now = before + n * self.byte, used - n, []
+        child = self.root.get(c)
+        if child is not None:
+            pieces = [*pieces, (self.root, before, used)]
+        for node, s, t in pieces:
+            child = node.get(c)
+            if child is not None:
+                now.append((child, s, t))
+                p = child.get("")
+                if p is not None and (s + p > score or s + p == score and t - 1 > tokens):
+                    score, tokens = s + p, t - 1
+        return score, tokens, now
 
     def counts(self, words: set[str]) -> dict[str, int]:
-        """Tokens of each word (with its mark): depth first over the trie, one stack of forward states."""
-        out, before, best = {}, "", [(0.0, 0)]
+        """Tokens of each word, its mark included: depth first over the trie of the words, one stack of
+        forward states, so the states of a shared prefix are computed once."""
+        out, before, stack = {}, "", [self.step((0.0, 0, []), MARK)]
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del best[shared + 1:]
-            for at in range(shared + 1, len(word) + 1):
-                best.append(self.extend(word, at, best))
-            out[word] = -best[-1][1]
+            del stack[shared + 1:]
+            state = stack[-1]
+            for c in word[shared:]:
+                state = self.step(state, c)
+                stack.append(state)
+            out[word] = -state[1]
             before = word
         return out
 
 
+@lru_cache(maxsize=1)
+def _model(vocabulary: tuple[str, ...]) -> tuple[Unigram, dict[bytes, int]]:
+    """One model and one cache of word counts a worker process."""
+    return Unigram(list(vocabulary)), {}
+
+
 def count_tokens(docs: DataFrame, vocabulary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_words`` and ``n_tokens`` of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the pieces of one file
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))  # the pieces of one file
     source = docs.select(id_col, text_col)
     kind = source.schema[id_col].dataType
     schema = pa.schema([(id_col, pa.string() if kind.typeName() == "string" else pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(it):
-        model, known = Unigram(sent.value), {}
+        model, known = _model(sent.value)
 
         def rows():
             for ids, texts in blocks(id_and_text(it), BLOCK_TEXTS):
-                words = [[w.decode() for w in (t or "").encode().split()] for t in texts]
+                words = [(t or "").encode().split() for t in texts]
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                fresh = {w for ws in words for w in ws if w not in known}
-                known.update((w[len(MARK):], n) for w, n in model.counts({MARK + w for w in fresh}).items())
+                fresh = {w.decode() for w in set().union(*words) if w not in known}
+                known.update((w.encode(), n) for w, n in model.counts(fresh).items())
                 for i, ws in zip(ids, words):
                     yield i, len(ws), sum(map(known.__getitem__, ws))
 
