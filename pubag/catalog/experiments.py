@@ -115,21 +115,21 @@ QUERIES = {
 SQL: dict[str, str] = {}
 
 
-def _mllib_oob(kind, **params):
+def _oob_of(kind, T, **params):
     def q(spark, sf):
         from pubag.operators.bagging import PUBagging
         from pubag.operators.learners import registry
-        m = PUBagging(learner=registry(kind, **params), n_estimators=3, max_samples=100, seed=SEED).fit(
+        m = PUBagging(learner=registry(kind, **params), n_estimators=T, max_samples=100, seed=SEED).fit(
             pu_docs(spark, sf), FEATS, K)
         return m.oob_scores(include_positives=False).select("doc_id", r6("oob_score").alias("oob_score"), "n_votes")
     return q
 
 
 QUERIES.update({
-    "bl3_random_forest": _mllib_oob("random_forest"),
-    "bl4_boosted_trees": _mllib_oob("boosted_trees", maxIter=10),
-    "bl5_kernel_svm": _mllib_oob("kernel_svm", maxIter=20),
-    "bl6_mlp": _mllib_oob("mlp", maxIter=50),
+    "bl3_random_forest": _oob_of("random_forest", 100),
+    "bl4_boosted_trees": _oob_of("boosted_trees", 100, drop=0.1),
+    "bl5_kernel_svm": _oob_of("kernel_svm", 3, maxIter=20),
+    "bl6_mlp": _oob_of("mlp", 3, maxIter=50),
 })
 
 # ---------------------------------------------------------------------------------- SQL
@@ -391,19 +391,20 @@ SQL["ex9_reliability_grid"] = with_sql([Q.PU_DOCS, _EX9], f"""SELECT CAST(i AS I
 
 def _ex12_sql(outer_k: int = 5, inner_k: int = 3, nb: int = 32) -> str:
     """EX12 in SQL: undersampled ofo folds, inner folds, 48 candidates, one tree per (ofo, cand, inner)."""
-    from pubag.operators.sampling import feature_bag_hash
+    # the grid spelled out here: settings in the order of their names, the last varying fastest
+    import hashlib
+    import itertools
+
+    def hv(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
 
-    cands = J.grid_candidates()
     d = len(FEATS)
     rows = []
-    for ci, c in enumerate(cands):
-        kf = max(1, int(float(c["feature_fraction"]) * d))
-        order = sorted(range(d), key=lambda j: (feature_bag_hash(SEED, "featfrac", ci, j), j))
-        allowed = sorted(order[:kf])
-        rows.append(f"({ci}, {J.LEAVES_TO_DEPTH[c['num_leaves']]}, {float(c['min_child_samples'])!r}, "
-                    f"{float(c['bagging_fraction'])!r}, [{', '.join(map(str, allowed))}], "
-                    f"'{c['num_leaves']}', '{c['min_child_samples']}')")
-    depth = max(J.LEAVES_TO_DEPTH.values())
+    for ci, (bagging, share, _rate, leaf, leaves) in enumerate(itertools.product([0.5, 1.0], [0.8, 1.0], [0.01, 0.5], [18, 19, 20], [5, 31])):
+        order = sorted(range(d), key=lambda j: (hv(SEED, "featfrac", ci, j), j))
+        allowed = sorted(order[:max(1, int(share * d))])
+        rows.append(f"({ci}, {({5: 3, 31: 5})[leaves]}, {float(leaf)!r}, {bagging!r}, [{', '.join(map(str, allowed))}], '{leaves}', '{leaf}')")
+    depth = 5
     ax = "ofo, cand, k"
     bins = ", ".join(
         f"CASE WHEN t.{f} IS NULL THEN -1 ELSE CAST(least(greatest(floor((t.{f} - r.lo{j}) / r.wd{j}), 0), {nb - 1}) AS INTEGER) END AS b{j}"

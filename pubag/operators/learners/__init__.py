@@ -18,7 +18,13 @@ def registry(name: str, **params):
     if name in ("tree", "decision_tree"):
         from pubag.operators.learners.tree import DecisionTree
         return DecisionTree(**params)
-    if name in ("random_forest", "boosted_trees", "kernel_svm", "mlp"):
+    if name == "random_forest":
+        from pubag.operators.learners.tree_ensembles import Forest
+        return Forest(**params)
+    if name == "boosted_trees":
+        from pubag.operators.learners.tree_ensembles import BoostedTrees
+        return BoostedTrees(**params)
+    if name in ("mllib_random_forest", "mllib_boosted_trees", "kernel_svm", "mlp"):
         from pubag.operators.learners.mllib import MLlibLearner
-        return MLlibLearner(name, **params)
+        return MLlibLearner(name.removeprefix("mllib_"), **params)
     raise ValueError(f"unknown learner {name!r}")

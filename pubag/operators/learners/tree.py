@@ -1,7 +1,8 @@
 """BL2: decision trees for every bag at once, trained level by level on histograms.
 
-Features are cut once into ``n_bins`` equal-width bins between their min and max
-over the training rows (a null gets bin -1 and therefore always goes left).
+Features are cut once into ``n_bins`` bins over the training rows: of equal width between
+min and max, or (``quantiles``) at approximate quantiles, which a few far values do not
+stretch. A null gets bin -1 and therefore always goes left.
 Each level is one aggregate over the bagged rows, exploded per feature:
 (axis…, bag, node, feature, bin) -> (sum w, sum w*y); a window gives the left
 totals of every "bin <= b" split; the weighted Gini of the two children is
@@ -39,10 +40,19 @@ class DecisionTree:
     has_proba = True
     takes_weight = True
 
-    def __init__(self, max_depth: int = MAX_DEPTH, n_bins: int = N_BINS, min_weight_leaf: float = 1.0):
+    def __init__(self, max_depth: int = MAX_DEPTH, n_bins: int = N_BINS, min_weight_leaf: float = 1.0, quantiles: bool = False):
         self.max_depth = max_depth
         self.n_bins = n_bins
         self.min_weight_leaf = float(min_weight_leaf)
+        self.quantiles = quantiles
+
+    def _cuts(self, rows: DataFrame, features: list[str]) -> list[list[float]]:
+        """Per feature the distinct approximate quantiles that cut it into bins (at most ``n_bins`` - 1 numbers)."""
+        if not self.quantiles:
+            return [[] for _ in features]
+        shares = [k / self.n_bins for k in range(1, self.n_bins)]
+        got = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10000).alias(c) for c in features]).first()
+        return [sorted(set(got[c] or [])) for c in features]
 
     # -- training ----------------------------------------------------------------
     def fit(self, bagged: DataFrame, rows: DataFrame, features: list[str], axis: list[str], label: str = "y",
@@ -56,8 +66,16 @@ class DecisionTree:
         lo = [float(rng[f"lo{j}"]) if rng[f"lo{j}"] is not None else 0.0 for j in range(d)]
         hi = [float(rng[f"hi{j}"]) if rng[f"hi{j}"] is not None else 0.0 for j in range(d)]
         wd = [(h - l) / nb if h > l else 1.0 for l, h in zip(lo, hi)]
-        bins = F.array(*[bin_expr(F.col(c).cast("double"), F.lit(lo[j]), F.lit(wd[j]), nb)
-                         for j, c in enumerate(features)])
+        cuts = self._cuts(rows, features)
+
+        def bin_of(c: str, j: int) -> Column:
+            x = F.col(c).cast("double")
+            if not self.quantiles:
+                return bin_expr(x, F.lit(lo[j]), F.lit(wd[j]), nb)
+            below = F.filter(F.array(*[F.lit(v) for v in cuts[j]]).cast("array<double>"), lambda v: x > v)
+            return F.when(x.isNull(), F.lit(-1)).otherwise(F.size(below)).cast("int")
+
+        bins = F.array(*[bin_of(c, j) for j, c in enumerate(features)])
         cur = bagged.select(*axis, "bag", F.col(label).cast("double").alias("_y"), F.col("w").cast("double").alias("_w"),
                             bins.alias("_bins"), F.lit(1).alias("node"))
         cur = kept(cur)
@@ -120,8 +138,9 @@ class DecisionTree:
         model = nodes.groupBy(*axis, "bag").agg(F.map_from_entries(F.collect_list(F.struct(
             "node", F.struct(F.col("feat").cast("int").alias("f"), F.col("thr").cast("int").alias("t"),
                              F.col("value").alias("v"))))).alias("tree"))
-        return model.withColumn("lo", F.array(*[F.lit(v) for v in lo])).withColumn(
-            "wd", F.array(*[F.lit(v) for v in wd]))
+        return model.withColumns({
+            "lo": F.array(*[F.lit(v) for v in lo]), "wd": F.array(*[F.lit(v) for v in wd]),
+            "cuts": F.array(*[F.array(*[F.lit(v) for v in c]).cast("array<double>") for c in cuts])})
 
     # -- scoring of one bag's tree over the rows of an array -------------------------
 
@@ -130,11 +149,15 @@ class DecisionTree:
         feat, cut, value = np.full(size, -1), np.full(size, -1), np.zeros(size)
         for node, nd in row["tree"].items():
             feat[node], cut[node], value[node] = nd["f"], nd["t"], nd["v"] or 0.0
-        return {"feat": feat, "cut": cut, "value": value, "lo": np.array(row["lo"]), "wd": np.array(row["wd"])}
+        return {"feat": feat, "cut": cut, "value": value, "lo": np.array(row["lo"]), "wd": np.array(row["wd"]),
+                "cuts": [np.array(c, dtype=float) for c in row["cuts"]]}
 
     def np_proba(self, m: dict, x: np.ndarray) -> np.ndarray:
         """Value of the leaf that each row reaches in ``max_depth`` steps."""
-        bins = np.clip(np.floor((x - m["lo"]) / m["wd"]), 0, self.n_bins - 1)
+        if self.quantiles:
+            bins = np.column_stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(m["cuts"])])
+        else:
+            bins = np.clip(np.floor((x - m["lo"]) / m["wd"]), 0, self.n_bins - 1)
         bins = np.where(np.isnan(x), -1, bins)
         rows, node = np.arange(len(x)), np.ones(len(x), dtype=int)
         for _ in range(self.max_depth):
@@ -145,7 +168,7 @@ class DecisionTree:
 
     @staticmethod
     def model_columns() -> list[str]:
-        return ["tree", "lo", "wd"]
+        return ["tree", "lo", "wd", "cuts"]
 
     def model_bytes(self, d: int) -> int:
-        return 40 * (2 ** (self.max_depth + 1)) + 16 * d + 64
+        return 40 * (2 ** (self.max_depth + 1)) + (16 + 8 * self.n_bins) * d + 64
