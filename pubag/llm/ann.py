@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pubag.llm.common import ordered_prefix, saved
 from pubag.llm.topk import distinct_rows, matrix, merged
 
-CURVES, DIMS, BITS, BLOCK, WINDOW = 12, 10, 4, 2048, 0.035
+CURVES, DIMS, BITS, BLOCK, WINDOW = 16, 10, 4, 2048, 0.035
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
