@@ -68,23 +68,6 @@ PU_LINES = """pu_lines AS (
   FROM lineitem
 )"""
 
-PU_ORDERS = """pu_orders AS (
-  SELECT o_orderkey, o_orderpriority AS grp,
-         CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INTEGER) AS y,
-         CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INTEGER) AS y_true,
-         CAST(o_totalprice AS DOUBLE) AS o_totalprice
-  FROM orders
-)"""
-
-PU_EVENTS = """pu_events AS (
-  SELECT event_id, CAST(user_id % 8 AS VARCHAR) AS grp,
-         CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS INTEGER) AS y,
-         CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS INTEGER) AS y_true,
-         CAST(value AS DOUBLE) AS value
-  FROM events
-)"""
-
-
 def gnb_plain_ctes(src: str, key: list[str], features: list[str], prefix: str = "gp", label: str = "y",
                    axis: list[str] | None = None) -> str:
     """Plain (one-model) Gaussian NB: {prefix}_model with bag 0 fitted on all rows, weight 1."""

@@ -5,8 +5,6 @@ its parts. It does not depend on partitioning, retries or the number of bags, so
 every sample, bag and split can be recomputed anywhere (no ``rand()`` in plans
 that may be re-executed after an executor loss). The same text is computable in
 any SQL engine with md5, which is what the oracle checks rely on.
-
-``fast_h`` (xxhash64) is the cheaper non-oracle variant for very large inputs.
 """
 
 from __future__ import annotations
@@ -37,11 +35,6 @@ def h(*parts) -> Column:
     return F.conv(F.substring(F.md5(hash_text(*parts)), 1, 15), 16, 10).cast("bigint")
 
 
-def fast_h(*parts) -> Column:
-    """Non-negative 60-bit xxhash64 variant (no md5 text); not oracle-compatible."""
-    return F.shiftright(F.xxhash64(*[_part(p) for p in parts]), 4).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-
-
 def uniform(hcol: Column) -> Column:
     """Map a 60-bit hash to a double in [0, 1)."""
     return hcol.cast("double") / F.lit(TWO_POW_60)

@@ -1,4 +1,4 @@
-"""Missing-value policies (SC1-SC3) and the leak-free train-mean fill."""
+"""Missing-value policies (SC1-SC3)."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ def class_means(df: DataFrame, features: list[str], label: str = "y", parts=())
 def fill_class_mean(df: DataFrame, features: list[str], label: str = "y", parts=()) -> DataFrame:
     """SC2: null -> mean of that column within the same class (the reference's leaky fill).
 
-    The class-mean table has one row per class (x partition value): broadcast.
+    The class-mean table has one row per class (x partition value).
     A feature that is null for a whole class stays null.
     """
     parts = list(parts)
@@ -31,27 +31,6 @@ def fill_class_mean(df: DataFrame, features: list[str], label: str = "y", parts=
     return out.drop(*[f"mean_{c}" for c in features])
 
 
-def fill_train_mean(train: DataFrame, other: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Leak-free mode: means fit on the training part only, applied to both parts."""
-    means = train.agg(*[F.avg(c).alias(f"mean_{c}") for c in features]).first()
-
-    def apply(d: DataFrame) -> DataFrame:
-        for c in features:
-            d = d.withColumn(c, F.coalesce(F.col(c), F.lit(means[f"mean_{c}"]).cast("double")))
-        return d
-
-    return apply(train), apply(other)
-
-
 def keep_null(df: DataFrame, features: list[str]) -> DataFrame:
     """SC3: no fill; learners route nulls themselves (GNB skips them, trees give them a bin)."""
     return df
-
-
-POLICIES = {"zero": fill_zero, "class_mean": fill_class_mean, "keep": keep_null}
-
-
-def fill(df: DataFrame, features: list[str], policy: str = "zero", label: str = "y") -> DataFrame:
-    if policy == "class_mean":
-        return fill_class_mean(df, features, label)
-    return POLICIES[policy](df, features)

@@ -27,8 +27,6 @@ class Fixture:
 DOCS = Fixture("pu_docs", ["doc_id"], ["f1", "f2", "f3", "f4", "f5", "f6"], extra=["f7", "source"])
 LINES = Fixture("pu_lines", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
                 ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-ORDERS = Fixture("pu_orders", ["o_orderkey"], ["o_totalprice"])
-EVENTS = Fixture("pu_events", ["event_id"], ["value"])
 VEC_DIM = 64
 VEC = Fixture("pu_vec", ["vec_id"], [f"e{i}" for i in range(VEC_DIM)], extra=["cls"])
 
@@ -70,16 +68,23 @@ def materialized(spark: SparkSession, name: str, inputs: list[str], build) -> Da
     """Derived table written once as Parquet in the shared checkpoint folder and read back.
 
     Keyed by the input files (path, size, modification time), so a changed input gives a new
-    table. Later jobs read the narrow, pruned table instead of recomputing it.
+    table. Later jobs read the narrow, pruned table instead of recomputing it. The table is
+    written aside and renamed when complete; of two jobs that build it, one is kept.
     """
     import os
+    import uuid
 
     from pubag.session import checkpoint_dir
 
     path = os.path.join(checkpoint_dir(spark), "pubag-tables", f"{name}-{_fingerprint(spark, inputs)}")
     fs, hp = _fs_status(spark, path + "/_SUCCESS")
     if not fs.exists(hp):
-        build().write.mode("overwrite").parquet(path)
+        aside = f"{path}-{uuid.uuid4().hex}"
+        build().write.parquet(aside)
+        _, own = _fs_status(spark, aside)
+        _, there = _fs_status(spark, path)
+        if fs.exists(there) or not fs.rename(own, there):
+            return spark.read.parquet(aside)
     return spark.read.parquet(path)
 
 
@@ -129,28 +134,6 @@ def pu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pu_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    return o.select(
-        "o_orderkey",
-        F.col("o_orderpriority").alias("grp"),
-        F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).cast("int").alias("y"),
-        F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).cast("int").alias("y_true"),
-        F.col("o_totalprice").cast("double").alias("o_totalprice"),
-    )
-
-
-def pu_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select(
-        "event_id",
-        (F.col("user_id") % 8).cast("string").alias("grp"),
-        F.when(F.col("event_type") == "error", 1).otherwise(0).cast("int").alias("y"),
-        F.when(F.col("event_type") == "error", 1).otherwise(0).cast("int").alias("y_true"),
-        F.col("value").cast("double").alias("value"),
-    )
-
-
 def pu_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     emb = F.col("embedding")
@@ -162,12 +145,3 @@ def pu_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("label").cast("int").alias("cls"),
         *[F.element_at(emb, i + 1).cast("double").alias(f"e{i}") for i in range(VEC_DIM)],
     )
-
-
-FIXTURES = {"pu_docs": (pu_docs, DOCS), "pu_lines": (pu_lines, LINES), "pu_orders": (pu_orders, ORDERS),
-            "pu_events": (pu_events, EVENTS), "pu_vec": (pu_vec, VEC)}
-
-
-def load(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, Fixture]:
-    fn, spec = FIXTURES[name]
-    return fn(spark, sf_dir), spec
