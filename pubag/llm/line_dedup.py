@@ -45,7 +45,7 @@ MIN_LENGTH = 10
 LINES = "_lines"
 
 #: Keys a shard should hold, most shards (bounds the broadcast table of their sizes), references a task probes.
-SHARD_KEYS, MAX_SHARDS, TASK_REFS = 1 << 15, 1 << 20, 1 << 19
+SHARD_KEYS, MAX_SHARDS, TASK_REFS = 1 << 13, 1 << 20, 1 << 19
 
 
 def line_key(line: str, min_length: int) -> bytes | None:
