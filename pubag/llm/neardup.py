@@ -213,6 +213,8 @@ def apart(members: DataFrame, capacity: int) -> DataFrame:
              .where(F.col("all") > F.col("most"))
              .select("g", "main", F.ceil(F.col("all") / capacity).cast("int").alias("nj"),
                      F.ceil((F.col("all") - F.col("most")) / capacity).cast("int").alias("ni")))
+    # as a table of its own, so that the join is one that Spark sizes, or splits where a group is hot
+    sizes = saved(sizes, "open_groups")
     dealt = members.join(sizes, "g").withColumn("at", F.xxhash64("node"))
     right = dealt.withColumn("left", F.lit(False)).withColumn("j", F.pmod("at", "nj").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
     left = (dealt.where("comp <> main").withColumn("left", F.lit(True)).withColumn("i", F.pmod("at", "ni").cast("int"))
@@ -231,6 +233,7 @@ def clusters(nodes: DataFrame, threshold: float) -> DataFrame:
     plan = needed_matches(threshold, bands * rows)
     member = band_members(nodes, bands, rows)
     bucket = (member.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("lo <> hi"))
+    bucket = saved(bucket, "shared_keys")
     shared = saved(member.join(bucket, "key"), "buckets")
     stars = (shared.select(F.col("lo").alias("a"), F.col("node").alias("b"))
              .union(shared.select(F.col("node").alias("a"), F.col("hi").alias("b"))).where("a <> b").distinct())
