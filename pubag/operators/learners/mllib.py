@@ -1,4 +1,5 @@
-"""BL3-BL6 through MLlib: one distributed fit per (axis, bag), submitted concurrently.
+"""BL5 and BL6 (and MLlib's own forests and boosted trees, for comparison with BL3 and BL4): one
+distributed fit per (axis, bag), submitted concurrently.
 
 These learners cannot be folded into one aggregate, so each bag's rows are a
 filtered view of the (checkpointed) bagged table and every bag is an ordinary
@@ -9,10 +10,10 @@ cluster; the models stay MLlib models and predictions come back as a long
 (axis…, key…, bag, p1) table averaged by key.
 
 Mapping of the reference's learners:
-  random_forest  RandomForestClassifier(numTrees=10, seed=0)
+  random_forest  RandomForestClassifier(numTrees=10, seed=0), registered as mllib_random_forest
   boosted_trees  GBTClassifier with the tuned settings (step 0.5, subsample 0.5,
-                 feature fraction 0.8, min rows per node 18, depth 3 ~ 5 leaves);
-                 LightGBM's DART drop-out is not reproduced.
+                 feature fraction 0.8, min rows per node 18, depth 3 ~ 5 leaves), registered
+                 as mllib_boosted_trees; no drop-out
   kernel_svm     random Fourier features of the RBF kernel (gamma = 1/d, hash-drawn
                  weights, Box-Muller) + LinearSVC; hard votes, no probabilities.
   mlp            MultilayerPerceptronClassifier(layers=[d, 100, 2]); no weights ->
