@@ -103,3 +103,35 @@ def test_recall_over_many_blocks(spark, monkeypatch):
     got = {(r[0], r[2]) for r in _rows(QUERIES["op10_hilbert_neighbours"](spark, sf))}
     assert len({r[0] for r in got}) == len({r[0] for r in want})
     assert sum((r[0], r[2]) in got for r in want) >= 0.9 * len(want)
+
+
+def _hard(n=3000, dims=16):
+    """A third of the rows one vector, a quarter a tight cluster, the rest spread, and one row of large norm."""
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    hot, centre = unit(rng.normal(size=(2, dims)))
+    x = unit(rng.normal(size=(n, dims)))
+    kind = rng.permutation(n) % 12
+    x[kind < 4] = hot
+    x[(kind >= 4) & (kind < 7)] = unit(centre + 1e-3 * rng.normal(size=(((kind >= 4) & (kind < 7)).sum(), dims)))
+    x[n - 1] = 1000 * unit(rng.normal(size=(1, dims)))[0]
+    return [(i, [float(v) for v in row.astype(np.float32)]) for i, row in enumerate(x)], kind
+
+
+def test_recall_with_copies_cluster_and_long_vector(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rows, kind = _hard()
+    df = spark.createDataFrame(rows, "id bigint, vec array<float>")
+    got, want = {}, {}
+    for into, found in ((got, _rows(ann.nearest(df, F.col("id") % 20 == 0, 20))), (want, _brute(rows, 20, 20, float))):
+        for q, rank, v, _ in found:
+            into.setdefault(q, []).append(v)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    for low, high in ((0, 4), (4, 7), (7, 12)):
+        asked = [q for q in want if low <= kind[q] < high]
+        recall = sum(len(set(got[q]) & set(want[q])) for q in asked) / (20 * len(asked))
+        print("kinds", low, high, "recall", round(recall, 3))
+        assert recall >= 0.9
+    assert all(got[q] == want[q] for q in want if kind[q] < 4)  # copies: the smallest ids, in order
