@@ -1,16 +1,17 @@
 """Near-duplicate documents: banded MinHash candidates, sequential Bayesian verification, exact check.
 
 1. Each text becomes the set of its distinct word shingles (64-bit hashes) and a MinHash signature.
-   Texts with equal sets form a class; from here on one node, its smallest document, stands for it.
+   Texts with equal sets form a class, which from here on is one node with a number of its own.
 2. Bands of the signature put nodes into buckets. Every member is compared with the smallest and the
    largest member of its bucket (two stars, so pairs grow with the members, not with their square).
 3. A pair is verified sequentially: after each batch of signature positions it is dropped if the
    posterior probability (uniform prior) that its similarity reaches the threshold, given the matches so
    far, is below ``MISS``. Buckets whose members are still in several groups after the stars compare
    only members of different groups, in blocks, and report a spanning forest of the survivors.
-4. Survivors connect nodes to clusters. Each cluster gets its texts once; inside, all pairs that pass the
+4. Survivors connect nodes to clusters. Each cluster gets one text a node; inside, all pairs that pass the
    sequential test are checked on the full sets, unless already connected, until every remaining pair of
-   different groups has failed. The links found give the components.
+   different groups has failed. The links found, and one between the classes of each document id, give the
+   components; only then are they named by documents.
 
 Bands and rows follow the threshold so that a pair at the threshold misses all bands with probability
 below ``BAND_MISS``. No pair inside a group of copies is emitted more than the forest needs; buckets and
@@ -19,8 +20,8 @@ only what is not yet in the group's main component against all blocks.
 
 Cases: null, empty and blank texts have an empty set, no links, and stand for themselves. Fewer words
 than a shingle are one shingle. Rows that share a document id are one document (its links are those of all
-its rows). A null id counts as the largest id and is returned as null. An empty table gives an empty
-result. Only the id and text columns are read.
+its rows). Rows without an id are documents of their own; as a name, a null id counts as the largest id and
+is returned as null. An empty table gives an empty result. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pubag.llm.common import batches, doc_key, id_and_text, no_key, saved
+from pubag.llm.common import NO_ID, batches, doc_key, no_key, saved
 from pubag.llm.components import components
 
 #: Signature positions at most, chance to miss all bands at the threshold, chance to prune a true pair.
@@ -103,20 +104,27 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
-def signatures(docs: DataFrame, width: int, positions: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n, h1, h2, sig): size, 128-bit hash and MinHash signature of every document's shingle set."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.binary())])
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with _doc, _t1, _t2: the id (null as the largest) and a 128-bit hash of the text."""
+    return (docs.withColumn("_doc", doc_key(id_col)).withColumn("_t1", F.xxhash64(text_col)).withColumn("_t2", F.xxhash64(F.lit(1), text_col)))
+
+
+def signatures(texts: DataFrame, width: int, positions: int) -> DataFrame:
+    """(doc, t1, t2, n, h1, h2, sig): size, 128-bit hash and MinHash signature of every text's shingle set,
+    from ``texts`` (doc, t1, t2, text)."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc", "t1", "t2", "n", "h1", "h2")), ("sig", pa.binary())])
 
     def run(it):
         def rows():
-            for i, text in id_and_text(it):
-                s = shingles(text, width)
-                yield i, len(s), *_set_hash(s), signature(s, positions).tobytes() if len(s) else None
+            for batch in it:
+                for at in range(0, batch.num_rows, 256):
+                    for doc, t1, t2, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                        s = shingles(text, width)
+                        yield doc, t1, t2, len(s), *_set_hash(s), signature(s, positions).tobytes() if len(s) else None
 
         yield from batches(rows(), schema)
 
-    source = docs.select(doc_key(id_col).alias("doc"), text_col)
-    return source.mapInArrow(run, "doc bigint, n bigint, h1 bigint, h2 bigint, sig binary")
+    return texts.select("doc", "t1", "t2", "text").mapInArrow(run, "doc bigint, t1 bigint, t2 bigint, n bigint, h1 bigint, h2 bigint, sig binary")
 
 
 def _matrix(column: pa.Array, positions: int) -> np.ndarray:
@@ -261,34 +269,38 @@ def clusters(nodes: DataFrame, threshold: float) -> DataFrame:
     return components(near.union(more))
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, comp: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """(a, b): links confirmed on the full shingle sets, as many as connect what the links connect."""
+def verified_links(texts: DataFrame, nodes: DataFrame, copies: DataFrame, comp: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """(a, b): links confirmed on the full shingle sets, as many as connect what the links connect. ``texts``
+    (doc, t1, t2, text) has the text of each node's ``first`` row, several times if it is in ``copies``."""
     t = threshold[0] / threshold[1]
     bands, rows = band_plan(t)
     positions, plan = bands * rows, needed_matches(t, bands * rows)
-    member = comp.join(nodes, "node").select(F.col("comp").alias("g"), "node", "h1", "h2", "n", "sig")
-    texts = docs.join(member, docs["doc"] == member["node"]).select("g", "node", "h1", "h2", "n", "sig", "text")
+    member = comp.join(nodes, "node").select(F.col("comp").alias("g"), "node", "first.*", "n", "sig")
+    if copies.limit(1).count():
+        member = member.join(copies, ["doc", "t1", "t2"], "left")
+        found = texts.join(member, ["doc", "t1", "t2"])
+        once = found.where("many").groupBy("node").agg(*(F.first(c).alias(c) for c in ("g", "n", "sig", "text")))
+        cols = ["g", "node", "n", "sig", "text"]
+        texts = found.where("many IS NULL").select(*cols).union(once.select(*cols))
+    else:
+        texts = texts.join(member, ["doc", "t1", "t2"]).select("g", "node", "n", "sig", "text")
     sizes = comp.join(nodes.select("node", "n"), "node").groupBy(F.col("comp").alias("g")).agg(F.sum("n").alias("w"))
     sizes = saved(sizes.select("g", F.ceil(F.col("w") / CLUSTER_BLOCK).cast("int").alias("nb")), "clusters")
     block = F.pmod(F.xxhash64("node"), "nb").cast("int")
     first = (texts.join(sizes, "g").withColumn("block", block)
              .withColumn("j", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array("block"))))
-             .select("g", F.lit(0).alias("i"), "j", F.lit(None).cast("boolean").alias("left"), "node", F.col("node").alias("comp"), "h1", "h2", "sig", "text"))
+             .select("g", F.lit(0).alias("i"), "j", F.lit(None).cast("boolean").alias("left"), "node", F.col("node").alias("comp"), "sig", "text"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     num, den = threshold
 
     def run(it):
         def links():
             for _, rows in groups(it, 3):
-                sets, at = {}, {}
+                sets = {}
                 for r in rows:
                     if r[1] not in sets:
-                        s = shingles(r[6], width)
-                        if _set_hash(s) == (r[3], r[4]):  # rows of one id may differ; the node is one of them
-                            sets[r[1]] = s
-                    at[r[0], r[1]] = r
-                rows = [r for r in at.values() if r[1] in sets]
-                if rows and rows[0][0] is None:
+                        sets[r[1]] = shingles(r[4], width)
+                if rows[0][0] is None:
                     rows.sort(key=lambda r: r[1])
                     side = [rows, rows]
                 else:
@@ -296,7 +308,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, comp: DataFrame, width: in
                 if not side[0] or not side[1]:
                     continue
                 node, comp = ([np.array([r[c] for r in s], dtype=np.int64) for s in side] for c in (1, 2))
-                sig = [np.frombuffer(b"".join(r[5] for r in s), dtype=np.uint32).reshape(-1, positions) for s in side]
+                sig = [np.frombuffer(b"".join(r[3] for r in s), dtype=np.uint32).reshape(-1, positions) for s in side]
 
                 def check(i, j, node=node, sets=sets):
                     a, b = sets[int(node[0][i])], sets[int(node[1][j])]
@@ -314,22 +326,46 @@ def verified_links(docs: DataFrame, nodes: DataFrame, comp: DataFrame, width: in
         return links
     now = components(links).withColumnRenamed("comp", "now")
     large = (texts.join(sizes.where("nb > 1"), "g").join(now, "node", "left")
-             .select("g", "node", F.coalesce("now", "node").alias("comp"), F.col("n").alias("weight"), "h1", "h2", "sig", "text"))
-    rest = apart(large, CLUSTER_BLOCK).select("g", "i", "j", "left", "node", "comp", "h1", "h2", "sig", "text")
+             .select("g", "node", F.coalesce("now", "node").alias("comp"), F.col("n").alias("weight"), "sig", "text"))
+    rest = apart(large, CLUSTER_BLOCK).select("g", "i", "j", "left", "node", "comp", "sig", "text")
     return links.union(saved(_together(rest, ["g", "i", "j"]).mapInArrow(run, "a bigint, b bigint"), "links_rest"))
 
 
+def classes(docs: DataFrame, width: int, threshold: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The signatures of all rows; the classes of equal sets (node, h1, h2, n, sig, ``first``: the smallest
+    doc, t1, t2 of its rows); (doc, t1, t2, many) of what several rows hold; the links between classes."""
+    t = threshold[0] / threshold[1]
+    bands, rows = band_plan(t)
+    texts = keyed(docs.select(id_col, text_col), id_col, text_col).select(*(F.col(f"_{c}").alias(c) for c in ("doc", "t1", "t2")), F.col(text_col).alias("text"))
+    sized = saved(signatures(texts, width, bands * rows), "signatures")
+    nodes = sized.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc", "t1", "t2")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = saved(nodes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    copies = sized.groupBy("doc", "t1", "t2").agg(F.count("*").alias("c")).where("c > 1")
+    copies = saved(copies.select("doc", "t1", "t2", F.lit(True).alias("many")), "copies")
+    return sized, nodes, copies, verified_links(texts, nodes, copies, clusters(nodes, t), width, threshold)
+
+
+def same_id(sized: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of each id whose rows are in several."""
+    own = sized.where((F.col("n") > 0) & (F.col("doc") != NO_ID))
+    several = own.groupBy("doc").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi").select("doc")
+    at = saved(own.join(saved(several, "several"), "doc").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc", "node"), "same_id")
+    least = saved(at.groupBy("doc").agg(F.min("node").alias("a")), "same_id_least")
+    return at.join(least, "doc").select("a", F.col("node").alias("b")).where("a <> b")
+
+
+def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(h1, h2, first, group) of every class."""
+    return nodes.select("h1", "h2", "first", "node").join(components(links), "node", "left").select("h1", "h2", "first", F.coalesce("comp", "node").alias("group"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id`` (the smallest id reachable over links
     of Jaccard similarity ``threshold`` or more on ``width``-word shingles) and ``kept`` (it is that id)."""
-    t = threshold[0] / threshold[1]
-    bands, rows = band_plan(t)
-    own = docs.select(doc_key(id_col).alias("doc"), F.col(text_col).alias("text"))
-    sized = saved(signatures(own, width, bands * rows, "doc", "text"), "signatures")
-    nodes = saved(sized.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    links = verified_links(own, nodes, clusters(nodes, t), width, threshold)
-    comp = components(links)
-    found = nodes.select("h1", "h2", "node").join(comp, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("component"))
+    sized, nodes, _, links = classes(docs, width, threshold, id_col, text_col)
+    found = saved(_grouped(nodes, links.union(same_id(sized, nodes))), "grouped")
+    least = saved(found.groupBy("group").agg(F.min("first.doc").alias("component")), "components")
+    found = found.join(least, "group").select("h1", "h2", "component")
     out = sized.select("doc", "n", "h1", "h2").join(found, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
     return out.select(no_key(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), no_key(component).alias("component_id"),

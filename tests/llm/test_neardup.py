@@ -110,3 +110,47 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)} | {200: 200, 201: 200, 300: 200}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def _by_row(rows, width, num, den, same_id):
+    """Per row the root of its component of rows: linked by similarity, and by non-null ids if ``same_id``."""
+    sets, root = _sets(rows, width), list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if (same_id and rows[a][0] is not None and rows[a][0] == rows[b][0]
+                or sets[a] and sets[b] and den * both >= num * (len(sets[a]) + len(sets[b]) - both)):
+            root[find(b)] = find(a)
+    return [find(x) for x in range(len(rows))], sets
+
+
+def _shared_ids(seed=11):
+    """Different texts under null and repeated ids, each with near copies under other ids or none."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(24):
+        base = " ".join(rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(100))
+        rows += [(i, t) for i, (_, t) in zip([None, 7 if k % 2 else 8, None if k % 3 else 100 + k, 200 + k // 2], _near_copies(rng, 4, base, 1, 0))]
+        rows += [(None, base)] * 2 + [(300 + k, base.upper())] * (k % 4 == 0)
+    for k in range(10):  # groups of rows without an id, or alone under one
+        base = " ".join(rng.choice("abcdefghij") + str(rng.randrange(400)) for _ in range(100))
+        rows += [(None, t) for _, t in _near_copies(rng, 3, base, 2, 0)] + [(9, " ".join(rng.choice("klmnop") + str(rng.randrange(400)) for _ in range(60)))]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_texts_that_share_an_id_keep_their_own_links(spark):
+    rows = _shared_ids()
+    root, sets = _by_row(rows, 3, 85, 100, True)
+    big = 1 << 70
+    least = {}
+    for r, (i, _) in zip(root, rows):
+        least[r] = min(least.get(r, big), big if i is None else i)
+    want = [(i, len(s), None if least[r] == big else least[r], least[r] == (big if i is None else i)) for (i, _), s, r in zip(rows, sets, root)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert _rows(N.near_duplicates(df, 3, (85, 100))) == sorted(want, key=str)
