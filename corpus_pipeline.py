@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from pubag.llm import bpe, line_dedup, mixing, neardup, quality
 from pubag.llm.common import saved, table
@@ -41,14 +40,9 @@ def _sized(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest id; of rows that share an id the
-    one of smallest text. Rows without an id all stay unless a document with an id is like them."""
-    found = neardup.near_duplicates(docs, SHINGLE, SIMILAR)
-    kept = found.where("kept").select(F.col("doc_id").alias("_doc")).where("_doc IS NOT NULL").distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_doc"])
-    first = W.partitionBy("_doc").orderBy("text")
-    out = named.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of near duplicates, one of the smallest id; rows without an id, and different
+    texts under one id, follow the same rule as all others."""
+    return neardup.first_rows(docs, SHINGLE, SIMILAR)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -370,3 +370,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))
     return out.select(no_key(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), no_key(component).alias("component_id"),
                       (F.col("doc") == component).alias("kept"))
+
+
+def first_rows(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of all rows whose texts are connected by links, whatever
+    their ids, one of the smallest id (null is the largest). Rows without words stay, once per id; without
+    an id, all of them."""
+    sized, nodes, copies, links = classes(docs, width, threshold, id_col, text_col)
+    least = _grouped(nodes, links).groupBy("group").agg(F.min("first").alias("first")).select("first.*", F.lit(False).alias("all"))
+    blank = sized.where((F.col("n") == 0) & (F.col("doc") != NO_ID)).groupBy("doc").agg(F.min(F.struct("t1", "t2")).alias("t"))
+    free = sized.where((F.col("n") == 0) & (F.col("doc") == NO_ID)).select("doc", "t1", "t2", F.lit(True).alias("all")).distinct()
+    stay = least.union(blank.select("doc", "t.t1", "t.t2", F.lit(False).alias("all"))).union(free).join(copies, ["doc", "t1", "t2"], "left")
+    stay = saved(stay.select(*(F.col(c).alias(f"_{c}") for c in ("doc", "t1", "t2")), (F.col("many").isNotNull() & ~F.col("all")).alias("_several")), "stay")
+    rows = keyed(docs, id_col, text_col).join(stay, ["_doc", "_t1", "_t2"])
+    one = rows.where("NOT _several").select(*docs.columns)
+    if not stay.where("_several").limit(1).count():
+        return one
+    again = rows.where("_several").groupBy("_doc", "_t1", "_t2").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return one.unionByName(again.select("_row.*"))

@@ -60,3 +60,21 @@ def test_edge_rows_and_empty_table(spark):
         if name != "bpe":
             assert rows.columns == none.columns == docs.columns
     assert rows.count() > 0
+
+
+def test_near_dedup_keeps_one_row_a_group_whatever_the_ids(spark):
+    from test_neardup import _by_row, _shared_ids
+
+    rows = [*_shared_ids(), (None, ""), (None, " "), (5, None), (5, "")]
+    root, _ = _by_row(rows, P.SHINGLE, *P.SIMILAR, False)
+    big = 1 << 70
+    groups = {}
+    for r, (i, t) in zip(root, rows):
+        groups.setdefault(("of", i) if i is not None and not (t or "").strip() else r, []).append((big if i is None else i, t))
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id bigint, text string, n_chars bigint")
+    got = [(big if r.doc_id is None else r.doc_id, r.text) for r in dict(P.STAGES)["near_dedup"](spark, docs, SF).collect()]
+    at = {row: g for g, members in groups.items() for row in members}
+    two = lambda x: x[1] is not None and not x[1].strip() and x[0] == big
+    assert sorted(i for i, _ in got) == sorted(min(i for i, _ in m) for m in groups.values())
+    assert len({at[x] for x in got if not two(x)}) == len([x for x in got if not two(x)])
+    assert sum(map(two, got)) == 2
