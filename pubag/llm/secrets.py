@@ -5,7 +5,10 @@ bytes; a pattern is tried only anchored at a hit, from left to right, never insi
 of its kind, which is exactly the leftmost non-overlapping scan. Hexadecimal runs have no keyword:
 every run of 24 or more covers six neighbouring multiples of four, so probing each fourth byte finds
 all of them, and the run is then matched in place. Tokens with an embedded checksum (GitHub and npm:
-CRC-32 in base 62; cards: Luhn; IBAN: mod 97) are reported only if it holds.
+CRC-32 in base 62; cards: Luhn; IBAN: mod 97) are reported only if it holds. A card or an IBAN may be
+followed by more digits or words in groups: a card is the longest run of 13 to 19 digits that ends at a group
+border and holds, an IBAN has its country's length (any that holds, longest first, for unknown countries).
+What fails its checksum does not hide later hits.
 
 Null and empty texts have no spans. Positions are code points, ends exclusive. Rows are independent:
 repeated rows and missing ids pass through, no row is shuffled.
@@ -51,8 +54,8 @@ def crc62(body: bytes) -> bytes:
     return out.encode()
 
 
-def _crc_holds(m: re.Match) -> bool:
-    return crc62(m[1][:30]) == m[1][30:]
+def _crc_end(m: re.Match) -> int:
+    return m.end() if crc62(m[1][:30]) == m[1][30:] else 0
 
 
 def luhn(digits: bytes) -> bool:
@@ -60,20 +63,46 @@ def luhn(digits: bytes) -> bool:
     return sum(d[0::2]) % 10 == -sum(x * 2 - 9 * (x > 4) for x in d[1::2]) % 10
 
 
-def _iban_holds(m: re.Match) -> bool:
-    s = m[1].replace(b" ", b"").decode()
-    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+def _cuts(run: bytes, borders: bytes) -> list[int]:
+    """Lengths of ``run`` and of its starts that end ahead of a border, longest first."""
+    return [len(run), *(k for k in range(len(run) - 1, 0, -1) if run[k] in borders)]
 
 
-#: keyword -> (kind, pattern, whether it reads the lowered bytes, test of a match, group that is the span)
+def _card_end(m: re.Match) -> int:
+    for k in _cuts(m[1], b" -"):
+        if sum(48 <= c <= 57 for c in m[1][:k]) < 13:
+            break
+        if luhn(m[1][:k]):
+            return m.start(1) + k
+    return 0
+
+
+#: Length of an IBAN by country.
+_IBAN_LENGTHS = {c: int(n) for n, codes in {
+    "15": "no", "16": "be", "18": "dk fi fk fo gl nl sd", "19": "mk si", "20": "at ba ee kz lt lu mn xk", "21": "ch hr li lv",
+    "22": "bg bh cr de gb ge ie me rs va", "23": "ae gi il iq om so tl", "24": "ad cz es md pk ro sa se sk tn vg", "25": "ly pt st",
+    "26": "is tr", "27": "bi dj fr gr it mc mr sm", "28": "al az by cy do gt hn hu lb ni pl sv", "29": "br eg ps qa ua", "30": "jo kw mu ye",
+    "31": "mt sc", "32": "lc", "33": "ru"}.items() for c in codes.split()}
+
+
+def _iban_end(m: re.Match) -> int:
+    length = _IBAN_LENGTHS.get(m[1][:2].decode())
+    for k in _cuts(m[1], b" "):
+        s = m[1][:k].replace(b" ", b"").decode()
+        if (len(s) == length if length else 15 <= len(s) <= 34) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1:
+            return m.start(1) + k
+    return 0
+
+
+#: keyword -> (kind, pattern, whether it reads the lowered bytes, end of the finding in a match or 0, group that is the span)
 _RULES = {
     **dict.fromkeys(["password", "passwd", "secret", "token", "apikey", "api_key"],
-                    ("assign", _ASSIGN, True, lambda m: len(m[1]) >= MIN_VALUE, 0)),
-    "akia": ("access", _ACCESS, False, lambda m: len(m[0]) >= MIN_ACCESS, 0),
-    **dict.fromkeys(["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], ("github", _GITHUB, False, _crc_holds, 0)),
-    "npm_": ("npm", _NPM, False, _crc_holds, 0),
-    "card": ("card", _CARD, True, lambda m: luhn(m[1]), 1),
-    "iban": ("iban", _IBAN, True, _iban_holds, 1),
+                    ("assign", _ASSIGN, True, lambda m: m.end() * (len(m[1]) >= MIN_VALUE), 0)),
+    "akia": ("access", _ACCESS, False, lambda m: m.end() * (len(m[0]) >= MIN_ACCESS), 0),
+    **dict.fromkeys(["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], ("github", _GITHUB, False, _crc_end, 0)),
+    "npm_": ("npm", _NPM, False, _crc_end, 0),
+    "card": ("card", _CARD, True, _card_end, 1),
+    "iban": ("iban", _IBAN, True, _iban_end, 1),
 }
 
 
@@ -111,11 +140,12 @@ def spans(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple[int,
     hits = sorted((end - len(word) + 1, word) for end, word in automaton.iter(low.decode("latin-1")))
     found, last = [], dict.fromkeys(KINDS, 0)
     for at, word in hits:
-        kind, pattern, lowered, holds, group = _RULES[word]
+        kind, pattern, lowered, ends, group = _RULES[word]
         if at >= last[kind] and (m := pattern.match(low if lowered else data, at)):
-            last[kind] = m.end()
-            if holds(m):
-                found.append((m.start(group), KINDS.index(kind), m.end(group)))
+            if end := ends(m):
+                found.append((m.start(group), KINDS.index(kind), end))
+            if end or kind in KINDS[:3]:
+                last[kind] = end or m.end()
     codes = np.frombuffer(data, dtype=np.uint8)
     found += [(a, KINDS.index("hex"), b) for a, b in _hex_runs(data, codes)]
     if found and len(text) != len(data):

@@ -57,3 +57,16 @@ def test_edge_rows_and_query(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in base) for n in range(3))
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
+
+
+def test_numbers_followed_by_more_groups():
+    automaton = S._automaton()
+    found = lambda t: [(S.KINDS[k], t[a:b]) for a, k, b in S.spans(t, automaton)]
+    for iban in ("ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "BE68539007547034", "AT611904300234573201", "DE89370400440532013000", "NO9386011117947"):
+        for tail in ("", ".", " is mine", " word from here", " 1234 5678", ", ok"):
+            assert found(f"my iban {iban}{tail}") == [("iban", iban)]
+    for card in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"):
+        for tail in ("", " 12/27", " 12 27", " 123", "."):
+            assert found(f"card {card}{tail}") == [("card", card)]
+    assert found("iban ES9121000418450200051333 is mine, card 4111 1111 1111 1112 12/27") == []
+    assert found("iban ES00 1111 1111 iban BE68539007547034 is it") == [("iban", "BE68539007547034")]
