@@ -181,3 +181,49 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = topk.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return ann.nearest(rows, F.col("id") % 20 == 0, 20)
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pubag.llm import codes
+
+    coded = codes.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return codes.with_label_error(coded).select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(coded.digest()).alias("codebooks_sha256"))
+
+
+def _op11_sql() -> str:
+    """Three complete assignments with two updates between them, one row a component (vectors of one length)."""
+    near = """a{k} AS (
+  SELECT r, p, e, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY r, p ORDER BY d, e) AS rk FROM (
+      SELECT x.r, x.p, b.e, sum((x.v - b.v) * (x.v - b.v))::BIGINT AS d
+      FROM part x JOIN b{k} b ON b.p = x.p AND b.j = x.j GROUP BY x.r, x.p, b.e))
+  WHERE rk = 1)"""
+    mean = """b{n} AS (
+  SELECT b.p, b.e, b.j, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN (
+    SELECT x.p, a.e, x.j, floor(sum(x.v)::DOUBLE / count(*))::BIGINT AS v
+    FROM part x JOIN a{k} a ON a.r = x.r AND a.p = x.p GROUP BY x.p, a.e, x.j) m ON m.p = b.p AND m.e = b.e AND m.j = b.j)"""
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS r,
+         list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+comp AS (SELECT r, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS i, len(v) // 16 AS w FROM kept),
+part AS (SELECT r, v, i // w AS p, i % w AS j FROM comp),
+b0 AS (SELECT p, r - 1 AS e, j, v FROM part WHERE r <= 64),
+{near.format(k=0)},
+{mean.format(n=1, k=0)},
+{near.format(k=1)},
+{mean.format(n=2, k=1)},
+{near.format(k=2)},
+coded AS (
+  SELECT r, string_agg(lpad(to_hex(e), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r)
+SELECT k.vec_id, lower(c.code) AS code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, j)) FROM b2) AS codebooks_sha256
+FROM kept k JOIN coded c ON c.r = k.r
+"""
+
+
+SQL["op11_vector_codes"] = _op11_sql()
