@@ -227,3 +227,30 @@ FROM kept k JOIN coded c ON c.r = k.r
 
 
 SQL["op11_vector_codes"] = _op11_sql()
+
+
+@query
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pubag.llm.embdedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+
+
+SQL["op12_embedding_near_dedup"] = r"""
+WITH RECURSIVE rows AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: x::DOUBLE) AS v,
+         coalesce(len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS usable
+  FROM embeddings),
+links AS (
+  SELECT a.r, b.r AS other, b.vec_id AS other_id FROM rows a JOIN rows b ON a.r <> b.r
+  WHERE a.usable AND b.usable AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reached(r, other, id) AS (
+  SELECT r, r, vec_id FROM rows
+  UNION
+  SELECT x.r, l.other, l.other_id FROM reached x JOIN links l ON l.r = x.other),
+least AS (SELECT r, min(id) AS component_id FROM reached GROUP BY r)
+SELECT w.vec_id, (SELECT count(*) FROM links l WHERE l.r = w.r) AS n_links, c.component_id,
+       w.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM rows w JOIN least c ON c.r = w.r
+"""
