@@ -254,3 +254,12 @@ SELECT w.vec_id, (SELECT count(*) FROM links l WHERE l.r = w.r) AS n_links, c.co
        w.vec_id IS NOT DISTINCT FROM c.component_id AS kept
 FROM rows w JOIN least c ON c.r = w.r
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pubag.llm import convrepair as R
+
+    rows = R.damaged(table(spark, sf_dir, "conversations"))
+    out = R.report(rows, R.plans(rows))
+    return out.select(F.col("conv").alias("conv_id"), *R.COUNTS, "cost", "audit", "repaired_sha256")
