@@ -263,3 +263,60 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.damaged(table(spark, sf_dir, "conversations"))
     out = R.report(rows, R.plans(rows))
     return out.select(F.col("conv").alias("conv_id"), *R.COUNTS, "cost", "audit", "repaired_sha256")
+
+
+SQL["op13_conversation_repair"] = r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda c: ord(c)::BIGINT)),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+                                         lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS fault
+  FROM said),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hashed, range(0, 2) t(i) WHERE fault <> 0 AND (i = 0 OR fault = 3)),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged),
+turns AS (
+  SELECT *, CASE WHEN body = '' THEN 'b' WHEN again THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS f,
+         left(role, 1) AS i, row_number() OVER o AS rn,
+         coalesce(lag(left(role, 1)) OVER o || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM seen WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)),
+stats AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE f = 'b') AS blank, count(*) FILTER (WHERE f = 'd') AS duplicate,
+         count(*) FILTER (WHERE f = 't') AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM turns GROUP BY conv_id),
+back(conv_id, k, s0, s1, s2, s3) AS (
+  SELECT conv_id, n, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}, {'c': 4::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']},
+         {'c': 2::BIGINT, 'a': 'I', 't': ['assistant:']}, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} FROM stats
+  UNION ALL
+  SELECT conv_id, k, list_min([g0, {'c': 2 + f2.c, 'a': 'I' || f2.a, 't': list_prepend('user:', f2.t)}]),
+         list_min([g1, {'c': 2 + f2.c, 'a': 'I' || f2.a, 't': list_prepend('user:', f2.t)}]), f2,
+         list_min([g3, {'c': 2 + g2.c, 'a': 'I' || g2.a, 't': list_prepend('user:', g2.t)}])
+  FROM (SELECT *, list_min([g2, {'c': 2 + g3.c, 'a': 'I' || g3.a, 't': list_prepend('assistant:', g3.t)}]) AS f2 FROM (
+    SELECT b.conv_id, b.k - 1 AS k,
+      list_min([{'c': 3 + s0.c, 'a': 'D' || s0.a, 't': s0.t}, {'c': no + cut + 2 + s2.c, 'a': 'R' || s2.a, 't': list_prepend('user:' || r.text, s2.t)},
+                {'c': no + cut + s1.c + CASE WHEN r.i = 's' THEN 0 ELSE 1000000000 END, 'a': 'K' || s1.a, 't': list_prepend(r.role || ':' || r.text, s1.t)},
+                {'c': no + cut + s2.c + CASE WHEN r.i = 'u' THEN 0 ELSE 1000000000 END, 'a': 'K' || s2.a, 't': list_prepend(r.role || ':' || r.text, s2.t)}]) AS g0,
+      list_min([{'c': 3 + s1.c, 'a': 'D' || s1.a, 't': s1.t}, {'c': no + cut + 2 + s2.c, 'a': 'R' || s2.a, 't': list_prepend('user:' || r.text, s2.t)},
+                {'c': no + cut + s2.c + CASE WHEN r.i = 'u' THEN 0 ELSE 1000000000 END, 'a': 'K' || s2.a, 't': list_prepend(r.role || ':' || r.text, s2.t)}]) AS g1,
+      list_min([{'c': 3 + s2.c, 'a': 'D' || s2.a, 't': s2.t}, {'c': no + cut + 2 + s3.c, 'a': 'R' || s3.a, 't': list_prepend('assistant:' || r.text, s3.t)},
+                {'c': no + cut + s3.c + CASE WHEN r.i = 'a' THEN 0 ELSE 1000000000 END, 'a': 'K' || s3.a, 't': list_prepend(r.role || ':' || r.text, s3.t)}]) AS g2,
+      list_min([{'c': 3 + s3.c, 'a': 'D' || s3.a, 't': s3.t}, {'c': no + cut + 2 + s2.c, 'a': 'R' || s2.a, 't': list_prepend('user:' || r.text, s2.t)},
+                {'c': no + cut + s2.c + CASE WHEN r.i = 'u' THEN 0 ELSE 1000000000 END, 'a': 'K' || s2.a, 't': list_prepend(r.role || ':' || r.text, s2.t)}]) AS g3
+    FROM back b JOIN (SELECT *, CASE WHEN f IN ('b', 'd') THEN 1000000000 ELSE 0 END AS no, CASE WHEN f = 't' THEN 1 ELSE 0 END AS cut FROM turns) r
+      ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.rn = b.k))),
+best AS (SELECT conv_id, s0 FROM back WHERE k = 0)
+SELECT o.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank, coalesce(s.duplicate, 0)::BIGINT AS duplicate,
+       coalesce(s.truncated, 0)::BIGINT AS truncated, coalesce(s.illegal, 0)::BIGINT AS illegal, coalesce(b.s0.c, 0)::BIGINT AS cost,
+       coalesce(b.s0.a, '') AS audit, sha256(coalesce(array_to_string(b.s0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
