@@ -128,8 +128,8 @@ WHERE rn = 1""",
     "me3_recall": _cf(REC, "recall"),
     "me4_precision": _cf(PREC, "precision"),
     "me5_f1": _cf(F1, "f1"),
-    "me6_roc_auc": with_sql(D + [_FIT, _PRED, """c2 AS (SELECT grp, p1 AS score, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS pos,
-  sum(CASE WHEN y_true = 1 THEN 0 ELSE 1 END) AS neg FROM pr GROUP BY grp, p1),
+    "me6_roc_auc": with_sql(D + [_FIT, _PRED, """c2 AS (SELECT grp, round(p1, 12) AS score, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS pos,
+  sum(CASE WHEN y_true = 1 THEN 0 ELSE 1 END) AS neg FROM pr GROUP BY grp, round(p1, 12)),
 k2 AS (SELECT *, sum(pos) OVER w AS tp, sum(pos) OVER (PARTITION BY grp) AS P, sum(neg) OVER (PARTITION BY grp) AS N
   FROM c2 WINDOW w AS (PARTITION BY grp ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""],
         f"SELECT grp, {Q.r6('sum(neg * (2 * tp - pos)) / nullif(2.0 * any_value(P) * any_value(N), 0)')} AS auc FROM k2 GROUP BY grp"),

@@ -252,6 +252,7 @@ def pu_axis_ctes(P: str, train: str, axis: list[str], key: list[str], features:
 def auc_ctes(name: str, src: str, by: list[str], y: str = "y_true", score: str = "p1") -> str:
     """CTE {name}(by…, auc): trapezoid ROC area from score groups and descending running sums."""
     b = ", ".join(by)
+    score = f"round({score}, 12)"  # scores that agree to 12 decimals are ties
     return f"""{name}_c AS (SELECT {b}, {score} AS score, sum(CASE WHEN {y} = 1 THEN 1 ELSE 0 END) AS pos,
   sum(CASE WHEN {y} = 1 THEN 0 ELSE 1 END) AS neg FROM {src} WHERE {score} IS NOT NULL GROUP BY {b}, {score}),
 {name}_k AS (SELECT *, sum(pos) OVER w AS tp, sum(pos) OVER (PARTITION BY {b}) AS P, sum(neg) OVER (PARTITION BY {b}) AS N

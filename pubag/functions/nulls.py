@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal values of ``on`` where null equals null; the columns of ``left``, then the others of ``right``."""
+    renamed = right.select(*[F.col(c).alias(f"_same{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on])
+    cond = F.lit(True)
+    for i, c in enumerate(on):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_same{i}"))
+    return left.join(renamed, cond, how).drop(*[f"_same{i}" for i in range(len(on))])
+
+
 def fill_zero(df: DataFrame, features: list[str]) -> DataFrame:
     """SC1: null -> 0.0 in every feature column."""
     return df.fillna(0.0, subset=list(features))
@@ -24,7 +33,7 @@ def fill_class_mean(df: DataFrame, features: list[str], label: str = "y", parts=
     """
     parts = list(parts)
     means = class_means(df, features, label, parts)
-    j = df.join(means, [*parts, label])
+    j = join_same(df, means, [*parts, label])
     out = j
     for c in features:
         out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"mean_{c}")))

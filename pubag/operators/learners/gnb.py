@@ -1,9 +1,11 @@
 """BL1: Gaussian naive Bayes trained for every bag in one aggregate.
 
-Fit: per (axis, bag, class) the weighted count and per feature the weighted
-sums of x and x^2 (x shifted by the axis-wide mean, so the sums do not cancel).
-The sums add up, so rows that are in every bag (``shared``: the positives) are
-aggregated once per axis value and added to each bag's sums.
+Fit (``fit_rows``): one pass over the rows gives per (axis, bag, class) the weighted count and per feature
+the weighted sums of x and x^2 as whole numbers (``bag_sums.Exact``, squares without rounding), so that nothing
+cancels and the model is the same to the last bit however the rows are partitioned.
+``fit`` does it for more models than a task can hold (one per chunk of the background): per (axis, bag, class)
+sums of x and x^2 in one aggregate (x shifted by the axis-wide mean), rows of every bag (``shared``: the
+positives) aggregated once per axis value and added to each bag's sums.
 Variances get the floor ``var_smoothing * max feature variance`` over the features
 that the bag uses, taken unweighted over all training rows of the axis value, or
 over the bag's own rows (``floor_by_bag``, weights 1).
@@ -16,16 +18,59 @@ feature bags), evaluated with NumPy over Arrow batches (``operators/scoring.py``
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pubag.operators.learners import bag_sums as B
+from pubag.operators.learners.bag_sums import Exact
+
 # The exp() argument clamp and the default variance floor factor.
 EXP_CLAMP = 700.0
 ABSENT = -1.0e300
 VAR_SMOOTHING = 1e-9
 
 
+def _limbs(rows: B.Rows, w: np.ndarray, w_top: int, tops: list[int]) -> np.ndarray:
+    """Per row the limbs of w and, per feature, of w (where the feature is known), w x and w x^2."""
+    x, known = rows.x, ~np.isnan(rows.x)
+    top = np.array(tops, dtype=np.int64) + w_top
+    plain = bool((w == 1).all())
+    first = x if plain else x * w[:, None]
+    second, lack = B.squares(x) if plain else (x * first, np.zeros_like(x))
+    top2 = top + np.array(tops, dtype=np.int64)
+    cols = [Exact.cut(w, np.int64(w_top))[:, None]]
+    for j in range(x.shape[1]):
+        q = Exact.cut(second[:, j], top2[j]) + Exact.cut(lack[:, j], top2[j])
+        cols += [Exact.cut(np.where(known[:, j], w, 0.0), np.int64(w_top))[:, None], Exact.cut(first[:, j], top[j])[:, None], q[:, None]]
+    return np.concatenate(cols, axis=1).reshape(len(w), -1)
+
+
+def _add_moments(acc: np.ndarray, rows: B.Rows, tops: tuple) -> None:
+    """Adds a batch to the sums of each bag and class; the last bag of ``acc`` is all rows, each once and unweighted."""
+    w_top, x_tops = tops
+    times, half = rows.dense(len(acc)), acc.shape[1] // 2
+    times[:, -1] = 0
+    limbs = _limbs(rows, rows.w0, w_top, x_tops)
+    ones = _limbs(rows, np.ones(len(rows.y)), 1, x_tops)
+    for cls in (0, 1):
+        mine = rows.y == cls
+        # limbs have 22 bits and a batch at most 2^19 pairs, so the products are exact in doubles
+        acc[:, cls * half:(cls + 1) * half] += (times[mine].T @ limbs[mine]).astype(np.int64)
+        acc[-1, cls * half:(cls + 1) * half] += ones[mine].sum(axis=0).astype(np.int64)
+
+
+def _moments(sums, x_top: int) -> tuple[float | None, float | None]:
+    """(mean, variance) from the whole numbers (count, sum, sum of squares); nothing without a row."""
+    n, s, q = (int(v) for v in sums)
+    if n <= 0:
+        return None, None
+    # all in units of 2^(w_top - LIMBS * BITS), times 2^x_top for s and 2^(2 x_top) for q
+    return math.ldexp(s / n, x_top), math.ldexp(max(0, q * n - s * s) / (n * n), 2 * x_top)
+
+
 class GaussianNB:
     name = "gnb"
     has_proba = True
@@ -98,6 +143,34 @@ class GaussianNB:
                     F.array(*var).alias(f"v{cls}")]
         return st.select(*axis, "bag", *out)
 
+    # -- fit over rows that are stored once -----------------------------------------
+
+    MODEL = "n0 double, mu0 array<double>, v0 array<double>, n1 double, mu1 array<double>, v1 array<double>"
+
+    def fit_rows(self, rows: DataFrame, axes: list[str], d: int, first: int, bags: int, fbags: list | None = None) -> list[tuple]:
+        """(axis index, bag, model columns…) of every axis value and bag; ``rows`` as ``bag_sums.training_rows`` gives them."""
+        most = rows.groupBy("_axt").agg(F.max("_w0").alias("w"), *[F.max(F.when(F.abs(F.col("_x")[j]) < float("inf"), F.abs(F.col("_x")[j]))).alias(f"x{j}") for j in range(d)])
+        top = {r["_axt"]: (B.exponent(r["w"]), [B.exponent(r[f"x{j}"]) for j in range(d)]) for r in most.collect()}  # d numbers per axis value
+        tops = [top.get(a, (1, [0] * d)) for a in axes]
+        size, out = 2 * Exact.LIMBS * (1 + 3 * d), []
+        for a0, a1, b0, b1 in B.slices(len(axes), first, bags, 8 * size):
+            got = B.summed(rows, axes[a0:a1], b0, b1 + 1, d, size, _add_moments, tops[a0:a1], np.int64)
+            for a in range(a0, a1):
+                w, xs = tops[a]
+                sums = Exact.whole(got[a - a0].reshape(b1 - b0 + 1, 2, 1 + 3 * d, Exact.LIMBS))
+                every = sums[-1].sum(axis=0)  # the last one: all rows once, unweighted
+                floor = [_moments(every[1 + 3 * j:4 + 3 * j], xs[j])[1] or 0.0 for j in range(d)]
+                for b in range(b0, b1):
+                    used = set(fbags[b - first]) if fbags is not None else set(range(d))
+                    eps = self.var_smoothing * max(v if j in used else 0.0 for j, v in enumerate(floor))
+                    row = []
+                    for cls in (0, 1):
+                        own = sums[b - b0, cls]
+                        known = [_moments(own[1 + 3 * j:4 + 3 * j], xs[j]) for j in range(d)]
+                        row += [math.ldexp(own[0], w - Exact.LIMBS * Exact.BITS), [m for m, _ in known], [None if v is None else v + eps for _, v in known]]
+                    out.append((a, b, *row))
+        return out
+
     @staticmethod
     def model_columns() -> list[str]:
         return ["n0", "mu0", "v0", "n1", "mu1", "v1"]

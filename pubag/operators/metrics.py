@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from pubag.session import kept
 
 
+# Fixed value: scores are told apart in units of its inverse when they are ranked for an area.
+TIES = 1e12
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -87,8 +91,8 @@ def argmax_k(df: DataFrame, key, cls: str = "cls", p: str = "p") -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def _score_counts(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
-    return df.filter(_c(score).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(
+def _score_counts(df: DataFrame, y: str, score, by: list[str]) -> DataFrame:
+    return df.filter(_c(score).isNotNull()).groupBy(*by, _c(score).alias("score")).agg(
         F.sum(F.when(_c(y) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
         F.sum(F.when(_c(y) == 1, 0).otherwise(1)).cast("bigint").alias("neg"),
     )
@@ -149,9 +153,12 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score", by=()) -> DataF
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score", by=()) -> DataFrame:
-    """WI2 / ME6: trapezoid area under the ROC curve per axis value (NULL if a class is absent)."""
+    """WI2 / ME6: trapezoid area under the ROC curve per axis value (NULL if a class is absent).
+
+    Scores that agree to 12 decimals are ties: near 0 and 1 saturated probabilities lie closer than the
+    rounding of a sum of votes, and their order would be that of the summation."""
     by = list(by)
-    d = _cumulative(_score_counts(df, y, score, by), by)
+    d = _cumulative(_score_counts(df, y, F.rint(_c(score) * F.lit(TIES)), by), by)
     area = F.sum((F.col("neg") * (2 * F.col("tp") - F.col("pos"))).cast("double"))
     return d.groupBy(*by).agg(
         F.try_divide(area, F.lit(2.0) * F.first("P").cast("double") * F.first("N").cast("double")).alias("auc"))

@@ -197,7 +197,7 @@ def resolve_max_samples(max_samples, n_u: int, n_p: int | None = None) -> int:
 
 def bootstrap_draws(spark, n_bags: int, m: int | list[int], n_u: int | list[int], seed, axis=(),
                     axis_values: list[tuple] | None = None, first_bag: int = 0, tag: str = "boot",
-                    draws_per_partition: int = 1 << 20, aggregate: bool = True) -> DataFrame:
+                    draws_per_partition: int = 1 << 20, aggregate: bool = True, axis_types: list | None = None) -> DataFrame:
     """SA5: per bag, m ordinals uniform with replacement from [0, |U|).
 
     Returns (axis…, bag, pos, w) with w = multiplicity (AG5: bincount; zero rows
@@ -224,7 +224,8 @@ def bootstrap_draws(spark, n_bags: int, m: int | list[int], n_u: int | list[int]
         idx = F.col("_ai") + 1
         r = r.filter(F.col("draw") < F.element_at(F.array(*[F.lit(int(v)) for v in m]), idx))
         for i, a in enumerate(axis):
-            r = r.withColumn(a, F.element_at(F.array(*[F.lit(t[i]) for t in axis_values]), idx))
+            value = F.element_at(F.array(*[F.lit(t[i]) for t in axis_values]), idx)
+            r = r.withColumn(a, value.cast(axis_types[i]) if axis_types else value)
         nu = F.element_at(F.array(*[F.lit(int(v)) for v in n_u]), idx).cast("bigint")
         # the internal single-axis placeholder is not part of the hash text
         hcol = h(seed, tag, *[F.col(a) for a in axis if not a.startswith("_")], F.col("bag"), F.col("draw"))

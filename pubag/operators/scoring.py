@@ -27,7 +27,7 @@ _TYPES = {
 
 
 def axis_text(axis: list[str]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(a).cast("string"), F.lit("\x00")) for a in axis])
+    return F.concat_ws("|", *[F.coalesce(F.col(a).cast("string"), F.lit("\x01null")) for a in axis])
 
 
 def _numbers(column: pa.Array) -> np.ndarray:
