@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["basic", "sampling", "evaluation", "ensemble", "experiments", "ensemble_more", "explain", "more_ops"]
+_MODULES = ["basic", "sampling", "evaluation", "ensemble", "experiments", "learners", "ensemble_more", "explain", "more_ops"]
 
 
 def _mods():

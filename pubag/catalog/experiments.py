@@ -128,8 +128,8 @@ def _oob_of(kind, T, **params):
 QUERIES.update({
     "bl3_random_forest": _oob_of("random_forest", 100),
     "bl4_boosted_trees": _oob_of("boosted_trees", 100, drop=0.1),
-    "bl5_kernel_svm": _oob_of("kernel_svm", 3, maxIter=20),
-    "bl6_mlp": _oob_of("mlp", 3, maxIter=50),
+    "bl5_kernel_svm": _oob_of("kernel_svm", 100),
+    "bl6_mlp": _oob_of("mlp", 100),
 })
 
 # ---------------------------------------------------------------------------------- SQL

@@ -61,20 +61,26 @@ def _slice_udf(sent, learner, d: int, value: str, lo: int, hi: int, oob: bool):
         per = [[] for _ in range(size)] if value == "per_bag" else None
         for k, ax in enumerate(axes):
             mine = np.flatnonzero(of == k)
-            for bag, m in sent.value.get(ax, ()):
+            own = sent.value.get(ax, ())
+            seen = x
+            if own and hasattr(learner, "np_map"):  # the rows as all models of the axis value see them
+                mapped = learner.np_map(own[0][1], x[mine])
+                seen = np.zeros((size, mapped.shape[1]))
+                seen[mine] = mapped
+            for bag, m in own:
                 rows = mine if drawn is None else mine[~drawn[mine, bag - lo]]
                 if not len(rows):
                     continue
                 n[rows] += 1
                 if value == "log":
-                    for c, one in enumerate(learner.np_log_proba(m, x[rows])):
+                    for c, one in enumerate(learner.np_log_proba(m, seen[rows])):
                         logs[c, rows] = np.logaddexp(logs[c, rows], one)
                 elif value == "terms":
-                    terms[rows] += learner.np_terms(m, x[rows])
+                    terms[rows] += learner.np_terms(m, seen[rows])
                 elif value == "decision":
-                    s[rows] += learner.np_decision(m, x[rows])
+                    s[rows] += learner.np_decision(m, seen[rows])
                 else:
-                    p = learner.np_proba(m, x[rows])
+                    p = learner.np_proba(m, seen[rows])
                     if per is not None:
                         for r, v in zip(rows.tolist(), p.tolist()):
                             per[r].append({"bag": bag, "p": v})
