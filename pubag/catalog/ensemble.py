@@ -123,9 +123,8 @@ def _tree_model(spark, sf, depth):
 def bl2_decision_tree(spark, sf):
     """BL2 (depth 1): per bag the chosen split and the two leaf values."""
     _, m = _tree_model(spark, sf, 1)
-    t = F.col("tree")
-    return m.models.select("bag", F.element_at(t, 1)["f"].alias("feat"), F.element_at(t, 1)["t"].alias("thr"),
-                           r6(F.element_at(t, 2)["v"]).alias("v_left"), r6(F.element_at(t, 3)["v"]).alias("v_right"))
+    return m.models.select("bag", F.col("feat")[1].alias("feat"), F.col("cut")[1].alias("thr"),
+                           r6(F.col("value")[2]).alias("v_left"), r6(F.col("value")[3]).alias("v_right"))
 
 
 def bl2_decision_tree_oob(spark, sf):
@@ -158,7 +157,7 @@ def _stump_sql() -> str:
   t.WY * (t.W - t.WY) / t.W - CAST(c.lwy AS DOUBLE) * (CAST(c.lw AS DOUBLE) - CAST(c.lwy AS DOUBLE)) / CAST(c.lw AS DOUBLE)
   - (t.WY - c.lwy) * ((t.W - c.lw) - (t.WY - c.lwy)) / (t.W - c.lw) AS gain
   FROM cum c JOIN tot t USING (bag) WHERE c.lw >= 1.0 AND t.W - c.lw >= 1.0)""",
-                     """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY gain DESC, feat, bin) AS rk
+                     """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY round(gain, 9) DESC, feat, bin) AS rk
   FROM cand) WHERE rk = 1 AND gain > 1e-12)"""],
                     f"""SELECT t.bag, CAST(coalesce(b.feat, -1) AS INTEGER) AS feat, CAST(coalesce(b.bin, -1) AS INTEGER) AS thr,
  {Q.r6('b.lwy / b.lw')} AS v_left, {Q.r6('(b.WY - b.lwy) / (b.W - b.lw)')} AS v_right
@@ -199,7 +198,7 @@ cand{L} AS (SELECT c.bag, c.node, c.feat, c.bin,
   t.WY * (t.W - t.WY) / t.W - c.lwy * (c.lw - c.lwy) / c.lw - (t.WY - c.lwy) * ((t.W - c.lw) - (t.WY - c.lwy)) / (t.W - c.lw) AS gain
   FROM cum{L} c JOIN tot{L} t USING (bag, node) WHERE c.lw >= 1.0 AND t.W - c.lw >= 1.0),
 best{L} AS (SELECT bag, node, feat, bin AS thr FROM (SELECT *, row_number() OVER (PARTITION BY bag, node
-  ORDER BY gain DESC, feat, bin) AS rk FROM cand{L}) WHERE rk = 1 AND gain > 1e-12),
+  ORDER BY round(gain, 9) DESC, feat, bin) AS rk FROM cand{L}) WHERE rk = 1 AND gain > 1e-12),
 cur{L + 1} AS (SELECT c.bag, c.y, c.w, 2 * c.node + CASE WHEN (CASE s.feat {' '.join(f'WHEN {j} THEN c.b{j}' for j in range(d))} END)
   > s.thr THEN 1 ELSE 0 END AS node, {', '.join('c.b' + str(j) for j in range(d))}
   FROM cur{L} c JOIN best{L} s ON c.bag = s.bag AND c.node = s.node)""")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import functions as F
 
 from pubag.catalog import sqlfrag as Q
@@ -27,7 +30,22 @@ def _params(kind, **kw):
     return q
 
 
-QUERIES = {"bl5_kernel_svm_steps": _params("kernel_svm", **SVM), "bl6_mlp_steps": _params("mlp", **MLP)}
+# Bags, depth, trees or rounds of the checked ensembles.
+TREE_BAGS, DEPTH, FOREST, ROUNDS = 20, 2, 2, 2
+
+
+def _nodes(kind, **kw):
+    def q(spark, sf):
+        m = PUBagging(learner=registry(kind, max_depth=DEPTH, **kw), n_estimators=TREE_BAGS, max_samples=DRAWS, seed=SEED, oob_score=False).fit(
+            pu_docs(spark, sf), FEATS, K)
+        t = m.models.select("bag", F.explode("trees").alias("t")).select("bag", F.col("t.no").alias("tree"), F.posexplode(F.arrays_zip("t.feat", "t.cut", "t.value")).alias("node", "n"))
+        return t.where("n.value IS NOT NULL").select("bag", "tree", "node", F.col("n.feat").alias("feat"), F.col("n.cut").alias("cut"), r6("n.value").alias("value"))
+    return q
+
+
+QUERIES = {"bl3_random_forest_trees": _nodes("random_forest", n_trees=FOREST), "bl4_boosted_trees_rounds": _nodes("boosted_trees", n_trees=ROUNDS)}
+
+QUERIES |= {"bl5_kernel_svm_steps": _params("kernel_svm", **SVM), "bl6_mlp_steps": _params("mlp", **MLP)}
 
 _U = lambda text: f"((CAST({Q.H(text)} AS DOUBLE) + 0.5) / 1152921504606846976.0)"
 
@@ -85,3 +103,84 @@ p{k} AS (SELECT bag, i, p - {rate!r} * (m / (1 - pow(0.9, {k}))) / (sqrt(s / (1
 
 
 SQL = {"bl5_kernel_svm_steps": _svm_sql(**SVM), "bl6_mlp_steps": _mlp_sql(**MLP)}
+
+_P = 2147483647
+_LINE = lambda name, r: (f"(((1 + {Q.H(Q.ht(*name, Q.q('a')))} % {_P - 1}) * {r} + {Q.H(Q.ht(*name, Q.q('c')))} % {_P}) % {_P} + 0.5) / {_P}.0")
+
+#: Binned rows of all bags: (bag, doc_id, times, y, r, b0…).
+_PAIRS = [Q.PU_DOCS, Q.gnb_fit_ctes("pu_docs", K, FEATS, SEED, TREE_BAGS, DRAWS), f"""
+qs AS (SELECT {', '.join(f"list_sort(list({f})) AS l{j}" for j, f in enumerate(FEATS))} FROM pu_docs),
+cuts AS (SELECT {', '.join(f"list_distinct(list_transform(range(1, 32), lambda k: l{j}[greatest(1, ceil(k / 32.0 * len(l{j})))::INT])) AS c{j}" for j in range(D))} FROM qs),
+once AS (SELECT doc_id, y, {Q.H(Q.ht(Q.q('row'), Q.vc('doc_id')))} % {_P} AS r,
+  {', '.join(f"CASE WHEN {f} IS NULL THEN -1 ELSE len(list_filter(c{j}, lambda v: {f} > v)) END AS b{j}" for j, f in enumerate(FEATS))} FROM pu_docs, cuts),
+pairs AS (SELECT m.bag, m.times, o.* FROM (
+  SELECT doc_id, CAST(i AS INTEGER) AS bag, 1 AS times FROM g_p, range(0, {TREE_BAGS}) t(i) UNION ALL SELECT doc_id, bag, w FROM g_bags) m JOIN once o USING (doc_id))"""]
+
+_B = ", ".join(f"b{j}" for j in range(D))
+
+
+def _subset(name: str, take: int, seed: list[str], models: str) -> str:
+    """CTE of the features (m, feat) that a model may use: the first by hash."""
+    return f"""{name} AS (SELECT m, feat FROM (SELECT m, feat, row_number() OVER (PARTITION BY m ORDER BY {Q.H(Q.ht(*seed, Q.vc('feat')))}, feat) AS rk
+  FROM {models}, range(0, {D}) f(feat)) WHERE rk <= {take})"""
+
+
+def _grow(p: str, rows: str, allowed: str, min_leaf: float) -> str:
+    """CTEs up to {p}n (m, node, feat, thr, value): trees on rows (m, w, wy, b0…)."""
+    out, nodes = [f"{p}c0 AS (SELECT m, w, wy, 1 AS node, {_B} FROM {rows})"], []
+    for n in range(DEPTH + 1):
+        out.append(f"{p}t{n} AS (SELECT m, node, sum(w) AS tw, sum(wy) AS twy FROM {p}c{n} GROUP BY m, node)")
+        if n == DEPTH:
+            nodes.append(f"SELECT m, node, -1 AS feat, -1 AS thr, twy / tw AS value FROM {p}t{n}")
+            break
+        ex = " UNION ALL ".join(f"SELECT m, node, {j} AS feat, b{j} AS bin, sum(w) AS hw, sum(wy) AS hwy FROM {p}c{n} GROUP BY m, node, b{j}" for j in range(D))
+        out.append(f"""{p}h{n} AS (SELECT x.*, sum(hw) OVER o AS lw, sum(hwy) OVER o AS lwy FROM ({ex}) x JOIN {allowed} a ON a.m = x.m AND a.feat = x.feat
+  WINDOW o AS (PARTITION BY x.m, x.node, x.feat ORDER BY x.bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{p}b{n} AS (SELECT * FROM (SELECT m, node, feat, bin, row_number() OVER (PARTITION BY m, node ORDER BY round(gain, 9) DESC, feat, bin) AS rk, gain FROM (
+  SELECT h.m, h.node, h.feat, h.bin, t.twy * (t.tw - t.twy) / t.tw - h.lwy * (h.lw - h.lwy) / h.lw
+    - (t.twy - h.lwy) * ((t.tw - h.lw) - (t.twy - h.lwy)) / (t.tw - h.lw) AS gain
+  FROM {p}h{n} h JOIN {p}t{n} t ON t.m = h.m AND t.node = h.node WHERE h.lw >= {min_leaf!r} AND t.tw - h.lw >= {min_leaf!r})) WHERE rk = 1 AND gain > 1e-12),
+{p}c{n + 1} AS (SELECT c.m, c.w, c.wy, 2 * c.node + CASE WHEN (CASE s.feat {' '.join(f'WHEN {j} THEN c.b{j}' for j in range(D))} END) > s.bin THEN 1 ELSE 0 END AS node,
+  {', '.join(f'c.b{j}' for j in range(D))} FROM {p}c{n} c JOIN {p}b{n} s ON s.m = c.m AND s.node = c.node)""")
+        nodes.append(f"SELECT t.m, t.node, coalesce(s.feat, -1), coalesce(s.bin, -1), t.twy / t.tw FROM {p}t{n} t LEFT JOIN {p}b{n} s ON s.m = t.m AND s.node = t.node")
+    out.append(f"{p}n(m, node, feat, thr, value) AS ({' UNION ALL '.join(nodes)})")
+    return ",\n".join(out)
+
+
+_OUT = "CAST(node AS INTEGER) AS node, CAST(feat AS INTEGER) AS feat, CAST(thr AS INTEGER) AS cut, " + Q.r6("value") + " AS value"
+
+
+def _forest_sql() -> str:
+    steps = list(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(18)))
+    u = _LINE([Q.q("0"), Q.q("forest"), Q.vc("bag"), Q.vc("t")], "r")
+    return with_sql([*_PAIRS, f"""drawn AS (SELECT *, bag * {FOREST} + t AS m, {u} AS u FROM pairs, range(0, {FOREST}) x(t)),
+weighed AS (SELECT *, (times * len(list_filter({steps}, lambda s: u >= s)))::DOUBLE AS w FROM drawn),
+rows_ AS (SELECT m, w, w * y AS wy, {_B} FROM weighed WHERE w > 0),
+models AS (SELECT CAST(b * {FOREST} + t AS INTEGER) AS m, b, t FROM range(0, {TREE_BAGS}) x(b), range(0, {FOREST}) z(t))""",
+                     _subset("al", round(0.7 * D), [Q.q("0"), Q.vc("b"), Q.q("feat"), Q.vc("t")], "models"),
+                     _grow("f", "rows_", "al", 1.0)],
+                    f"SELECT CAST(m // {FOREST} AS INTEGER) AS bag, CAST(m % {FOREST} AS INTEGER) AS tree, {_OUT} FROM fn")
+
+
+def _boosted_sql(rate: float = 0.5, share: float = 0.5) -> str:
+    ctes = [*_PAIRS, f"models AS (SELECT CAST(b AS INTEGER) AS m, b FROM range(0, {TREE_BAGS}) x(b))",
+                    "g0 AS (SELECT *, bag AS m, 0.0::DOUBLE AS margin FROM pairs)"]
+    for k in range(ROUNDS):
+        u = _LINE([Q.q("0"), Q.q("rows"), Q.q(str(k)), Q.vc("bag")], "r")
+        ctes += [_subset(f"al{k}", round(0.8 * D), [Q.q("0"), Q.q(str(k)), Q.vc("b"), Q.q("feat"), Q.q("0")], "models"),
+                 f"""p{k} AS (SELECT *, 1.0 / (1.0 + exp(-margin)) AS p FROM g{k}),
+rows{k} AS (SELECT m, times * p * (1 - p) AS w, times * (y - p) AS wy, {_B} FROM p{k} WHERE {u} < {share!r})""",
+                 _grow(f"r{k}", f"rows{k}", f"al{k}", 1e-3)]
+        if k + 1 < ROUNDS:
+            walk = "w0 AS (SELECT *, 1 AS node FROM g0)"
+            for n in range(DEPTH):
+                pick = "CASE n.feat " + " ".join(f"WHEN {j} THEN w.b{j}" for j in range(D)) + " END"
+                walk += f""",
+w{n + 1} AS (SELECT w.* EXCLUDE (node), CASE WHEN n.feat < 0 THEN w.node ELSE 2 * w.node + CASE WHEN {pick} > n.thr THEN 1 ELSE 0 END END AS node
+  FROM w{n} w JOIN r{k}n n ON n.m = w.m AND n.node = w.node)"""
+            ctes += [walk, f"""g{k + 1} AS (SELECT w.* EXCLUDE (node, margin), w.margin + {rate!r} * n.value AS margin
+  FROM w{DEPTH} w JOIN r{k}n n ON n.m = w.m AND n.node = w.node)"""]
+    return with_sql(ctes, " UNION ALL ".join(f"SELECT CAST(m AS INTEGER) AS bag, CAST({k} AS INTEGER) AS tree, {_OUT} FROM r{k}n" for k in range(ROUNDS)))
+
+
+SQL |= {"bl3_random_forest_trees": _forest_sql(), "bl4_boosted_trees_rounds": _boosted_sql()}

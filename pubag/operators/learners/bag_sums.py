@@ -32,7 +32,7 @@ from pubag.operators.scoring import axis_text
 # (row, bag) pairs worked on at once, and the prime of the row draws.
 MERGE = 64
 BLOB_BYTES = 1 << 20
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 128 << 20
 PAIRS = 1 << 19
 PRIME = (1 << 31) - 1
 

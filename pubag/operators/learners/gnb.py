@@ -147,12 +147,12 @@ class GaussianNB:
 
     MODEL = "n0 double, mu0 array<double>, v0 array<double>, n1 double, mu1 array<double>, v1 array<double>"
 
-    def fit_rows(self, rows: DataFrame, axes: list[str], d: int, first: int, bags: int, fbags: list | None = None) -> list[tuple]:
-        """(axis index, bag, model columns…) of every axis value and bag; ``rows`` as ``bag_sums.training_rows`` gives them."""
+    def fit_rows(self, rows: DataFrame, axes: list[str], d: int, first: int, bags: int, fbags: list | None = None):
+        """Yields (axis index, bag, model columns…) of every axis value and bag; ``rows`` as ``bag_sums.training_rows`` gives them."""
         most = rows.groupBy("_axt").agg(F.max("_w0").alias("w"), *[F.max(F.when(F.abs(F.col("_x")[j]) < float("inf"), F.abs(F.col("_x")[j]))).alias(f"x{j}") for j in range(d)])
         top = {r["_axt"]: (B.exponent(r["w"]), [B.exponent(r[f"x{j}"]) for j in range(d)]) for r in most.collect()}  # d numbers per axis value
         tops = [top.get(a, (1, [0] * d)) for a in axes]
-        size, out = 2 * Exact.LIMBS * (1 + 3 * d), []
+        size = 2 * Exact.LIMBS * (1 + 3 * d)
         for a0, a1, b0, b1 in B.slices(len(axes), first, bags, 8 * size):
             got = B.summed(rows, axes[a0:a1], b0, b1 + 1, d, size, _add_moments, tops[a0:a1], np.int64)
             for a in range(a0, a1):
@@ -168,8 +168,7 @@ class GaussianNB:
                         own = sums[b - b0, cls]
                         known = [_moments(own[1 + 3 * j:4 + 3 * j], xs[j]) for j in range(d)]
                         row += [math.ldexp(own[0], w - Exact.LIMBS * Exact.BITS), [m for m, _ in known], [None if v is None else v + eps for _, v in known]]
-                    out.append((a, b, *row))
-        return out
+                    yield (a, b, *row)
 
     @staticmethod
     def model_columns() -> list[str]:

@@ -62,14 +62,13 @@ class _Steps:
             return np.ones((bags, d))
         return np.array([[float(j in fb) for j in range(d)] for fb in fbags])
 
-    def fit_rows(self, rows: DataFrame, axes: list[str], d: int, first: int, bags: int, fbags: list | None = None) -> list[tuple]:
-        scales, masks, out = self._scales(rows, axes, d), self._masks(fbags, d, bags), []
+    def fit_rows(self, rows: DataFrame, axes: list[str], d: int, first: int, bags: int, fbags: list | None = None):
+        scales, masks = self._scales(rows, axes, d), self._masks(fbags, d, bags)
         for a0, a1, b0, b1 in B.slices(len(axes), first, bags, 8 * 4 * self._size(d)):
             models = self._trained(rows, axes[a0:a1], scales[a0:a1], d, b0, b1, masks[b0 - first:b1 - first])
             for a in range(a0, a1):
                 mean, sd = (v.tolist() for v in scales[a])
-                out += [(a, b, models[a - a0, b - b0].tolist(), mean, sd) for b in range(b0, b1)]
-        return out
+                yield from ((a, b, models[a - a0, b - b0].tolist(), mean, sd) for b in range(b0, b1))
 
     MODEL = "params array<double>, mean array<double>, sd array<double>"
 

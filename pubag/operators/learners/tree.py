@@ -1,27 +1,30 @@
-"""BL2: decision trees for every bag at once, trained level by level on histograms.
-
-Features are cut once into ``n_bins`` bins over the training rows: of equal width between
-min and max, or (``quantiles``) at approximate quantiles, which a few far values do not
-stretch. A null gets bin -1 and therefore always goes left.
-Each level is one aggregate over the bagged rows, exploded per feature:
-(axis…, bag, node, feature, bin) -> (sum w, sum w*y); a window gives the left
-totals of every "bin <= b" split; the weighted Gini of the two children is
-minimised per node (ties: smallest feature, then smallest bin). The split table
-(one row per open node) is small and broadcast to move rows to their children.
-Leaves predict sum(w*y)/sum(w). Rows never leave their partitions except for the
-aggregate's shuffle of partial sums; the row table is checkpointed each level.
-
-Scoring walks the tree in a fixed number of steps (= depth) for all rows of an
-Arrow batch at once: node = 2*node + (bin > threshold) unless the node is a leaf.
+"""BL2: decision trees for every bag at once, grown level by level on histograms over rows that are stored once.
+
+Features are cut into ``n_bins`` bins over the training rows: of equal width between min and max, or
+(``quantiles``) at approximate quantiles, which a few far values do not stretch. A missing value gets bin -1
+and therefore always goes left.
+
+A level is one pass over the rows (``bag_sums``): a task sends each (row, bag) down the tree as it is so far
+and adds its weight and weighted target to the histogram (node, feature, bin) of its node. Only left children
+are added up; a right child's histogram is its parent's less the left one. The merged histograms of a slice of
+models give every node's best split, the least weighted Gini of the two children (ties: smallest feature, then
+smallest bin); the totals of the last level's nodes follow from the splits above. No table of (row, bag) or
+(row, node) is ever written, and the rows stay where they are.
+
+Scoring walks the tree in a fixed number of steps (= depth) for all rows of an Arrow batch at once:
+node = 2*node + (bin > threshold) unless the node is a leaf.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pubag.session import kept
+from pubag.operators.learners import bag_sums as B
 
 # Defaults of the histogram tree.
 N_BINS = 32
@@ -29,10 +32,128 @@ MAX_DEPTH = 4
 MIN_GAIN = 1e-12
 
 
-def bin_expr(x: Column, lo: Column, width: Column, n_bins: int) -> Column:
-    b = F.floor((x - lo) / width)
-    return F.when(x.isNull(), F.lit(-1)).otherwise(
-        F.least(F.greatest(F.coalesce(b, F.lit(0)), F.lit(0)), F.lit(n_bins - 1))).cast("int")
+@dataclass
+class Bins:
+    """The cuts of all features: ``lo`` and ``wd`` of equal bins, or the sorted ``cuts`` of each feature."""
+
+    n: int
+    lo: np.ndarray
+    wd: np.ndarray
+    cuts: list | None
+
+    @classmethod
+    def over(cls, rows: DataFrame, d: int, n: int, quantiles: bool) -> Bins:
+        x = [F.when(F.abs(F.col("_x")[j]) < float("inf"), F.col("_x")[j]) for j in range(d)]
+        got = rows.agg(*[F.min(c).alias(f"lo{j}") for j, c in enumerate(x)], *[F.max(c).alias(f"hi{j}") for j, c in enumerate(x)]).first()
+        lo = np.array([got[f"lo{j}"] or 0.0 for j in range(d)])
+        hi = np.array([got[f"hi{j}"] or 0.0 for j in range(d)])
+        cuts = None
+        if quantiles:  # at most n - 1 numbers a feature
+            shares = [k / n for k in range(1, n)]
+            got = rows.agg(*[F.percentile_approx(c, shares, 10000).alias(f"q{j}") for j, c in enumerate(x)]).first()
+            cuts = [sorted(set(got[f"q{j}"] or [])) for j in range(d)]
+        return cls(n, lo, np.where(hi > lo, (hi - lo) / n, 1.0), cuts)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Bins of rows; -1 where a value is missing."""
+        if self.cuts is not None:
+            out = np.column_stack([np.searchsorted(np.asarray(c, dtype=float), x[:, j]) for j, c in enumerate(self.cuts)])
+        else:
+            out = np.clip(np.floor((np.where(np.isnan(x), 0.0, x) - self.lo) / self.wd), 0, self.n - 1)
+        return np.where(np.isnan(x), -1, out).astype(np.int64)
+
+    def columns(self) -> tuple:
+        return self.lo.tolist(), self.wd.tolist(), [[float(v) for v in c] for c in self.cuts or []]
+
+    @classmethod
+    def from_columns(cls, n: int, row, quantiles: bool) -> Bins:
+        return cls(n, np.array(row["lo"]), np.array(row["wd"]), [list(c) for c in row["cuts"]] if quantiles else None)
+
+
+def walk(feat: np.ndarray, cut: np.ndarray, bins: np.ndarray, model: np.ndarray, row: np.ndarray, steps: int) -> np.ndarray:
+    """Node that each (row, model) reaches in ``steps`` steps; a leaf keeps its rows."""
+    node = np.ones(len(row), dtype=np.int64)
+    for _ in range(steps):
+        f = feat[model, node]
+        go = bins[row, np.maximum(f, 0)] > cut[model, node]
+        node = np.where(f < 0, node, 2 * node + go)
+    return node
+
+
+def best_splits(hist: np.ndarray, allowed: np.ndarray, min_leaf: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of histograms (..., d, bins, 2): feature, bin index and (left, right) sums of the best split of each node;
+    feature -1 where none gains."""
+    left = hist.cumsum(axis=-2)
+    total = left[..., :1, -1:, :]  # every feature's bins add up to the node
+    lw, lwy, w, wy = left[..., 0], left[..., 1], total[..., 0], total[..., 1]
+    rw, rwy = w - lw, wy - lwy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = wy * (w - wy) / w - lwy * (lw - lwy) / lw - rwy * (rw - rwy) / rw
+    gain = np.where((lw >= min_leaf) & (rw >= min_leaf) & allowed, gain, -np.inf)
+    gain = np.where(np.isnan(gain), -np.inf, gain)
+    flat = gain.reshape(*gain.shape[:-2], -1)
+    at = np.round(flat, 9).argmax(axis=-1)  # gains that differ by the rounding of sums only are ties
+    found = np.take_along_axis(flat, at[..., None], axis=-1)[..., 0] > MIN_GAIN
+    bins = hist.shape[-2]
+    pick = left.reshape(*flat.shape, 2)
+    own = np.take_along_axis(pick, at[..., None, None], axis=-2)[..., 0, :]
+    return np.where(found, at // bins, -1), at % bins, own, total[..., 0, 0, :] - own
+
+
+def grow(rows: DataFrame, axes: list[str], d: int, b0: int, b1: int, per_bag: int, depth: int, bins: Bins, pairs: Callable, state: list,
+         allowed: np.ndarray, min_leaf: np.ndarray, caps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feat, cut, value), each (axis values, models, nodes), of ``per_bag`` trees a bag. ``pairs(rows, bins of the
+    rows, state of the axis value)`` yields (row, model, weight, weight x target); ``allowed`` (models, d),
+    ``min_leaf`` and ``caps`` (models) bound the splits. Nodes are numbered as in a heap, from 1."""
+    models, size, nb = (b1 - b0) * per_bag, 2 ** (depth + 1), bins.n + 1
+    feat = np.full((len(axes), models, size), -1, dtype=np.int32)
+    cut = feat.copy()
+    total = np.zeros((len(axes), models, size, 2))
+    parent = None
+    for level in range(depth):
+        width = max(1, 2 ** level // 2)
+
+        def add(acc, part, own, level=level, width=width):
+            f, c, extra = own
+            x = bins.of(part.x)
+            flat, columns = acc.reshape(-1), np.arange(d)
+            for row, model, w, wy in pairs(part, x, extra):
+                node = walk(f, c, x, model, row, level)
+                here = node >= 2 ** level
+                if level:
+                    here &= node % 2 == 0
+                row, model, w, wy, node = (v[here] for v in (row, model, w, wy, node))
+                place = model * width + ((node - 2 ** level) // 2 if level else 0)
+                at = 2 * ((place[:, None] * d + columns) * nb + x[row] + 1).ravel()
+                np.add.at(flat, at, np.repeat(w, d))
+                np.add.at(flat, at + 1, np.repeat(wy, d))
+
+        got = B.summed(rows, axes, b0, b1, d, per_bag * width * d * nb * 2, add, [(feat[a], cut[a], state[a]) for a in range(len(axes))])
+        hist = got.reshape(len(axes), models, width, d, nb, 2)
+        if level:
+            left, hist = hist, np.zeros((len(axes), models, 2 * width, d, nb, 2))
+            split = feat[:, :, width:2 * width] >= 0
+            hist[:, :, 0::2] = left
+            hist[:, :, 1::2] = np.where(split[..., None, None, None], parent - left, 0.0)
+        else:
+            total[:, :, 1] = hist[:, :, 0, 0].sum(axis=-2)
+        open_ = allowed[None, :, None, :, None] & (caps > level)[None, :, None, None, None]
+        f, t, lo, hi = best_splits(hist, open_, min_leaf[None, :, None, None, None])
+        nodes = slice(2 ** level, 2 ** (level + 1))
+        feat[:, :, nodes], cut[:, :, nodes] = f, np.where(f >= 0, t - 1, -1)
+        below, some = total[:, :, 2 ** (level + 1):2 ** (level + 2)], (f >= 0)[..., None]
+        below[:, :, 0::2], below[:, :, 1::2] = np.where(some, lo, 0.0), np.where(some, hi, 0.0)
+        parent = hist
+        if not (f >= 0).any():
+            break
+    with np.errstate(divide="ignore", invalid="ignore"):
+        value = total[..., 1] / total[..., 0]
+    return feat, cut, np.where(total[..., 0] > 0, value, np.nan)
+
+
+def tree_bytes(depth: int, n_bins: int, d: int) -> int:
+    """What growing one tree holds: the histograms of two levels and what a reducer makes of them."""
+    return 3 * 16 * (n_bins + 1) * d * 2 ** max(0, depth - 1)
 
 
 class DecisionTree:
@@ -46,129 +167,55 @@ class DecisionTree:
         self.min_weight_leaf = float(min_weight_leaf)
         self.quantiles = quantiles
 
-    def _cuts(self, rows: DataFrame, features: list[str]) -> list[list[float]]:
-        """Per feature the distinct approximate quantiles that cut it into bins (at most ``n_bins`` - 1 numbers)."""
-        if not self.quantiles:
-            return [[] for _ in features]
-        shares = [k / self.n_bins for k in range(1, self.n_bins)]
-        got = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10000).alias(c) for c in features]).first()
-        return [sorted(set(got[c] or [])) for c in features]
-
-    # -- training ----------------------------------------------------------------
-    def fit(self, bagged: DataFrame, rows: DataFrame, features: list[str], axis: list[str], label: str = "y",
-            fbags: list[list[int]] | None = None, first_bag: int = 0, axis_params: DataFrame | None = None) -> DataFrame:
-        """``axis_params`` (axis…, max_depth, min_leaf, allowed array<int>) gives every axis value its
-        own depth cap, minimum leaf weight and candidate features (a hyper-parameter grid as an axis)."""
-        d = len(features)
-        nb = self.n_bins
-        rng = rows.agg(*[F.min(c).alias(f"lo{j}") for j, c in enumerate(features)],
-                       *[F.max(c).alias(f"hi{j}") for j, c in enumerate(features)]).first()
-        lo = [float(rng[f"lo{j}"]) if rng[f"lo{j}"] is not None else 0.0 for j in range(d)]
-        hi = [float(rng[f"hi{j}"]) if rng[f"hi{j}"] is not None else 0.0 for j in range(d)]
-        wd = [(h - l) / nb if h > l else 1.0 for l, h in zip(lo, hi)]
-        cuts = self._cuts(rows, features)
-
-        def bin_of(c: str, j: int) -> Column:
-            x = F.col(c).cast("double")
-            if not self.quantiles:
-                return bin_expr(x, F.lit(lo[j]), F.lit(wd[j]), nb)
-            below = F.filter(F.array(*[F.lit(v) for v in cuts[j]]).cast("array<double>"), lambda v: x > v)
-            return F.when(x.isNull(), F.lit(-1)).otherwise(F.size(below)).cast("int")
-
-        bins = F.array(*[bin_of(c, j) for j, c in enumerate(features)])
-        cur = bagged.select(*axis, "bag", F.col(label).cast("double").alias("_y"), F.col("w").cast("double").alias("_w"),
-                            bins.alias("_bins"), F.lit(1).alias("node"))
-        cur = kept(cur)
-        if axis_params is not None:
-            # one row per axis value (the grid)
-            ap = axis_params.select(*axis, F.col("max_depth").alias("_cap"),
-                                                F.col("min_leaf").cast("double").alias("_minleaf"),
-                                                F.col("allowed").alias("_allowed"))
-        allowed = None
-        if fbags is not None and any(sorted(set(fb)) != list(range(d)) for fb in fbags):
-            allowed = F.element_at(F.array(*[F.array(*[F.lit(int(j)) for j in sorted(set(fb))]) for fb in fbags]),
-                                   F.col("bag") - F.lit(first_bag) + 1)
-        nodes_all = []
-        for depth in range(self.max_depth + 1):
-            tot = cur.groupBy(*axis, "bag", "node").agg(F.sum("_w").alias("W"), F.sum(F.col("_w") * F.col("_y")).alias("WY"))
-            if depth == self.max_depth:
-                nodes_all.append(tot.select(*axis, "bag", "node", "W", "WY", F.lit(-1).alias("feat"),
-                                            F.lit(-1).alias("thr")))
-                break
-            ex = cur.select(*axis, "bag", "node", "_w", "_y", F.posexplode("_bins").alias("feat", "bin"))
-            if allowed is not None:
-                ex = ex.filter(F.array_contains(allowed, F.col("feat")))
-            if axis_params is not None:
-                ex = ex.join(ap, axis).filter((F.col("_cap") > depth) & F.array_contains("_allowed", F.col("feat"))).drop(
-                    "_cap", "_allowed")
-            minleaf = F.col("_minleaf") if axis_params is not None else F.lit(self.min_weight_leaf)
-            gcols = [*axis, "bag", "node", "feat", "bin"] + (["_minleaf"] if axis_params is not None else [])
-            hist = ex.groupBy(*gcols).agg(F.sum("_w").alias("hw"), F.sum(F.col("_w") * F.col("_y")).alias("hwy"))
-            wcum = Window.partitionBy(*axis, "bag", "node", "feat").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-            hist = hist.withColumn("lw", F.sum("hw").over(wcum)).withColumn("lwy", F.sum("hwy").over(wcum))
-            hist = hist.join(tot, [*axis, "bag", "node"])
-            rw = F.col("W") - F.col("lw")
-            rwy = F.col("WY") - F.col("lwy")
-            imp_l = F.col("lwy") * (F.col("lw") - F.col("lwy")) / F.col("lw")
-            imp_r = rwy * (rw - rwy) / rw
-            parent = F.col("WY") * (F.col("W") - F.col("WY")) / F.col("W")
-            cand = hist.filter((F.col("lw") >= minleaf) & (rw >= minleaf)).withColumn(
-                "gain", parent - imp_l - imp_r)
-            wbest = Window.partitionBy(*axis, "bag", "node").orderBy(F.col("gain").desc(), "feat", "bin")
-            best = cand.withColumn("_rk", F.row_number().over(wbest)).filter(
-                (F.col("_rk") == 1) & (F.col("gain") > MIN_GAIN)).select(*axis, "bag", "node", F.col("feat"),
-                                                                          F.col("bin").alias("thr"))
-            level = tot.join(best, [*axis, "bag", "node"], "left").select(
-                *axis, "bag", "node", "W", "WY", F.coalesce("feat", F.lit(-1)).alias("feat"),
-                F.coalesce("thr", F.lit(-1)).alias("thr"))
-            level = kept(level)
-            nodes_all.append(level)
-            splits = level.filter(F.col("feat") >= 0).select(*axis, "bag", "node", "feat", "thr")
-            if splits.limit(1).count() == 0:
-                break
-            # split table: one row per open node of this level
-            moved = cur.join(splits, [*axis, "bag", "node"], "inner")
-            child = (2 * F.col("node") + F.when(F.element_at("_bins", F.col("feat") + 1) > F.col("thr"), 1)
-                     .otherwise(0)).alias("node")
-            cur = kept(moved.select(*axis, "bag", "_y", "_w", "_bins", child))
-        nodes = nodes_all[0]
-        for n in nodes_all[1:]:
-            nodes = nodes.unionByName(n)
-        nodes = nodes.withColumn("value", F.try_divide(F.col("WY"), F.col("W")))
-        model = nodes.groupBy(*axis, "bag").agg(F.map_from_entries(F.collect_list(F.struct(
-            "node", F.struct(F.col("feat").cast("int").alias("f"), F.col("thr").cast("int").alias("t"),
-                             F.col("value").alias("v"))))).alias("tree"))
-        return model.withColumns({
-            "lo": F.array(*[F.lit(v) for v in lo]), "wd": F.array(*[F.lit(v) for v in wd]),
-            "cuts": F.array(*[F.array(*[F.lit(v) for v in c]).cast("array<double>") for c in cuts])})
+    MODEL = "feat array<int>, cut array<int>, value array<double>, lo array<double>, wd array<double>, cuts array<array<double>>"
+
+    def fit_rows(self, rows: DataFrame, axes: list[str], d: int, first: int, bags: int, fbags: list | None = None, bag_params: list[dict] | None = None):
+        """``bag_params`` gives every bag its own ``max_depth``, ``min_leaf`` and ``allowed`` features (a
+        hyper-parameter grid as bags of the same rows)."""
+        bins = Bins.over(rows, d, self.n_bins, self.quantiles)
+        params = bag_params or [{"max_depth": self.max_depth, "min_leaf": self.min_weight_leaf, "allowed": fb} for fb in fbags or [range(d)] * bags]
+
+        def pairs(part, x, _):
+            w = part.times * part.w0[part.row]
+            yield part.row, part.bag, w, w * part.y[part.row]
+
+        for a0, a1, b0, b1 in B.slices(len(axes), first, bags, tree_bytes(self.max_depth, self.n_bins, d)):
+            mine = params[b0 - first:b1 - first]
+            allowed = np.array([[j in set(p["allowed"]) for j in range(d)] for p in mine])
+            feat, cut, value = grow(rows, axes[a0:a1], d, b0, b1, 1, self.max_depth, bins, pairs, [None] * (a1 - a0), allowed,
+                                    np.array([float(p["min_leaf"]) for p in mine]), np.array([p["max_depth"] for p in mine]))
+            for a in range(a0, a1):
+                for b in range(b0, b1):
+                    yield (a, b, *tree_columns(feat[a - a0, b - b0], cut[a - a0, b - b0], value[a - a0, b - b0]), *bins.columns())
 
     # -- scoring of one bag's tree over the rows of an array -------------------------
 
     def unpack(self, row) -> dict:
-        size = 2 ** (self.max_depth + 2)
-        feat, cut, value = np.full(size, -1), np.full(size, -1), np.zeros(size)
-        for node, nd in row["tree"].items():
-            feat[node], cut[node], value[node] = nd["f"], nd["t"], nd["v"] or 0.0
-        return {"feat": feat, "cut": cut, "value": value, "lo": np.array(row["lo"]), "wd": np.array(row["wd"]),
-                "cuts": [np.array(c, dtype=float) for c in row["cuts"]]}
+        return tree_arrays(row) | {"bins": Bins.from_columns(self.n_bins, row, self.quantiles)}
+
+    def np_map(self, m: dict, x: np.ndarray) -> np.ndarray:
+        return m["bins"].of(x)
 
     def np_proba(self, m: dict, x: np.ndarray) -> np.ndarray:
-        """Value of the leaf that each row reaches in ``max_depth`` steps."""
-        if self.quantiles:
-            bins = np.column_stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(m["cuts"])])
-        else:
-            bins = np.clip(np.floor((x - m["lo"]) / m["wd"]), 0, self.n_bins - 1)
-        bins = np.where(np.isnan(x), -1, bins)
-        rows, node = np.arange(len(x)), np.ones(len(x), dtype=int)
-        for _ in range(self.max_depth):
-            f = m["feat"][node]
-            go = bins[rows, np.maximum(f, 0)] > m["cut"][node]
-            node = np.where(f < 0, node, 2 * node + go)
-        return m["value"][node]
+        """Value of the leaf that each row (of bins) reaches in ``max_depth`` steps."""
+        return leaf_values(m, x.astype(np.int64), self.max_depth)
 
     @staticmethod
     def model_columns() -> list[str]:
-        return ["tree", "lo", "wd", "cuts"]
+        return ["feat", "cut", "value", "lo", "wd", "cuts"]
 
     def model_bytes(self, d: int) -> int:
         return 40 * (2 ** (self.max_depth + 1)) + (16 + 8 * self.n_bins) * d + 64
+
+
+def tree_columns(feat: np.ndarray, cut: np.ndarray, value: np.ndarray) -> tuple[list, list, list]:
+    return feat.tolist(), cut.tolist(), [None if v != v else v for v in value.tolist()]
+
+
+def tree_arrays(row) -> dict:
+    return {"feat": np.array(row["feat"]), "cut": np.array(row["cut"]), "value": np.array([v or 0.0 for v in row["value"]])}
+
+
+def leaf_values(m: dict, bins: np.ndarray, depth: int) -> np.ndarray:
+    row = np.arange(len(bins))
+    return m["value"][walk(m["feat"][None], m["cut"][None], bins, np.zeros(len(bins), dtype=np.int64), row, depth)]

@@ -1,58 +1,55 @@
 """BL3 and BL4: forests and boosted trees of every bag in one job, on the histogram trees of BL2.
 
-Features are cut at quantiles.
+Features are cut at quantiles. Rows are stored once; what a bag's tree sees of a row is worked out in each pass
+from the row's number (a hash of its key) and the names of bag and tree, so two rows with equal features have
+draws of their own and nothing per (row, bag, tree) is kept.
 
-Forest: a tree is one more bag axis. Every bagged row goes to the bag's trees that draw it
-(Poisson(1) weights by hash), every tree sees its own hash-chosen features, and all trees of
-all bags grow level by level in the same aggregates. A bag's probability is the mean of its
-trees' leaf values.
+Forest: a bag has ``n_trees`` trees, each with its own Poisson(1) weights of the bag's rows and its own
+hash-chosen features; all trees of all bags grow level by level in the same passes. A bag's probability is the
+mean of its trees' leaf values.
 
 Boosting: the split gain of BL2 for weights h and targets g / h is G_l^2 / H_l + G_r^2 / H_r
 - G^2 / H, and its leaf value is G / H, the Newton step. Each round grows one tree per bag on
-the gradient and hessian of the logistic loss, all bags at once, and adds the leaf's value,
-scaled by the learning rate, to the margins of the bag's rows. With ``drop`` > 0 (dart) each
-round leaves out the earlier trees whose hash falls below it, and scales the new and the
-dropped trees by 1 / (k + 1) and k / (k + 1).
+the gradient and hessian of the logistic loss, all bags at once; a pass adds up a row's margin from the earlier
+trees of its bag. With ``drop`` > 0 (dart) each round leaves out the earlier trees whose hash falls below it, and
+scales the new and the dropped trees by 1 / (k + 1) and k / (k + 1).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from pubag.functions.hashing import h, uniform
-from pubag.operators.learners.tree import DecisionTree
+from pubag.operators.learners import bag_sums as B
+from pubag.operators.learners.tree import Bins, grow, leaf_values, tree_arrays, tree_bytes, tree_columns, walk
 from pubag.operators.sampling import feature_bag, feature_bag_hash, poisson_cdf
-from pubag.operators.scoring import axis_text
-from pubag.session import kept
 
 
 class _OfTrees:
     has_proba = True
     takes_weight = True
-    additive = False
+    draws_rows = True
 
-    def _tree(self) -> DecisionTree:
-        return DecisionTree(self.max_depth, self.n_bins, self.min_weight_leaf, quantiles=True)
+    MODEL = ("trees array<struct<no:int,scale:double,feat:array<int>,cut:array<int>,value:array<double>>>, "
+             "lo array<double>, wd array<double>, cuts array<array<double>>")
 
     def model_bytes(self, d: int) -> int:
-        return self.n_trees * (self._tree().model_bytes(d) + 16)
+        return self.n_trees * (40 * 2 ** (self.max_depth + 1) + 16) + (16 + 8 * self.n_bins) * d + 64
 
     @staticmethod
     def model_columns() -> list[str]:
-        return ["trees"]
+        return ["trees", "lo", "wd", "cuts"]
 
     def unpack(self, row) -> dict:
-        one = self._tree()
-        return {"trees": [(t["scale"], one.unpack(t)) for t in sorted(row["trees"], key=lambda t: t["no"])]}
+        return {"trees": [(t["scale"], tree_arrays(t)) for t in sorted(row["trees"], key=lambda t: t["no"])],
+                "bins": Bins.from_columns(self.n_bins, row, True)}
 
-    @staticmethod
-    def _grouped(trees: DataFrame, axis: list[str], bag, no, scale) -> DataFrame:
-        """One row per (axis, bag) with the array of its trees."""
-        return (trees.withColumn("_own", F.struct(no.cast("int").alias("no"), scale.cast("double").alias("scale"), "tree", "lo", "wd", "cuts"))
-                .withColumn("bag", bag.cast("int")).groupBy(*axis, "bag").agg(F.collect_list("_own").alias("trees")))
+    def np_map(self, m: dict, x: np.ndarray) -> np.ndarray:
+        return m["bins"].of(x)
+
+    def _each(self, m: dict, x: np.ndarray) -> list[np.ndarray]:
+        bins = x.astype(np.int64)
+        return [s * leaf_values(t, bins, self.max_depth) for s, t in m["trees"]]
 
 
 class Forest(_OfTrees):
@@ -64,28 +61,37 @@ class Forest(_OfTrees):
         self.n_trees, self.max_depth, self.n_bins, self.seed = n_trees, max_depth, n_bins, seed
         self.min_weight_leaf, self.features = float(min_weight_leaf), float(features)
 
-    def fit(self, bagged: DataFrame, rows: DataFrame, features: list[str], axis: list[str], label: str = "y",
-            fbags: list[list[int]] | None = None, first_bag: int = 0) -> DataFrame:
-        n, d = self.n_trees, len(features)
-        row = F.concat_ws("|", *[F.col(c).cast("string") for c in features])
-        steps = F.array(*[F.lit(c) for c in poisson_cdf(1.0)])
-        u = uniform(h(self.seed, "forest", F.col("bag"), F.col("_tree"), row))
-        x = (bagged.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-             .withColumn("w", F.col("w") * F.size(F.filter(steps, lambda c: u >= c))).filter(F.col("w") > 0)
-             .withColumn("bag", (F.col("bag") * n + F.col("_tree")).cast("int")).drop("_tree"))
-        bags = fbags or [list(range(d))] * (bagged.agg(F.max("bag")).first()[0] - first_bag + 1)
-        subsets = []
-        for b, fb in enumerate(bags):
-            own = sorted(set(fb))
-            k = max(1, round(self.features * len(own)))
-            picks = feature_bag(len(own), k, n, f"{self.seed}|{first_bag + b}")
-            subsets += [[own[j] for j in pick] for pick in picks]
-        trees = self._tree().fit(x, rows, features, axis, label, subsets, first_bag * n)
-        return self._grouped(trees, axis, F.floor(F.col("bag") / n), F.col("bag") % n, F.lit(1.0))
+    def fit_rows(self, rows: DataFrame, axes: list[str], d: int, first: int, bags: int, fbags: list | None = None):
+        n, bins = self.n_trees, Bins.over(rows, d, self.n_bins, True)
+        steps = np.array(poisson_cdf(1.0))
+        for a0, a1, b0, b1 in B.slices(len(axes), first, bags, n * tree_bytes(self.max_depth, self.n_bins, d)):
+            lines = np.array([[B.line(self.seed, "forest", b, t) for t in range(n)] for b in range(b0, b1)])
+            allowed = np.zeros(((b1 - b0) * n, d), dtype=bool)
+            for b in range(b0, b1):
+                own = sorted(set(fbags[b - first])) if fbags is not None else list(range(d))
+                k = max(1, round(self.features * len(own)))
+                for t, pick in enumerate(feature_bag(len(own), k, n, f"{self.seed}|{b}")):
+                    allowed[(b - b0) * n + t, [own[j] for j in pick]] = True
+
+            def pairs(part, x, _, lines=lines):
+                r = part.r[part.row]
+                for t in range(n):
+                    a, c = lines[part.bag, t].T
+                    times = np.searchsorted(steps, B.row_uniform(r, a, c), side="right")
+                    some = np.flatnonzero(times)
+                    w = (part.times * part.w0[part.row] * times)[some]
+                    yield part.row[some], part.bag[some] * n + t, w, w * part.y[part.row[some]]
+
+            models = (b1 - b0) * n
+            feat, cut, value = grow(rows, axes[a0:a1], d, b0, b1, n, self.max_depth, bins, pairs, [None] * (a1 - a0), allowed,
+                                    np.full(models, self.min_weight_leaf), np.full(models, self.max_depth))
+            for a in range(a0, a1):
+                for b in range(b0, b1):
+                    trees = [(t, 1.0, *tree_columns(*(v[a - a0, (b - b0) * n + t] for v in (feat, cut, value)))) for t in range(n)]
+                    yield (a, b, trees, *bins.columns())
 
     def np_proba(self, m: dict, x: np.ndarray) -> np.ndarray:
-        one = self._tree()
-        return np.mean([one.np_proba(t, x) for _, t in m["trees"]], axis=0)
+        return np.mean(self._each(m, x), axis=0)
 
 
 class BoostedTrees(_OfTrees):
@@ -98,65 +104,61 @@ class BoostedTrees(_OfTrees):
         self.n_trees, self.learning_rate, self.max_depth, self.n_bins, self.seed = n_trees, float(learning_rate), max_depth, n_bins, seed
         self.min_weight_leaf, self.features, self.rows, self.drop = float(min_weight_leaf), float(features), float(rows), float(drop)
 
-    def fit(self, bagged: DataFrame, rows: DataFrame, features: list[str], axis: list[str], label: str = "y",
-            fbags: list[list[int]] | None = None, first_bag: int = 0) -> DataFrame:
-        d, made, scales = len(features), [], []
-        row = F.concat_ws("|", *[F.col(c).cast("string") for c in features])
-        cur = kept(bagged.select(*axis, "bag", F.col(label).cast("double").alias("_t"), F.col("w").cast("double").alias("_w0"), *features,
-                                 F.array().cast("array<double>").alias("_steps")))
-        bags = fbags or [list(range(d))] * (cur.agg(F.max("bag")).first()[0] - first_bag + 1)
+    def _bag_params(self, d: int, first: int, bags: int, fbags: list | None) -> list[dict]:
+        return [{"learning_rate": self.learning_rate, "max_depth": self.max_depth, "min_leaf": self.min_weight_leaf, "features": self.features,
+                 "rows": self.rows, "own": sorted(set(fb))} for fb in fbags or [range(d)] * bags]
+
+    def fit_rows(self, rows: DataFrame, axes: list[str], d: int, first: int, bags: int, fbags: list | None = None, bag_params: list[dict] | None = None):
+        """``bag_params`` gives every bag its own ``learning_rate``, ``max_depth``, ``min_leaf`` (hessian weight),
+        ``features`` and ``rows`` (a hyper-parameter grid as bags of the same rows)."""
+        bins = Bins.over(rows, d, self.n_bins, True)
+        params = bag_params or self._bag_params(d, first, bags, fbags)
+        for a0, a1, b0, b1 in B.slices(len(axes), first, bags, tree_bytes(self.max_depth, self.n_bins, d) + 24 * self.n_trees * 2 ** (self.max_depth + 1)):
+            mine = params[b0 - first:b1 - first]
+            yield from self._boosted(rows, axes[a0:a1], a0, d, b0, b1, bins, mine)
+
+    def _boosted(self, rows, axes, a0, d, b0, b1, bins, params):
+        depth, models = self.max_depth, b1 - b0
+        rate = np.array([p["learning_rate"] for p in params])
+        share, caps = np.array([p["rows"] for p in params]), np.array([p["max_depth"] for p in params])
+        leaf = np.array([float(p["min_leaf"]) for p in params])
+        made, scales = [], []
         for k in range(self.n_trees):
             gone = [i for i in range(k) if feature_bag_hash(self.seed, "drop", k, i) / 2**60 < self.drop]
-            # margin of the trees that stay: each row holds its value in every tree so far
-            weights = F.array(*[F.lit(0.0 if i in gone else s) for i, s in enumerate(scales)]).cast("array<double>")
-            margin = F.aggregate(F.zip_with("_steps", weights, lambda v, s: v * s), F.lit(0.0), lambda a, v: a + v)
-            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_m")))
-            x = cur.withColumn("_m", margin).withColumn("_p", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p)))
-            hess = F.col("_p") * (F.lit(1.0) - F.col("_p"))
-            x = x.withColumn("w", F.col("_w0") * hess).withColumn("_z", (F.col("_t") - F.col("_p")) / hess)
-            if self.rows < 1:
-                x = x.filter(uniform(h(self.seed, "rows", k, F.col("bag"), row)) < self.rows)
-            take = lambda fb: max(1, round(self.features * len(set(fb))))
-            subsets = [[sorted(set(fb))[j] for j in feature_bag(len(set(fb)), take(fb), 1, f"{self.seed}|{k}|{first_bag + b}")[0]]
-                       for b, fb in enumerate(bags)]
-            tree = kept(self._tree().fit(x, rows, features, axis, "_z", subsets, first_bag))
-            made.append(tree.withColumn("_no", F.lit(k)))
+            lines = np.array([B.line(self.seed, "rows", k, b) for b in range(b0, b1)])
+            allowed = np.zeros((models, d), dtype=bool)
+            for b, p in enumerate(params):
+                own = p.get("own", range(d))
+                take = max(1, round(p["features"] * len(own)))
+                allowed[b, [own[j] for j in feature_bag(len(own), take, 1, f"{self.seed}|{k}|{b0 + b}")[0]]] = True
+
+            def pairs(part, x, trees, lines=lines, gone=gone, scales=list(scales)):
+                row, bag, w0 = part.row, part.bag, part.times * part.w0[part.row]
+                if (share < 1).any():
+                    a, c = lines[bag].T
+                    some = np.flatnonzero(B.row_uniform(part.r[row], a, c) < share[bag])
+                    row, bag, w0 = row[some], bag[some], w0[some]
+                margin = np.zeros(len(row))
+                for i, (f, t, v) in enumerate(trees):
+                    if i not in gone:
+                        margin += scales[i][bag] * v[bag, walk(f, t, x, bag, row, depth)]
+                p = np.clip(1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700))), 1e-6, 1 - 1e-6)
+                yield row, bag, w0 * p * (1 - p), w0 * (part.y[row] - p)
+
+            state = [[(f[a], t[a], np.nan_to_num(v[a])) for f, t, v in made] for a in range(len(axes))]
+            feat, cut, value = grow(rows, axes, d, b0, b1, 1, depth, bins, pairs, state, allowed, leaf, caps)
+            made.append((feat, cut, value))
             if gone:
-                share = len(gone) / (len(gone) + 1)
-                scales = [s * share if i in gone else s for i, s in enumerate(scales)]
-            scales.append(self.learning_rate / (len(gone) + 1))
-            if k + 1 < self.n_trees:
-                cur = kept(self._with_values(cur, tree, features, axis))
-        trees = made[0]
-        for t in made[1:]:
-            trees = trees.unionByName(t)
-        scale = F.element_at(F.array(*[F.lit(s) for s in scales]), F.col("_no") + 1)
-        return self._grouped(trees, axis, F.col("bag"), F.col("_no"), scale)
-
-    def _with_values(self, cur: DataFrame, tree: DataFrame, features: list[str], axis: list[str]) -> DataFrame:
-        """Each row's value in its own bag's new tree, appended to ``_steps``."""
-        one = self._tree()
-        rows = tree.withColumn("_axt", axis_text(axis)).collect()  # one tree per axis value and bag
-        sent = cur.sparkSession.sparkContext.broadcast({f"{r['_axt']}|{r['bag']}": one.unpack(r) for r in rows})
-
-        def value(*columns: pa.Array) -> pa.Array:
-            x = np.column_stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns[:-1]])
-            names, of = np.unique(np.asarray(columns[-1].to_pylist(), dtype=object).astype(str), return_inverse=True)
-            out = np.zeros(len(x))
-            for k, name in enumerate(names):
-                if name in sent.value:
-                    mine = np.flatnonzero(of == k)
-                    out[mine] = one.np_proba(sent.value[name], x[mine])
-            return pa.array(out, pa.float64())
-
-        value.__annotations__ = {"columns": pa.Array, "return": pa.Array}
-        own = F.concat_ws("|", axis_text(axis), F.col("bag").cast("string"))
-        new = F.arrow_udf(value, "double")(*[F.col(c).cast("double") for c in features], own)
-        return cur.withColumn("_v", new).withColumn("_steps", F.concat("_steps", F.array("_v"))).drop("_v")
+                part = len(gone) / (len(gone) + 1)
+                scales = [s * part if i in gone else s for i, s in enumerate(scales)]
+            scales.append(rate / (len(gone) + 1))
+        for a in range(len(axes)):
+            for b in range(models):
+                trees = [(k, float(scales[k][b]), *tree_columns(*(v[a, b] for v in tree))) for k, tree in enumerate(made)]
+                yield (a0 + a, b0 + b, trees, *bins.columns())
 
     def np_decision(self, m: dict, x: np.ndarray) -> np.ndarray:
-        one = self._tree()
-        return np.sum([s * one.np_proba(t, x) for s, t in m["trees"]], axis=0)
+        return np.sum(self._each(m, x), axis=0)
 
     def np_proba(self, m: dict, x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.np_decision(m, x), -700, 700)))
