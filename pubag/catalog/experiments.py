@@ -70,8 +70,9 @@ def ex2_group_holdout_plain(spark, sf):
 
 
 def ex3_group_holdout_pu(spark, sf):
-    r = J.group_holdout_eval(pu_docs(spark, sf), FEATS, K, SEED, pu=True, n_estimators=10, max_samples=1.0)
-    return r.select("fold", r6("auc").alias("auc"), r6("tpr").alias("tpr"))
+    """EX3: 10 repeats of the matched negatives, each group left out, PU."""
+    r = J.group_holdout_eval(pu_docs(spark, sf), FEATS, K, SEED, pu=True, n_estimators=10, max_samples=1.0, repeats=10)
+    return r.select("repeat", "fold", r6("auc").alias("auc"), r6("tpr").alias("tpr"))
 
 
 def ex4_repeat_eval(spark, sf):
@@ -80,12 +81,24 @@ def ex4_repeat_eval(spark, sf):
     return r.select("repeat", "model", r6("tpr").alias("tpr"), r6("auc").alias("auc"))
 
 
+def _sources(d):
+    """Rows of the three sources of the new feature: known (f7), predicted (its estimate from punctuation and
+    lines) and both together; src tells a row's own table."""
+    predicted = F.try_divide(F.col("f4") + F.col("f5"), F.col("f1"))
+    cols = [*K, "y", *FEATS]
+    known, guess = d.select(*cols, "f7", F.lit("known").alias("src")), d.select(*cols, predicted.alias("f7"), F.lit("predicted").alias("src"))
+    of = lambda df, name: df.withColumn("source", F.lit(name))
+    return of(known, "known").unionByName(of(guess, "predicted")).unionByName(of(known.unionByName(guess), "both"))
+
+
 def ex6_feature_ablation(spark, sf):
-    """EX6 (+AG13 grand mean, PR5): f7 (nulls -> 0) as the new feature over the base six."""
-    from pubag.functions.nulls import fill_zero
-    d = fill_zero(pu_docs(spark, sf), ["f7"])
-    r = J.feature_ablation(d, FEATS, ["f7"], K, SEED, repeats=10, n_test=n_pos(d) // 20, n_estimators=10)
-    return r.select("variant", r6("tpr").alias("tpr"), r6("f1").alias("f1"))
+    """EX6 (+AG13 grand mean, PR5): f7 (nulls -> class mean) as the new feature over the base six, from three
+    sources, 10 negative resamples x 10 hold-outs each."""
+    from pubag.functions.nulls import fill_class_mean
+    d = pu_docs(spark, sf)
+    rows = fill_class_mean(_sources(d), ["f7"], parts=["source"])
+    r = J.feature_ablation(rows, FEATS, ["f7"], [*K, "src"], SEED, n_test=n_pos(d) // 20, n_estimators=10, parts=["source"])
+    return r.select("source", "variant", r6("tpr").alias("tpr"), r6("f1").alias("f1"))
 
 
 def ex13_training_table_for_explain(spark, sf):
@@ -202,7 +215,22 @@ def _logo_sql(model_ctes: str, mprefix: str) -> str:
 
 
 SQL["ex2_group_holdout_plain"] = _logo_sql(Q.gnb_plain_ctes("tr2", K, FEATS, axis=["fold"]), "gp")
-SQL["ex3_group_holdout_pu"] = _logo_sql(Q.pu_axis_ctes("h3", "tr2", ["fold"], K, FEATS, SEED, 10, "n_u"), "h3")
+
+_LOGO3 = f"""rp3 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 10) t(i)),
+x3 AS (SELECT r.repeat, d.doc_id, d.grp, d.y, {', '.join('d.' + f for f in FEATS)} FROM pu_docs d, rp3 r),
+m3 AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY x.repeat, x.grp ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('matched'), Q.vc('x.repeat'), Q.vc('x.doc_id')))}, x.doc_id) AS rn FROM x3 x WHERE y = 0) z
+  JOIN (SELECT repeat, grp, count(*) AS n FROM x3 WHERE y = 1 GROUP BY repeat, grp) c USING (repeat, grp) WHERE rn <= n),
+b3 AS (SELECT repeat, doc_id, grp, y, {_F} FROM x3 WHERE y = 1 UNION ALL SELECT repeat, doc_id, grp, y, {_F} FROM m3),
+g3 AS (SELECT DISTINCT grp AS fold FROM b3),
+tr3 AS (SELECT b.repeat, g.fold, b.doc_id, b.y, {', '.join('b.' + f for f in FEATS)} FROM b3 b JOIN g3 g ON b.grp <> g.fold)"""
+SQL["ex3_group_holdout_pu"] = with_sql(
+    [Q.PU_DOCS, _LOGO3, Q.pu_axis_ctes("h3", "tr3", ["repeat", "fold"], K, FEATS, SEED, 10, "n_u"),
+     f"""pr3 AS (SELECT r.repeat, r.grp AS fold, r.doc_id, any_value(r.y) AS y_true, avg({Q.gnb_p1(FEATS)}) AS p1
+  FROM b3 r JOIN h3_model m ON m.repeat = r.repeat AND m.fold = r.grp GROUP BY r.repeat, r.grp, r.doc_id)""",
+     Q.auc_ctes("a3", "pr3", ["repeat", "fold"])],
+    f"""SELECT a.repeat, a.fold, {Q.r6('a.auc')} AS auc, {Q.r6('t.tpr')} AS tpr FROM a3 a JOIN
+ (SELECT repeat, fold, avg(CASE WHEN p1 > 1.0 - p1 THEN 1.0 ELSE 0.0 END) AS tpr FROM pr3 WHERE y_true = 1 GROUP BY repeat, fold) t USING (repeat, fold)""")
 
 # EX4: repeats of matched negatives + hold-out, plain vs PU
 _EX4 = f"""rp4 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 10) t(i)),
@@ -282,30 +310,37 @@ SQL["ex10_hide_sweep_eval"] = with_sql(
      f"e10 AS ({_ev_sql('pr10', 'level, model')})"],
     f"SELECT level, model, {Q.r6(_F1)} AS f1, {Q.r6(_ACC)} AS accuracy, {Q.r6(_REC)} AS recall FROM e10")
 
-# EX6: feature ablation (f7 with nulls -> 0 as the new feature)
+# EX6: feature ablation, three sources of the new feature, 10 resamples x 10 hold-outs
 _F7 = FEATS + ["f7"]
-_EX6 = f"""d6 AS (SELECT doc_id, y, {_F}, coalesce(f7, 0.0) AS f7 FROM pu_docs),
-rp6 AS (SELECT CAST(i AS INTEGER) AS repeat FROM range(0, 10) t(i)),
-x6 AS (SELECT r.repeat, d.* FROM d6 d, rp6 r),
-n6 AS (SELECT repeat, count(*) AS n FROM x6 WHERE y = 1 GROUP BY repeat),
-ng6 AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY x.repeat ORDER BY
-    {Q.H(Q.ht(Q.q(SEED), Q.q('balanced'), Q.vc('x.repeat'), Q.vc('x.doc_id')))}, x.doc_id) AS rn FROM x6 x WHERE y = 0) z
-  JOIN n6 USING (repeat) WHERE rn <= n),
-b6 AS (SELECT repeat, doc_id, y, {', '.join(_F7)} FROM x6 WHERE y = 1 UNION ALL SELECT repeat, doc_id, y, {', '.join(_F7)} FROM ng6),
-t6 AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY b.repeat, b.y ORDER BY
-    {Q.H(Q.ht(Q.q(SEED), Q.q('holdout'), Q.vc('b.repeat'), Q.vc('b.doc_id')))}, b.doc_id) AS rn FROM b6 b) WHERE rn <= (SELECT count(*) // 20 FROM pu_docs WHERE y = 1)),
-tr6 AS (SELECT b.* FROM b6 b WHERE NOT EXISTS (SELECT 1 FROM t6 t WHERE t.repeat = b.repeat AND t.doc_id = b.doc_id)),
-te6 AS (SELECT repeat, doc_id, y AS y_true, {', '.join(_F7)} FROM t6)"""
+_X6 = ["source", "resample", "holdout"]
+_EX6 = f"""k6 AS (SELECT doc_id, y, {_F}, f7, 'known' AS src FROM pu_docs),
+g6 AS (SELECT doc_id, y, {_F}, (f4 + f5) / nullif(f1, 0) AS f7, 'predicted' AS src FROM pu_docs),
+u6 AS (SELECT *, 'known' AS source FROM k6 UNION ALL SELECT *, 'predicted' FROM g6 UNION ALL SELECT *, 'both' FROM k6 UNION ALL SELECT *, 'both' FROM g6),
+d6 AS (SELECT * REPLACE (coalesce(f7, avg(f7) OVER (PARTITION BY source, y)) AS f7) FROM u6),
+x6 AS (SELECT CAST(i AS INTEGER) AS resample, d.* FROM d6 d, range(0, 10) t(i)),
+n6 AS (SELECT source, resample, count(*) AS n FROM x6 WHERE y = 1 GROUP BY source, resample),
+ng6 AS (SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY x.source, x.resample ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('balanced'), Q.vc('x.resample'), Q.vc('x.doc_id'), 'x.src'))}, x.doc_id, x.src) AS rn FROM x6 x WHERE y = 0) z
+  JOIN n6 USING (source, resample) WHERE rn <= n),
+b6 AS (SELECT source, resample, doc_id, src, y, {', '.join(_F7)} FROM x6 WHERE y = 1 UNION ALL SELECT source, resample, doc_id, src, y, {', '.join(_F7)} FROM ng6),
+r6_ AS (SELECT CAST(i AS INTEGER) AS holdout, b.* FROM b6 b, range(0, 10) t(i)),
+h6_ AS (SELECT *, row_number() OVER (PARTITION BY source, resample, holdout, y ORDER BY
+    {Q.H(Q.ht(Q.q(SEED), Q.q('holdout'), Q.vc('holdout'), Q.vc('doc_id'), 'src'))}, doc_id, src) <= (SELECT count(*) // 20 FROM pu_docs WHERE y = 1) AS held FROM r6_),
+tr6 AS (SELECT * EXCLUDE (held) FROM h6_ WHERE NOT held),
+te6 AS (SELECT * EXCLUDE (held, y), y AS y_true FROM h6_ WHERE held)"""
+_ON6 = " AND ".join(f"m.{a} = r.{a}" for a in _X6)
 _EX6_PRED = "pr6 AS (" + " UNION ALL ".join(
-    f"SELECT '{v}' AS variant, r.repeat, r.doc_id, any_value(r.y_true) AS y_true, avg({Q.gnb_p1(fs)}) AS p1 "
-    f"FROM te6 r JOIN {pfx}_model m ON m.repeat = r.repeat GROUP BY r.repeat, r.doc_id"
+    f"SELECT '{v}' AS variant, r.source, r.resample, r.holdout, r.doc_id, r.src, any_value(r.y_true) AS y_true, avg({Q.gnb_p1(fs)}) AS p1 "
+    f"FROM te6 r JOIN {pfx}_model m ON {_ON6} GROUP BY r.source, r.resample, r.holdout, r.doc_id, r.src"
     for v, fs, pfx in (("F1_mod", ["f7"], "v1"), ("F6_mod", FEATS, "v6"), ("F7_mod", _F7, "v7"), ("F7_pu", _F7, "h6"))) + ")"
+_K6 = [*K, "src"]
 SQL["ex6_feature_ablation"] = with_sql(
-    [Q.PU_DOCS, _EX6, Q.gnb_plain_ctes("tr6", K, ["f7"], "v1", axis=["repeat"]),
-     Q.gnb_plain_ctes("tr6", K, FEATS, "v6", axis=["repeat"]), Q.gnb_plain_ctes("tr6", K, _F7, "v7", axis=["repeat"]),
-     Q.pu_axis_ctes("h6", "tr6", ["repeat"], K, _F7, SEED, 10, "n_u"), _EX6_PRED,
-     f"e6 AS ({_ev_sql('pr6', 'variant, repeat')})"],
-    f"SELECT variant, {Q.r6(f'avg({_REC})')} AS tpr, {Q.r6(f'avg({_F1})')} AS f1 FROM e6 GROUP BY variant")
+    [Q.PU_DOCS, _EX6, Q.gnb_plain_ctes("tr6", _K6, ["f7"], "v1", axis=_X6),
+     Q.gnb_plain_ctes("tr6", _K6, FEATS, "v6", axis=_X6), Q.gnb_plain_ctes("tr6", _K6, _F7, "v7", axis=_X6),
+     Q.pu_axis_ctes("h6", "tr6", _X6, _K6, _F7, SEED, 10, "n_u"), _EX6_PRED,
+     f"e6 AS ({_ev_sql('pr6', 'source, variant, resample, holdout')}),"
+     f"s6 AS (SELECT source, variant, resample, avg({_REC}) AS tpr, avg({_F1}) AS f1 FROM e6 GROUP BY source, variant, resample)"],
+    f"SELECT source, variant, {Q.r6('avg(tpr)')} AS tpr, {Q.r6('avg(f1)')} AS f1 FROM s6 GROUP BY source, variant")
 
 # EX11: external validation set
 _EX11 = f"""tp11 AS (SELECT * FROM pu_docs WHERE grp = 'en' AND y = 1),

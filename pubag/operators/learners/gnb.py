@@ -51,15 +51,22 @@ def _limbs(rows: B.Rows, w: np.ndarray, w_top: int, tops: list[int]) -> np.ndarr
 def _add_moments(acc: np.ndarray, rows: B.Rows, tops: tuple) -> None:
     """Adds a batch to the sums of each bag and class; the last bag of ``acc`` is all rows, each once and unweighted."""
     w_top, x_tops = tops
-    times, half = rows.dense(len(acc)), acc.shape[1] // 2
-    times[:, -1] = 0
+    half, real = acc.shape[1] // 2, rows.bag < len(acc) - 1
     limbs = _limbs(rows, rows.w0, w_top, x_tops)
     ones = _limbs(rows, np.ones(len(rows.y)), 1, x_tops)
+    few = 20 * real.sum() < len(rows.y) * len(acc)
+    if not few:
+        times = rows.dense(len(acc))
+        times[:, -1] = 0
     for cls in (0, 1):
-        mine = rows.y == cls
+        mine, own = rows.y == cls, slice(cls * half, (cls + 1) * half)
         # limbs have 22 bits and a batch at most 2^19 pairs, so the products are exact in doubles
-        acc[:, cls * half:(cls + 1) * half] += (times[mine].T @ limbs[mine]).astype(np.int64)
-        acc[-1, cls * half:(cls + 1) * half] += ones[mine].sum(axis=0).astype(np.int64)
+        if few:
+            pair = np.flatnonzero(real & mine[rows.row])
+            np.add.at(acc[:, own], rows.bag[pair], (rows.times[pair, None] * limbs[rows.row[pair]]).astype(np.int64))
+        else:
+            acc[:, own] += (times[mine].T @ limbs[mine]).astype(np.int64)
+        acc[-1, own] += ones[mine].sum(axis=0).astype(np.int64)
 
 
 def _moments(sums, x_top: int) -> tuple[float | None, float | None]:
@@ -147,8 +154,11 @@ class GaussianNB:
 
     MODEL = "n0 double, mu0 array<double>, v0 array<double>, n1 double, mu1 array<double>, v1 array<double>"
 
-    def fit_rows(self, rows: DataFrame, axes: list[str], d: int, first: int, bags: int, fbags: list | None = None):
-        """Yields (axis index, bag, model columns…) of every axis value and bag; ``rows`` as ``bag_sums.training_rows`` gives them."""
+    def fit_rows(self, rows: DataFrame, axes: list[str], d: int, first: int, bags: int, fbags: list | None = None, complement: bool = False):
+        """Yields (axis index, bag, model columns…) of every axis value and bag; ``rows`` as ``bag_sums.training_rows`` gives them.
+
+        ``complement``: every row (of weight 1) is in one bag, and a bag's model is that of all rows outside it:
+        the sums of all rows less those of the bag, exactly, and the variance floor with them."""
         most = rows.groupBy("_axt").agg(F.max("_w0").alias("w"), *[F.max(F.when(F.abs(F.col("_x")[j]) < float("inf"), F.abs(F.col("_x")[j]))).alias(f"x{j}") for j in range(d)])
         top = {r["_axt"]: (B.exponent(r["w"]), [B.exponent(r[f"x{j}"]) for j in range(d)]) for r in most.collect()}  # d numbers per axis value
         tops = [top.get(a, (1, [0] * d)) for a in axes]
@@ -162,6 +172,10 @@ class GaussianNB:
                 floor = [_moments(every[1 + 3 * j:4 + 3 * j], xs[j])[1] or 0.0 for j in range(d)]
                 for b in range(b0, b1):
                     used = set(fbags[b - first]) if fbags is not None else set(range(d))
+                    if complement:
+                        sums[b - b0] = sums[-1] - sums[b - b0]
+                        outside = sums[b - b0].sum(axis=0)
+                        floor = [_moments(outside[1 + 3 * j:4 + 3 * j], xs[j])[1] or 0.0 for j in range(d)]
                     eps = self.var_smoothing * max(v if j in used else 0.0 for j, v in enumerate(floor))
                     row = []
                     for cls in (0, 1):

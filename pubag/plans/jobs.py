@@ -270,22 +270,62 @@ def single_feature_eval(df: DataFrame, features, key, seed, n_test: int, learner
     return auc.join(tp, "feature")
 
 
+def _group_models(both: DataFrame, features, key, axis: list[str], group: str, learner) -> PUModel:
+    """Plain models of an additive learner that leave one group out each: the statistics of all rows less those
+    of the group. A group is a bag of its own rows, so no row is copied and there may be any number of groups."""
+    from pubag.operators.bagging import _model_table
+    from pubag.operators.learners import bag_sums as B
+    from pubag.operators.scoring import axis_text
+
+    ax = axis or ["_ax"]
+    rows = both if axis else both.withColumn("_ax", F.lit(0))
+    groups = rows.select(group).distinct().orderBy(group).withColumn("_t", axis_text([group])).collect()  # one per model
+    names = _numbered(rows.sparkSession, groups)
+    rows = kept(rows.withColumn("_t", axis_text([group])).join(names, "_t").select(*ax, *key, "y", *features, "_g"))
+    once = rows.withColumn("_bags", F.array(F.struct(F.col("_g").alias("bag"), F.lit(1).alias("w"))))
+    there = rows.select(*ax).distinct().withColumn("_axt", axis_text(ax)).orderBy(*ax).collect()
+    train = B.training_rows(once, ax, features, "y", None)
+    found = learner.fit_rows(train, [r["_axt"] for r in there], len(features), 0, len(groups), complement=True)
+    table = _model_table(rows.sparkSession, learner, rows, ax, [tuple(r[a] for a in ax) for r in there], found, {g: [1] * len(features) for g in range(len(groups))})
+    fold = F.element_at(F.array(*[F.lit(r[group]) for r in groups]), F.col("bag") + 1)
+    table = kept(table.withColumn("fold", fold).withColumn("bag", F.lit(0)))
+    user = [*axis, "fold"]
+    return PUModel(learner=learner, features=list(features), key=key, label="y", axis=user, user_axis=user, n_estimators=1, mode="plain", seed=None,
+                   models=table, rows_u=rows.limit(0), rows_p=rows.limit(0), counts=[{}] * (len(there) * len(groups)))
+
+
+def _numbered(spark, groups: list) -> DataFrame:
+    return spark.createDataFrame([(r["_t"], i) for i, r in enumerate(groups)], "_t string, _g int")
+
+
 def group_holdout_eval(df: DataFrame, features, key, seed, pu: bool = False, n_estimators: int = 10,
-                       max_samples=1.0, learner=None, group: str = "grp") -> DataFrame:
-    """EX2 / EX3: leave one group out (matched negatives), plain or PU; AUC and TPR per held-out group."""
-    df = _no_truth(df)
-    pos = df.filter(F.col("y") == 1)
-    neg = S.sample_matched(df.filter(F.col("y") == 0), pos, key, seed, group)
-    folds = kept(S.leave_one_group_out(kept(_union(pos, neg)), key, group))
-    train = folds.filter(F.col("role") == "train")
-    test = folds.filter(F.col("role") == "test").withColumnRenamed("y", "y_true")
-    if pu:
-        m = PUBagging(learner=learner, n_estimators=n_estimators, max_samples=max_samples, seed=seed,
-                      oob_score=False).fit(train, features, key, axis=["fold"])
+                       max_samples=1.0, learner=None, group: str = "grp", repeats: int | None = None) -> DataFrame:
+    """EX2 / EX3: leave one group out (matched negatives), plain or PU; AUC and TPR per held-out group, and per
+    ``repeat`` of the negatives if ``repeats`` are asked for. Plain models of an additive learner come from the
+    statistics of all rows less the group's; a row is scored by the model that left its group out only."""
+    from pubag.operators.bagging import _learner
+
+    df, key, learner = _no_truth(df), as_list(key), _learner(learner)
+    axis = ["repeat"] if repeats else []
+    rows = S.repeats(df, repeats) if repeats else df
+    extra = tuple(F.col(a) for a in axis)
+    pos = rows.filter(F.col("y") == 1)
+    n = pos.groupBy(*axis, group).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    neg = S.first_n(rows.filter(F.col("y") == 0), n, key, seed, "matched", parts=[*axis, group], extra=extra)
+    both = kept(_union(pos, neg))
+    test = both.withColumn("fold", F.col(group)).withColumnRenamed("y", "y_true")
+    if not pu and getattr(learner, "additive", False):
+        m = _group_models(both, features, key, axis, group, learner)
     else:
-        m = fit_plain(train, features, key, axis=["fold"], learner=learner)
+        folds = S.leave_one_group_out(both, [*axis, *key], group).filter(F.col("role") == "train")
+        if pu:
+            m = PUBagging(learner=learner, n_estimators=n_estimators, max_samples=max_samples, seed=seed,
+                          oob_score=False).fit(folds, features, key, axis=[*axis, "fold"])
+        else:
+            m = fit_plain(folds, features, key, axis=[*axis, "fold"], learner=learner)
     pred = m.predict_proba(test).withColumn("yhat", M.argmax_class("p1"))
-    return M.roc_auc(pred, "y_true", "p1", by=["fold"]).join(M.tpr(pred, "y_true", "yhat", by=["fold"]), "fold")
+    by = [*axis, "fold"]
+    return M.roc_auc(pred, "y_true", "p1", by=by).join(M.tpr(pred, "y_true", "yhat", by=by), by)
 
 
 def repeat_eval(df: DataFrame, features, key, seed, repeats: int, n_test: int, n_estimators: int = 10,
@@ -309,36 +349,40 @@ def repeat_eval(df: DataFrame, features, key, seed, repeats: int, n_test: int, n
         M.roc_auc(pred, "y_true", "p1", by=["repeat", "model"]), ["repeat", "model"])
 
 
-def feature_ablation(df: DataFrame, base: list[str], new: list[str], key, seed, repeats: int, n_test: int,
-                     n_estimators: int = 10, max_samples=1.0, learner=None) -> DataFrame:
-    """EX6: variants (new only / base / base+new) plain, and base+new PU, over repeats;
-    TPR and F1 on n_test + n_test held-out rows; grand mean per variant."""
+def feature_ablation(df: DataFrame, base: list[str], new: list[str], key, seed, n_test: int, resamples: int = 10, holdouts: int = 10,
+                     n_estimators: int = 10, max_samples=1.0, learner=None, parts=()) -> DataFrame:
+    """EX6: variants (new only / base / base+new) plain, and base+new PU. ``resamples`` negative samples of the
+    size of the positives, in each of them ``holdouts`` times n_test + n_test held-out rows; TPR and F1 per run,
+    averaged over the hold-outs of a resample and then over the resamples. ``parts`` (e.g. the source of the new
+    features) are evaluated on their own, in the same job."""
     df = _no_truth(df)
-    key = as_list(key)
-    rows = S.repeats(df, repeats)
+    key, parts = as_list(key), as_list(parts)
+    rows = S.repeats(df, resamples, "resample")
     pos = rows.filter(F.col("y") == 1)
-    npos = pos.groupBy("repeat").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    neg = S.first_n(rows.filter(F.col("y") == 0), npos, key, seed, "balanced", parts=["repeat"],
-                    extra=(F.col("repeat"),))
+    npos = pos.groupBy(*parts, "resample").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    neg = S.first_n(rows.filter(F.col("y") == 0), npos, key, seed, "balanced", parts=[*parts, "resample"], extra=(F.col("resample"),))
     both = kept(_union(pos, neg))
-    nt = both.select("repeat", "y").distinct().withColumn("n", F.lit(int(n_test)))
-    test = kept(S.first_n(both, nt, key, seed, "holdout", parts=["repeat", "y"], extra=(F.col("repeat"),)))
-    train = kept(both.join(test.select("repeat", *key), ["repeat", *key], "left_anti"))
+    axis = [*parts, "resample", "holdout"]
+    runs = S.repeats(both, holdouts, "holdout")
+    nt = runs.select(*axis, "y").distinct().withColumn("n", F.lit(int(n_test)))
+    test = kept(S.first_n(runs, nt, key, seed, "holdout", parts=[*axis, "y"], extra=(F.col("holdout"),)))
+    train = kept(runs.join(test.select(*axis, *key), [*axis, *key], "left_anti"))
     test = test.withColumnRenamed("y", "y_true")
     allf = list(base) + list(new)
     outs = []
     for name, cols in (("F1", list(new)), (f"F{len(base)}", list(base)), (f"F{len(allf)}", allf)):
-        m = fit_plain(train, cols, key, axis=["repeat"], learner=learner)
+        m = fit_plain(train, cols, key, axis=axis, learner=learner)
         outs.append(m.predict_proba(test, "p1").withColumn("variant", F.lit(f"{name}_mod")))
     pu = PUBagging(learner=learner, n_estimators=n_estimators, max_samples=max_samples, seed=seed,
-                   oob_score=False).fit(train, allf, key, axis=["repeat"])
+                   oob_score=False).fit(train, allf, key, axis=axis)
     outs.append(pu.predict_proba(test, "p1").withColumn("variant", F.lit(f"F{len(allf)}_pu")))
     pred = outs[0]
     for o in outs[1:]:
         pred = pred.unionByName(o)
     pred = pred.withColumn("yhat", M.argmax_class("p1"))
-    ev = M.evaluate(pred, "y_true", "yhat", by=["variant", "repeat"])
-    return ev.groupBy("variant").agg(F.avg("recall").alias("tpr"), F.avg("f1").alias("f1"))
+    ev = M.evaluate(pred, "y_true", "yhat", by=[*parts, "variant", "resample", "holdout"])
+    one = ev.groupBy(*parts, "variant", "resample").agg(F.avg("recall").alias("tpr"), F.avg("f1").alias("f1"))
+    return one.groupBy(*parts, "variant").agg(F.avg("tpr").alias("tpr"), F.avg("f1").alias("f1"))
 
 
 # --- EX13 ---------------------------------------------------------------------------------------
