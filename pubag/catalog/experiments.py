@@ -145,6 +145,43 @@ QUERIES.update({
     "bl6_mlp": _oob_of("mlp", 100),
 })
 
+# The other learners of EX5 (forest of 10 trees, boosted trees with dart, tree, SVM, perceptron) and of
+# EX10 (boosted trees, forest, perceptron); Gaussian NB is in the queries above.
+LEARNERS = {
+    "forest": ("random_forest", {"n_trees": 10}),
+    "boosted": ("boosted_trees", {"drop": 0.1}),
+    "tree": ("tree", {}),
+    "svm": ("kernel_svm", {}),
+    "mlp": ("mlp", {}),
+}
+
+
+def _learner(name):
+    from pubag.operators.learners import registry
+    kind, params = LEARNERS[name]
+    return registry(kind, **params)
+
+
+def _ex5_with(name):
+    def q(spark, sf):
+        r = J.hidden_label_recovery(pu_docs(spark, sf), FEATS, K, SEED, repeats=EX5_REPEATS, hide_frac=0.5, n_estimators=EX5_T,
+                                    max_samples="n_pos", learner=_learner(name))
+        return r.select("model", r6("accuracy").alias("accuracy"), r6("recall").alias("recall"), r6("f1").alias("f1"))
+    return q
+
+
+def _ex10_with(name):
+    def q(spark, sf):
+        d = pu_docs(spark, sf)
+        n = n_pos(d)
+        r = J.hide_sweep_eval(d, FEATS, K, SEED, levels=[n * k // 20 for k in range(15)], n_estimators=100, max_samples=100, learner=_learner(name))
+        return r.select("level", "model", r6("f1").alias("f1"), r6("accuracy").alias("accuracy"), r6("recall").alias("recall"))
+    return q
+
+
+QUERIES.update({f"ex5_hidden_label_recovery_{name}": _ex5_with(name) for name in LEARNERS})
+QUERIES.update({f"ex10_hide_sweep_eval_{name}": _ex10_with(name) for name in ("boosted", "forest", "mlp")})
+
 # ---------------------------------------------------------------------------------- SQL
 from pubag.catalog import sqlfrag as Q  # noqa: E402
 from pubag.catalog.common import with_sql  # noqa: E402
