@@ -7,13 +7,15 @@ vectors, so that the largest inner product is the smallest angle (queries get ze
 on every other curve, they stand where they stand as candidates). Each of ``CURVES`` orderings projects them
 on ``DIMS`` random orthogonal directions, replaces each projection by its quantile in the band, shifts the
 grid, and sorts by Hilbert key (equal keys in an order of the curve's own), range-partitioned in Spark; the
-position in the order comes from partition totals. Candidates form blocks of ``BLOCK`` consecutive keys of a
-band, and a query is sent to its block and to the neighbouring ones that cover ``WINDOW`` of the band on
-either side. Each block returns its best for the query, scored on the original vectors in double precision;
-the lists of all curves and bands are merged.
-
-In nearly isotropic data distances concentrate and a window of constant length loses recall as the table
-grows, so the window is a share of the rows. All rows are indexed. A band of one block is searched exactly.
+position in the order comes from partition totals. Candidates form blocks of consecutive keys of a band, and
+a query is sent to its block and to the two neighbouring ones. Each block returns its best for the query, scored
+on the original vectors in double precision; the lists of all curves and bands are merged.
+
+A block of a band of n rows has ``SCALE`` * n^0.75 rows, so a query meets 48 * SCALE * n^0.75 of them: its share
+of the table falls as the table grows, and so does what a neighbour needs to be near, as the nearest rows of a
+larger table are nearer. On nearly isotropic data, the worst case, that keeps recall above 0.9 (README has the
+figures and what a smaller share would cost). All rows are indexed. A band of at most ``SMALL`` rows is searched
+exactly.
 Quantiles make a cluster as wide on the grid as its share of the rows, so its inside is ordered too, and a
 long vector leaves the grid of the others as it is.
 
@@ -35,12 +37,17 @@ from pyspark.sql.window import Window as W
 from pubag.llm.common import ordered_prefix, saved
 from pubag.llm.topk import matrix
 
-CURVES, DIMS, BITS, BLOCK, WINDOW = 16, 10, 6, 2048, 0.035
+CURVES, DIMS, BITS, SMALL, SCALE = 16, 10, 6, 2048, 0.25
 
 #: Vectors of a band from which its quantiles are taken (about), quantiles, and rows of one vector that are gathered at once.
 SAMPLE, KNOTS, GATHER = 1024, 129, 8192
 
 
+def block_rows(n: int) -> int:
+    """Rows of a block in a band of ``n`` rows."""
+    return n if n <= SMALL else -int(-SCALE * n ** 0.75 // 1)
+
+
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     """Position on the Hilbert curve of each row of cell coordinates (below ``2 ** bits``): Gray-code
     rotations from the top bit down, then the coordinates' bits interleaved."""
@@ -116,8 +123,8 @@ def distinct_vectors(rows: DataFrame, is_query, most: int) -> DataFrame:
 def _positions(vectors: DataFrame, bands: dict[int, tuple], width: int) -> DataFrame:
     """One row per band and curve for each candidate (one = 1, in its own band) and each query (one = 0, in all):
     curve, band, key, tie, asked, h1, h2, one, and the candidates ahead of the band and curve, the last
-    block and the blocks to either side."""
-    names = ["curve", "band", "key", "tie", "asked", "h1", "h2", "one", "start", "last", "reach"]
+    block and the rows of a block."""
+    names = ["curve", "band", "key", "tie", "asked", "h1", "h2", "one", "start", "last", "size"]
     schema = pa.schema([(c, pa.int64()) for c in names])
 
     def run(it):
@@ -129,7 +136,7 @@ def _positions(vectors: DataFrame, bands: dict[int, tuple], width: int) -> DataF
             h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
             asks = np.flatnonzero(batch.column("asks").to_numpy(zero_copy_only=False).astype(bool))
             flat = np.column_stack([whole[asks] / norm[asks, None], np.zeros(len(asks))])
-            for band, (longest, starts, last, reach, knots) in bands.items():
+            for band, (longest, starts, last, size, knots) in bands.items():
                 here = np.flatnonzero(own == band)
                 unit = lifted(whole[here] / longest)
                 inside = own[asks] == band
@@ -140,7 +147,7 @@ def _positions(vectors: DataFrame, bands: dict[int, tuple], width: int) -> DataF
                     continue
                 for c, start in enumerate(starts):
                     key = keys(np.vstack([unit, lift if c % 2 else flat]), c, knots[c]) if knots else np.zeros(len(row), dtype=np.int64)
-                    const = (np.full(len(row), v) for v in (start, last, reach))
+                    const = (np.full(len(row), v) for v in (start, last, size))
                     cols = (np.full(len(row), c), np.full(len(row), band), key, _tie(h1[row], c), asked, h1[row], h2[row], 1 - asked, *const)
                     yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in cols], schema=schema)
 
@@ -148,12 +155,12 @@ def _positions(vectors: DataFrame, bands: dict[int, tuple], width: int) -> DataF
 
 
 def _bands(vectors: DataFrame) -> tuple[dict[int, tuple], int]:
-    """Per band: its longest norm, the candidates ahead of it on each curve, its last block, the blocks of a
-    window to either side, and the quantiles of each curve (none for one block, which needs one curve);
+    """Per band: its longest norm, the candidates ahead of it on each curve, its last block, the rows of a
+    block, and the quantiles of each curve (none for one block, which needs one curve);
     and the number of components. There are at most as many bands as exponents of a norm."""
     found = vectors.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("longest"), F.max(F.size("vec")).alias("width")).orderBy("band").collect()
     width = max((r.width for r in found), default=1)
-    large = {r.band: r for r in found if r.n > BLOCK}
+    large = {r.band: r for r in found if r.n > SMALL}
     picked: dict[int, list] = {b: [] for b in large}
     if large:
         share = F.coalesce(*(F.when(F.col("band") == b, F.lit(min(1 << 20, -(-(SAMPLE << 20) // r.n)))) for b, r in large.items()))
@@ -170,7 +177,7 @@ def _bands(vectors: DataFrame) -> tuple[dict[int, tuple], int]:
             unit = lifted(matrix(picked[r.band], np.float64, width) / r.longest)
             knots = [grid(unit, c) for c in range(CURVES)]
         starts = [x[r.band] for x in curves if r.band in x]
-        out[r.band] = (r.longest, starts, -(-r.n // BLOCK) - 1, -(-int(WINDOW * r.n) // BLOCK), knots)
+        out[r.band] = (r.longest, starts, -(-r.n // block_rows(r.n)) - 1, block_rows(r.n), knots)
     return out, width
 
 
@@ -185,9 +192,9 @@ def nearest(rows: DataFrame, is_query, k: int) -> DataFrame:
     bands, width = _bands(vectors)
     order = ["curve", "band", "key", "tie", "asked", "h1", "h2"]
     placed = ordered_prefix(_positions(vectors, bands, width), order, "one")
-    at = F.floor((F.col("before") - F.col("start")) / BLOCK)
-    lo = F.greatest(F.lit(0), F.least(at - F.col("reach"), F.col("last") - 2 * F.col("reach")))
-    span = F.sequence(lo, F.least(F.col("last"), lo + 2 * F.col("reach")))
+    at = F.floor((F.col("before") - F.col("start")) / F.col("size"))
+    lo = F.greatest(F.lit(0), F.least(at - 1, F.col("last") - 2))
+    span = F.sequence(lo, F.least(F.col("last"), lo + 2))
     place = ["curve", "band", "block"]
     candidates = placed.where("asked = 0").select("curve", "band", at.alias("block"), "h1", "h2").join(vectors.select("h1", "h2", "vec", "ids"), ["h1", "h2"])
     candidates = candidates.select(*(F.col(c).alias(f"c_{c}") for c in (*place, "h1", "h2", "vec", "ids")))

@@ -93,10 +93,10 @@ def test_one_block_is_exact(spark):
 
 
 def test_recall_over_many_blocks(spark, monkeypatch):
-    """The embeddings of sf0.1 (2,000 rows) in blocks of 100: the shares of a window are those of a large table."""
+    """The embeddings of sf0.1 (2,000 rows) in blocks of 75 (a larger share than in a large table)."""
     from pubag.llm.queries import QUERIES
 
-    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "SMALL", 100)
     sf = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     want = _brute(rows, 20, 20, float)
@@ -105,6 +105,12 @@ def test_recall_over_many_blocks(spark, monkeypatch):
     assert sum((r[0], r[2]) in got for r in want) >= 0.9 * len(want)
 
 
+def test_work_falls_below_brute_force():
+    share = [3 * ann.CURVES * ann.block_rows(n) / n for n in (51_282, 10**6, 10**9)]
+    assert share[0] < 0.85 and share[1] < 0.4 and share[2] < 0.1
+    assert ann.block_rows(ann.SMALL) == ann.SMALL  # one block: exact
+
+
 def _hard(n=3000, dims=16):
     """A third of the rows one vector, a quarter a tight cluster, the rest spread, and one row of large norm."""
     rng = np.random.default_rng(9)
@@ -121,7 +127,7 @@ def _hard(n=3000, dims=16):
 def test_recall_with_copies_cluster_and_long_vector(spark, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "SMALL", 64)
     rows, kind = _hard()
     df = spark.createDataFrame(rows, "id bigint, vec array<float>")
     got, want = {}, {}
