@@ -114,7 +114,8 @@ def profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     counts = (docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text_col)
               .mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "code")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < PROFILE).select("lang", "code", "rank")
+    # the limit stands on the row number itself, so that tasks keep PROFILE rows a language before the shuffle
+    return counts.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PROFILE).select("lang", "code", (F.col("nth") - 1).alias("rank"))
 
 
 @dataclass(frozen=True)

@@ -8,8 +8,9 @@ is projected, its cosines with all labelled vectors are computed in blocks (one
 and the ``NEIGHBOURS`` nearest vote for their label with a power of their similarity as weight.
 
 Cases: a null or empty text, and any text when no label can be learned from, scores the share of label 1
-in the sample (0.5 without a sample). Several labels of one document count as the largest. Equal cosines
-go to the earlier vector in the order of the sample. Repeated rows score alike; a null id is passed on.
+in the sample (0.5 without a sample). Several labels of one document count as the largest; of several texts
+under one labelled id that with the smallest counts is learned. Equal cosines go to the earlier vector in the
+order of the sample. Repeated rows score alike; a null id is passed on.
 """
 
 from __future__ import annotations
@@ -131,8 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             yield from batches(rows, schema, most=512)
 
     source = texts.select(F.col(id_col).cast("long").alias("id"), text_col, "label")
-    rows = source.mapInArrow(run, "id bigint, label bigint, counts binary").limit(4 * sample).collect()
-    rows = list({r.id: r for r in sorted(rows, key=lambda r: (r.id, r.counts))}.values())
+    # one row a label, however many rows of ``docs`` have its id: at most ``sample`` rows reach the driver
+    rows = source.mapInArrow(run, "id bigint, label bigint, counts binary").groupBy("id").agg(F.max("label").alias("label"), F.min("counts").alias("counts")).collect()
+    rows.sort(key=lambda r: r.id)
     labels_of = np.array([r.label for r in rows], dtype=np.float32)
     if not rows:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, DIMS), np.float32), np.zeros((0, DIMS), np.float32), labels_of)
