@@ -7,9 +7,11 @@ by weight until none is above.
 Schedule: a source needs as many slots as its target has blocks of ``BLOCK_WORDS`` words. Slot t of the
 mix has the van der Corput point x(t), the bits of t reversed behind the point, and belongs to the source
 whose interval of cumulative slots holds x(t): with N = 2^m points the interval is a run of integers j and
-t is j with its m bits reversed, so no slot has to be looked up. The slots of each source are ranked, and
-slot rank r takes the r-th block of the source's words: its documents in hash order, end to end, from
-the start again when they are used up, cut into blocks of equal length. The last block stops at the target.
+t is j with its m bits reversed, so no slot has to be looked up. A source's words are its documents in hash order,
+end to end, from the start again when they are used up, cut into blocks of equal length of which the last one
+stops at the target; the blocks are shuffled by hash. The slots of each source are ranked, and slot rank r takes
+the r-th shuffled block. ``mixed_blocks`` is the mix in the order of its slots, in which every long stretch has
+close to the target weights; ``mixed_documents`` has whole documents in the order of their first slots.
 
 Skew: documents and slots are ordered globally by (source, hash) over range partitions, so a source with
 most of the rows is spread over tasks; blocks and slots meet on (source, rank), which no source can make
@@ -97,7 +99,8 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def mix(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(slot, source_no, rank, uid, epoch, first_word, words): which words of which document each slot holds."""
+    """(slot, source_no, rank, block, uid, epoch, from, first_word, words): which words of which document each slot
+    holds; ``from`` orders the pieces of a slot."""
     named = sizes.join(sources.select(F.col("source").alias("s"), "source_no", "source_size", "words_before", "quota"), F.col("source").eqNullSafe(F.col("s")))
     row_hash = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = named.where("size > 0").select("source_no", row_hash.alias("h"), "doc_id", "size", "text_hash", "uid", "source_size", "words_before", "quota")
@@ -109,29 +112,66 @@ def mix(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS) ->
     pieces = (passes.withColumn("rank", F.explode(F.sequence(block(F.col("at")), block(F.col("end") - 1))))
               .withColumn("from", F.greatest("at", F.col("rank") * block_words))
               .withColumn("to", F.least("end", (F.col("rank") + 1) * block_words)))
-    pieces = pieces.select("source_no", "rank", "uid", "epoch", (F.col("from") - F.col("at")).alias("first_word"), (F.col("to") - F.col("from")).alias("words"))
-    return pieces.join(schedule(sources, block_words), ["source_no", "rank"])
+    pieces = pieces.select("source_no", F.col("rank").alias("block"), "uid", "epoch", "from", (F.col("from") - F.col("at")).alias("first_word"),
+                           (F.col("to") - F.col("from")).alias("words"))
+    return pieces.join(_slot_of_block(sources, block_words), ["source_no", "block"])
+
+
+def _slot_of_block(sources: DataFrame, block_words: int) -> DataFrame:
+    """(source_no, block, rank, slot): a source's blocks, shuffled by hash, meet its slots in order."""
+    per = sources.select("source_no", F.ceil(F.col("quota") / block_words).alias("blocks"))
+    per = saved(ordered_prefix(per, ["source_no"], "blocks").select("source_no", "blocks", F.col("before").alias("lo")), "blocks_of")
+    chunks = per.where("blocks > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / CHUNK))))
+    first = F.col("chunk") * CHUNK
+    blocks = (chunks.repartition("source_no", "chunk")
+              .withColumn("block", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("blocks")) - 1))))
+    blocks = blocks.select("source_no", "lo", "block", F.xxhash64("source_no", "block").alias("h"), F.lit(1).cast("long").alias("one"))
+    shuffled = ordered_prefix(blocks, ["source_no", "h", "block"], "one")
+    shuffled = shuffled.select("source_no", "block", (F.col("before") - F.col("lo")).alias("rank"))
+    return shuffled.join(schedule(sources, block_words), ["source_no", "rank"])
 
 
 def taken(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(uid, epoch, words): the words that the mix takes of a document on each pass, always its first ones."""
-    return mix(sizes, sources, block_words).groupBy("uid", "epoch").agg(F.sum("words").alias("words"))
+    """(uid, epoch, words, slot): the words that the mix takes of a document on each pass, always its first ones,
+    and the first slot that holds any of them."""
+    return mix(sizes, sources, block_words).groupBy("uid", "epoch").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
 
 
 def _keys(doc_id: F.Column, text_hash: F.Column) -> list[F.Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit(NO_ID)).alias("_d"), text_hash.alias("_h")]
 
 
+_WORDS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """``docs``, rows of equal id, source and text once, with the keys (_d, _h)."""
+    return docs.select("*", *_keys(F.col("doc_id"), _text_hash("source", "text"))).groupBy("_d", "_h").agg(*(F.first(c).alias(c) for c in docs.columns))
+
+
+def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix as it is read in training: (slot, piece, doc_id, source, epoch, words, text), in the order of the
+    slots over all partitions; ``piece`` orders the parts of documents that make up a slot."""
+    sizes = sized(docs)
+    pieces = mix(sizes, targets(sizes), block_words).join(sizes, "uid").select(
+        *_keys(F.col("doc_id"), F.col("text_hash")), "slot", F.col("from").alias("piece"), "epoch", "first_word", "words")
+    taken_ = F.slice(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0)), F.col("first_word").cast("int") + 1, F.col("words").cast("int"))
+    out = _texts(docs.select("doc_id", "source", "text")).join(pieces, ["_d", "_h"])
+    out = out.select("slot", "piece", "doc_id", "source", "epoch", "words", F.array_join(taken_, "").alias("text"))
+    return out.repartitionByRange("slot", "piece").sortWithinPartitions("slot", "piece")
+
+
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix as documents: per document and pass one row with the columns of ``docs`` (doc_id, text, source and
-    any others) and as its text the words taken, ``n_chars`` following it. Rows of equal id, source and
-    text are taken one by one; their other columns are those of one of them."""
+    any others) and as its text the words taken, ``n_chars`` following it, in the order of the first slots that
+    hold them. Rows of equal id, source and text are taken one by one; their other columns are those of one of them."""
     sizes = sized(docs)
     rows = taken(sizes, targets(sizes), block_words).join(sizes, "uid")
-    rows = rows.select(*_keys(F.col("doc_id"), F.col("text_hash")), F.col("words").cast("int").alias("_words"), F.col("size").alias("_size"))
+    rows = rows.select(*_keys(F.col("doc_id"), F.col("text_hash")), F.col("words").cast("int").alias("_words"), F.col("size").alias("_size"),
+                       F.col("slot").alias("_slot"))
     cols = docs.columns
-    texts = docs.select("*", *_keys(F.col("doc_id"), _text_hash("source", "text"))).groupBy("_d", "_h").agg(*(F.first(c).alias(c) for c in cols))
-    parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    parts = F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0))
     text = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(parts, F.lit(1), F.col("_words")), "")).otherwise(F.col("text"))
-    out = texts.join(rows, ["_d", "_h"]).withColumn("text", text).select(*cols)
+    out = _texts(docs).join(rows, ["_d", "_h"]).withColumn("text", text)
+    out = out.repartitionByRange("_slot", "_d", "_h").sortWithinPartitions("_slot", "_d", "_h").select(*cols)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in cols else out

@@ -79,3 +79,45 @@ def test_query_reruns_agree(spark):
     for _, s, whole, target, t in a:
         by.setdefault((whole, target), []).append(t)
     assert all(abs(sum(t) - target) <= 1 or len(t) > 10 for (_, target), t in by.items())
+
+
+def test_blocks_come_in_slot_order_close_to_the_weights(spark):
+    """Any stretch of the emitted mix has the targets' shares, blocks of a source are shuffled, and the pieces of a
+    document add up to its first words."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{i}.{k}" for k in range(rng.randint(0, 120))), rng.choices(["a", "b", "c", None], [6, 1, 2, 1])[0]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mixed_blocks(docs, 32).collect()
+    assert [(r.slot, r.piece) for r in got] == sorted((r.slot, r.piece) for r in got)
+    assert all(len(r.text.split()) == r.words for r in got)
+    total = sum(r.words for r in got)
+    share = {s: sum(r.words for r in got if r.source == s) / total for s in ("a", "b", "c", None)}
+    for at in range(0, total - total // 4, total // 8):  # stretches of a quarter of the mix
+        seen, words = dict.fromkeys(share, 0), 0
+        for r in got:
+            if at <= words < at + total // 4:
+                seen[r.source] += r.words
+            words += r.words
+        assert all(abs(seen[s] / sum(seen.values()) - share[s]) < 0.03 for s in share)
+    texts = {i: t.split() for i, t, _ in rows}
+    parts = {}
+    for r in got:
+        parts.setdefault((r.doc_id, r.epoch), []).append((r.piece, r.text.split()))
+    for (i, _), p in parts.items():
+        words = [w for _, ws in sorted(p) for w in ws]
+        assert words == texts[i][:len(words)]
+    first = [r.piece // 32 for r in got if r.source == "a"]
+    assert sum(b < a for a, b in zip(first, first[1:])) > len(first) / 4  # not in the order of the documents
+    # whole documents follow the same order
+    order = {}
+    for r in got:
+        order.setdefault((r.doc_id, r.epoch), r.slot)
+    want = [slot for slot in sorted(order.values())]
+    n, words = 0, {}
+    for r in mixing.mixed_documents(docs, 32).collect():
+        e = words.setdefault(r.doc_id, 0)
+        words[r.doc_id] += 1
+        candidates = [order[k] for k in order if k[0] == r.doc_id]
+        assert want[n] in candidates
+        n += 1
+    assert n == len(order)
