@@ -2,13 +2,14 @@
 
 The index holds, in the shared folder,
 
-* ``refs``: one row per (line key, document) with the number of rows of the document that hold it,
+* ``refs``: rows (line key, document) with the number of rows of the document that hold it,
 * ``counts``: one row per line key with its number of documents and the smallest of them,
 * ``filters``: per shard of the key space one cuckoo filter of the keys that several documents share.
 
 Inserting documents adds references and puts each key that becomes shared into its shard's filter;
 deleting documents removes their references and takes each key that is no longer shared out of it, so
-every insertion can be undone exactly. To find the lines to drop, references are probed against the
+every insertion can be undone exactly. Both count the keys of the inserted or deleted documents again and write
+those only; the tables before stay as they are, and are written as one after ``SEGMENTS`` changes. To find the lines to drop, references are probed against the
 filters of their shard and only hits (shared keys and a few false positives) go on to the exact table.
 
 A key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased, as a 128-bit
@@ -21,8 +22,9 @@ before the shuffle; the exact join leaves a hot key to the adaptive skew join. P
 bounded by the number of shards, which follows the number of keys.
 
 Cases: a null or empty text is one empty line. Rows that share a document id are one document when
-references are counted; each is returned. A null id counts as the largest id and is returned as null.
-An empty table gives an empty result. Only the id and text columns are read, others may have any name.
+references are counted; each is returned. Rows without an id are documents of their own, one per distinct text
+(told apart by a hash of it), so each gathers its own lines only and lines that only they share are dropped
+too; they come after all ids, in the order of the hash, and are returned with a null id. An empty table gives an empty result. Only the id and text columns are read, others may have any name.
 """
 
 from __future__ import annotations
@@ -44,6 +46,9 @@ MIN_LENGTH = 10
 #: Column that ``kept_rows`` adds.
 LINES = "_lines"
 
+#: Changes of an index after which its tables are written anew.
+SEGMENTS = 8
+
 #: Keys a shard should hold, most shards (bounds the broadcast table of their sizes), references a task probes.
 SHARD_KEYS, MAX_SHARDS, TASK_REFS = 1 << 13, 1 << 20, 1 << 19
 
@@ -141,25 +146,50 @@ class CuckooFilter:
 
 
 def line_refs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
-    """(k1, k2, doc, n): the distinct line keys of every document with its number of rows that hold them."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64())])
+    """(k1, k2, doc, part, n): the distinct line keys of every document with its number of rows that hold them."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("part", pa.int64())])
 
     def run(it):
         def rows():
-            for i, text in id_and_text(it):
+            for (i, part), text in id_and_text(it):
                 keys = {line_key(line, min_length) for line in (text or "").split("\n")} - {None}
                 if keys:
                     for a, b in np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2).tolist():
-                        yield a, b, i
+                        yield a, b, i, part
 
         yield from batches(rows(), schema, most=1 << 16)
 
-    pairs = docs.select(doc_key(id_col).alias("doc"), text_col).mapInArrow(run, "k1 bigint, k2 bigint, doc bigint")
-    return pairs.groupBy("k1", "k2", "doc").agg(F.count("*").alias("n"))
+    name = F.array(doc_key(id_col).cast("long"), _part(id_col, text_col))
+    pairs = docs.select(name.alias("name"), text_col).mapInArrow(run, "k1 bigint, k2 bigint, doc bigint, part bigint")
+    return pairs.groupBy("k1", "k2", "doc", "part").agg(F.count("*").alias("n"))
+
+
+def _part(id_col: str, text_col: str) -> F.Column:
+    """What tells documents of one key apart: nothing under an id, the text without one."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
 
 
 def _counts(refs: DataFrame) -> DataFrame:
-    return refs.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first_doc"))
+    """Per key its number of documents (a document may be in several segments) and the smallest (doc, part)."""
+    once = refs.groupBy("k1", "k2", "doc", "part").agg(F.count("*").alias("_"))
+    least = F.min(F.struct("doc", "part"))
+    return once.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), least.alias("first")).select("k1", "k2", "n_docs", "first.doc", "first.part").toDF(
+        "k1", "k2", "n_docs", "first_doc", "first_part")
+
+
+def _changed(filters: DataFrame, changes: DataFrame, shards: int) -> DataFrame:
+    """``filters`` after ``changes`` (k1, k2, add)."""
+
+    def change(had: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        shard = int((had if len(had) else new)["shard"].iloc[0])
+        cuckoo = CuckooFilter.from_bytes(had["filter"].iloc[0]) if len(had) else CuckooFilter(max(1024, 2 * len(new)))
+        for add in (False, True):
+            part = new[new["add"] == add].sort_values(["k1", "k2"])
+            cuckoo.update(part["k1"].to_numpy(), part["k2"].to_numpy(), add)
+        return pd.DataFrame({"shard": pd.Series([shard], dtype="int32"), "filter": [cuckoo.to_bytes()]})
+
+    return (filters.groupBy("shard").cogroup(changes.withColumn("shard", _shard(shards)).groupBy("shard"))
+            .applyInPandas(change, "shard int, filter binary"))
 
 
 def _shard(shards: int) -> F.Column:
@@ -172,77 +202,76 @@ class LineIndex:
     counts: DataFrame
     filters: DataFrame
     shards: int
+    changes: int = 0
 
     @classmethod
     def empty(cls, spark: SparkSession) -> LineIndex:
-        return cls(spark.createDataFrame([], "k1 bigint, k2 bigint, doc bigint, n bigint"),
-                   spark.createDataFrame([], "k1 bigint, k2 bigint, n_docs bigint, first_doc bigint"),
+        return cls(spark.createDataFrame([], "k1 bigint, k2 bigint, doc bigint, part bigint, n bigint"),
+                   spark.createDataFrame([], "k1 bigint, k2 bigint, n_docs bigint, first_doc bigint, first_part bigint"),
                    spark.createDataFrame([], "shard int, filter binary"), 0)
 
-    def _with(self, refs: DataFrame) -> LineIndex:
-        """The index of ``refs``; filters change only by the keys that became or ceased to be shared."""
+    @classmethod
+    def _fresh(cls, refs: DataFrame) -> LineIndex:
+        """The index of ``refs``, all tables written anew."""
         refs = saved(refs, "line_refs")
         counts = saved(_counts(refs), "line_counts")
-        keys = counts.count()
-        if not self.shards or keys > 2 * SHARD_KEYS * self.shards and self.shards < MAX_SHARDS:
-            shards = min(MAX_SHARDS, 1 + keys // SHARD_KEYS)
-            changes = counts.where("n_docs > 1").select("k1", "k2", F.lit(True).alias("add"))
-            old = self.filters.limit(0)
-        else:
-            shards, old = self.shards, self.filters
-            before, after = (c.where("n_docs > 1").select("k1", "k2") for c in (self.counts, counts))
-            changes = (after.join(before, ["k1", "k2"], "left_anti").withColumn("add", F.lit(True))
-                       .unionByName(before.join(after, ["k1", "k2"], "left_anti").withColumn("add", F.lit(False))))
-
-        def change(had: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            shard = int((had if len(had) else new)["shard"].iloc[0])
-            cuckoo = CuckooFilter.from_bytes(had["filter"].iloc[0]) if len(had) else CuckooFilter(max(1024, 2 * len(new)))
-            for add in (False, True):
-                part = new[new["add"] == add].sort_values(["k1", "k2"])
-                cuckoo.update(part["k1"].to_numpy(), part["k2"].to_numpy(), add)
-            return pd.DataFrame({"shard": pd.Series([shard], dtype="int32"), "filter": [cuckoo.to_bytes()]})
-
-        filters = (old.groupBy("shard").cogroup(changes.withColumn("shard", _shard(shards)).groupBy("shard"))
-                   .applyInPandas(change, "shard int, filter binary"))
-        return LineIndex(refs, counts, saved(filters, "line_filters"), shards)
+        shards = min(MAX_SHARDS, 1 + counts.count() // SHARD_KEYS)
+        changes = counts.where("n_docs > 1").select("k1", "k2", F.lit(True).alias("add"))
+        return cls(refs, counts, saved(_changed(cls.empty(refs.sparkSession).filters, changes, shards), "line_filters"), shards)
+
+    def _with(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
+        """The index of ``refs``, which differ from those held in the keys of ``touched`` only."""
+        keys = touched.select("k1", "k2").distinct()
+        changed = saved(_counts(refs.join(keys, ["k1", "k2"], "left_semi")), "line_counts")
+        before = self.counts.join(keys, ["k1", "k2"], "left_semi").where("n_docs > 1").select("k1", "k2")
+        after = changed.where("n_docs > 1").select("k1", "k2")
+        counts = self.counts.join(keys, ["k1", "k2"], "left_anti").unionByName(changed)
+        if self.changes + 1 >= SEGMENTS or counts.count() > 2 * SHARD_KEYS * self.shards and self.shards < MAX_SHARDS:
+            return LineIndex._fresh(refs.groupBy("k1", "k2", "doc", "part").agg(F.sum("n").alias("n")))
+        changes = (after.join(before, ["k1", "k2"], "left_anti").withColumn("add", F.lit(True))
+                   .unionByName(before.join(after, ["k1", "k2"], "left_anti").withColumn("add", F.lit(False))))
+        filters = saved(_changed(self.filters, changes, self.shards), "line_filters")
+        return LineIndex(refs, counts, filters, self.shards, self.changes + 1)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> LineIndex:
         new = line_refs(docs, id_col, text_col, min_length)
-        if self.shards:
-            new = self.refs.unionByName(new).groupBy("k1", "k2", "doc").agg(F.sum("n").alias("n"))
-        return self._with(new)
+        if not self.shards:
+            return LineIndex._fresh(new)
+        new = saved(new, "line_refs")
+        return self._with(self.refs.unionByName(new), new)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
-        """Without the documents whose ids are listed; unknown ids change nothing."""
-        gone = ids.select(doc_key(id_col).alias("doc")).distinct()
-        return self._with(self.refs.join(gone, "doc", "left_anti").select("k1", "k2", "doc", "n"))
+        """Without the documents whose ids are listed (null: all without an id); unknown ids change nothing."""
+        gone = saved(ids.select(doc_key(id_col).alias("doc")).distinct(), "line_gone")
+        lost = saved(self.refs.join(gone, "doc", "left_semi").select("k1", "k2").distinct(), "line_lost")
+        return self._with(self.refs.join(gone, "doc", "left_anti").select("k1", "k2", "doc", "part", "n"), lost)
 
     def drops(self) -> DataFrame:
-        """(doc, k1, k2): the lines to drop from each document."""
+        """(doc, part, k1, k2): the lines to drop from each document."""
         sized = self.refs.withColumn("shard", _shard(max(1, self.shards)))
         sizes = (sized.groupBy("shard").agg(F.count("*").alias("rows"))
                  .select("shard", F.ceil(F.col("rows") / TASK_REFS).cast("int").alias("salts")))  # at most MAX_SHARDS rows
         salted = (sized.join(F.broadcast(sizes), "shard")
-                  .select("shard", F.pmod(F.xxhash64("doc"), "salts").cast("int").alias("salt"), "k1", "k2", "doc"))
+                  .select("shard", F.pmod(F.xxhash64("doc", "part"), "salts").cast("int").alias("salt"), "k1", "k2", "doc", "part"))
         filters = (self.filters.join(F.broadcast(sizes), "shard")
                    .select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "filter"))
 
         def probe(refs: pd.DataFrame, cuckoo: pd.DataFrame) -> pd.DataFrame:
             if not len(cuckoo) or not len(refs):
-                return refs.iloc[:0][["k1", "k2", "doc"]]
+                return refs.iloc[:0][["k1", "k2", "doc", "part"]]
             hit = CuckooFilter.from_bytes(cuckoo["filter"].iloc[0]).holds(refs["k1"].to_numpy(), refs["k2"].to_numpy())
-            return refs.loc[hit, ["k1", "k2", "doc"]]
+            return refs.loc[hit, ["k1", "k2", "doc", "part"]]
 
         hits = (salted.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt"))
-                .applyInPandas(probe, "k1 bigint, k2 bigint, doc bigint"))
-        exact = self.counts.where("n_docs > 1").select("k1", "k2", "first_doc")
-        return hits.join(exact, ["k1", "k2"]).where("doc <> first_doc").select("doc", "k1", "k2")
+                .applyInPandas(probe, "k1 bigint, k2 bigint, doc bigint, part bigint"))
+        exact = self.counts.where("n_docs > 1").select("k1", "k2", "first_doc", "first_part")
+        return hits.join(exact, ["k1", "k2"]).where("doc <> first_doc OR part <> first_part").select("doc", "part", "k1", "k2")
 
     def kept_rows(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
         """The rows of ``docs`` with the text without its dropped lines, and ``LINES``: (total, dropped)."""
-        drops = (self.drops().groupBy("doc").agg(F.collect_list(F.struct("k1", "k2")).alias("d"))
-                 .select(F.col("doc").alias("_doc"), F.transform("d", lambda x: x["k1"]).alias("_k1"), F.transform("d", lambda x: x["k2"]).alias("_k2")))
-        joined = docs.join(drops, doc_key(id_col) == F.col("_doc"), "left")
+        drops = (self.drops().groupBy("doc", "part").agg(F.collect_list(F.struct("k1", "k2")).alias("d"))
+                 .select(F.col("doc").alias("_doc"), F.col("part").alias("_part"), F.transform("d", lambda x: x["k1"]).alias("_k1"), F.transform("d", lambda x: x["k2"]).alias("_k2")))
+        joined = docs.join(drops, (doc_key(id_col) == F.col("_doc")) & (_part(id_col, text_col) == F.col("_part")), "left")
 
         @F.arrow_udf("struct<text:string,total:bigint,dropped:bigint>")
         def without(text: pa.Array, k1: pa.Array, k2: pa.Array) -> pa.Array:
