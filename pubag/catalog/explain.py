@@ -45,7 +45,49 @@ def fc3_pu_contributions(spark, sf):
     return phi.select("doc_id", "feature", r6("phi").alias("phi"), r6("fx").alias("fx"), r6("ef").alias("ef"))
 
 
+# Background rows, depth and features of the checked tree and interaction values.
+BACKGROUND, TREE_DEPTH, FEW = 20, 2, FEATS[:3]
+
+
+def fc1_tree_contributions(spark, sf):
+    """FC1 on a tree: Shapley values of its probability for every document, by leaf paths."""
+    from pubag.operators.learners.tree import DecisionTree
+    d = pu_docs(spark, sf)
+    m = fit_plain(d, FEATS, K, learner=DecisionTree(max_depth=TREE_DEPTH, quantiles=True))
+    phi = X.tree_contributions(m, d.select("doc_id", *FEATS), d, BACKGROUND, SEED)
+    return phi.select("doc_id", "feature", r6("phi").alias("phi"))
+
+
+def fc1_boosted_contributions(spark, sf):
+    """FC1 on bagged boosted trees (dart): Shapley values of the mean margin for every document."""
+    from pubag.operators.learners import registry
+    d = pu_docs(spark, sf)
+    m = PUBagging(learner=registry("boosted_trees", n_trees=10, drop=0.1), n_estimators=10, max_samples="n_pos", seed=SEED, oob_score=False).fit(d, FEATS, K)
+    return X.tree_contributions(m, d.select("doc_id", *FEATS), d, BACKGROUND, SEED).select("doc_id", "feature", r6("phi").alias("phi"))
+
+
+def fc2_interaction_values(spark, sf):
+    """FC2: Shapley interaction values of the PU ensemble's probability over three features, every document."""
+    d = pu_docs(spark, sf)
+    m = PUBagging(n_estimators=10, max_samples=100, seed=SEED, oob_score=False).fit(d, FEW, K)
+    v = X.interaction_values(m, d.select("doc_id", *FEW), d, BACKGROUND, SEED)
+    return v.select("doc_id", "feature_i", "feature_j", r6("value").alias("value"))
+
+
+def fc3_many_features(spark, sf):
+    """FC3 beyond 12 features: the PU ensemble over all 64 dimensions of the embeddings, 5 sampled rows, drawn coalitions."""
+    from pubag.sources.fixtures import VEC, pu_vec
+    d = pu_vec(spark, sf)
+    m = PUBagging(n_estimators=10, max_samples="n_pos", seed=SEED, oob_score=False).fit(d, VEC.features, VEC.key)
+    phi = X.coalition_contributions(m, S.sample_n(d, 5, VEC.key, SEED, "shap-x"), d, 100, SEED)
+    return phi.select("vec_id", "feature", r6("phi").alias("phi"), r6("fx").alias("fx"), r6("ef").alias("ef"))
+
+
 QUERIES = {
+    "fc1_tree_contributions": fc1_tree_contributions,
+    "fc1_boosted_contributions": fc1_boosted_contributions,
+    "fc2_interaction_values": fc2_interaction_values,
+    "fc3_many_features": fc3_many_features,
     "fc1_contributions": fc1_contributions,
     "fc3_pu_contributions": fc3_pu_contributions,
     "fc4_contribution_summary": fc4_contribution_summary,
@@ -102,3 +144,51 @@ ph3 AS (SELECT a.doc_id, f.feature, sum(w.w * (b.v - a.v)) AS phi
 
 
 SQL["fc3_pu_contributions"] = _fc3_sql()
+
+
+def _phi_sql(d: int) -> str:
+    """CTE phi (doc_id, j, phi) of coalition values vs (doc_id, S, v)."""
+    import math
+
+    weights = ", ".join(f"({k}, {math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)!r})" for k in range(d))
+    return f"""phi AS (SELECT a.doc_id, j, sum(w * (b.v - a.v)) AS phi FROM vs a JOIN range(0, {d}) f(j) ON (a.S >> j) & 1 = 0
+  JOIN vs b ON b.doc_id = a.doc_id AND b.S = a.S | (1 << j) JOIN (VALUES {weights}) w(k, w) ON w.k = bit_count(a.S) GROUP BY a.doc_id, j)"""
+
+
+def _tree_phi_sql() -> str:
+    from pubag.catalog.learners import _BINNED, _grow
+
+    d = len(FEATS)
+    hyb = ", ".join(f"CASE WHEN (S >> {j}) & 1 = 1 THEN x.b{j} ELSE z.b{j} END AS b{j}" for j in range(d))
+    walk = []
+    for n in range(TREE_DEPTH):
+        pick = "CASE n.feat " + " ".join(f"WHEN {j} THEN w.b{j}" for j in range(d)) + " END"
+        walk.append(f"""w{n + 1} AS (SELECT w.* EXCLUDE (node), CASE WHEN n.feat < 0 THEN w.node ELSE 2 * w.node + CASE WHEN {pick} > n.thr THEN 1 ELSE 0 END END AS node
+  FROM w{n} w JOIN tn n ON n.node = w.node)""")
+    ctes = [Q.PU_DOCS, _BINNED, "rows_ AS (SELECT 0 AS m, 1.0::DOUBLE AS w, y::DOUBLE AS wy, * EXCLUDE (y) FROM once)",
+            f"al AS (SELECT 0 AS m, feat FROM range(0, {d}) f(feat))", _grow("t", "rows_", "al", 1.0),
+            f"bg AS (SELECT o.* FROM once o JOIN pu_docs p USING (doc_id) ORDER BY {Q.hk(SEED, 'shap-bg', Q.vc('doc_id'))}, doc_id LIMIT {BACKGROUND})",
+            f"w0 AS (SELECT x.doc_id, S, 1 AS node, {hyb} FROM once x, bg z, range(0, {1 << d}) c(S))", *walk,
+            f"vs AS (SELECT w.doc_id, w.S, avg(n.value) AS v FROM w{TREE_DEPTH} w JOIN tn n ON n.node = w.node GROUP BY w.doc_id, w.S)", _phi_sql(d)]
+    return with_sql(ctes, f"SELECT doc_id, [{', '.join(repr(f) for f in FEATS)}][j + 1] AS feature, {Q.r6('phi')} AS phi FROM phi")
+
+
+def _interaction_sql() -> str:
+    """Three features: the pair's interaction without and with the third, each with weight 1/4 (1 / (2 (d-1)!))."""
+    names = "[" + ", ".join(repr(f) for f in FEW) + "]"
+    hyb = ", ".join(f"CASE WHEN (S >> {j}) & 1 = 1 THEN x.{f} ELSE z.{f} END AS {f}" for j, f in enumerate(FEW))
+    return with_sql([Q.PU_DOCS, Q.gnb_fit_ctes("pu_docs", K, FEW, SEED, 10, 100),
+                     f"bg AS (SELECT * FROM pu_docs ORDER BY {Q.hk(SEED, 'shap-bg', Q.vc('doc_id'))}, doc_id LIMIT {BACKGROUND})",
+                     f"hy AS (SELECT x.doc_id, S, {hyb} FROM pu_docs x, bg z, range(0, 8) c(S))",
+                     f"vs AS (SELECT r.doc_id, r.S, avg({Q.gnb_p1(FEW)}) AS v FROM hy r, g_model m GROUP BY r.doc_id, r.S)", _phi_sql(3),
+                     """pr AS (SELECT a.doc_id, i, j, sum(b.v - c.v - e.v + a.v) / 4.0 AS value
+  FROM range(0, 3) p(i), range(0, 3) q(j), vs a JOIN vs b ON b.doc_id = a.doc_id AND b.S = a.S | (1 << i) | (1 << j)
+  JOIN vs c ON c.doc_id = a.doc_id AND c.S = a.S | (1 << i) JOIN vs e ON e.doc_id = a.doc_id AND e.S = a.S | (1 << j)
+  WHERE i <> j AND (a.S >> i) & 1 = 0 AND (a.S >> j) & 1 = 0 GROUP BY a.doc_id, i, j)""",
+                     """al AS (SELECT * FROM pr UNION ALL SELECT p.doc_id, p.j, p.j, p.phi - s.others FROM phi p
+  JOIN (SELECT doc_id, i, sum(value) AS others FROM pr GROUP BY doc_id, i) s ON s.doc_id = p.doc_id AND s.i = p.j)"""],
+                    f"SELECT doc_id, {names}[i + 1] AS feature_i, {names}[j + 1] AS feature_j, {Q.r6('value')} AS value FROM al")
+
+
+SQL["fc1_tree_contributions"] = _tree_phi_sql()
+SQL["fc2_interaction_values"] = _interaction_sql()

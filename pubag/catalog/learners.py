@@ -107,12 +107,15 @@ SQL = {"bl5_kernel_svm_steps": _svm_sql(**SVM), "bl6_mlp_steps": _mlp_sql(**MLP)
 _P = 2147483647
 _LINE = lambda name, r: (f"(((1 + {Q.H(Q.ht(*name, Q.q('a')))} % {_P - 1}) * {r} + {Q.H(Q.ht(*name, Q.q('c')))} % {_P}) % {_P} + 0.5) / {_P}.0")
 
-#: Binned rows of all bags: (bag, doc_id, times, y, r, b0…).
-_PAIRS = [Q.PU_DOCS, Q.gnb_fit_ctes("pu_docs", K, FEATS, SEED, TREE_BAGS, DRAWS), f"""
+#: Rows in bins of quantiles: once (doc_id, y, r, b0…).
+_BINNED = f"""
 qs AS (SELECT {', '.join(f"list_sort(list({f})) AS l{j}" for j, f in enumerate(FEATS))} FROM pu_docs),
 cuts AS (SELECT {', '.join(f"list_distinct(list_transform(range(1, 32), lambda k: l{j}[greatest(1, ceil(k / 32.0 * len(l{j})))::INT])) AS c{j}" for j in range(D))} FROM qs),
 once AS (SELECT doc_id, y, {Q.H(Q.ht(Q.q('row'), Q.vc('doc_id')))} % {_P} AS r,
-  {', '.join(f"CASE WHEN {f} IS NULL THEN -1 ELSE len(list_filter(c{j}, lambda v: {f} > v)) END AS b{j}" for j, f in enumerate(FEATS))} FROM pu_docs, cuts),
+  {', '.join(f"CASE WHEN {f} IS NULL THEN -1 ELSE len(list_filter(c{j}, lambda v: {f} > v)) END AS b{j}" for j, f in enumerate(FEATS))} FROM pu_docs, cuts)"""
+
+#: Binned rows of all bags: (bag, doc_id, times, y, r, b0…).
+_PAIRS = [Q.PU_DOCS, Q.gnb_fit_ctes("pu_docs", K, FEATS, SEED, TREE_BAGS, DRAWS), _BINNED, f"""
 pairs AS (SELECT m.bag, m.times, o.* FROM (
   SELECT doc_id, CAST(i AS INTEGER) AS bag, 1 AS times FROM g_p, range(0, {TREE_BAGS}) t(i) UNION ALL SELECT doc_id, bag, w FROM g_bags) m JOIN once o USING (doc_id))"""]
 

@@ -200,6 +200,10 @@ class DecisionTree:
         """Value of the leaf that each row (of bins) reaches in ``max_depth`` steps."""
         return leaf_values(m, x.astype(np.int64), self.max_depth)
 
+    def np_trees(self, m: dict) -> list[tuple[float, dict]]:
+        """(scale, tree) of the trees that add up to the model's output."""
+        return [(1.0, m)]
+
     @staticmethod
     def model_columns() -> list[str]:
         return ["feat", "cut", "value", "lo", "wd", "cuts"]

@@ -90,6 +90,9 @@ class Forest(_OfTrees):
                     trees = [(t, 1.0, *tree_columns(*(v[a - a0, (b - b0) * n + t] for v in (feat, cut, value)))) for t in range(n)]
                     yield (a, b, trees, *bins.columns())
 
+    def np_trees(self, m: dict) -> list[tuple[float, dict]]:
+        return [(s / len(m["trees"]), t) for s, t in m["trees"]]
+
     def np_proba(self, m: dict, x: np.ndarray) -> np.ndarray:
         return np.mean(self._each(m, x), axis=0)
 
@@ -157,6 +160,10 @@ class BoostedTrees(_OfTrees):
                 trees = [(k, float(scales[k][b]), *tree_columns(*(v[a, b] for v in tree))) for k, tree in enumerate(made)]
                 yield (a0 + a, b0 + b, trees, *bins.columns())
 
+    def np_trees(self, m: dict) -> list[tuple[float, dict]]:
+        """The trees that add up to the margin."""
+        return m["trees"]
+
     def np_decision(self, m: dict, x: np.ndarray) -> np.ndarray:
         return np.sum(self._each(m, x), axis=0)
 
