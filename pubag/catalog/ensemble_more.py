@@ -56,6 +56,46 @@ def pu11_fitted_attributes(spark, sf):
                                           F.sum("w").cast("bigint").alias("n_draws")).withColumn("n_features", nf)
 
 
+def pu11_oob_decision_function(spark, sf):
+    """PU11: oob_decision_function_ of every training row (null: no bag left it out)."""
+    _, m = _fit(spark, sf)
+    return m.oob_decision_function_.select("doc_id", r6("p0").alias("p0"), r6("p1").alias("p1"))
+
+
+def pu11_estimators_samples(spark, sf):
+    """PU11: estimators_samples_, the in-bag rows of every bag."""
+    _, m = _fit(spark, sf)
+    return m.estimators_samples_.select("bag", "doc_id", "w")
+
+
+def sc8_validation(spark, sf):
+    """SC8: parameter and input checks, each tried on the documents: (case, rejected)."""
+    d = pu_docs(spark, sf)
+    good = PUBagging(n_estimators=2, max_samples=10, seed=SEED, warm_start=True, oob_score=False)
+    model = good.fit(d, FEATS, K)
+    tries = {
+        "no bags": lambda: PUBagging(n_estimators=0),
+        "out-of-bag scores without replacement": lambda: PUBagging(bootstrap=False, oob_score=True),
+        "out-of-bag scores with a warm start": lambda: PUBagging(warm_start=True, oob_score=True),
+        "more draws than unlabelled rows": lambda: PUBagging(max_samples=10 ** 12).fit(d, FEATS, K),
+        "no draws": lambda: PUBagging(max_samples=0.0).fit(d, FEATS, K),
+        "more features than there are": lambda: PUBagging(max_features=len(FEATS) + 1, max_samples=10).fit(d, FEATS, K),
+        "labels other than 0 and 1": lambda: PUBagging(max_samples=10).fit(d.withColumn("y", F.col("y") + 1), FEATS, K),
+        "rows without a feature": lambda: model.predict_proba(d.drop(FEATS[0])),
+        "fewer bags in a warm start": lambda: PUBagging(n_estimators=1, max_samples=10, seed=SEED, warm_start=True, oob_score=False).extend(model, d),
+        "a larger sample than the table": lambda: S.sample_n(d, d.count() + 1, K, SEED),
+        "a fit as it should be": lambda: model.predict_proba(d).count(),
+    }
+    out = []
+    for case, act in tries.items():
+        try:
+            act()
+            out.append((case, False))
+        except ValueError:
+            out.append((case, True))
+    return spark.createDataFrame(out, "case string, rejected boolean")
+
+
 def ag5_draw_counts(spark, sf):
     """AG5: dense multiplicity of every unlabelled row in every bag (0 when not drawn)."""
     u = pu_docs(spark, sf).filter(F.col("y") < 1)
@@ -135,6 +175,7 @@ def jo3_except_chunk(spark, sf):
 QUERIES = {
     "pu2_fit": pu2_fit, "pu3_weight_path": pu3_weight_path, "pu8_predict_log_proba": pu8_predict_log_proba,
     "ag10_ensemble_log_proba": pu8_predict_log_proba, "pu11_fitted_attributes": pu11_fitted_attributes,
+    "pu11_oob_decision_function": pu11_oob_decision_function, "pu11_estimators_samples": pu11_estimators_samples, "sc8_validation": sc8_validation,
     "ag5_draw_counts": ag5_draw_counts, "jo4_position_lookup": jo4_position_lookup,
     "ag9_ensemble_vote": ag9_ensemble_vote, "fi6_is_oob": fi6_is_oob, "jo6_rows_x_bags": jo6_rows_x_bags,
     "jo9_attach_truth": jo9_attach_truth, "se4_missing_classes": se4_missing_classes,
@@ -199,6 +240,14 @@ SQL = {
     "pu8_predict_log_proba": with_sql(D + [_fit_sql(), _LP], _LPS),
     "pu11_fitted_attributes": with_sql(D + [_fit_sql()], f"""SELECT bag, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_inbag,
  CAST(sum(w) AS BIGINT) AS n_draws, {len(FEATS)} AS n_features FROM g_bags GROUP BY bag"""),
+    "pu11_oob_decision_function": with_sql(D + [Q.gnb_oob("pu_docs", K, FEATS, SEED, 10, 100)],
+                                           f"SELECT doc_id, {Q.r6('1.0 - oob_score')} AS p0, {Q.r6('oob_score')} AS p1 FROM g_oob"),
+    "pu11_estimators_samples": with_sql(D + [_fit_sql()], """SELECT bag, doc_id, CAST(w AS INTEGER) AS w FROM g_bags
+ UNION ALL SELECT CAST(i AS INTEGER), doc_id, 1 FROM g_p, range(0, 10) t(i)"""),
+    "sc8_validation": """SELECT * FROM (VALUES ('no bags', true), ('out-of-bag scores without replacement', true),
+ ('out-of-bag scores with a warm start', true), ('more draws than unlabelled rows', (SELECT count(*) FROM documents) < 1000000000000), ('no draws', true),
+ ('more features than there are', true), ('labels other than 0 and 1', true), ('rows without a feature', true), ('fewer bags in a warm start', true),
+ ('a larger sample than the table', true), ('a fit as it should be', false)) t("case", rejected)""",
     "ag5_draw_counts": with_sql(D + [_fit_sql(), _RAW], """SELECT b.bag, u.doc_id,
  CAST(coalesce(c.w, 0) AS INTEGER) AS w FROM g_u u CROSS JOIN (SELECT CAST(i AS INTEGER) AS bag FROM range(0, 10) t(i)) b
  LEFT JOIN (SELECT bag, doc_id, count(*) AS w FROM raw GROUP BY bag, doc_id) c ON c.bag = b.bag AND c.doc_id = u.doc_id"""),

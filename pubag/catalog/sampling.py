@@ -57,6 +57,13 @@ def sa7_poisson_bootstrap(spark, sf):
     return e.filter(F.col("w") > 0).select("doc_id", F.col("bag").cast("int").alias("bag"), "w")
 
 
+def sa7_poisson_scale_mode(spark, sf):
+    """SA7 as ``PUBagging(mode="poisson")`` draws: one hash a row, a line a bag; in-bag rows of a fitted ensemble."""
+    from pubag.operators.bagging import PUBagging
+    m = PUBagging(n_estimators=10, max_samples=1.0, seed=SEED, mode="poisson").fit(pu_docs(spark, sf), DOCS.features, "doc_id")
+    return m.members().select("doc_id", "bag", F.col("w").cast("int").alias("w"))
+
+
 def sa8_pu_bag(spark, sf):
     """SA8: every bag = all positives once (w = 1) + bootstrap draws of U."""
     from pubag.operators.bagging import PUBagging
@@ -142,6 +149,18 @@ def _rn(tag, key_sql, keys, part="", extra=()):
     return f"row_number() OVER ({p}ORDER BY {Q.hk(SEED, tag, key_sql, *extra)}, {keys})"
 
 
+_PRIME = 2147483647
+
+
+def _steps() -> list[float]:
+    """P(X <= j) of the Poisson distribution; beyond 25 terms it is 1 in double precision."""
+    out, cdf = [], 0.0
+    for j in range(25):
+        cdf += math.exp(-LAM) * LAM**j / math.factorial(j)
+        out.append(cdf)
+    return out
+
+
 def _pois_sql(bag: int) -> str:
     u = f"(CAST({Q.H(Q.ht(Q.q(SEED), Q.q('pois'), Q.q(bag), DK))} AS DOUBLE) / 1152921504606846976.0)"
     # 25 terms: beyond them P(X <= j) is 1 in double precision
@@ -173,6 +192,10 @@ WHERE rn <= 100"""),
     "sa7_poisson_bootstrap": with_sql(D, " UNION ALL ".join(
         f"SELECT doc_id, {b} AS bag, w FROM (SELECT doc_id, CAST({_pois_sql(b)} AS INTEGER) AS w "
         f"FROM pu_docs WHERE y < 1) WHERE w > 0" for b in range(10))),
+    "sa7_poisson_scale_mode": with_sql(D + [f"""rw AS (SELECT doc_id, {Q.H(Q.ht(Q.q('row'), DK))} % {_PRIME} AS r FROM pu_docs WHERE y < 1),
+uu AS (SELECT doc_id, CAST(b AS INTEGER) AS bag, (((1 + {Q.H(Q.ht(Q.q(SEED), Q.q('pois'), Q.vc('b'), Q.q('a')))} % {_PRIME - 1}) * r
+  + {Q.H(Q.ht(Q.q(SEED), Q.q('pois'), Q.vc('b'), Q.q('c')))} % {_PRIME}) % {_PRIME} + 0.5) / {_PRIME}.0 AS u FROM rw, range(0, 10) t(b)),
+ww AS (SELECT doc_id, bag, CAST(len(list_filter({_steps()}, lambda c: u >= c)) AS INTEGER) AS w FROM uu)"""], "SELECT * FROM ww WHERE w > 0"),
     "sa8_pu_bag": with_sql(D + [_GF], """SELECT doc_id, bag, CAST(w AS INTEGER) AS w FROM g_bags UNION ALL
 SELECT doc_id, CAST(i AS INTEGER), 1 FROM pu_docs, range(0, 10) t(i) WHERE y = 1"""),
     "sa13_leave_one_group_out": with_sql(D, """SELECT g.grp AS fold, 'test' AS role, d.doc_id

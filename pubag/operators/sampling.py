@@ -254,18 +254,24 @@ def poisson_weights(key, seed, n_bags: int, lam: float | Column, first_bag: int
     ``lam`` is the rate, or a column with the steps of its distribution (``poisson_cdf``).
 
     One compact expression: the bag ids are a sequence, each maps to a uniform and
-    the weight is the number of CDF steps at or below it. ``fast`` uses xxhash64 of
-    (seed, tag, bag, key) instead of md5 text (the scale path; not the oracle's hash).
+    the weight is the number of CDF steps at or below it. ``fast`` (the scale path) hashes
+    the key once to a number r below the prime ``PRIME`` and takes ((a r + c) mod PRIME + 1/2) / PRIME
+    with the line (a, c) of the bag (``bag_sums.line``) instead of hashing per row and bag.
     """
     kt = key_text(as_list(key))
     cdf = lam if isinstance(lam, Column) else F.array(*[F.lit(float(c)) for c in poisson_cdf(lam)])
-    bags = F.sequence(F.lit(first_bag), F.lit(first_bag + n_bags - 1))
     if fast:
-        mask = F.lit((1 << HASH_BITS) - 1)
-        hv = lambda b: F.shiftright(F.xxhash64(F.lit(str(seed)), F.lit(tag), b, kt), 4).bitwiseAND(mask)
+        from pubag.operators.learners.bag_sums import PRIME, line
+
+        lines = [line(seed, tag, b) for b in range(first_bag, first_bag + n_bags)]
+        slopes, starts = (F.array(*[F.lit(v).cast("bigint") for v in column]) for column in zip(*lines))
+        # an array of one: the key is hashed once a row, whatever the number of bags
+        row = F.array(h("row", kt) % F.lit(PRIME))
+        number = lambda a, c, r: ((a * r + c) % F.lit(PRIME) + F.lit(0.5)) / F.lit(float(PRIME))
+        us = F.flatten(F.transform(row, lambda r: F.zip_with(slopes, starts, lambda a, c: number(a, c, r))))
     else:
-        hv = lambda b: h(seed, tag, b, kt)
-    us = F.transform(bags, lambda b: uniform(hv(b)))
+        bags = F.sequence(F.lit(first_bag), F.lit(first_bag + n_bags - 1))
+        us = F.transform(bags, lambda b: uniform(h(seed, tag, b, kt)))
     return F.transform(us, lambda u: F.size(F.filter(cdf, lambda c: u >= c)))
 
 
