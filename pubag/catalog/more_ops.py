@@ -68,9 +68,9 @@ def ag12_repeat_mean(spark, sf):
 
 
 def ag13_grand_mean(spark, sf):
-    """AG13: grand mean of the AUC over the held-out groups of EX2 and EX3, per kind of model."""
-    plain = experiments.ex2_group_holdout_plain(spark, sf).withColumn("model", F.lit("mod"))
-    pu = experiments.ex3_group_holdout_pu(spark, sf).withColumn("model", F.lit("pu"))
+    """AG13: grand mean of the AUC over the held-out groups of EX2 and the groups and repeats of EX3, per kind of model."""
+    plain = experiments.ex2_group_holdout_plain(spark, sf).select("auc").withColumn("model", F.lit("mod"))
+    pu = experiments.ex3_group_holdout_pu(spark, sf).select("auc").withColumn("model", F.lit("pu"))
     return R.repeat_mean(plain.unionByName(pu), ["model"], "auc").select("model", r6("auc").alias("auc"))
 
 
