@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pubag.llm.common import SPACES, batches, doc_key, id_and_text, saved
+from pubag.llm.common import NO_ID, SPACES, batches, doc_key, saved
 
 MIN_LENGTH = 10
 
@@ -145,22 +145,29 @@ class CuckooFilter:
 # --- index ---------------------------------------------------------------------------------------
 
 
+def ids_and_text(it):
+    """(doc, part, text) of batches, in slices that keep Python's copies small."""
+    for batch in it:
+        for at in range(0, batch.num_rows, 256):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, 256).columns))
+
+
 def line_refs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH) -> DataFrame:
     """(k1, k2, doc, part, n): the distinct line keys of every document with its number of rows that hold them."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc", pa.int64()), ("part", pa.int64())])
 
     def run(it):
         def rows():
-            for (i, part), text in id_and_text(it):
+            for i, part, text in ids_and_text(it):
                 keys = {line_key(line, min_length) for line in (text or "").split("\n")} - {None}
                 if keys:
                     for a, b in np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2).tolist():
                         yield a, b, i, part
 
-        yield from batches(rows(), schema, most=1 << 16)
+        yield from batches(rows(), schema, most=1 << 14)
 
-    name = F.array(doc_key(id_col).cast("long"), _part(id_col, text_col))
-    pairs = docs.select(name.alias("name"), text_col).mapInArrow(run, "k1 bigint, k2 bigint, doc bigint, part bigint")
+    named = docs.select(doc_key(id_col).cast("long").alias("doc"), _part(id_col, text_col).alias("part"), text_col)
+    pairs = named.mapInArrow(run, "k1 bigint, k2 bigint, doc bigint, part bigint")
     return pairs.groupBy("k1", "k2", "doc", "part").agg(F.count("*").alias("n"))
 
 
@@ -170,11 +177,15 @@ def _part(id_col: str, text_col: str) -> F.Column:
 
 
 def _counts(refs: DataFrame) -> DataFrame:
-    """Per key its number of documents (a document may be in several segments) and the smallest (doc, part)."""
-    once = refs.groupBy("k1", "k2", "doc", "part").agg(F.count("*").alias("_"))
-    least = F.min(F.struct("doc", "part"))
-    return once.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), least.alias("first")).select("k1", "k2", "n_docs", "first.doc", "first.part").toDF(
-        "k1", "k2", "n_docs", "first_doc", "first_part")
+    """Per key its number of documents and the smallest (doc, part) of ``refs``, which have a document's key once.
+    Parts differ only without an id, and such documents come last: then all of the key's documents have none."""
+    found = refs.groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first_doc"), F.min("part").alias("least"))
+    return found.select("k1", "k2", "n_docs", "first_doc", F.when(F.col("first_doc") == NO_ID, F.col("least")).otherwise(F.lit(0)).cast("long").alias("first_part"))
+
+
+def _once(refs: DataFrame) -> DataFrame:
+    """``refs`` with every (key, document) once: a document may be in several segments."""
+    return refs.groupBy("k1", "k2", "doc", "part").agg(F.sum("n").alias("n"))
 
 
 def _changed(filters: DataFrame, changes: DataFrame, shards: int) -> DataFrame:
@@ -222,12 +233,12 @@ class LineIndex:
     def _with(self, refs: DataFrame, touched: DataFrame) -> LineIndex:
         """The index of ``refs``, which differ from those held in the keys of ``touched`` only."""
         keys = touched.select("k1", "k2").distinct()
-        changed = saved(_counts(refs.join(keys, ["k1", "k2"], "left_semi")), "line_counts")
+        changed = saved(_counts(_once(refs.join(keys, ["k1", "k2"], "left_semi"))), "line_counts")
         before = self.counts.join(keys, ["k1", "k2"], "left_semi").where("n_docs > 1").select("k1", "k2")
         after = changed.where("n_docs > 1").select("k1", "k2")
         counts = self.counts.join(keys, ["k1", "k2"], "left_anti").unionByName(changed)
         if self.changes + 1 >= SEGMENTS or counts.count() > 2 * SHARD_KEYS * self.shards and self.shards < MAX_SHARDS:
-            return LineIndex._fresh(refs.groupBy("k1", "k2", "doc", "part").agg(F.sum("n").alias("n")))
+            return LineIndex._fresh(_once(refs))
         changes = (after.join(before, ["k1", "k2"], "left_anti").withColumn("add", F.lit(True))
                    .unionByName(before.join(after, ["k1", "k2"], "left_anti").withColumn("add", F.lit(False))))
         filters = saved(_changed(self.filters, changes, self.shards), "line_filters")
