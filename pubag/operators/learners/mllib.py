@@ -1,7 +1,7 @@
-"""BL5 and BL6 (and MLlib's own forests and boosted trees, for comparison with BL3 and BL4): one
-distributed fit per (axis, bag), submitted concurrently.
+"""MLlib's own learners, for comparison with BL3 to BL6 (names ``mllib_…``): one distributed fit per
+(axis, bag), submitted concurrently.
 
-These learners cannot be folded into one aggregate, so each bag's rows are a
+Their fits cannot be folded into one pass for all bags, so each bag's rows are a
 filtered view of the (checkpointed) bagged table and every bag is an ordinary
 MLlib fit using ``weightCol`` for the bootstrap multiplicity; learners without
 weights (the MLP) get their rows replicated w times (the reference's row path).
