@@ -50,3 +50,39 @@ def test_paths_end_where_a_walk_ends():
             while feat[node] >= 0:
                 node = 2 * node + int(x[feat[node], i] > cut[node])
             assert got[i] == node
+
+
+def test_packed_rows_are_the_rows(spark):
+    """Rows kept as arrays give the same sums, in a few records instead of a record a row; rows of no bag stay out on demand."""
+    rows = _rows(spark)
+    packed = B.packed(rows, 400, 1)
+    assert packed.count() <= 16 + 5 and B.loose(packed, 1).count() == 400
+
+    def add(acc, part, state):
+        times = part.dense(len(acc))
+        acc += np.column_stack([times.sum(axis=0), times.T @ part.x[:, 0], times.T @ part.y, np.full(len(acc), len(part.y)), times.T @ part.r]).astype(np.int64)
+
+    axes = [str(a) for a in range(5)]
+    for some, all_ in ((packed, rows), (B.in_bags(packed), B.in_bags(rows))):
+        for first, last in ((0, 3), (1, 2)):
+            got, want = (B.summed(r, axes, first, last, 1, 5, add, [None] * 5, np.int64) for r in (some, all_))
+            assert (got == want).all() and got[:, 0, 3].sum() == 400
+
+
+def test_packed_rows_leave_out_rows_of_no_bag(spark):
+    rows = _rows(spark).withColumn("_every", F.col("_every") & (F.col("_y") == 0))
+    packed = B.packed(rows, 400, 1)
+    count = lambda r: B.summed(r, [str(a) for a in range(5)], 0, 2, 1, 1, lambda acc, part, _: acc.__iadd__(len(part.y)), [None] * 5)[:, 0, 0].sum()
+    assert count(packed) == 400 and count(B.in_bags(packed)) == count(B.in_bags(rows)) == 200
+
+
+def test_draws_by_ordinal_are_the_draws(spark):
+    """The lists cross once; they are the counts of the draws, whatever the sizes of the axis values."""
+    from pubag.operators import sampling as S
+
+    args = (spark, 7, [30, 5], [20, 90], 3, ["ax"], [(4,), (9,)], 2)
+    want = {(r.ax, r.pos, r.bag): r.w for r in S.bootstrap_draws(*args).collect()}
+    lists = S.bootstrap_lists(*args)
+    assert lists._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    got = [(r.ax, r.pos, v) for r in lists.collect() for v in r._drawn]
+    assert {(a, p, v // S.TIMES): v % S.TIMES for a, p, v in got} == want and len(got) == len(want)
