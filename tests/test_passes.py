@@ -86,3 +86,14 @@ def test_draws_by_ordinal_are_the_draws(spark):
     assert lists._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
     got = [(r.ax, r.pos, v) for r in lists.collect() for v in r._drawn]
     assert {(a, p, v // S.TIMES): v % S.TIMES for a, p, v in got} == want and len(got) == len(want)
+
+
+def test_rows_are_dealt_before_slow_votes(spark):
+    """Rows that lie in one partition are scored by all cores."""
+    from pubag.operators.bagging import PUBagging
+    from pubag.operators.learners import registry
+
+    df = spark.range(0, 60, 1, 1).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), F.col("id").cast("double").alias("x"))
+    m = PUBagging(learner=registry("mlp", hidden=2, steps=1), n_estimators=10, max_samples=5, seed=1).fit(df, ["x"], ["id"])
+    parts = [len(p) for p in m.predict_proba(df).rdd.glom().collect()]
+    assert sum(parts) == 60 and max(parts) < 30
