@@ -93,3 +93,37 @@ def test_layout_samples_no_rows_and_takes_even_parts(spark):
     sizes = [len(p) for p in parts]
     assert sum(sizes) == 3000 and max(sizes) < 2 * 3000 / len(parts) and "rangepartitioning" not in got._jdf.queryExecution().toString()
     assert all(p.is_monotonic_increasing for p in parts) and got.select("v").distinct().count() == 3000
+
+
+def test_a_slice_has_bags_of_all_axis_values(monkeypatch):
+    """Rows lie by axis value, so a slice of one axis value would leave most tasks without work."""
+    monkeypatch.setattr(B, "SLICE_BYTES", 176)
+    found = list(B.slices(15, 3, 100, 1))
+    assert all((a0, a1) == (0, 15) and (a1 - a0) * (b1 - b0) <= 176 for a0, a1, b0, b1 in found)
+    for n, bags, most in ((15, 100, 176), (15, 100, 7), (3, 2, 100), (400, 1, 30)):
+        monkeypatch.setattr(B, "SLICE_BYTES", most)
+        got = [(a, b) for a0, a1, b0, b1 in B.slices(n, 3, bags, 1) for a in range(a0, a1) for b in range(b0, b1)]
+        assert sorted(got) == [(a, b) for a in range(n) for b in range(3, 3 + bags)]
+        assert all((a1 - a0) * (b1 - b0) <= most for a0, a1, b0, b1 in B.slices(n, 3, bags, 1))
+
+
+def test_whole_counts_give_the_sums_of_weights_and_targets(spark):
+    """One count a feature (whole weights, targets 0 or 1) grows the trees that two weighted sums grow."""
+    from pubag.operators.learners import tree as T
+
+    df = spark.range(0, 900, 1, 3).select(F.lit(0).alias("ax"), "id", ((F.col("id") * 7) % 10 < 4).cast("int").alias("y"), ((F.col("id") * 13) % 29).cast("double").alias("x"),
+                                         (F.col("id") % 11).cast("double").alias("z"), F.lit(None).cast("array<struct<bag:int,w:int>>").alias("_bags"))
+    rows = B.packed(B.training_rows(df, ["ax"], ["x", "z"], "y", None, ["id"]), 900, 2)
+    bins = T.Bins.over(rows, 2, 8, False)
+
+    def grown(whole):
+        def pairs(part, x, _):
+            for b, row, w in part.of_bags(2):
+                w = w * (part.r[row] % 3)
+                y = part.y[row]
+                yield b, x[:, row], w, None if whole else w * y, y.astype(np.uint8) if whole else None
+
+        return T.grow(rows, ["0"], 2, 0, 2, 1, 3, bins, pairs, [None], np.ones((2, 2), dtype=bool), np.ones(2), np.array([3, 2]))
+
+    for a, b in zip(grown(True), grown(False)):
+        assert np.array_equal(a, b, equal_nan=True)
