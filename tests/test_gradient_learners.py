@@ -102,3 +102,51 @@ def test_row_weights_count_as_copies(spark):
     a = fit_plain(df, ["a", "b"], ["k"], learner=learner(), weight="w").models.first().params
     b = fit_plain(twice, ["a", "b"], ["k"], learner=learner()).models.first().params
     assert np.allclose(a, b, atol=1e-9)
+
+
+class _Counting:
+    """NumPy that counts the numbers it takes exp of."""
+
+    def __init__(self):
+        self.numbers = 0
+
+    def __getattr__(self, name):
+        return getattr(np, name)
+
+    def exp(self, t, **kw):
+        self.numbers += np.size(t)
+        return np.exp(t, **kw)
+
+
+@pytest.mark.parametrize("rows, spread", [(0, 1.0), (1, 1.0), (2500, 1.0), (1025, 400.0)])
+def test_hidden_layer_takes_no_exp_per_unit(monkeypatch, rows, spread):
+    """Gradient and decision are those of the logistic units by NumPy's tanh, whatever the range; exp is taken once a row."""
+    from pubag.operators.learners import gradient as G
+
+    rng = np.random.default_rng(3)
+    net = Perceptron(hidden=20)
+    z, y, w = rng.normal(size=(rows, 9)) * spread, rng.integers(0, 2, rows).astype(float), rng.integers(1, 4, rows).astype(float)
+    p = rng.normal(size=net._size(9))
+    w1, b1, w2, b2 = net.parts(p, 9)
+    h = (1 + np.tanh((z @ w1 + b1) / 2)) / 2
+    back = w * (G.sigmoid(h @ w2 + b2) - y)
+    inner = h * (1 - h) * back[:, None] * w2
+    want = np.concatenate([(z.T @ inner).ravel(), inner.sum(axis=0), back @ h, [back.sum()]])
+    counting = _Counting()
+    monkeypatch.setattr(G, "np", counting)
+    got = net.gradient(p, z, y, w)
+    assert counting.numbers <= rows
+    assert np.allclose(got, want, rtol=1e-11, atol=1e-11 * max(1, rows) * spread)
+    m = {"w1": w1, "b1": b1, "w2": w2, "b2": b2}
+    assert np.allclose(net.np_decision(m, z), h @ w2 + b2, rtol=0, atol=1e-12 * spread)
+
+
+def test_tanh_by_table():
+    """To the last digits between, at and beyond the grid points, without end and missing."""
+    from pubag.operators.learners import gradient as G
+
+    x = np.concatenate([np.linspace(-31, 31, 400_001), np.linspace(-2, 2, 400_001), np.arange(-3000, 3000) / 1024, (np.arange(-3000, 3000) + 0.5) / 1024, [0.0]])
+    room = lambda v: [np.empty_like(v) for _ in range(3)]
+    assert np.abs(G._tanh_3(x.copy(), False, *room(x)) - np.tanh(3 * x)).max() < 5e-16
+    end = np.array([np.inf, -np.inf, 1e300, -40.0, np.nan])
+    assert np.array_equal(G._tanh_3(end.copy(), True, *room(end)), [1, -1, 1, -1, np.nan], equal_nan=True)
